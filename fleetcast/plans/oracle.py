@@ -269,3 +269,161 @@ SELECT CASE WHEN rn <= CAST(floor(n * 0.8) AS BIGINT) THEN 'train' ELSE 'test' E
        count(*) AS days, {_iso('min(ds)', 'first_date')}, {_iso('max(ds)', 'last_date')},
        round(sum(y), 4) AS bookings
 FROM ranked GROUP BY 1"""
+
+
+# ---- booking features, coercion, training preparation ---------------------------
+
+BOOK = """
+book AS (
+  SELECT l.l_orderkey AS order_key, l.l_linenumber AS line_number,
+    l.l_partkey AS part_key, l.l_suppkey AS supp_key,
+    CAST(p.p_size % 5 AS DOUBLE) AS vehicle_model_id,
+    CAST(l.l_linenumber AS DOUBLE) AS package_id,
+    CAST(TRY_CAST(substr(o.o_orderpriority, 1, 1) AS INTEGER) AS DOUBLE) AS travel_type_id,
+    CAST(cn.n_regionkey AS DOUBLE) AS from_area_id,
+    CAST(sn.n_regionkey AS DOUBLE) AS to_area_id,
+    CAST(c.c_nationkey AS DOUBLE) AS from_city_id,
+    CAST(s.s_nationkey AS DOUBLE) AS to_city_id,
+    CAST(CAST(o.o_orderstatus = 'O' AS INTEGER) AS DOUBLE) AS online_booking,
+    CAST(CAST(l.l_linestatus = 'O' AS INTEGER) AS DOUBLE) AS mobile_site_booking,
+    CAST(e.embedding[1] AS DOUBLE) * 90.0 AS from_lat,
+    CAST(e.embedding[2] AS DOUBLE) * 180.0 AS from_long,
+    CAST(e.embedding[3] AS DOUBLE) * 90.0 AS to_lat,
+    CAST(e.embedding[4] AS DOUBLE) * 180.0 AS to_long,
+    CAST(l.l_shipdate AS TIMESTAMP) AS from_date,
+    CAST(l.l_shipdate AS TIMESTAMP) + to_hours(CAST(l.l_quantity AS INTEGER)) AS to_date,
+    CAST(o.o_orderdate AS TIMESTAMP) AS booking_created,
+    CAST(l.l_returnflag = 'R' AS INTEGER) AS label
+  FROM lineitem l
+  JOIN orders o ON l.l_orderkey = o.o_orderkey
+  JOIN part p ON l.l_partkey = p.p_partkey
+  JOIN customer c ON o.o_custkey = c.c_custkey
+  JOIN nation cn ON c.c_nationkey = cn.n_nationkey
+  JOIN supplier s ON l.l_suppkey = s.s_suppkey
+  JOIN nation sn ON s.s_nationkey = sn.n_nationkey
+  LEFT JOIN embeddings e ON e.vec_id = l.l_suppkey
+)"""
+
+HAV = """6371.0 * atan2(sqrt({a}), sqrt(1 - {a})) * 2"""
+HAV_A = """(pow(sin((radians({tl}) - radians({fl})) / 2), 2)
+  + cos(radians({fl})) * cos(radians({tl})) * pow(sin((radians({tg}) - radians({fg})) / 2), 2))"""
+
+
+def _hav(fl, fg, tl, tg):
+    a = HAV_A.format(fl=fl, fg=fg, tl=tl, tg=tg)
+    return HAV.format(a=a)
+
+
+FEAT_COLS = [
+    "vehicle_model_id", "package_id", "travel_type_id", "from_area_id", "to_area_id",
+    "from_city_id", "to_city_id", "online_booking", "mobile_site_booking",
+    "from_lat", "from_long", "to_lat", "to_long", "booking_lead_hours",
+    "trip_duration_hours", "booking_created_hour", "booking_created_dayofweek",
+    "from_date_hour", "from_date_dayofweek", "to_date_hour", "to_date_dayofweek",
+    "route_distance_km",
+]
+
+FEAT = f"""
+feat AS (
+  SELECT order_key, line_number, part_key, supp_key, label,
+    vehicle_model_id, package_id, travel_type_id, from_area_id, to_area_id,
+    from_city_id, to_city_id, online_booking, mobile_site_booking,
+    from_lat, from_long, to_lat, to_long,
+    (epoch_us(from_date) - epoch_us(booking_created)) / 3.6e9 AS booking_lead_hours,
+    (epoch_us(to_date) - epoch_us(from_date)) / 3.6e9 AS trip_duration_hours,
+    CAST(hour(booking_created) AS DOUBLE) AS booking_created_hour,
+    CAST(isodow(booking_created) - 1 AS DOUBLE) AS booking_created_dayofweek,
+    CAST(hour(from_date) AS DOUBLE) AS from_date_hour,
+    CAST(isodow(from_date) - 1 AS DOUBLE) AS from_date_dayofweek,
+    CAST(hour(to_date) AS DOUBLE) AS to_date_hour,
+    CAST(isodow(to_date) - 1 AS DOUBLE) AS to_date_dayofweek,
+    {_hav('from_lat', 'from_long', 'to_lat', 'to_long')} AS route_distance_km
+  FROM book
+)"""
+
+SPLIT = """
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY
+              md5(concat_ws('|', order_key, line_number, part_key, supp_key))) AS rn,
+         count(*) OVER (PARTITION BY label) AS n_c
+  FROM feat
+),
+split AS (
+  SELECT * EXCLUDE (rn, n_c),
+         CASE WHEN rn <= CAST(ceil(n_c * 0.2) AS BIGINT) THEN 'test' ELSE 'train' END AS split
+  FROM ranked
+)"""
+
+ORACLE["booking_features"] = _with(BOOK, FEAT) + """
+SELECT order_key, line_number, part_key, supp_key, label, """ + ", ".join(
+    f"round({c}, 4) AS {c}" for c in FEAT_COLS) + " FROM feat"
+
+ORACLE["route_distance"] = f"""
+SELECT vec_id, round({_hav('CAST(embedding[1] AS DOUBLE) * 90.0', 'CAST(embedding[2] AS DOUBLE) * 180.0',
+                           'CAST(embedding[3] AS DOUBLE) * 90.0', 'CAST(embedding[4] AS DOUBLE) * 180.0')}, 4)
+       AS route_distance_km
+FROM embeddings"""
+
+ORACLE["coerce_numbers"] = """
+SELECT o_orderkey,
+  TRY_CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS priority_code,
+  TRY_CAST(o_orderpriority AS DOUBLE) AS priority_text,
+  round(TRY_CAST(CAST(o_totalprice AS VARCHAR) AS DOUBLE), 4) AS price,
+  COALESCE(CAST(TRUNC(TRY_CAST(CAST(o_totalprice AS VARCHAR) AS DOUBLE)) AS INTEGER), 0) AS price_int,
+  COALESCE(CAST(TRUNC(TRY_CAST(o_orderstatus AS DOUBLE)) AS INTEGER), 0) AS status_int
+FROM orders"""
+
+ORACLE["coerce_timestamps"] = """
+SELECT event_id,
+  strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts_iso,
+  strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS ts_export,
+  CAST(NULL AS VARCHAR) AS ts_bad,
+  strftime(CAST(ts AS DATE), '%Y-%m-%d') AS event_date
+FROM events WHERE ts IS NOT NULL"""
+
+ORACLE["stratified_split"] = _with(BOOK, FEAT, SPLIT) + """
+SELECT split, label, count(*) AS rows, round(sum(booking_lead_hours), 4) AS lead_hours,
+       sum(order_key) AS order_keys
+FROM split GROUP BY split, label"""
+
+ORACLE["median_impute"] = _with(BOOK, FEAT, SPLIT) + """
+, med AS (SELECT """ + ", ".join(f"median({c}) AS {c}" for c in FEAT_COLS) + """
+          FROM split WHERE split = 'train'),
+nul AS (SELECT """ + ", ".join(f"count(*) - count({c}) AS {c}" for c in FEAT_COLS) + """ FROM split)
+SELECT m.feature, round(m.median, 4) AS median, n.filled
+FROM (UNPIVOT med ON """ + ", ".join(FEAT_COLS) + """ INTO NAME feature VALUE median) m
+JOIN (UNPIVOT nul ON """ + ", ".join(FEAT_COLS) + """ INTO NAME feature VALUE filled) n
+  ON m.feature = n.feature"""
+
+ORACLE["class_weights"] = _with(BOOK, FEAT, SPLIT) + """
+, tr AS (SELECT label FROM split WHERE split = 'train')
+SELECT label, count(*) AS rows,
+       round((SELECT count(*) FROM tr) / ((SELECT count(DISTINCT label) FROM tr) * count(*)), 4) AS weight
+FROM tr GROUP BY label"""
+
+RULE_TEST = """
+scored AS (
+  SELECT label, 1.0 / (1.0 + exp(booking_lead_hours / 8760.0)) AS score
+  FROM split WHERE split = 'test'
+),
+pred AS (SELECT label, score, CAST(score >= 0.5 AS INTEGER) AS prediction FROM scored)"""
+
+ORACLE["classification_metrics"] = _with(BOOK, FEAT, SPLIT, RULE_TEST) + """
+, cm AS (
+  SELECT sum(CAST(label = 1 AND prediction = 1 AS BIGINT)) AS tp,
+         sum(CAST(label <> 1 AND prediction = 1 AS BIGINT)) AS fp,
+         sum(CAST(label = 1 AND prediction <> 1 AS BIGINT)) AS fn,
+         sum(CAST(label <> 1 AND prediction <> 1 AS BIGINT)) AS tn
+  FROM pred)
+SELECT tp + fp + fn + tn AS rows, round((tp + tn) / (tp + fp + fn + tn), 4) AS accuracy,
+       round(COALESCE(2 * tp / NULLIF(2 * tp + fp + fn, 0), 0.0), 4) AS f1, tp, fp, fn, tn
+FROM cm"""
+
+ORACLE["roc_auc"] = _with(BOOK, FEAT, SPLIT, RULE_TEST) + """
+, per AS (SELECT score, sum(CAST(label = 1 AS BIGINT)) AS pos, sum(CAST(label <> 1 AS BIGINT)) AS neg
+          FROM pred GROUP BY score),
+cum AS (SELECT *, COALESCE(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING
+                                          AND 1 PRECEDING), 0) AS below FROM per)
+SELECT round(sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)), 4) AS roc_auc,
+       sum(pos) AS positives, sum(neg) AS negatives
+FROM cum"""

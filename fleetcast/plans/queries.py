@@ -168,3 +168,125 @@ def q_series_split(spark, sf):
         F.min("ds").alias("first_date"),
         F.max("ds").alias("last_date"),
         F.sum("y").alias("bookings")))
+
+
+# ---- booking features, coercion, training preparation ---------------------------
+
+from fleetcast.functions.coerce import (  # noqa: E402
+    finite_or_null, to_day, to_int_default, to_number, to_timestamp_any, to_timestamp_export)
+from fleetcast.operators import features as G  # noqa: E402
+from fleetcast.operators import metrics as M  # noqa: E402
+from fleetcast.operators import training as L  # noqa: E402
+from fleetcast.sources.tables import booking_history, read_table  # noqa: E402
+
+BOOKING_KEYS = ["order_key", "line_number", "part_key", "supp_key"]
+LABEL = "Car_Cancellation"
+
+
+def _features(spark, sf):
+    """F2 + G1: booking rows with a label -> 22 features, keys and label."""
+    raw = booking_history(spark, sf).filter(F.col(LABEL).isNotNull())
+    return G.prepare_features(raw, keep=[*BOOKING_KEYS, F.col(LABEL).cast("int").alias("label")])
+
+
+def _split_features(spark, sf):
+    return L.stratified_split(_features(spark, sf), "label", BOOKING_KEYS)
+
+
+def risk_rule(lead_hours_col="booking_lead_hours"):
+    """Rule-based cancellation score used where no trained model is involved:
+    bookings made long in advance score low, late or back-dated ones high."""
+    return 1.0 / (1.0 + F.exp(F.col(lead_hours_col) / F.lit(8760.0)))
+
+
+@query
+def q_booking_features(spark, sf):
+    """G1 + C6-C9 + P6: the 22-column feature frame for every booking."""
+    return presentable(_features(spark, sf))
+
+
+@query
+def q_route_distance(spark, sf):
+    """Great-circle distance of every route in the embeddings table."""
+    e = read_table(spark, sf, "embeddings")
+    lat = [F.element_at("embedding", i).cast("double") * s
+           for i, s in [(1, 90.0), (2, 180.0), (3, 90.0), (4, 180.0)]]
+    return presentable(e.select(
+        "vec_id", G.haversine_km(*lat).alias("route_distance_km")))
+
+
+@query
+def q_coerce_numbers(spark, sf):
+    """C1 + C2 + C9: text to double / int with bad values -> null / 0."""
+    o = read_table(spark, sf, "orders")
+    price_text = F.col("o_totalprice").cast("string")
+    return presentable(o.select(
+        "o_orderkey",
+        finite_or_null(to_number(F.substring("o_orderpriority", 1, 1))).alias("priority_code"),
+        finite_or_null(to_number("o_orderpriority")).alias("priority_text"),
+        finite_or_null(to_number(price_text)).alias("price"),
+        to_int_default(price_text).alias("price_int"),
+        to_int_default("o_orderstatus").alias("status_int"),
+    ))
+
+
+@query
+def q_coerce_timestamps(spark, sf):
+    """C3 + C4 + C5 + F1: timestamp text in ISO and export formats."""
+    ev = read_table(spark, sf, "events")
+    iso_text = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    export_text = F.date_format(F.col("ts").cast("timestamp"), "M/d/yyyy H:mm")
+    out = ev.select(
+        "event_id",
+        to_timestamp_any(iso_text).alias("ts_iso"),
+        to_timestamp_export(export_text).alias("ts_export"),
+        to_timestamp_any(F.col("event_type")).alias("ts_bad"),
+    ).withColumn("event_date", to_day("ts_iso")).filter(F.col("event_date").isNotNull())
+    return presentable(out)
+
+
+@query
+def q_stratified_split(spark, sf):
+    """L1: stratified 80/20 split, per split and class."""
+    s = _split_features(spark, sf)
+    return presentable(s.groupBy("split", "label").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum("booking_lead_hours").alias("lead_hours"),
+        F.sum("order_key").alias("order_keys")))
+
+
+@query
+def q_median_impute(spark, sf):
+    """Medians of the 22 features on the training split, and how many
+    nulls each fills over the whole frame."""
+    s = _split_features(spark, sf)
+    med = L.median_values(s.filter(F.col("split") == "train"), G.FEATURE_COLUMNS)
+    nulls = s.agg(*[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in G.FEATURE_COLUMNS])
+    m = med.unpivot([], G.FEATURE_COLUMNS, "feature", "median")
+    n = nulls.unpivot([], G.FEATURE_COLUMNS, "feature", "filled")
+    return presentable(m.join(n, "feature"))
+
+
+@query
+def q_class_weights(spark, sf):
+    """Balanced class weights on the training split."""
+    s = _split_features(spark, sf).filter(F.col("split") == "train")
+    return presentable(L.class_weights(s, "label"))
+
+
+def _rule_scored_test(spark, sf):
+    s = _split_features(spark, sf).filter(F.col("split") == "test")
+    return s.select("label", risk_rule().alias("score")).withColumn(
+        "prediction", (F.col("score") >= 0.5).cast("int"))
+
+
+@query
+def q_classification_metrics(spark, sf):
+    """A10 + A17 on the test split with the rule score."""
+    return presentable(M.classification_metrics(_rule_scored_test(spark, sf)))
+
+
+@query
+def q_roc_auc(spark, sf):
+    """Exact ROC AUC of the rule score on the test split."""
+    return presentable(M.roc_auc(_rule_scored_test(spark, sf)))
