@@ -427,3 +427,106 @@ cum AS (SELECT *, COALESCE(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED
 SELECT round(sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)), 4) AS roc_auc,
        sum(pos) AS positives, sum(neg) AS negatives
 FROM cum"""
+
+
+# ---- forecasts, hold-out evaluation, demand requests ------------------------------
+
+NAIVE = """
+series AS (SELECT booking_date AS ds, CAST(count(*) AS DOUBLE) AS y FROM hist GROUP BY 1),
+sb AS (SELECT min(ds) AS lo, max(ds) AS hi FROM series),
+dense AS (
+  SELECT d.ds, COALESCE(s.y, 0.0) AS y
+  FROM (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS ds FROM sb) d
+  LEFT JOIN series s ON s.ds = d.ds
+),
+sdates AS (SELECT ds, row_number() OVER (ORDER BY ds) AS rn, count(*) OVER () AS n FROM series),
+scut AS (SELECT ds AS cut_date FROM sdates WHERE rn = greatest(1, CAST(floor(n * 0.8) AS BIGINT))),
+fc AS (SELECT s.ds, s.y, p.y AS yhat FROM series s JOIN dense p ON p.ds + 7 = s.ds)"""
+
+FUTURE = """
+fut AS (
+  SELECT f.ds, d.y AS yhat
+  FROM (SELECT CAST(unnest(generate_series(hi + 1, hi + 30, INTERVAL 1 DAY)) AS DATE) AS ds FROM sb) f
+  LEFT JOIN dense d
+    ON d.ds = f.ds - CAST(7 * ceil((f.ds - (SELECT hi FROM sb)) / 7.0) AS INTEGER)
+)"""
+
+ORACLE["forecast_metrics"] = _with(HIST, NAIVE) + """
+, test AS (SELECT * FROM fc WHERE ds > (SELECT cut_date FROM scut))
+SELECT count(*) AS rows, round(avg(abs(yhat - y)), 4) AS mae,
+       round(sqrt(avg((yhat - y) * (yhat - y))), 4) AS rmse,
+       round(avg(abs((yhat - y) / NULLIF(y, 0.0))) * 100, 4) AS mape,
+       round(1 - sum((yhat - y) * (yhat - y)) / (var_pop(y) * count(*)), 4) AS r2,
+       sum(CAST(y = 0 AS BIGINT)) AS zero_actuals
+FROM test"""
+
+ORACLE["holdout_table"] = _with(HIST, NAIVE) + """
+, sig AS (SELECT stddev_samp(y - yhat) AS sigma FROM fc WHERE ds <= (SELECT cut_date FROM scut))
+SELECT strftime(ds, '%Y-%m-%d') AS Date, CAST(y AS BIGINT) AS Actual, round(yhat, 4) AS Predicted,
+       round(yhat - 1.959963984540054 * (SELECT sigma FROM sig), 4) AS Lower_Bound,
+       round(yhat + 1.959963984540054 * (SELECT sigma FROM sig), 4) AS Upper_Bound
+FROM fc WHERE ds > (SELECT cut_date FROM scut)"""
+
+ORACLE["forecast_summary"] = _with(HIST, NAIVE, FUTURE) + """
+SELECT count(*) AS days, round(avg(yhat), 4) AS mean, round(min(yhat), 4) AS min,
+       round(max(yhat), 4) AS max, round(sum(yhat), 4) AS total
+FROM fut"""
+
+ORACLE["forecast_vs_history"] = _with(HIST, NAIVE, FUTURE) + """
+SELECT round((SELECT avg(y) FROM series), 4) AS history_mean,
+       round((SELECT avg(yhat) FROM fut), 4) AS forecast_mean,
+       round(((SELECT avg(yhat) FROM fut) - (SELECT avg(y) FROM series))
+             / (SELECT avg(y) FROM series) * 100, 4) AS pct_change"""
+
+REQUESTS = """
+segreq AS (
+  SELECT from_area_id, vehicle_model_id, travel_type_id FROM segs
+  UNION ALL
+  SELECT DISTINCT from_area_id, vehicle_model_id, CAST(NULL AS INTEGER) FROM segs
+),
+req AS (
+  SELECT concat_ws('-', from_area_id, vehicle_model_id, COALESCE(CAST(travel_type_id AS VARCHAR), 'all'))
+           AS request_id, from_area_id, vehicle_model_id, travel_type_id,
+         (SELECT hi FROM bounds) + 1 AS start_date, (SELECT hi FROM bounds) + 30 AS end_date
+  FROM segreq
+),
+req_days AS (
+  SELECT request_id, from_area_id, vehicle_model_id, travel_type_id,
+         CAST(unnest(generate_series(start_date, end_date, INTERVAL 1 DAY)) AS DATE) AS ds
+  FROM req
+)"""
+
+ANSWER = """
+, tot AS (SELECT request_id, CAST(sum(predicted_bookings) AS BIGINT) AS total_predicted_bookings,
+                 count(*) AS number_of_days FROM rows_ GROUP BY request_id)
+SELECT r.request_id, strftime(r.ds, '%Y-%m-%d') AS date, r.predicted_bookings,
+       t.total_predicted_bookings, t.number_of_days
+FROM rows_ r JOIN tot t ON r.request_id = t.request_id"""
+
+ORACLE["demand_request"] = _with(HIST, COUNTS, GRID, REQUESTS) + """
+, segfut AS (
+  SELECT s.from_area_id, s.vehicle_model_id, s.travel_type_id, f.ds, CAST(g.demand AS DOUBLE) AS yhat
+  FROM segs s
+  CROSS JOIN (SELECT CAST(unnest(generate_series(hi + 1, hi + 30, INTERVAL 1 DAY)) AS DATE) AS ds
+              FROM bounds) f
+  LEFT JOIN grid g
+    ON g.from_area_id = s.from_area_id AND g.vehicle_model_id = s.vehicle_model_id
+   AND g.travel_type_id = s.travel_type_id
+   AND g.booking_date = f.ds - CAST(7 * ceil((f.ds - (SELECT hi FROM bounds)) / 7.0) AS INTEGER)
+),
+rows_ AS (
+  SELECT r.request_id, r.ds,
+         greatest(CAST(round_even(sum(f.yhat), 0) AS INTEGER), 0) AS predicted_bookings
+  FROM req_days r JOIN segfut f
+    ON r.from_area_id = f.from_area_id AND r.vehicle_model_id = f.vehicle_model_id AND r.ds = f.ds
+   AND (r.travel_type_id IS NULL OR r.travel_type_id = f.travel_type_id)
+  GROUP BY r.request_id, r.ds
+)""" + ANSWER
+
+ORACLE["risk_demand_index"] = _with(HIST, COUNTS, GRID, REQUESTS) + """
+, rows_ AS (
+  SELECT request_id, ds,
+         CAST(round_even(5 + 15 * greatest(0.0, 1 - 1.0 / (1.0 + exp(24.0 / 8760.0))), 0) AS INTEGER)
+           AS predicted_bookings
+  FROM req_days
+)""" + ANSWER

@@ -290,3 +290,154 @@ def q_classification_metrics(spark, sf):
 def q_roc_auc(spark, sf):
     """Exact ROC AUC of the rule score on the test split."""
     return presentable(M.roc_auc(_rule_scored_test(spark, sf)))
+
+
+# ---- forecasts, hold-out evaluation, demand requests ------------------------------
+
+from fleetcast.operators import forecast as FC  # noqa: E402
+
+
+def _total_series(spark, sf):
+    return D.daily_totals(_history(spark, sf))
+
+
+def _naive_eval(spark, sf):
+    """Observed series, its dense form, one-step seasonal-naive forecast and
+    the W4 cut date."""
+    s = _total_series(spark, sf)
+    dense = FC.dense_series(s)
+    prev = dense.select("series_id", F.date_add("ds", FC.SEASON_DAYS).alias("ds"),
+                        F.col("y").alias("yhat"))
+    fc = s.join(prev, ["series_id", "ds"])
+    cut = D.split_date(s, "ds")
+    return s, dense, fc, cut
+
+
+@query
+def q_forecast_metrics(spark, sf):
+    """A7 + A8 + A9 + F7: hold-out MAE, RMSE, MAPE, R2 of the seasonal-naive
+    forecast on the test days."""
+    _, _, fc, cut = _naive_eval(spark, sf)
+    return presentable(M.regression_metrics(fc.filter(F.col("ds") > cut)))
+
+
+@query
+def q_holdout_table(spark, sf):
+    """G9 + J7 + G4 + P7: test days with actual, forecast and 95% bounds
+    (sigma from the training residuals), in the CSV column names."""
+    _, _, fc, cut = _naive_eval(spark, sf)
+    sigma = FC.residual_std(fc.filter(F.col("ds") <= cut))
+    out = FC.with_bounds(fc.filter(F.col("ds") > cut), sigma)
+    return presentable(out.select(
+        F.col("ds").alias("Date"), F.col("y").cast("long").alias("Actual"),
+        F.col("yhat").alias("Predicted"), F.col("yhat_lower").alias("Lower_Bound"),
+        F.col("yhat_upper").alias("Upper_Bound")))
+
+
+def _future_naive(spark, sf, periods=30):
+    s = _total_series(spark, sf)
+    dense = FC.dense_series(s)
+    return s, FC.seasonal_naive(dense, FC.future_days(s, periods))
+
+
+@query
+def q_forecast_summary(spark, sf):
+    """G6 + F8 + A13: 30-day outlook after the last observed day."""
+    _, fut = _future_naive(spark, sf)
+    return presentable(M.forecast_summary(fut))
+
+
+@query
+def q_forecast_vs_history(spark, sf):
+    """G7 + A14: forecast mean against history mean, percent change."""
+    s, fut = _future_naive(spark, sf)
+    h = s.agg(F.avg("y").alias("history_mean"))
+    f = fut.agg(F.avg("yhat").alias("forecast_mean"))
+    hm, fm = h.scalar(), f.scalar()
+    return presentable(spark.range(1).select(
+        hm.alias("history_mean"), fm.alias("forecast_mean"),
+        (F.try_divide(fm - hm, hm) * 100).alias("pct_change")))
+
+
+def _segment_requests(counts):
+    """Demand requests derived from the data: one per segment and one per
+    (area, model) over all travel types (null travel type, F10), each for
+    the 30 days after the last booking day."""
+    a, v, t = SEGMENT_COLUMNS
+    last = D.date_bounds(counts).getField("hi")
+    seg = counts.select(a, v, t).distinct()
+    both = seg.unionByName(seg.select(a, v, F.lit(None).cast("int").alias(t)).distinct())
+    return both.select(
+        F.concat_ws("-", F.col(a), F.col(v), F.coalesce(F.col(t).cast("string"), F.lit("all")))
+        .alias("request_id"), a, v, t,
+        F.date_add(last, 1).alias("start_date"), F.date_add(last, 30).alias("end_date"))
+
+
+def _answer(rows):
+    """Per-day rows plus the request totals (joined back)."""
+    tot = rows.groupBy("request_id").agg(
+        F.sum("predicted_bookings").cast("long").alias("total_predicted_bookings"),
+        F.count(F.lit(1)).alias("number_of_days"))
+    return rows.join(tot, "request_id").select(
+        "request_id", F.date_format("ds", "yyyy-MM-dd").alias("date"), "predicted_bookings",
+        "total_predicted_bookings", "number_of_days")
+
+
+@query
+def q_demand_request(spark, sf):
+    """G10 + G6 + F10 + C15 + C16 + C19 + N5: per-segment demand answers."""
+    a, v, t = SEGMENT_COLUMNS
+    counts = D.daily_segment_counts(_history(spark, sf))
+    grid = D.dense_grid(counts)
+    series = grid.select(F.concat_ws("-", a, v, t).alias("series_id"), a, v, t,
+                         F.col("booking_date").alias("ds"), F.col("demand").cast("double").alias("y"))
+    keys = series.select("series_id", a, v, t).distinct()
+    fut = FC.seasonal_naive(series.select("series_id", "ds", "y"),
+                            FC.future_days(series.select("series_id", "ds"), 30))
+    fut = fut.join(keys, "series_id")
+    req = _segment_requests(counts)
+    req_days = req.select("request_id", a, v, t,
+                          F.explode(FC.date_range_days(F.col("start_date"), F.col("end_date")))
+                          .alias("ds"))
+    r, f = req_days.alias("r"), fut.alias("f")
+    joined = r.join(f, (F.col(f"r.{a}") == F.col(f"f.{a}")) & (F.col(f"r.{v}") == F.col(f"f.{v}"))
+                    & (F.col("r.ds") == F.col("f.ds"))
+                    & (F.col(f"r.{t}").isNull() | (F.col(f"r.{t}") == F.col(f"f.{t}"))))
+    rows = (joined.groupBy(F.col("r.request_id").alias("request_id"), F.col("r.ds").alias("ds"))
+            .agg(F.sum("f.yhat").alias("yhat"))
+            .select("request_id", "ds", FC.clip_round(F.col("yhat")).alias("predicted_bookings")))
+    return _answer(rows)
+
+
+def _synthetic_bookings(req):
+    """One synthetic booking per requested day: starts 10:00, lasts six
+    hours, created 24 hours before; fixed ids as in the reference."""
+    a, v, t = SEGMENT_COLUMNS
+    days = req.select("request_id", a, v, t,
+                      F.explode(FC.date_range_days(F.col("start_date"), F.col("end_date"))).alias("ds"))
+    start = F.timestamp_add("HOUR", F.lit(10), F.col("ds").cast("timestamp"))
+    return days.select(
+        "request_id", "ds",
+        F.col(v).cast("double").alias("vehicle_model_id"), F.lit(1.0).alias("package_id"),
+        F.coalesce(F.col(t), F.lit(1)).cast("double").alias("travel_type_id"),
+        F.col(a).cast("double").alias("from_area_id"),
+        *[F.lit(0.0).alias(c) for c in ["to_area_id", "from_city_id", "to_city_id"]],
+        F.lit(1.0).alias("online_booking"), F.lit(0.0).alias("mobile_site_booking"),
+        *[F.lit(None).cast("double").alias(c) for c in ["from_lat", "from_long", "to_lat", "to_long"]],
+        start.alias("from_date"), F.timestamp_add("HOUR", F.lit(6), start).alias("to_date"),
+        F.timestamp_add("HOUR", F.lit(-24), start).alias("booking_created"))
+
+
+def risk_index(score: F.Column) -> F.Column:
+    """int(round(5 + 15 * max(0, 1 - score)))."""
+    return F.bround(5 + 15 * F.greatest(F.lit(0.0), 1 - score), 0).cast("int")
+
+
+@query
+def q_risk_demand_index(spark, sf):
+    """G11 + C18 with the rule score: demand index per requested day."""
+    counts = D.daily_segment_counts(_history(spark, sf))
+    syn = _synthetic_bookings(_segment_requests(counts))
+    feats = G.prepare_features(syn, keep=["request_id", "ds"])
+    rows = feats.select("request_id", "ds", risk_index(risk_rule()).alias("predicted_bookings"))
+    return _answer(rows)
