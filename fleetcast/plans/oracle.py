@@ -530,3 +530,310 @@ ORACLE["risk_demand_index"] = _with(HIST, COUNTS, GRID, REQUESTS) + """
            AS predicted_bookings
   FROM req_days
 )""" + ANSWER
+
+
+# ---- operational tables -------------------------------------------------------------
+
+USERS = """
+users AS (
+  SELECT CAST(c_custkey * 2 + 1 AS BIGINT) AS id,
+         lower(replace(c_name, '#', '.')) || '@fleet.test' AS email,
+         lower(replace(c_name, '#', '')) AS username, md5(c_name) AS password,
+         upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2, 100)) AS first_name,
+         'N' || CAST(c_nationkey AS VARCHAR) AS last_name, '' AS middle_name, '' AS sex,
+         '' AS date_of_birth, 'renter' AS role, c_acctbal >= 0 AS active
+  FROM customer
+  UNION ALL
+  SELECT CAST(s_suppkey * 2 + 2 AS BIGINT), lower(replace(s_name, '#', '.')) || '@fleet.test',
+         lower(replace(s_name, '#', '')), md5(s_name), 'Owner',
+         'N' || CAST(s_nationkey AS VARCHAR), '', '', '', 'owner', s_acctbal >= 0
+  FROM supplier
+)"""
+
+VEHICLES = """
+fsup AS (SELECT l_partkey, min(l_suppkey) AS s_suppkey FROM lineitem GROUP BY l_partkey),
+own AS (
+  SELECT f.l_partkey, CAST(s.s_suppkey * 2 + 2 AS VARCHAR) AS owner_id,
+         lower(replace(s.s_name, '#', '.')) || '@fleet.test' AS owner_email, s.s_name AS owner_name
+  FROM fsup f JOIN supplier s ON f.s_suppkey = s.s_suppkey
+),
+vehicles AS (
+  SELECT p.p_partkey AS id, p.p_name AS name, p.p_brand AS brand, p.p_type AS model,
+         CAST(1995 + p.p_size % 30 AS INTEGER) AS year, p.p_retailprice / 10 AS price_per_day,
+         p.p_size % 2 = 0 AS available, '' AS photo_uri,
+         CAST(p.p_size % 4 + 2 AS INTEGER) AS seats, '' AS location,
+         COALESCE(o.owner_id, '') AS owner_id, COALESCE(o.owner_email, '') AS owner_email,
+         COALESCE(o.owner_name, '') AS owner_name,
+         CASE WHEN p.p_size % 2 = 0 THEN 'available' ELSE 'rented' END AS status
+  FROM part p LEFT JOIN own o ON p.p_partkey = o.l_partkey
+)"""
+
+BOOKINGS = """
+fpart AS (SELECT l_orderkey, min(l_partkey) AS vehicle FROM lineitem GROUP BY l_orderkey),
+bookings AS (
+  SELECT o.o_orderkey AS id, f.vehicle, CAST(o.o_custkey * 2 + 1 AS VARCHAR) AS renter,
+         CAST(o.o_custkey * 2 + 1 AS VARCHAR) AS renter_id,
+         lower(replace(c.c_name, '#', '.')) || '@fleet.test' AS renter_email,
+         c.c_name AS renter_name,
+         strftime(CAST(o.o_orderdate AS DATE), '%Y-%m-%d') AS start_date,
+         strftime(CAST(o.o_orderdate AS DATE) + 3, '%Y-%m-%d') AS end_date,
+         o.o_totalprice AS amount,
+         CASE o.o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'completed'
+              ELSE 'confirmed' END AS status
+  FROM orders o JOIN fpart f ON o.o_orderkey = f.l_orderkey
+  JOIN customer c ON o.o_custkey = c.c_custkey
+)"""
+
+BOOKING_VIEW_COLS = """id, vehicle, vehicle AS vehicleId, renter, renter AS renterId,
+  start_date AS startDate, end_date AS endDate, round(amount, 4) AS amount, status"""
+
+USER_VIEW = """
+SELECT id, email, username, first_name AS firstName, last_name AS lastName,
+       middle_name AS middleName, sex, date_of_birth AS dateOfBirth, role, active,
+       trim(concat_ws(' ', NULLIF(first_name, ''), NULLIF(last_name, ''))) AS fullName
+FROM users"""
+
+ORACLE["user_view"] = _with(USERS) + USER_VIEW
+ORACLE["active_users"] = _with(USERS) + USER_VIEW + " WHERE active"
+
+ORACLE["vehicle_view"] = _with(VEHICLES) + """
+SELECT id, COALESCE(NULLIF(name, ''), NULLIF(model, ''), '') AS name, brand, model, year,
+       round(price_per_day, 4) AS pricePerDay, round(price_per_day, 4) AS price, available,
+       CASE WHEN available THEN 'available' ELSE 'rented' END AS status, '' AS image,
+       '' AS type, '' AS transmission, '' AS fuel, seats, '' AS location, '' AS description,
+       owner_id AS ownerId, owner_email AS ownerEmail
+FROM vehicles"""
+
+ORACLE["booking_view"] = _with(BOOKINGS) + f"SELECT {BOOKING_VIEW_COLS} FROM bookings"
+
+ORACLE["bookings_by_party"] = _with(BOOKINGS) + f"""
+SELECT {BOOKING_VIEW_COLS} FROM bookings
+WHERE lower(renter_email) = 'customer.000000001@fleet.test'"""
+
+ORACLE["newest_bookings"] = _with(BOOKINGS) + f"""
+SELECT {BOOKING_VIEW_COLS} FROM bookings ORDER BY id DESC LIMIT 20"""
+
+REPORTS = """
+reports AS (
+  SELECT conv_id AS id, count(*) AS turns FROM conversations GROUP BY conv_id
+)"""
+
+ORACLE["report_view"] = _with(REPORTS) + """
+, firsts AS (
+  SELECT conv_id, count(*) AS n, string_agg(role, ',' ORDER BY turn) AS authors,
+         sum(length(text)) AS chars
+  FROM conversations WHERE turn < 2 GROUP BY conv_id
+)
+SELECT r.id, 'checkin' AS type, r.id AS vehicleId, r.id AS rentalId, 0.0 AS amount,
+       '[]' AS issues, '{"turns":"' || CAST(r.turns AS VARCHAR) || '"}' AS customLabels,
+       '' AS checkout, CAST(COALESCE(f.n, 0) AS INTEGER) AS n_comments,
+       COALESCE(f.authors, '') AS authors, CAST(COALESCE(f.chars, 0) AS BIGINT) AS message_chars
+FROM reports r LEFT JOIN firsts f ON r.id = f.conv_id"""
+
+ORACLE["append_comments"] = _with(REPORTS) + """
+, alls AS (
+  SELECT conv_id, count(*) AS n, string_agg(role, ',' ORDER BY turn) AS authors,
+         sum(length(text)) AS chars
+  FROM conversations GROUP BY conv_id
+)
+SELECT r.id, CAST(f.n AS INTEGER) AS n_comments, f.authors, CAST(f.chars AS BIGINT) AS message_chars
+FROM reports r JOIN alls f ON r.id = f.conv_id"""
+
+ORACLE["set_checkout"] = """
+SELECT conv_id AS id, to_json(struct_pack(by := arg_max(role, turn), turn := max(turn))) AS checkout
+FROM conversations GROUP BY conv_id"""
+
+BOOKING_BATCH = """
+bb AS (
+  SELECT event_id AS seq,
+         CAST(json_extract_string(props, '$.k') AS BIGINT) * 25 + user_id % 25 AS vehicle,
+         lower(trim(upper(printf('customer.%09d@fleet.test', user_id)))) AS renter_email,
+         CAST(user_id * 2 + 1 AS VARCHAR) AS renter_id,
+         strftime(CAST(ts AS DATE), '%Y-%m-%d') AS start_date,
+         CASE WHEN value > 10 THEN value END AS amount
+  FROM events WHERE event_type = 'purchase'
+)"""
+
+ORACLE["booking_enrichment"] = _with(VEHICLES, BOOKINGS, BOOKING_BATCH) + """
+, ok AS (
+  SELECT b.*, v.name AS vehicle_name, v.owner_id, v.owner_email, v.owner_name, v.price_per_day
+  FROM bb b JOIN vehicles v ON b.vehicle = v.id
+)
+SELECT (SELECT max(id) FROM bookings) + row_number() OVER (ORDER BY seq) AS id,
+       vehicle, vehicle_name, COALESCE(NULLIF(renter_id, ''), renter_email) AS renter, renter_id,
+       renter_email, owner_id, owner_email, owner_name, start_date,
+       round(COALESCE(NULLIF(amount, 0), price_per_day, 0.0), 4) AS amount, 'pending' AS status
+FROM ok"""
+
+ORACLE["booking_rejects"] = _with(VEHICLES, BOOKINGS, BOOKING_BATCH) + """
+SELECT seq, 'create' AS action, 'vehicle not found' AS reason
+FROM bb WHERE vehicle NOT IN (SELECT id FROM vehicles)
+UNION ALL
+SELECT max(event_id) AS seq, 'update' AS action, 'not found' AS reason
+FROM events WHERE event_type = 'click' AND event_id * 2 NOT IN (SELECT id FROM bookings)
+GROUP BY event_id * 2"""
+
+USER_BATCH = """
+ub_raw AS (
+  SELECT event_id AS seq, user_id AS u,
+    CASE event_id % 3 WHEN 0 THEN '  ' || upper(printf('customer.%09d@fleet.test', user_id)) || ' '
+                      WHEN 1 THEN 'new' || CAST(event_id AS VARCHAR) || '@fleet.test'
+                      ELSE printf('customer.%09d@fleet.test', user_id + 2) END AS email_raw,
+    CASE event_id % 3 WHEN 0 THEN 'new' || CAST(event_id AS VARCHAR)
+                      WHEN 1 THEN printf('customer%09d', user_id + 1)
+                      ELSE printf('customer%09d', user_id) END AS username_raw,
+    CASE WHEN event_id % 7 <> 0 THEN 'pw' || CAST(event_id AS VARCHAR) END AS password,
+    'F' || CAST(event_id AS VARCHAR) AS first_name,
+    CASE WHEN event_id % 5 = 0 THEN 'driver' ELSE 'renter' END AS role
+  FROM events WHERE event_type = 'signup'
+),
+ub AS (
+  SELECT seq, lower(trim(COALESCE(email_raw, username_raw, ''))) AS email,
+         lower(trim(COALESCE(username_raw, email_raw, ''))) AS username,
+         COALESCE(password, '') AS password, first_name, role
+  FROM ub_raw
+),
+um AS (
+  SELECT seq, min(uid) AS match_id, count(DISTINCT uid) AS matches FROM (
+    SELECT b.seq, u.id AS uid FROM ub b JOIN users u ON b.email = lower(trim(u.email))
+    UNION ALL
+    SELECT b.seq, u.id FROM ub b JOIN users u ON b.username = lower(trim(u.username))
+  ) GROUP BY seq
+)"""
+
+ORACLE["user_upsert"] = _with(USERS, USER_BATCH) + """
+, j AS (
+  SELECT b.*, m.match_id, m.matches,
+         (b.email = '' OR b.username = '' OR b.password = '') AS missing
+  FROM ub b LEFT JOIN um m ON b.seq = m.seq
+),
+upd AS (
+  SELECT * FROM j WHERE NOT missing AND matches = 1
+  QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY seq DESC) = 1
+),
+ins AS (SELECT * FROM j WHERE NOT missing AND matches IS NULL)
+SELECT seq, 'updated' AS outcome, match_id AS id, email, username, first_name, role,
+       CAST(NULL AS VARCHAR) AS reason FROM upd
+UNION ALL
+SELECT seq, 'inserted', (SELECT max(id) FROM users) + row_number() OVER (ORDER BY seq),
+       email, username, first_name, role, NULL FROM ins
+UNION ALL
+SELECT seq, 'rejected', NULL, NULL, NULL, NULL, NULL,
+       CASE WHEN missing THEN 'email, username, and password are required'
+            ELSE 'matches more than one user' END
+FROM j WHERE missing OR matches > 1"""
+
+ORACLE["user_insert_if_absent"] = _with(USERS, USER_BATCH) + """
+, j AS (
+  SELECT b.*, m.matches,
+         min(b.seq) OVER (PARTITION BY b.email) AS fe, min(b.seq) OVER (PARTITION BY b.username) AS fu
+  FROM ub b LEFT JOIN um m ON b.seq = m.seq
+),
+r AS (
+  SELECT *, CASE WHEN role NOT IN ('renter', 'owner', 'admin')
+                   THEN 'Invalid role. Must be renter, owner, or admin.'
+                 WHEN matches IS NOT NULL OR seq > fe OR seq > fu
+                   THEN 'Email or username already exists' END AS reason
+  FROM j
+)
+SELECT seq, 'inserted' AS outcome, (SELECT max(id) FROM users) + row_number() OVER (ORDER BY seq) AS id,
+       email, username, first_name, role, CAST(NULL AS VARCHAR) AS reason
+FROM r WHERE reason IS NULL
+UNION ALL
+SELECT seq, 'rejected', NULL, NULL, NULL, NULL, NULL, reason FROM r WHERE reason IS NOT NULL"""
+
+VEHICLE_PATCHES = """
+vp AS (
+  SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) * 20 + user_id % 20 AS id,
+         event_id AS seq,
+         CASE WHEN value > 20 THEN value END AS price,
+         CASE WHEN value <= 20 THEN event_id % 6 + 2 END AS seats,
+         CASE WHEN value > 40 THEN 'depot-' || json_extract_string(props, '$.k') END AS location
+  FROM events WHERE event_type = 'view'
+)"""
+
+ORACLE["patch_coalesce"] = _with(VEHICLES, VEHICLE_PATCHES) + """
+, f AS (
+  SELECT id, arg_max(price, seq) FILTER (WHERE price IS NOT NULL) AS price,
+         bool_or(price IS NOT NULL) AS has_price,
+         arg_max(seats, seq) FILTER (WHERE seats IS NOT NULL) AS seats,
+         bool_or(seats IS NOT NULL) AS has_seats,
+         arg_max(location, seq) FILTER (WHERE location IS NOT NULL) AS location,
+         bool_or(location IS NOT NULL) AS has_loc
+  FROM vp GROUP BY id
+)
+SELECT v.id,
+  round(CASE WHEN f.has_price THEN f.price ELSE v.price_per_day END, 4) AS price_per_day,
+  CAST(CASE WHEN f.has_seats THEN f.seats ELSE v.seats END AS INTEGER) AS seats,
+  CASE WHEN f.has_loc THEN f.location ELSE v.location END AS location
+FROM vehicles v LEFT JOIN f ON v.id = f.id"""
+
+ORACLE["patch_present"] = _with(VEHICLES, VEHICLE_PATCHES) + """
+, f AS (SELECT id, arg_max_null(price, seq) AS price, arg_max_null(seats, seq) AS seats,
+               arg_max_null(location, seq) AS location FROM vp GROUP BY id)
+SELECT v.id,
+  round(CASE WHEN f.id IS NOT NULL THEN f.price ELSE v.price_per_day END, 4) AS price_per_day,
+  CAST(CASE WHEN f.id IS NOT NULL THEN f.seats ELSE v.seats END AS INTEGER) AS seats,
+  CASE WHEN f.id IS NOT NULL THEN f.location ELSE v.location END AS location
+FROM vehicles v LEFT JOIN f ON v.id = f.id"""
+
+ORACLE["delete_rows"] = _with(BOOKINGS) + """
+, d AS (SELECT event_id * 2 AS id FROM events WHERE event_type = 'error')
+SELECT id, 'removed' AS outcome FROM bookings WHERE id IN (SELECT id FROM d)
+UNION ALL
+SELECT id, 'not found' FROM d WHERE id NOT IN (SELECT id FROM bookings)
+UNION ALL
+SELECT id, 'cleared' FROM bookings WHERE renter_id = '3'"""
+
+ORACLE["backfill_column"] = """
+SELECT p_partkey AS id,
+       CASE WHEN p_size > 25 THEN '/uploads/vehicles/' || CAST(p_partkey AS VARCHAR) || '.jpg'
+            ELSE '' END AS photo_uri
+FROM part"""
+
+ORACLE["apply_change_log"] = """
+WITH c AS (
+  SELECT user_id AS id, event_id AS seq,
+         CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' ELSE 'update' END AS action,
+         json_extract_string(props, '$.k') AS k,
+         CASE WHEN event_type <> 'view' THEN value END AS value, event_type AS last_event
+  FROM events
+),
+b AS (SELECT id, max(seq) FILTER (WHERE action = 'delete') AS del FROM c GROUP BY id),
+a AS (SELECT c.* FROM c JOIN b ON c.id = b.id WHERE b.del IS NULL OR c.seq > b.del),
+born AS (SELECT id, min(seq) FILTER (WHERE action = 'create') AS born FROM a GROUP BY id),
+live AS (SELECT a.* FROM a JOIN born ON a.id = born.id WHERE a.seq >= born.born)
+SELECT id, arg_max(k, seq) FILTER (WHERE k IS NOT NULL) AS k,
+       round(arg_max(value, seq) FILTER (WHERE value IS NOT NULL), 4) AS value,
+       arg_max(last_event, seq) FILTER (WHERE last_event IS NOT NULL) AS last_event,
+       count(*) AS changes_applied, max(seq) AS last_seq
+FROM live GROUP BY id"""
+
+PERMS = """
+vc AS (
+  SELECT event_id AS seq, user_id AS actor_id,
+         CAST(json_extract_string(props, '$.k') AS BIGINT) * 20 + user_id % 20 AS target_id
+  FROM events WHERE event_type IN ('click', 'purchase')
+),
+pj AS (
+  SELECT vc.*, u.role AS actor_role, u.active AS actor_active, v.owner_id AS target_owner,
+         v.id AS vid
+  FROM vc LEFT JOIN users u ON vc.actor_id = u.id LEFT JOIN vehicles v ON vc.target_id = v.id
+),
+perm AS (
+  SELECT seq, actor_id, target_id,
+    CASE WHEN actor_role IS NULL OR NOT actor_active THEN 'Invalid session'
+         WHEN actor_role NOT IN ('owner', 'admin') THEN 'Owner privileges required'
+         WHEN vid IS NULL THEN 'Vehicle not found'
+         WHEN actor_role = 'owner' AND target_owner <> CAST(actor_id AS VARCHAR)
+           THEN 'You can only edit your own vehicles' END AS reason
+  FROM pj
+)"""
+
+ORACLE["change_permissions"] = _with(USERS, VEHICLES, PERMS) + """
+SELECT seq, actor_id, target_id, reason IS NULL AS accepted, reason FROM perm"""
+
+ORACLE["change_events"] = _with(USERS, VEHICLES, PERMS) + """
+SELECT 'vehicle_updated' AS type, 'updated' AS action, target_id AS id,
+       to_json(struct_pack(id := target_id, by := actor_id, seq := seq)) AS payload
+FROM perm WHERE reason IS NULL"""

@@ -441,3 +441,292 @@ def q_risk_demand_index(spark, sf):
     feats = G.prepare_features(syn, keep=["request_id", "ds"])
     rows = feats.select("request_id", "ds", risk_index(risk_rule()).alias("predicted_bookings"))
     return _answer(rows)
+
+
+# ---- operational tables: views, listings, change application ---------------------
+
+from fleetcast.operators import tables as TB  # noqa: E402
+from fleetcast.sources import snapshots as SN  # noqa: E402
+
+PARTY_EMAIL = "  Customer.000000001@FLEET.test "   # F3 parameter (mixed case, spaces)
+
+
+def _cust_email(x: F.Column) -> F.Column:
+    return F.format_string("customer.%09d@fleet.test", x)
+
+
+def _cust_username(x: F.Column) -> F.Column:
+    return F.format_string("customer%09d", x)
+
+
+def _events(spark, sf, event_type):
+    return read_table(spark, sf, "events").filter(F.col("event_type") == event_type)
+
+
+def user_batch(spark, sf):
+    """User change payloads from signup events (aliases, mixed case, missing
+    password, invalid role, matches by e-mail, by username, or both)."""
+    ev = _events(spark, sf, "signup")
+    u, e = F.col("user_id"), F.col("event_id")
+    mode = e % 3
+    email = (F.when(mode == 0, F.concat(F.lit("  "), F.upper(_cust_email(u)), F.lit(" ")))
+             .when(mode == 1, F.concat(F.lit("new"), e.cast("string"), F.lit("@fleet.test")))
+             .otherwise(_cust_email(u + 2)))
+    username = (F.when(mode == 0, F.concat(F.lit("new"), e.cast("string")))
+                .when(mode == 1, _cust_username(u + 1)).otherwise(_cust_username(u)))
+    password = F.when(e % 7 != 0, F.concat(F.lit("pw"), e.cast("string")))
+    role = F.when(e % 5 == 0, "driver").otherwise("renter")
+    payload = F.to_json(F.struct(email.alias("email"), username.alias("username"),
+                                 password.alias("password"),
+                                 F.concat(F.lit("F"), e.cast("string")).alias("firstName"),
+                                 role.alias("role")))
+    return ev.select(F.col("event_id").alias("seq"), payload.alias("payload"))
+
+
+@query
+def q_user_view(spark, sf):
+    """P2 + C21 + C23: public user records."""
+    return presentable(TB.user_view(SN.users(spark, sf)))
+
+
+@query
+def q_vehicle_view(spark, sf):
+    """Public vehicle records."""
+    return presentable(TB.vehicle_view(SN.vehicles(spark, sf)))
+
+
+@query
+def q_booking_view(spark, sf):
+    """Public booking records."""
+    return presentable(TB.booking_view(SN.bookings(spark, sf)))
+
+
+def _comment_summary(view: DataFrame) -> list:
+    c = F.col("comments")
+    return [F.size(c).alias("n_comments"),
+            F.array_join(F.transform(c, lambda x: x["author"]), ",").alias("authors"),
+            F.aggregate(F.transform(c, lambda x: F.length(x["message"])), F.lit(0),
+                        lambda a, b: a + b).cast("long").alias("message_chars")]
+
+
+@query
+def q_report_view(spark, sf):
+    """P5 + N1: log reports with nested fields parsed from JSON text."""
+    v = TB.report_view(SN.logreports(spark, sf))
+    return presentable(v.select(
+        "id", "type", "vehicleId", "rentalId", "amount",
+        F.to_json("issues").alias("issues"), F.to_json("customLabels").alias("customLabels"),
+        "checkout", *_comment_summary(v)))
+
+
+@query
+def q_bookings_by_party(spark, sf):
+    """F3 + F4 + O1: one renter's bookings (e-mail matched case-insensitively
+    after trimming), newest first."""
+    b = TB.filter_bookings(SN.bookings(spark, sf), renter_email=PARTY_EMAIL)
+    return presentable(TB.booking_view(TB.newest(b)))
+
+
+@query
+def q_newest_bookings(spark, sf):
+    """O1 + O3 + F5: the 20 newest bookings (top-k is the feature)."""
+    return presentable(TB.newest(TB.booking_view(SN.bookings(spark, sf)), 20))
+
+
+@query
+def q_active_users(spark, sf):
+    """active users only."""
+    return presentable(TB.user_view(SN.users(spark, sf)).filter(F.col("active")))
+
+
+def booking_batch(spark, sf):
+    """Booking creations from purchase events: vehicle by alias, renter e-mail
+    with mixed case, amount only when the event value is above 10."""
+    ev = _events(spark, sf, "purchase")
+    k = F.get_json_object("props", "$.k").cast("long")
+    payload = F.to_json(F.struct(
+        (k * 25 + F.col("user_id") % 25).alias("vehicleId"),
+        F.upper(_cust_email(F.col("user_id"))).alias("renterEmail"),
+        (F.col("user_id") * 2 + 1).cast("string").alias("renterId"),
+        F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd").alias("startDate"),
+        F.when(F.col("value") > 10, F.col("value")).alias("amount")))
+    return ev.select(F.col("event_id").alias("seq"), payload.alias("payload"))
+
+
+def booking_patch_batch(spark, sf):
+    """Booking status patches from click events (some ids do not exist)."""
+    ev = _events(spark, sf, "click")
+    payload = F.to_json(F.struct(
+        F.when(F.col("value") > 25, "cancelled").alias("status"),
+        F.when(F.col("value") <= 25, F.col("value")).alias("amount")))
+    return ev.select((F.col("event_id") * 2).alias("id"), F.col("event_id").alias("seq"),
+                     payload.alias("payload"))
+
+
+@query
+def q_booking_enrichment(spark, sf):
+    """J6 + M5 + M11 + P1 + C23: new bookings enriched from their vehicle."""
+    new, _ = TB.create_bookings(SN.vehicles(spark, sf), SN.bookings(spark, sf),
+                                booking_batch(spark, sf))
+    return presentable(new.select("id", "vehicle", "vehicle_name", "renter", "renter_id",
+                                  "renter_email", "owner_id", "owner_email", "owner_name",
+                                  "start_date", "amount", "status"))
+
+
+@query
+def q_booking_rejects(spark, sf):
+    """J6 anti + M12: creations with an unknown vehicle and patches of unknown
+    bookings."""
+    b = SN.bookings(spark, sf)
+    _, rej_new = TB.create_bookings(SN.vehicles(spark, sf), b, booking_batch(spark, sf))
+    _, rej_upd = TB.apply_patches(b, booking_patch_batch(spark, sf), "id",
+                                  {"status": "status", "amount": "amount"})
+    return presentable(rej_new.select("seq", F.lit("create").alias("action"), "reason")
+                       .unionByName(rej_upd.select("seq", F.lit("update").alias("action"),
+                                                   "reason")))
+
+
+def _user_outcomes(updated, inserted, rejects):
+    cols = ["id", "email", "username", "first_name", "role"]
+    return (updated.select("seq", F.lit("updated").alias("outcome"), *cols,
+                           F.lit(None).cast("string").alias("reason"))
+            .unionByName(inserted.select("seq", F.lit("inserted").alias("outcome"), *cols,
+                                         F.lit(None).cast("string").alias("reason")))
+            .unionByName(rejects.select("seq", F.lit("rejected").alias("outcome"),
+                                        *[F.lit(None).cast("long" if c == "id" else "string")
+                                          .alias(c) for c in cols], "reason")))
+
+
+@query
+def q_user_upsert(spark, sf):
+    """M1 + J8: upsert of user changes, outcome per change."""
+    upd, ins, rej = TB.upsert_users(SN.users(spark, sf), user_batch(spark, sf))
+    return presentable(_user_outcomes(upd, ins, rej))
+
+
+@query
+def q_user_insert_if_absent(spark, sf):
+    """M2 + M10: register users that do not exist yet, outcome per change."""
+    ins, rej = TB.register_users(SN.users(spark, sf), user_batch(spark, sf))
+    out = _user_outcomes(ins.limit(0), ins, rej)
+    return presentable(out)
+
+
+def vehicle_patch_batch(spark, sf, explicit_nulls=False):
+    """Vehicle patches from view events: price, seats, location; a null field
+    is absent (M3) or an explicit JSON null (M4)."""
+    ev = _events(spark, sf, "view")
+    k = F.get_json_object("props", "$.k").cast("long")
+    st = F.struct(
+        F.when(F.col("value") > 20, F.col("value")).alias("pricePerDay"),
+        F.when(F.col("value") <= 20, (F.col("event_id") % 6 + 2)).alias("seats"),
+        F.when(F.col("value") > 40, F.concat(F.lit("depot-"), k.cast("string"))).alias("location"))
+    opts = {"ignoreNullFields": "false"} if explicit_nulls else {}
+    return ev.select((k * 20 + F.col("user_id") % 20).alias("id"),
+                     F.col("event_id").alias("seq"), F.to_json(st, opts).alias("payload"))
+
+
+VEHICLE_PATCH_FIELDS = {"pricePerDay": "price_per_day", "seats": "seats", "location": "location"}
+
+
+@query
+def q_patch_coalesce(spark, sf):
+    """M3 + M7 (+M12): patches where null keeps the current value."""
+    v, _ = TB.apply_patches(SN.vehicles(spark, sf), vehicle_patch_batch(spark, sf), "id",
+                            VEHICLE_PATCH_FIELDS)
+    return presentable(v.select("id", "price_per_day", "seats", "location"))
+
+
+@query
+def q_patch_present(spark, sf):
+    """M4: patches where a present field wins even when null."""
+    v, _ = TB.apply_patches(SN.vehicles(spark, sf), vehicle_patch_batch(spark, sf, True), "id",
+                            VEHICLE_PATCH_FIELDS, keep_nulls=True)
+    return presentable(v.select("id", "price_per_day", "seats", "location"))
+
+
+@query
+def q_delete_rows(spark, sf):
+    """M6: delete bookings by id (error events), plus the bulk clear of one
+    renter's bookings; outcome per affected id."""
+    b = SN.bookings(spark, sf)
+    dels = _events(spark, sf, "error").select((F.col("event_id") * 2).alias("id"),
+                                               F.col("event_id").alias("seq"))
+    _, removed, rejects = TB.delete_rows(b, dels)
+    cleared = b.filter(F.col("renter_id") == "3")     # clear_user_bookings(user 3)
+    return (removed.select("id", F.lit("removed").alias("outcome"))
+            .unionByName(rejects.select("id", F.lit("not found").alias("outcome")))
+            .unionByName(cleared.select("id", F.lit("cleared").alias("outcome"))))
+
+
+@query
+def q_backfill_column(spark, sf):
+    """M9: photo path backfill from a correction table."""
+    corr = read_table(spark, sf, "part").filter(F.col("p_size") > 25).select(
+        F.col("p_partkey").alias("id"),
+        F.concat(F.lit("/uploads/vehicles/"), F.col("p_partkey").cast("string"), F.lit(".jpg"))
+        .alias("photo_uri"))
+    v = TB.backfill(SN.vehicles(spark, sf), corr, "id", "photo_uri")
+    return presentable(v.select("id", "photo_uri"))
+
+
+@query
+def q_apply_change_log(spark, sf):
+    """M7: state per id after the whole change log (deletes as barriers,
+    latest non-null value per field)."""
+    out = TB.fold_change_log(SN.change_log(spark, sf), ["k", "value", "last_event"])
+    return presentable(out.withColumn("value", F.col("value").cast("double")))
+
+
+def vehicle_changes(spark, sf):
+    """Vehicle edit requests: actor = event user, target from props."""
+    ev = read_table(spark, sf, "events").filter(F.col("event_type").isin("click", "purchase"))
+    k = F.get_json_object("props", "$.k").cast("long")
+    return ev.select(F.col("event_id").alias("seq"), F.col("user_id").alias("actor_id"),
+                     (k * 20 + F.col("user_id") % 20).alias("target_id"),
+                     F.lit("update").alias("action"), F.col("value"))
+
+
+@query
+def q_change_permissions(spark, sf):
+    """M8 + F9: which vehicle edits the actor may apply, with the reason."""
+    out = TB.vehicle_change_permissions(vehicle_changes(spark, sf), SN.users(spark, sf),
+                                        SN.vehicles(spark, sf))
+    return out.select("seq", "actor_id", "target_id", "accepted", "reason")
+
+
+@query
+def q_change_events(spark, sf):
+    """N6 (+T2 batch form): envelopes for the accepted vehicle edits."""
+    ok = TB.vehicle_change_permissions(vehicle_changes(spark, sf), SN.users(spark, sf),
+                                       SN.vehicles(spark, sf)).filter(F.col("accepted"))
+    return TB.event_envelopes(
+        ok, F.lit("vehicle_updated"), F.lit("updated"), F.col("target_id"),
+        F.struct(F.col("target_id").alias("id"), F.col("actor_id").alias("by"),
+                 F.col("seq").alias("seq")))
+
+
+def _new_comments(spark, sf):
+    return read_table(spark, sf, "conversations").filter(F.col("turn") >= 2).select(
+        F.col("conv_id").alias("report_id"), F.col("turn").alias("seq"),
+        F.col("role").alias("author"), F.col("text").alias("message"),
+        F.lit("").alias("createdAt"))
+
+
+@query
+def q_append_comments(spark, sf):
+    """N3 + N2: append later conversation turns as report comments."""
+    r = TB.append_comments(SN.logreports(spark, sf), _new_comments(spark, sf))
+    v = TB.report_view(r)
+    return presentable(v.select("id", *_comment_summary(v)))
+
+
+@query
+def q_set_checkout(spark, sf):
+    """Checkout object = the last turn of each conversation."""
+    conv = read_table(spark, sf, "conversations")
+    co = conv.select(F.col("conv_id").alias("report_id"), F.col("turn").alias("seq"),
+                     F.to_json(F.struct(F.col("role").alias("by"), F.col("turn").alias("turn")))
+                     .alias("checkout"))
+    r = TB.set_checkout(SN.logreports(spark, sf), co)
+    return r.select("id", "checkout")
