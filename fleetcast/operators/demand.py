@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetcast.functions.calendar import add_holiday_flags, calendar_columns, cyclic_columns
+from fleetcast.session import materialize
 from fleetcast.sources.tables import SEGMENT_COLUMNS
 
 # Fixed values of the demand model.
@@ -161,10 +162,19 @@ def split_date(frame: DataFrame, date_col: str = "booking_date",
     return cut
 
 
+def segment_counts_table(history: DataFrame) -> DataFrame:
+    """A1, computed once and written: the single pass over the bookings.
+
+    Grid, split date, holiday range and target means all read this small
+    table (days x segments rows) instead of re-running the fact-table join.
+    """
+    return materialize(daily_segment_counts(history), "segment-counts")
+
+
 def build_demand_features(history: DataFrame) -> DataFrame:
     """The 32-column demand feature frame plus booking_date, demand and
     the train/test flag. Target means come from the training days only."""
-    counts = daily_segment_counts(history)
+    counts = segment_counts_table(history)
     grid = dense_grid(counts)
     cut = split_date(grid)
     feat = add_holiday_flags(grid.select("*", *calendar_columns(), *cyclic_columns()))

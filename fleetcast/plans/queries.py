@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from fleetcast.functions.calendar import add_holiday_flags, calendar_columns, cyclic_columns
 from fleetcast.operators import demand as D
 from fleetcast.plans.output import presentable
+from fleetcast.session import materialize
 from fleetcast.sources.tables import SEGMENT_COLUMNS, load_history, segment_history
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,8 +30,12 @@ def _history(spark, sf):
     return load_history(segment_history(spark, sf))
 
 
+def _counts(spark, sf):
+    return D.segment_counts_table(_history(spark, sf))
+
+
 def _grid(spark, sf):
-    return D.dense_grid(D.daily_segment_counts(_history(spark, sf)))
+    return D.dense_grid(_counts(spark, sf))
 
 
 # ---- demand series -----------------------------------------------------------
@@ -110,7 +115,7 @@ def q_target_mean_lookup(spark, sf):
 
 def _calendar_days(spark, sf):
     """Distinct days of the grid's range (the date axis of G2)."""
-    counts = D.daily_segment_counts(_history(spark, sf))
+    counts = _counts(spark, sf)
     b = D.date_bounds(counts)
     return spark.range(1).select(
         F.explode(F.sequence(b.getField("lo"), b.getField("hi"))).alias("booking_date"))
@@ -190,6 +195,8 @@ def _features(spark, sf):
 
 
 def _split_features(spark, sf):
+    """Booking features with their split (the split writes its keyed input
+    once; later statistics read that table, not the seven-way join)."""
     return L.stratified_split(_features(spark, sf), "label", BOOKING_KEYS)
 
 
@@ -387,7 +394,7 @@ def _answer(rows):
 def q_demand_request(spark, sf):
     """G10 + G6 + F10 + C15 + C16 + C19 + N5: per-segment demand answers."""
     a, v, t = SEGMENT_COLUMNS
-    counts = D.daily_segment_counts(_history(spark, sf))
+    counts = _counts(spark, sf)
     grid = D.dense_grid(counts)
     series = grid.select(F.concat_ws("-", a, v, t).alias("series_id"), a, v, t,
                          F.col("booking_date").alias("ds"), F.col("demand").cast("double").alias("y"))
@@ -436,7 +443,7 @@ def risk_index(score: F.Column) -> F.Column:
 @query
 def q_risk_demand_index(spark, sf):
     """G11 + C18 with the rule score: demand index per requested day."""
-    counts = D.daily_segment_counts(_history(spark, sf))
+    counts = _counts(spark, sf)
     syn = _synthetic_bookings(_segment_requests(counts))
     feats = G.prepare_features(syn, keep=["request_id", "ds"])
     rows = feats.select("request_id", "ds", risk_index(risk_rule()).alias("predicted_bookings"))

@@ -54,3 +54,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def materialize(df, name: str):
+    """Compute ``df`` once and read it back from a written table.
+
+    Used for small intermediates that several later steps (scalar
+    subqueries, joins, windows) read: without it each reader would re-run
+    the whole lineage back to the fact tables. The table lives in the shared
+    checkpoint folder, so it survives the loss of an executor and cuts the
+    lineage. Each call writes a fresh folder; the folder being read is never
+    overwritten.
+    """
+    import uuid
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

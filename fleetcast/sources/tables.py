@@ -36,6 +36,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def line_items(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    """Line items hash-partitioned on the order key.
+
+    That is the distribution the join with orders needs when both sides are
+    large (sort-merge join), so at cluster scale it is the join's own
+    exchange, not an extra one. When orders is small enough to broadcast it
+    still spreads a file with few row groups over all cores.
+    """
+    return read_table(spark, sf_dir, "lineitem").select(*cols).repartition("l_orderkey")
+
+
 def _nation_region(spark, sf_dir) -> DataFrame:
     return F.broadcast(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"))
 
@@ -60,7 +71,7 @@ def segment_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     Columns: booking_created (timestamp), from_area_id, vehicle_model_id,
     travel_type_id (raw values, coerced later by ``load_history``).
     """
-    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    li = line_items(spark, sf_dir, "l_orderkey", "l_partkey")
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate",
                                                    "o_orderpriority")
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_size")
@@ -94,9 +105,8 @@ def booking_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     (first four items, scaled to degrees); a supplier without one has null
     coordinates, as the reference allows.
     """
-    li = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_returnflag", "l_linestatus", "l_shipdate")
+    li = line_items(spark, sf_dir, "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+                    "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate")
     o = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_size")
