@@ -837,3 +837,10 @@ ORACLE["change_events"] = _with(USERS, VEHICLES, PERMS) + """
 SELECT 'vehicle_updated' AS type, 'updated' AS action, target_id AS id,
        to_json(struct_pack(id := target_id, by := actor_id, seq := seq)) AS payload
 FROM perm WHERE reason IS NULL"""
+
+
+# ---- streams (oracle = the batch result) ---------------------------------------------
+
+ORACLE["stream_daily_demand"] = ORACLE["daily_segment_demand"]
+ORACLE["stream_apply_changes"] = ORACLE["apply_change_log"].replace(
+    "count(*) AS changes_applied, ", "")

@@ -737,3 +737,29 @@ def q_set_checkout(spark, sf):
                      .alias("checkout"))
     r = TB.set_checkout(SN.logreports(spark, sf), co)
     return r.select("id", "checkout")
+
+
+# ---- streams ---------------------------------------------------------------------
+
+from fleetcast.streaming import streams as ST  # noqa: E402
+
+
+@query
+def q_stream_daily_demand(spark, sf):
+    """Daily segment demand computed by a stream over arriving line items
+    (watermark 1 day, update mode, batch-tagged output); equals the batch A1."""
+    out, ckpt = ST.fresh_dirs(spark, "stream-daily-demand")
+    agg = ST.daily_demand_stream(spark, sf, ST.table_stream(spark, sf, "lineitem"))
+    res = ST.run_update_stream(agg, out, ckpt, ["booking_date", *SEGMENT_COLUMNS])
+    return presentable(res.select("booking_date", *SEGMENT_COLUMNS, "demand"))
+
+
+@query
+def q_stream_apply_changes(spark, sf):
+    """T1 + T2: the change log applied by a stream, snapshot per micro-batch;
+    the final snapshot equals the batch fold (M7)."""
+    out, ckpt = ST.fresh_dirs(spark, "stream-changes")
+    changes = ST.change_rows(ST.table_stream(spark, sf, "events", max_files_per_trigger=1))
+    written = ST.apply_change_stream(spark, changes, out, ckpt)
+    snap = ST.latest_snapshot(spark, written)
+    return presentable(snap.withColumn("value", F.col("value").cast("double")))
