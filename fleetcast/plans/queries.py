@@ -763,3 +763,156 @@ def q_stream_apply_changes(spark, sf):
     written = ST.apply_change_stream(spark, changes, out, ckpt)
     snap = ST.latest_snapshot(spark, written)
     return presentable(snap.withColumn("value", F.col("value").cast("double")))
+
+
+# ---- models (rows-only checks) -------------------------------------------------------
+
+import hashlib  # noqa: E402
+
+from fleetcast.operators import models as ML  # noqa: E402
+from fleetcast.session import scratch_path  # noqa: E402
+
+# Driver-query model sizes (the operator defaults follow the reference: 200).
+DRIVER_TREES, DRIVER_DEPTH = 20, 5
+CANCEL_MODEL = "random_forest"
+
+
+def _artifact(spark, sf, name):
+    return scratch_path(spark, f"models/{name}-{hashlib.md5(sf.encode()).hexdigest()[:12]}")
+
+
+def cancellation_model(spark, sf):
+    """Train, evaluate and save once per data folder; later callers
+    load the saved artifact (kind checked)."""
+    path = _artifact(spark, sf, "cancellation")
+    if ML.model_exists(spark, path):
+        return ML.load_model(spark, path, CANCEL_MODEL)
+    s = _split_features(spark, sf)
+    model = ML.fit_cancellation(s.filter(F.col("split") == "train"), G.FEATURE_COLUMNS,
+                                trees=DRIVER_TREES, max_depth=DRIVER_DEPTH)
+    test = ML.score(model, s.filter(F.col("split") == "test"), ["label"])
+    cm = M.classification_metrics(test).first().asDict()
+    auc = M.roc_auc(test).first()["roc_auc"]
+    metrics = {"accuracy": cm["accuracy"], "f1": cm["f1"], "roc_auc": auc,
+               "rows": s.count()}
+    ML.save_model(spark, model, path, CANCEL_MODEL, G.FEATURE_COLUMNS, metrics)
+    return model, G.FEATURE_COLUMNS, metrics
+
+
+@query
+def q_train_cancellation(spark, sf):
+    """L2-L6 + A10 + A11 + A15 + A16 + S7 + S11: fit the class-weighted
+    forest on the training split, evaluate on the test split; one metrics row."""
+    _, feats, metrics = cancellation_model(spark, sf)
+    return spark.createDataFrame(
+        [(CANCEL_MODEL, len(feats), float(metrics["accuracy"]), float(metrics["f1"]),
+          float(metrics["roc_auc"]), int(metrics["rows"]))],
+        "model_name string, features int, accuracy double, f1 double, roc_auc double, rows long")
+
+
+@query
+def q_score_bookings(spark, sf):
+    """L5 + C17 + S8: label and cancellation score for every booking."""
+    model, _, _ = cancellation_model(spark, sf)
+    return ML.score(model, _features(spark, sf), ["order_key", "line_number", "label"])
+
+
+@query
+def q_stream_score(spark, sf):
+    """T4: arriving line items scored by the saved model (stateless stream)."""
+    model, _, _ = cancellation_model(spark, sf)
+    out, ckpt = ST.fresh_dirs(spark, "stream-score")
+    li = ST.table_stream(spark, sf, "lineitem")
+    feats = G.prepare_features(booking_history(spark, sf, li), keep=["order_key", "line_number"])
+    scored = ML.score(model, feats, ["order_key", "line_number"])
+    q = (scored.writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query
+def q_risk_index_model(spark, sf):
+    """G11 + C18 with the trained model: demand index per requested day from
+    one synthetic booking per day, scored in one pass."""
+    model, _, _ = cancellation_model(spark, sf)
+    syn = _synthetic_bookings(_segment_requests(_counts(spark, sf)))
+    feats = G.prepare_features(syn, keep=["request_id", "ds"])
+    scored = ML.score(model, feats, ["request_id", "ds"])
+    return _answer(scored.select("request_id", "ds",
+                                 ML.risk_index(F.col("score")).alias("predicted_bookings")))
+
+
+@query
+def q_train_demand_poisson(spark, sf):
+    """L7 + L8: Poisson GLM on the demand feature frame, trained on the
+    training days, evaluated (clipped at 0) on the test days."""
+    feat = materialize(D.build_demand_features(_history(spark, sf)), "demand-features")
+    lag_cols = [c for c in D.DEMAND_FEATURE_COLUMNS
+                if c.startswith("lag_") or c.startswith("rolling_")]
+    filled, flags = ML.fill_lags(feat, lag_cols)
+    cols = D.DEMAND_FEATURE_COLUMNS + flags
+    model = ML.fit_poisson(filled.filter(F.col("is_train")), cols)
+    pred = model.transform(filled.filter(~F.col("is_train")))
+    pred = pred.withColumn("yhat", F.greatest(F.col("prediction"), F.lit(0.0)))
+    m = M.regression_metrics(pred.withColumn("y", F.col("demand").cast("double")))
+    days = feat.groupBy().agg(
+        F.countDistinct(F.when(F.col("is_train"), F.col("booking_date"))).alias("training_days"),
+        F.countDistinct(F.when(~F.col("is_train"), F.col("booking_date"))).alias("testing_days"),
+        F.count(F.lit(1)).alias("grid_rows"))
+    return presentable(m.select("rows", "mae", "rmse").crossJoin(days))
+
+
+def _area_series(spark, sf):
+    """One daily series per pickup area plus the total (many series fit in
+    parallel, one per task)."""
+    h = _history(spark, sf)
+    per_area = D.daily_totals(h, series_id=F.concat(F.lit("area-"),
+                                                     F.col("from_area_id").cast("string")))
+    return per_area.unionByName(D.daily_totals(h))
+
+
+@query
+def q_forecast_additive(spark, sf):
+    """G3 + G4 + G5 + G6: additive forecaster refit on all history, history
+    plus 30 future days with 95% bounds, per series."""
+    fc = ML_FC_CACHE(spark, sf)
+    return presentable(fc.select("series_id", "ds", "y", "yhat", "yhat_lower", "yhat_upper"))
+
+
+@query
+def q_forecast_components(spark, sf):
+    """Trend, yearly and weekly parts of the additive forecast."""
+    fc = ML_FC_CACHE(spark, sf)
+    return presentable(fc.select("series_id", "ds", "trend", "yearly", "weekly"))
+
+
+def ML_FC_CACHE(spark, sf):
+    return FC.additive_forecast(_area_series(spark, sf), periods=30)
+
+
+@query
+def q_forecast_additive_holdout(spark, sf):
+    """G3 + G9 + A7-A9: additive forecaster fitted on the first 80% of days,
+    hold-out metrics per series and how many actuals fall inside the bounds."""
+    s = _area_series(spark, sf)
+    cut = D.split_date(s.filter(F.col("series_id") == "total"), "ds")
+    fc = FC.additive_forecast(s, periods=0, fit_until=cut)
+    test = fc.filter(F.col("ds") > cut).withColumn("yhat", F.greatest(F.col("yhat"), F.lit(0.0)))
+    e = F.col("yhat") - F.col("y")
+    return presentable(test.groupBy("series_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.avg(F.abs(e)).alias("mae"),
+        F.sqrt(F.avg(e * e)).alias("rmse"),
+        F.sum(((F.col("y") >= F.col("yhat_lower")) & (F.col("y") <= F.col("yhat_upper")))
+              .cast("int")).alias("inside_bounds")))
+
+
+@query
+def q_text_sentiment(spark, sf):
+    """Text classifier trained on the labelled documents, applied to
+    every document (whole texts)."""
+    docs = read_table(spark, sf, "documents").select(
+        "doc_id", ML.truncate_text(F.col("text"), None).alias("text"))
+    labels = read_table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = ML.fit_text_classifier(docs.join(labels, "doc_id"))
+    return ML.classify_text(model, docs, ["doc_id"])

@@ -98,15 +98,20 @@ def load_history(history: DataFrame, created_col: str = "booking_created") -> Da
             .select("booking_date", *[to_int_default(c).alias(c) for c in SEGMENT_COLUMNS]))
 
 
-def booking_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+BOOKING_LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                        "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+def booking_history(spark: SparkSession, sf_dir: str, li: DataFrame | None = None) -> DataFrame:
     """Full booking rows in the reference's CSV layout (FIXTURES 1).
 
     One row per line item. Coordinates come from the supplier's embedding
     (first four items, scaled to degrees); a supplier without one has null
-    coordinates, as the reference allows.
+    coordinates, as the reference allows. ``li`` may be a stream of line
+    items (stream-static joins).
     """
-    li = line_items(spark, sf_dir, "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                    "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate")
+    li = (line_items(spark, sf_dir, *BOOKING_LINE_COLUMNS) if li is None
+          else li.select(*BOOKING_LINE_COLUMNS))
     o = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_size")
