@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetcast.functions.buckets import quantile_buckets
-from fleetcast.functions.coerce import falsy_default, falsy_default_num, pick, to_bool
+from fleetcast.functions.coerce import falsy_default, pick, to_bool
 from fleetcast.sources.snapshots import COMMENT, ROLES, conform
 
 
@@ -348,8 +348,8 @@ def create_bookings(vehicles: DataFrame, bookings: DataFrame, batch: DataFrame
     ok = ok.select(
         "*",
         F.coalesce(F.nullif(F.col("renter_id"), F.lit("")), F.col("renter_email")).alias("renter"),
-        falsy_default_num(F.col("_amount"),
-                          F.coalesce(F.col("price_per_day"), F.lit(0.0))).alias("amount"))
+        # an explicit amount wins even when 0; absent -> the day price
+        F.coalesce(F.col("_amount"), F.col("price_per_day"), F.lit(0.0)).alias("amount"))
     return conform(next_ids(bookings, ok), "bookings", keep=["seq"]), rejects
 
 

@@ -662,7 +662,7 @@ ORACLE["booking_enrichment"] = _with(VEHICLES, BOOKINGS, BOOKING_BATCH) + """
 SELECT (SELECT max(id) FROM bookings) + row_number() OVER (ORDER BY seq) AS id,
        vehicle, vehicle_name, COALESCE(NULLIF(renter_id, ''), renter_email) AS renter, renter_id,
        renter_email, owner_id, owner_email, owner_name, start_date,
-       round(COALESCE(NULLIF(amount, 0), price_per_day, 0.0), 4) AS amount, 'pending' AS status
+       round(COALESCE(amount, price_per_day, 0.0), 4) AS amount, 'pending' AS status
 FROM ok"""
 
 ORACLE["booking_rejects"] = _with(VEHICLES, BOOKINGS, BOOKING_BATCH) + """
@@ -844,3 +844,15 @@ FROM perm WHERE reason IS NULL"""
 ORACLE["stream_daily_demand"] = ORACLE["daily_segment_demand"]
 ORACLE["stream_apply_changes"] = ORACLE["apply_change_log"].replace(
     "count(*) AS changes_applied, ", "")
+
+
+# ---- profile -------------------------------------------------------------------------
+
+_PROFILE_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                 "l_extendedprice", "l_discount", "l_tax"]
+
+ORACLE["profile_table"] = "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS column, count({c}) AS count, count(*) - count({c}) AS nulls,
+       round(avg(CAST({c} AS DOUBLE)), 4) AS mean, round(stddev_samp(CAST({c} AS DOUBLE)), 4) AS std,
+       round(min(CAST({c} AS DOUBLE)), 4) AS min, round(max(CAST({c} AS DOUBLE)), 4) AS max
+FROM lineitem""" for c in _PROFILE_COLS)

@@ -916,3 +916,14 @@ def q_text_sentiment(spark, sf):
     labels = read_table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
     model = ML.fit_text_classifier(docs.join(labels, "doc_id"))
     return ML.classify_text(model, docs, ["doc_id"])
+
+
+# ---- profile -----------------------------------------------------------------------
+
+from fleetcast.sources import io as IO  # noqa: E402
+
+
+@query
+def q_profile_table(spark, sf):
+    """One-pass profile of every numeric line-item column."""
+    return presentable(IO.profile(read_table(spark, sf, "lineitem")))
