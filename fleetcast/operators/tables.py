@@ -428,3 +428,80 @@ def write_snapshot(frame: DataFrame, base_path: str, batch_id: int) -> str:
     path = f"{base_path}/batch={batch_id:012d}"
     frame.write.mode("overwrite").parquet(path)
     return path
+
+
+# ---- vehicles: insert with defaults (M5, C23, C24, C25, P1) -------------------------
+
+def create_vehicles(vehicles: DataFrame, batch: DataFrame) -> DataFrame:
+    """M5 for vehicles: aliases (P1), falsy defaults (C23), availability from
+    status when absent (C24, truthiness by boolean parse, C25). The default
+    year is the year of the change's own timestamp (the reference takes the
+    clock at insert time)."""
+    mm = F.col("m")
+    p = batch.withColumn("m", payload_map("payload"))
+    name = pick(mm, "name", default=pick(mm, "model", default=""))
+    model = pick(mm, "model", default=pick(mm, "name", default=""))
+    status = pick(mm, "status", default="available")
+    year_default = F.year("ts")
+    rows = p.select(
+        "seq", name.alias("name"), pick(mm, "brand", default="").alias("brand"),
+        model.alias("model"),
+        F.coalesce(F.nullif(pick(mm, "year").try_cast("double").try_cast("int"), F.lit(0)),
+                   year_default).alias("year"),
+        F.coalesce(pick(mm, "pricePerDay", "price", "daily_rate").try_cast("double"),
+                   F.lit(0.0)).alias("price_per_day"),
+        F.coalesce(to_bool(mm["available"]), status == "available").alias("available"),
+        pick(mm, "photoUri", "photo_url", "photo", "image", default="").alias("photo_uri"),
+        F.coalesce(pick(mm, "seats").try_cast("double").try_cast("int"), F.lit(0)).alias("seats"),
+        pick(mm, "ownerId", "owner_id", "owner", "user_id", default="").alias("owner_id"),
+        pick(mm, "ownerEmail", "owner_email", default="").alias("owner_email"),
+        pick(mm, "approvalStatus", "approval_status", default="approved").alias("approval_status"),
+        status.alias("status"))
+    return conform(next_ids(vehicles, rows), "vehicles", keep=["seq"])
+
+
+# ---- bookings: permissions and bulk clear (M8, M6) ------------------------------------
+
+def booking_change_permissions(changes: DataFrame, users: DataFrame) -> DataFrame:
+    """M8 for bookings: the actor must exist and be active; owners cannot
+    book; only admins may clear another renter's bookings. ``changes`` has
+    (seq, actor_id, action in {'create','clear'}, target_user)."""
+    a = users.select(F.col("id").alias("actor_id"), F.col("role").alias("actor_role"),
+                     F.col("active").alias("actor_active"))
+    j = changes.join(a, "actor_id", "left")
+    reason = (F.when(F.col("actor_role").isNull() | ~F.col("actor_active"), "Invalid session")
+              .when((F.col("action") == "create") & (F.col("actor_role") == "owner"),
+                    "Owners cannot make bookings")
+              .when((F.col("action") == "clear") & (F.col("actor_role") != "admin")
+                    & (F.col("actor_id") != F.col("target_user")),
+                    "Not allowed to clear these bookings"))
+    return j.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
+
+
+def clear_user_bookings(bookings: DataFrame, users_to_clear: DataFrame
+                        ) -> tuple[DataFrame, DataFrame]:
+    """M6 bulk: remove all bookings of the given renters (column ``user_id``).
+    Returns (remaining, removed); the removed rows feed one 'deleted' event
+    each."""
+    ids = users_to_clear.select(F.col("user_id").cast("string").alias("_uid")).distinct()
+    remaining = bookings.join(ids, bookings["renter_id"] == ids["_uid"], "left_anti")
+    removed = bookings.join(ids, bookings["renter_id"] == ids["_uid"], "left_semi")
+    return remaining, removed
+
+
+# ---- point lookup and nested answers (F5, N5) -----------------------------------------
+
+def lookup(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """F5 for many ids at once: a semi join (Parquet min/max statistics and
+    dynamic partition pruning skip files without the ids)."""
+    return table.join(ids.select(F.col(key).alias("_k")).distinct(),
+                      table[key] == F.col("_k"), "left_semi")
+
+
+def nested_answer(rows: DataFrame, request_col: str = "request_id") -> DataFrame:
+    """N5 nested form: one row per request with its ordered day list. A
+    request covers a bounded date range, so its list is small."""
+    return rows.groupBy(request_col).agg(
+        F.array_sort(F.collect_list(F.struct("date", "predicted_bookings"))).alias("predictions"),
+        F.sum("predicted_bookings").cast("long").alias("total_predicted_bookings"),
+        F.count(F.lit(1)).alias("number_of_days"))

@@ -856,3 +856,44 @@ ORACLE["profile_table"] = "\nUNION ALL\n".join(
        round(avg(CAST({c} AS DOUBLE)), 4) AS mean, round(stddev_samp(CAST({c} AS DOUBLE)), 4) AS std,
        round(min(CAST({c} AS DOUBLE)), 4) AS min, round(max(CAST({c} AS DOUBLE)), 4) AS max
 FROM lineitem""" for c in _PROFILE_COLS)
+
+ORACLE["vehicle_create"] = _with(VEHICLES) + """
+, vb AS (
+  SELECT event_id AS seq, CAST(ts AS TIMESTAMP) AS ts,
+    CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, user_id, value
+  FROM events WHERE event_type = 'signup'
+),
+vr AS (
+  SELECT seq,
+    COALESCE(CASE WHEN k % 3 <> 0 THEN 'car-' || CAST(k AS VARCHAR) END, 'M' || CAST(k % 7 AS VARCHAR)) AS name,
+    'M' || CAST(k % 7 AS VARCHAR) AS model,
+    CAST(COALESCE(CASE WHEN value > 25 THEN 2000 + k % 25 END, year(ts)) AS INTEGER) AS year,
+    round(value * 3, 2) AS price_per_day,
+    CASE WHEN seq % 4 = 0 THEN false
+         ELSE COALESCE(CASE WHEN seq % 5 = 0 THEN 'rented' END, 'available') = 'available' END AS available,
+    CAST(user_id AS VARCHAR) AS owner_id, 'approved' AS approval_status,
+    COALESCE(CASE WHEN seq % 5 = 0 THEN 'rented' END, 'available') AS status
+  FROM vb
+)
+SELECT seq, (SELECT max(id) FROM vehicles) + row_number() OVER (ORDER BY seq) AS id, name, model,
+       year, round(price_per_day, 4) AS price_per_day, available, owner_id, approval_status, status
+FROM vr"""
+
+ORACLE["booking_permissions"] = _with(USERS) + """
+, ch AS (
+  SELECT event_id AS seq, user_id AS actor_id,
+         CASE WHEN event_type = 'purchase' THEN 'create' ELSE 'clear' END AS action,
+         CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) % 2 = 0 THEN user_id
+              ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS target_user
+  FROM events WHERE event_type IN ('purchase', 'error')
+)
+SELECT ch.seq, ch.actor_id, ch.action, ch.target_user,
+  CASE WHEN u.role IS NULL OR NOT u.active THEN 'Invalid session'
+       WHEN ch.action = 'create' AND u.role = 'owner' THEN 'Owners cannot make bookings'
+       WHEN ch.action = 'clear' AND u.role <> 'admin' AND ch.actor_id <> ch.target_user
+         THEN 'Not allowed to clear these bookings' END IS NULL AS accepted,
+  CASE WHEN u.role IS NULL OR NOT u.active THEN 'Invalid session'
+       WHEN ch.action = 'create' AND u.role = 'owner' THEN 'Owners cannot make bookings'
+       WHEN ch.action = 'clear' AND u.role <> 'admin' AND ch.actor_id <> ch.target_user
+         THEN 'Not allowed to clear these bookings' END AS reason
+FROM ch LEFT JOIN users u ON ch.actor_id = u.id"""

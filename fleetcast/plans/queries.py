@@ -927,3 +927,45 @@ from fleetcast.sources import io as IO  # noqa: E402
 def q_profile_table(spark, sf):
     """One-pass profile of every numeric line-item column."""
     return presentable(IO.profile(read_table(spark, sf, "lineitem")))
+
+
+def vehicle_batch(spark, sf):
+    """Vehicle creations from signup events: names, aliases for the day
+    price, availability given as text or derived from the status."""
+    ev = _events(spark, sf, "signup")
+    k = F.get_json_object("props", "$.k").cast("long")
+    e = F.col("event_id")
+    price = F.round(F.col("value") * 3, 2)
+    payload = F.to_json(F.struct(
+        F.when(k % 3 != 0, F.concat(F.lit("car-"), k.cast("string"))).alias("name"),
+        F.concat(F.lit("M"), (k % 7).cast("string")).alias("model"),
+        F.when(e % 3 == 0, price).alias("pricePerDay"),
+        F.when(e % 3 == 1, price).alias("price"),
+        F.when(e % 3 == 2, price).alias("daily_rate"),
+        F.when(e % 4 == 0, F.lit("false")).alias("available"),
+        F.when(e % 5 == 0, F.lit("rented")).alias("status"),
+        F.when(F.col("value") > 25, 2000 + k % 25).alias("year"),
+        F.col("user_id").cast("string").alias("ownerId")))
+    return ev.select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"),
+                     payload.alias("payload"))
+
+
+@query
+def q_vehicle_create(spark, sf):
+    """M5 + C23 + C24 + C25 + P1: new vehicles with the backend's defaults."""
+    out = TB.create_vehicles(SN.vehicles(spark, sf), vehicle_batch(spark, sf))
+    return presentable(out.select("seq", "id", "name", "model", "year", "price_per_day",
+                                  "available", "owner_id", "approval_status", "status"))
+
+
+@query
+def q_booking_permissions(spark, sf):
+    """M8: owners cannot book; only admins clear other renters' bookings."""
+    ev = read_table(spark, sf, "events").filter(F.col("event_type").isin("purchase", "error"))
+    k = F.get_json_object("props", "$.k").cast("long")
+    ch = ev.select(F.col("event_id").alias("seq"), F.col("user_id").alias("actor_id"),
+                   F.when(F.col("event_type") == "purchase", "create").otherwise("clear")
+                   .alias("action"),
+                   F.when(k % 2 == 0, F.col("user_id")).otherwise(k).alias("target_user"))
+    out = TB.booking_change_permissions(ch, SN.users(spark, sf))
+    return out.select("seq", "actor_id", "action", "target_user", "accepted", "reason")

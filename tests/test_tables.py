@@ -129,3 +129,34 @@ def test_ordered_index_is_dense(spark):
     got = TB.ordered_index(df, "seq", "i", buckets=16).select("seq", "i").collect()
     assert sorted(r.i for r in got) == list(range(1, 5001))
     assert all(r.i == r.seq + 1 for r in got)
+
+
+def test_lookup_clear_and_nested_answer(spark):
+    import datetime as dt
+    b = SN.conform(spark.createDataFrame([(1, "3"), (2, "5"), (3, "3")],
+                                         "id long, renter_id string"), "bookings")
+    ids = spark.createDataFrame([(3,), (3,), (9,)], "id long")
+    assert sorted(r.id for r in TB.lookup(b, ids).collect()) == [3]
+    rem, removed = TB.clear_user_bookings(b, spark.createDataFrame([(3,)], "user_id long"))
+    assert sorted(r.id for r in rem.collect()) == [2]
+    assert sorted(r.id for r in removed.collect()) == [1, 3]
+    rows = spark.createDataFrame([("r", "2020-01-02", 3), ("r", "2020-01-01", 2)],
+                                 "request_id string, date string, predicted_bookings int")
+    n = TB.nested_answer(rows).first()
+    assert [p.date for p in n.predictions] == ["2020-01-01", "2020-01-02"]
+    assert (n.total_predicted_bookings, n.number_of_days) == (5, 2)
+
+
+def test_vehicle_create_defaults(spark):
+    import datetime as dt
+    v = SN.conform(spark.createDataFrame([(5, "x")], "id long, name string"), "vehicles")
+    b = spark.createDataFrame([
+        (1, dt.datetime(2021, 3, 1), '{"model": "Corolla", "price": "12.5", "status": "rented"}'),
+        (2, dt.datetime(2021, 3, 1), '{"name": "Van", "available": "false", "year": 2019}')],
+        "seq long, ts timestamp, payload string")
+    out = {r.seq: r for r in TB.create_vehicles(v, b).collect()}
+    a, c = out[1], out[2]
+    assert (a.id, a.name, a.model, a.year, a.price_per_day, a.available) == \
+        (6, "Corolla", "Corolla", 2021, 12.5, False)
+    assert (c.id, c.name, c.model, c.year, c.available, c.status) == \
+        (7, "Van", "Van", 2019, False, "available")
