@@ -175,7 +175,9 @@ def build_demand_features(history: DataFrame) -> DataFrame:
     """The 32-column demand feature frame plus booking_date, demand and
     the train/test flag. Target means come from the training days only."""
     counts = segment_counts_table(history)
-    grid = dense_grid(counts)
+    # the grid feeds the split date, the holiday range, the windows and the
+    # target means: written once (days x segments rows)
+    grid = materialize(dense_grid(counts), "demand-grid")
     cut = split_date(grid)
     feat = add_holiday_flags(grid.select("*", *calendar_columns(), *cyclic_columns()))
     feat = add_lag_features(feat)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from fleetcast.functions.buckets import quantile_buckets
 from fleetcast.functions.coerce import falsy_default, pick, to_bool
+from fleetcast.session import materialize
 from fleetcast.sources.snapshots import COMMENT, ROLES, conform
 
 
@@ -281,7 +282,9 @@ def upsert_users(users: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFra
         "seq", F.lit("email, username, and password are required").alias("reason"))
     valid = p.filter(~missing)
     m = _match_users(users, valid)
-    j = valid.join(m, "seq", "left")
+    # parsed changes with their matches: read by the update, insert and
+    # reject branches, so written once
+    j = materialize(valid.join(m, "seq", "left"), "user-matches")
     rejects_multi = j.filter(F.col("matches") > 1).select(
         "seq", F.lit("matches more than one user").alias("reason"))
     upd = j.filter(F.col("matches") == 1)

@@ -856,11 +856,13 @@ def q_train_demand_poisson(spark, sf):
     pred = model.transform(filled.filter(~F.col("is_train")))
     pred = pred.withColumn("yhat", F.greatest(F.col("prediction"), F.lit(0.0)))
     m = M.regression_metrics(pred.withColumn("y", F.col("demand").cast("double")))
-    days = feat.groupBy().agg(
+    days = feat.agg(F.struct(
         F.countDistinct(F.when(F.col("is_train"), F.col("booking_date"))).alias("training_days"),
         F.countDistinct(F.when(~F.col("is_train"), F.col("booking_date"))).alias("testing_days"),
-        F.count(F.lit(1)).alias("grid_rows"))
-    return presentable(m.select("rows", "mae", "rmse").crossJoin(days))
+        F.count(F.lit(1)).alias("grid_rows"))).scalar()
+    return presentable(m.select("rows", "mae", "rmse",
+                                *[days.getField(c).alias(c)
+                                  for c in ("training_days", "testing_days", "grid_rows")]))
 
 
 def _area_series(spark, sf):
