@@ -127,7 +127,7 @@ def newest(frame: DataFrame, n: int | None = None) -> DataFrame:
 # ---- distributed dense numbering -------------------------------------------------
 
 def ordered_index(frame: DataFrame, order_col: str, name: str = "idx",
-                  buckets: int = 256) -> DataFrame:
+                  buckets: int | None = None) -> DataFrame:
     """1..N in ``order_col`` order (ties broken arbitrarily), without pulling
     all rows into one partition: range buckets from approximate quantiles,
     per-bucket counts, a prefix sum over the (tiny) bucket table and a
