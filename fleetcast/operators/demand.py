@@ -70,10 +70,13 @@ def dense_grid(counts: DataFrame, date_col: str = "booking_date") -> DataFrame:
     on (date, segment).
     """
     b = date_bounds(counts, date_col)
-    segments = counts.select(*SEGMENT_COLUMNS).distinct()
+    # One hash partitioning by segment serves the distinct, the grid join and
+    # the per-segment windows that follow: no further exchange until output.
+    by_seg = counts.repartition(*SEGMENT_COLUMNS)
+    segments = by_seg.select(*SEGMENT_COLUMNS).distinct()
     grid = segments.select(*SEGMENT_COLUMNS,
                            F.explode(F.sequence(b.getField("lo"), b.getField("hi"))).alias(date_col))
-    return (grid.join(counts, [date_col, *SEGMENT_COLUMNS], "left")
+    return (grid.join(by_seg, [date_col, *SEGMENT_COLUMNS], "left")
             .select(date_col, *SEGMENT_COLUMNS,
                     F.coalesce(F.col("demand"), F.lit(0)).cast("int").alias("demand")))
 
