@@ -48,8 +48,12 @@ def residual_std(frame: DataFrame) -> DataFrame:
         F.stddev_samp(F.col("y") - F.col("yhat")).alias("sigma"))
 
 
-def with_bounds(frame: DataFrame, sigma: DataFrame, z: float = Z95) -> DataFrame:
-    """Yhat +- z * sigma (not clipped, as in the reference)."""
+def with_bounds(frame: DataFrame, sigma, z: float = Z95) -> DataFrame:
+    """Yhat +- z * sigma (not clipped, as in the reference). ``sigma`` is
+    a per-series frame (joined on series_id) or one scalar Column."""
+    if isinstance(sigma, Column):
+        return (frame.withColumn("yhat_lower", F.col("yhat") - z * sigma)
+                .withColumn("yhat_upper", F.col("yhat") + z * sigma))
     return (frame.join(sigma, "series_id", "left")
             .withColumn("yhat_lower", F.col("yhat") - z * F.col("sigma"))
             .withColumn("yhat_upper", F.col("yhat") + z * F.col("sigma"))

@@ -333,7 +333,8 @@ def q_holdout_table(spark, sf):
     """G9 + J7 + G4 + P7: test days with actual, forecast and 95% bounds
     (sigma from the training residuals), in the CSV column names."""
     _, _, fc, cut = _naive_eval(spark, sf)
-    sigma = FC.residual_std(fc.filter(F.col("ds") <= cut))
+    # one series: its training residual std is a scalar subquery
+    sigma = FC.residual_std(fc.filter(F.col("ds") <= cut)).agg(F.max("sigma")).scalar()
     out = FC.with_bounds(fc.filter(F.col("ds") > cut), sigma)
     return presentable(out.select(
         F.col("ds").alias("Date"), F.col("y").cast("long").alias("Actual"),
@@ -778,7 +779,10 @@ CANCEL_MODEL = "random_forest"
 
 
 def _artifact(spark, sf, name):
-    return scratch_path(spark, f"models/{name}-{hashlib.md5(sf.encode()).hexdigest()[:12]}")
+    """Artifact folder for one data folder and one application: trained once
+    per session, never picked up from an earlier run with other code."""
+    key = hashlib.md5(f"{sf}|{spark.sparkContext.applicationId}".encode()).hexdigest()[:12]
+    return scratch_path(spark, f"models/{name}-{key}")
 
 
 def cancellation_model(spark, sf):
