@@ -383,7 +383,7 @@ FROM events WHERE ts IS NOT NULL"""
 
 ORACLE["stratified_split"] = _with(BOOK, FEAT, SPLIT) + """
 SELECT split, label, count(*) AS rows, round(sum(booking_lead_hours), 4) AS lead_hours,
-       sum(order_key) AS order_keys
+       CAST(sum(order_key) AS BIGINT) AS order_keys
 FROM split GROUP BY split, label"""
 
 ORACLE["median_impute"] = _with(BOOK, FEAT, SPLIT) + """
@@ -410,10 +410,10 @@ pred AS (SELECT label, score, CAST(score >= 0.5 AS INTEGER) AS prediction FROM s
 
 ORACLE["classification_metrics"] = _with(BOOK, FEAT, SPLIT, RULE_TEST) + """
 , cm AS (
-  SELECT sum(CAST(label = 1 AND prediction = 1 AS BIGINT)) AS tp,
-         sum(CAST(label <> 1 AND prediction = 1 AS BIGINT)) AS fp,
-         sum(CAST(label = 1 AND prediction <> 1 AS BIGINT)) AS fn,
-         sum(CAST(label <> 1 AND prediction <> 1 AS BIGINT)) AS tn
+  SELECT CAST(sum(CAST(label = 1 AND prediction = 1 AS BIGINT)) AS BIGINT) AS tp,
+         CAST(sum(CAST(label <> 1 AND prediction = 1 AS BIGINT)) AS BIGINT) AS fp,
+         CAST(sum(CAST(label = 1 AND prediction <> 1 AS BIGINT)) AS BIGINT) AS fn,
+         CAST(sum(CAST(label <> 1 AND prediction <> 1 AS BIGINT)) AS BIGINT) AS tn
   FROM pred)
 SELECT tp + fp + fn + tn AS rows, round((tp + tn) / (tp + fp + fn + tn), 4) AS accuracy,
        round(COALESCE(2 * tp / NULLIF(2 * tp + fp + fn, 0), 0.0), 4) AS f1, tp, fp, fn, tn
@@ -425,7 +425,7 @@ ORACLE["roc_auc"] = _with(BOOK, FEAT, SPLIT, RULE_TEST) + """
 cum AS (SELECT *, COALESCE(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING
                                           AND 1 PRECEDING), 0) AS below FROM per)
 SELECT round(sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)), 4) AS roc_auc,
-       sum(pos) AS positives, sum(neg) AS negatives
+       CAST(sum(pos) AS BIGINT) AS positives, CAST(sum(neg) AS BIGINT) AS negatives
 FROM cum"""
 
 
@@ -457,7 +457,7 @@ SELECT count(*) AS rows, round(avg(abs(yhat - y)), 4) AS mae,
        round(sqrt(avg((yhat - y) * (yhat - y))), 4) AS rmse,
        round(avg(abs((yhat - y) / NULLIF(y, 0.0))) * 100, 4) AS mape,
        round(1 - sum((yhat - y) * (yhat - y)) / (var_pop(y) * count(*)), 4) AS r2,
-       sum(CAST(y = 0 AS BIGINT)) AS zero_actuals
+       CAST(sum(CAST(y = 0 AS BIGINT)) AS BIGINT) AS zero_actuals
 FROM test"""
 
 ORACLE["holdout_table"] = _with(HIST, NAIVE) + """
@@ -624,7 +624,7 @@ ORACLE["report_view"] = _with(REPORTS) + """
          sum(length(text)) AS chars
   FROM conversations WHERE turn < 2 GROUP BY conv_id
 )
-SELECT r.id, 'checkin' AS type, r.id AS vehicleId, r.id AS rentalId, 0.0 AS amount,
+SELECT r.id, 'checkin' AS type, r.id AS vehicleId, r.id AS rentalId, CAST(0.0 AS DOUBLE) AS amount,
        '[]' AS issues, '{"turns":"' || CAST(r.turns AS VARCHAR) || '"}' AS customLabels,
        '' AS checkout, CAST(COALESCE(f.n, 0) AS INTEGER) AS n_comments,
        COALESCE(f.authors, '') AS authors, CAST(COALESCE(f.chars, 0) AS BIGINT) AS message_chars
@@ -640,7 +640,8 @@ SELECT r.id, CAST(f.n AS INTEGER) AS n_comments, f.authors, CAST(f.chars AS BIGI
 FROM reports r JOIN alls f ON r.id = f.conv_id"""
 
 ORACLE["set_checkout"] = """
-SELECT conv_id AS id, to_json(struct_pack(by := arg_max(role, turn), turn := max(turn))) AS checkout
+SELECT conv_id AS id,
+       CAST(to_json(struct_pack(by := arg_max(role, turn), turn := max(turn))) AS VARCHAR) AS checkout
 FROM conversations GROUP BY conv_id"""
 
 BOOKING_BATCH = """
@@ -835,7 +836,7 @@ SELECT seq, actor_id, target_id, reason IS NULL AS accepted, reason FROM perm"""
 
 ORACLE["change_events"] = _with(USERS, VEHICLES, PERMS) + """
 SELECT 'vehicle_updated' AS type, 'updated' AS action, target_id AS id,
-       to_json(struct_pack(id := target_id, by := actor_id, seq := seq)) AS payload
+       CAST(to_json(struct_pack(id := target_id, by := actor_id, seq := seq)) AS VARCHAR) AS payload
 FROM perm WHERE reason IS NULL"""
 
 

@@ -28,3 +28,17 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert "demand" in df.columns and "lag_28" in df.columns
+
+
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP"}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_column_types_match_oracle(spark, con, name):
+    df = E.queries()[name](spark, SMALL)
+    got = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+           for f in df.schema.fields}
+    rel = con.sql(ORACLE[name])
+    want = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    assert got == want
