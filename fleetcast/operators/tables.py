@@ -131,7 +131,9 @@ def ordered_index(frame: DataFrame, order_col: str, name: str = "idx",
     """1..N in ``order_col`` order (ties broken arbitrarily), without pulling
     all rows into one partition: range buckets from approximate quantiles,
     per-bucket counts, a prefix sum over the (tiny) bucket table and a
-    row_number inside each bucket."""
+    row_number inside each bucket. The input is read three times (count,
+    edges, numbering), so it is written once first."""
+    frame = materialize(frame, "index-input")
     b = quantile_buckets(frame, order_col, "_b", buckets)
     counts = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_b", F.coalesce(F.sum("_n").over(
