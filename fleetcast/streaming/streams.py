@@ -4,7 +4,10 @@
   micro-batch is deduplicated on (id, seq), folded onto the previous
   snapshot (M7) and written as a new snapshot folder tagged with the batch
   id. A retried batch rewrites the same folder, so the output is exactly
-  once; the folder being read is never the one being written.
+  once; the folder being read is never the one being written. Changes of
+  one id must arrive in seq order across batches (as with a log
+  partitioned by id); a change at or below the id's last applied seq is
+  late and goes to the reject folder instead of being applied.
 * T2: the same ``foreachBatch`` writes the accepted changes as event
   envelopes (N6), appended per batch.
 * T3 ``daily_demand_stream``: bookings arriving as a stream, joined to the
@@ -86,7 +89,15 @@ def apply_change_stream(spark: SparkSession, changes: DataFrame, base: str,
                 if _batch_no(p) < batch_id]
         prev = done[-1] if done else None
         state = _read_state(batch.sparkSession, prev)
-        fresh = batch.dropDuplicates(["id", "seq"]).select("id", "seq", "action", "payload")
+        arrived = batch.dropDuplicates(["id", "seq"]).select("id", "seq", "action", "payload")
+        # per-id order is required across batches: a change at or below the
+        # id's last applied seq is late; it is rejected, not applied
+        applied = state.select("id", F.col("last_seq").alias("_applied"))
+        tagged = arrived.join(applied, "id", "left")
+        late = F.col("_applied").isNotNull() & (F.col("seq") <= F.col("_applied"))
+        (tagged.filter(late).select("id", "seq", "action", F.lit("late change").alias("reason"))
+         .write.mode("overwrite").parquet(f"{base}/rejects/batch={batch_id:012d}"))
+        fresh = tagged.filter(~late).drop("_applied")
         folded = fold_change_log(_state_as_changes(state).unionByName(fresh), STATE_FIELDS)
         path = f"{base}/snapshot/batch={batch_id:012d}"
         folded.select("id", *STATE_FIELDS, "last_seq").write.mode("overwrite").parquet(path)

@@ -10,16 +10,43 @@ from fleetcast.sources.snapshots import change_log
 from fleetcast.streaming import streams as ST
 
 
-def test_change_stream_over_many_batches_equals_batch_fold(spark, tmp_dir):
-    # split the events table into 4 files to get 4 micro-batches
+def _write_parts(spark, ev, tmp_dir, conds):
     src = os.path.join(tmp_dir, "src")
-    ev = spark.read.parquet(f"{SMALL}/events.parquet")
-    for i in range(4):
-        (ev.filter(F.col("event_id") % 4 == i).coalesce(1).write.mode("overwrite")
+    for i, cond in enumerate(conds):
+        (ev.filter(cond).coalesce(1).write.mode("overwrite")
          .parquet(os.path.join(tmp_dir, f"part{i}")))
         f = [x for x in os.listdir(os.path.join(tmp_dir, f"part{i}")) if x.endswith(".parquet")][0]
         os.makedirs(src, exist_ok=True)
         os.link(os.path.join(tmp_dir, f"part{i}", f), os.path.join(src, f"events-{i}.parquet"))
+    return src
+
+
+def test_late_changes_are_rejected_not_applied(spark, tmp_dir):
+    ev = spark.read.parquet(f"{SMALL}/events.parquet")
+    n = ev.count()
+    # second file holds changes older than the first one's
+    src = _write_parts(spark, ev, tmp_dir, [F.col("event_id") >= n // 2,
+                                            F.col("event_id") < n // 2])
+    stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
+              .option("pathGlobFilter", "events*.parquet").parquet(src))
+    out, ckpt = ST.fresh_dirs(spark, "late")
+    written = ST.apply_change_stream(spark, ST.change_rows(stream), out, ckpt)
+    assert len(written) == 2
+    rejects = spark.read.parquet(f"{out}/rejects")
+    first = ST.latest_snapshot(spark, written[:1])
+    assert rejects.count() > 0
+    # every rejected change is older than its id's state after batch 0
+    bad = rejects.join(first.select("id", "last_seq"), "id").filter("seq > last_seq")
+    assert bad.count() == 0
+
+
+def test_change_stream_over_many_batches_equals_batch_fold(spark, tmp_dir):
+    # the events table as 4 files in time order -> 4 micro-batches
+    ev = spark.read.parquet(f"{SMALL}/events.parquet")
+    n = ev.count()
+    q = [n * i // 4 for i in range(5)]
+    src = _write_parts(spark, ev, tmp_dir, [(F.col("event_id") >= q[i]) & (F.col("event_id") < q[i + 1])
+                                            for i in range(4)])
     stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
               .option("pathGlobFilter", "events*.parquet").parquet(src))
     out, ckpt = ST.fresh_dirs(spark, "t")
