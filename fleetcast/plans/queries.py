@@ -882,18 +882,18 @@ def _area_series(spark, sf):
 def q_forecast_additive(spark, sf):
     """G3 + G4 + G5 + G6: additive forecaster refit on all history, history
     plus 30 future days with 95% bounds, per series."""
-    fc = ML_FC_CACHE(spark, sf)
+    fc = _area_forecast(spark, sf)
     return presentable(fc.select("series_id", "ds", "y", "yhat", "yhat_lower", "yhat_upper"))
 
 
 @query
 def q_forecast_components(spark, sf):
     """Trend, yearly and weekly parts of the additive forecast."""
-    fc = ML_FC_CACHE(spark, sf)
+    fc = _area_forecast(spark, sf)
     return presentable(fc.select("series_id", "ds", "trend", "yearly", "weekly"))
 
 
-def ML_FC_CACHE(spark, sf):
+def _area_forecast(spark, sf):
     return FC.additive_forecast(_area_series(spark, sf), periods=30)
 
 
