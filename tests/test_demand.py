@@ -69,3 +69,28 @@ def test_target_means_levels(spark):
         spark.createDataFrame([(3, 3, 3)], "from_area_id int, vehicle_model_id int, travel_type_id int"),
         D.target_means(df)).first()
     assert out.segment_mean_demand == 4.0 and out.area_mean_demand == 4.0   # unseen -> global
+
+
+def test_grid_fills_late_and_single_row_segments(spark):
+    rows = [(dt.date(2020, 1, 1), 1, 1, 1), (dt.date(2020, 1, 10), 1, 1, 1),
+            (dt.date(2020, 1, 8), 2, 2, 2)]                   # starts late, one row
+    h = spark.createDataFrame(rows, "booking_date date, from_area_id int, vehicle_model_id int, "
+                                    "travel_type_id int")
+    g = D.dense_grid(D.daily_segment_counts(h))
+    seg2 = g.filter("from_area_id = 2").orderBy("booking_date").collect()
+    assert len(seg2) == 10 and seg2[0].demand == 0 and seg2[7].demand == 1
+
+
+def test_load_history_coerces_keys_and_drops_undated(spark):
+    raw = spark.createDataFrame(
+        [("2013-01-05 10:00:00", "3.7", "x", None), ("bad date", "1", "1", "1"),
+         ("1/6/2013 9:30", "-2.5", "2", "3")],
+        "booking_created string, from_area_id string, vehicle_model_id string, "
+        "travel_type_id string")
+    raw = raw.withColumn("booking_created",
+                         __import__("fleetcast.functions.coerce", fromlist=["x"])
+                         .to_timestamp_any("booking_created"))
+    got = sorted(tuple(r) for r in load_history(raw).collect())
+    assert got == [(dt.date(2013, 1, 5), 3, 0, 0), (dt.date(2013, 1, 6), -2, 2, 3)]
+    with pytest.raises(ValueError, match="from_area_id, travel_type_id"):
+        load_history(raw.drop("from_area_id", "travel_type_id"))

@@ -92,3 +92,26 @@ def test_round_half_even_and_clip(spark):
     got = one(spark, clip_round(F.col("x")), [(2.5,), (3.5,), (-4.0,), (0.49,)], "x double")
     assert got == [2, 4, 0, 0]
     assert one(spark, risk_index(F.col("x")), [(0.0,), (1.0,), (0.5,)], "x double") == [20, 5, 12]
+
+
+def test_feature_frame_edge_rows(spark):
+    from fleetcast.operators.features import FEATURE_COLUMNS, prepare_features
+    raw = spark.createDataFrame([
+        # text in a numeric column, '3.7' id, created after start (negative lead)
+        ("abc", "3.7", "10.0", "20.0", "10.0", "20.0", "1/5/2013 10:00", "1/5/2013 16:00",
+         "1/6/2013 10:00"),
+        # unparsable date, infinite coordinate, antipodal-ish route
+        ("1", "2", "inf", "0", "0", "180", "not a date", "2013-01-05 16:00:00",
+         "2013-01-04 10:00:00"),
+    ], "vehicle_model_id string, package_id string, from_lat string, from_long string, "
+       "to_lat string, to_long string, from_date string, to_date string, "
+       "booking_created string")                       # 'to_city_id' etc. absent
+    rows = prepare_features(raw).collect()
+    a, b = rows
+    assert list(rows[0].asDict()) == FEATURE_COLUMNS
+    assert a.vehicle_model_id is None and a.package_id == 3.7
+    assert a.booking_lead_hours == -24.0 and a.trip_duration_hours == 6.0
+    assert a.route_distance_km == 0.0 and a.to_city_id is None
+    assert a.booking_created_dayofweek == 6.0 and a.from_date_hour == 10.0
+    assert b.from_lat is None and b.route_distance_km is None
+    assert b.booking_lead_hours is None and b.from_date_hour is None
