@@ -21,10 +21,15 @@ DEFAULT_CONF = {
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "fleetcast") -> SparkSession:
+                app_name: str = "fleetcast", driver_memory: str | None = None) -> SparkSession:
+    """Session with the package defaults. ``driver_memory`` matters in local
+    mode only (the driver JVM is the executor); it must be set before the
+    JVM starts, i.e. on the first session of the process."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     for key, value in DEFAULT_CONF.items():
         builder = builder.config(key, value)
     if shuffle_partitions:
