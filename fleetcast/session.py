@@ -7,14 +7,18 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Settings every job in this package relies on. They are applied only when the
-# cluster has not set them already, so a site configuration always wins.
+# Settings every job in this package relies on. Runtime settings are applied
+# only when the site (spark-defaults, spark-submit --conf) has not set them, so
+# a cluster configuration always wins. The session time zone is the exception:
+# date and timestamp semantics here are UTC wall-clock, so it is always UTC.
 DEFAULT_CONF = {
-    "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+# Launch-time settings (take effect only when this call starts the JVM).
+LAUNCH_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -28,13 +32,17 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    for key, value in LAUNCH_CONF.items():
+        builder = builder.config(key, value)
     if driver_memory:
         builder = builder.config("spark.driver.memory", driver_memory)
-    for key, value in DEFAULT_CONF.items():
-        builder = builder.config(key, value)
-    if shuffle_partitions:
-        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
+    site = spark.sparkContext.getConf()
+    for key, value in DEFAULT_CONF.items():
+        if not site.contains(key):
+            spark.conf.set(key, value)
+    if shuffle_partitions and not site.contains("spark.sql.shuffle.partitions"):
+        spark.conf.set("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.sparkContext.setLogLevel("ERROR")
     return spark
