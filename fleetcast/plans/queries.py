@@ -750,7 +750,8 @@ def q_stream_daily_demand(spark, sf):
     """Daily segment demand computed by a stream over arriving line items
     (watermark 1 day, update mode, batch-tagged output); equals the batch A1."""
     out, ckpt = ST.fresh_dirs(spark, "stream-daily-demand")
-    agg = ST.daily_demand_stream(spark, sf, ST.table_stream(spark, sf, "lineitem"))
+    bookings = ST.line_items_as_bookings(spark, sf, ST.table_stream(spark, sf, "lineitem"))
+    agg = ST.daily_demand_stream(bookings)
     res = ST.run_update_stream(agg, out, ckpt, ["booking_date", *SEGMENT_COLUMNS])
     return presentable(res.select("booking_date", *SEGMENT_COLUMNS, "demand"))
 

@@ -66,7 +66,8 @@ def test_daily_demand_stream_equals_batch(spark):
     from fleetcast.operators.demand import daily_segment_counts
     from fleetcast.sources.tables import load_history, segment_history
     out, ckpt = ST.fresh_dirs(spark, "d")
-    agg = ST.daily_demand_stream(spark, SMALL, ST.table_stream(spark, SMALL, "lineitem"))
+    agg = ST.daily_demand_stream(ST.line_items_as_bookings(
+        spark, SMALL, ST.table_stream(spark, SMALL, "lineitem")))
     keys = ["booking_date", "from_area_id", "vehicle_model_id", "travel_type_id"]
     got = ST.run_update_stream(agg, out, ckpt, keys)
     want = daily_segment_counts(load_history(segment_history(spark, SMALL)))
