@@ -500,7 +500,8 @@ ANSWER = """
 , tot AS (SELECT request_id, CAST(sum(predicted_bookings) AS BIGINT) AS total_predicted_bookings,
                  count(*) AS number_of_days FROM rows_ GROUP BY request_id)
 SELECT r.request_id, strftime(r.ds, '%Y-%m-%d') AS date, r.predicted_bookings,
-       t.total_predicted_bookings, t.number_of_days
+       t.total_predicted_bookings, t.number_of_days,
+       'Demand forecast generated successfully' AS message
 FROM rows_ r JOIN tot t ON r.request_id = t.request_id"""
 
 ORACLE["demand_request"] = _with(HIST, COUNTS, GRID, REQUESTS) + """

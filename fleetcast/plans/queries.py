@@ -381,6 +381,10 @@ def _segment_requests(counts):
         F.date_add(last, 1).alias("start_date"), F.date_add(last, 30).alias("end_date"))
 
 
+# Fixed value: the answer text of a successful demand request.
+ANSWER_MESSAGE = "Demand forecast generated successfully"
+
+
 def _answer(rows):
     """Per-day rows plus the request totals (joined back)."""
     tot = rows.groupBy("request_id").agg(
@@ -388,7 +392,7 @@ def _answer(rows):
         F.count(F.lit(1)).alias("number_of_days"))
     return rows.join(tot, "request_id").select(
         "request_id", F.date_format("ds", "yyyy-MM-dd").alias("date"), "predicted_bookings",
-        "total_predicted_bookings", "number_of_days")
+        "total_predicted_bookings", "number_of_days", F.lit(ANSWER_MESSAGE).alias("message"))
 
 
 @query
