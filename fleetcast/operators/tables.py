@@ -297,11 +297,24 @@ def upsert_users(users: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFra
     cur = users.select(F.col("id").alias("match_id"), "created_at")
     updated = conform(upd.join(cur, "match_id").withColumnRenamed("match_id", "id"), "users",
                       keep=["seq"])
-    ins = j.filter(F.col("matches").isNull())
+    ins = _fold_new_users(j.filter(F.col("matches").isNull()))
     inserted = conform(next_ids(users, ins), "users", keep=["seq"])
     return updated, inserted, rejects_missing.unionByName(rejects_multi)
 
 
+def _fold_new_users(ins: DataFrame) -> DataFrame:
+    """New-user changes of one batch that share an e-mail, then a username,
+    become one insert carrying the last change (applied one by one, the later
+    change would update the row the earlier one created). Aggregates, so a
+    hot e-mail stays a partial aggregate. Chains longer than e-mail then
+    username are not merged further."""
+    def last_by(frame, key):
+        rest = [c for c in frame.columns if c != key]
+        return (frame.groupBy(key).agg(F.max_by(F.struct(*rest), "seq").alias("_s"))
+                .select(key, "_s.*"))
+    return last_by(last_by(ins, "email"), "username")
+
+
 def register_users(users: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """M2 + M10: insert only when neither e-mail nor username exists yet and
     the role is valid; within a batch, the lowest seq of a duplicate wins.

@@ -713,7 +713,13 @@ upd AS (
   SELECT * FROM j WHERE NOT missing AND matches = 1
   QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY seq DESC) = 1
 ),
-ins AS (SELECT * FROM j WHERE NOT missing AND matches IS NULL)
+ins0 AS (
+  SELECT * FROM j WHERE NOT missing AND matches IS NULL
+  QUALIFY row_number() OVER (PARTITION BY email ORDER BY seq DESC) = 1
+),
+ins AS (
+  SELECT * FROM ins0 QUALIFY row_number() OVER (PARTITION BY username ORDER BY seq DESC) = 1
+)
 SELECT seq, 'updated' AS outcome, match_id AS id, email, username, first_name, role,
        CAST(NULL AS VARCHAR) AS reason FROM upd
 UNION ALL

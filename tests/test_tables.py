@@ -160,3 +160,16 @@ def test_vehicle_create_defaults(spark):
         (6, "Corolla", "Corolla", 2021, 12.5, False)
     assert (c.id, c.name, c.model, c.year, c.available, c.status) == \
         (7, "Van", "Van", 2019, False, "available")
+
+
+def test_upsert_folds_new_users_sharing_keys(spark):
+    users = users_df(spark, [(1, "a@x.t", "alice")])
+    b = batch(spark, [
+        {"email": "n@x.t", "username": "n1", "password": "p", "firstName": "first"},
+        {"email": "N@X.T", "username": "n2", "password": "p", "firstName": "second"},
+        {"email": "m@x.t", "username": "n2", "password": "p", "firstName": "third"},
+    ])
+    _, ins, rej = TB.upsert_users(users, b)
+    got = [(r.id, r.email, r.username, r.first_name) for r in ins.collect()]
+    assert got == [(2, "m@x.t", "n2", "third")]
+    assert rej.count() == 0
