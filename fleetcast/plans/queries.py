@@ -766,8 +766,8 @@ def q_stream_apply_changes(spark, sf):
     the final snapshot equals the batch fold (M7)."""
     out, ckpt = ST.fresh_dirs(spark, "stream-changes")
     changes = ST.change_rows(ST.table_stream(spark, sf, "events", max_files_per_trigger=1))
-    written = ST.apply_change_stream(spark, changes, out, ckpt)
-    snap = ST.latest_snapshot(spark, written)
+    ST.apply_change_stream(spark, changes, out, ckpt)
+    snap = ST.latest_snapshot(spark, out)
     return presentable(snap.withColumn("value", F.col("value").cast("double")))
 
 

@@ -132,8 +132,11 @@ def list_batches(spark: SparkSession, folder: str) -> list[str]:
     return sorted(found, key=_batch_no)
 
 
-def latest_snapshot(spark: SparkSession, written: list[str]) -> DataFrame:
-    return _read_state(spark, written[-1] if written else None)
+def latest_snapshot(spark: SparkSession, base: str) -> DataFrame:
+    """The newest snapshot under ``base`` (by listing: also right after a
+    restart that found no new input)."""
+    done = list_batches(spark, f"{base}/snapshot")
+    return _read_state(spark, done[-1] if done else None)
 
 
 def daily_demand_stream(bookings: DataFrame) -> DataFrame:
