@@ -403,14 +403,19 @@ def event_envelopes(rows: DataFrame, type_: Column, action: Column, id_: Column,
 
 def append_comments(reports: DataFrame, new_comments: DataFrame) -> DataFrame:
     """N3 + N2: append a batch of comments (report_id, seq, author, message,
-    createdAt) to the stored JSON arrays, in seq order; author defaults to
-    'Anonymous'. Comments are grouped per report (a report row holds all of
+    createdAt, optional ts) to the stored JSON arrays, in seq order; author
+    defaults to 'Anonymous', createdAt to the change's timestamp. Comments are grouped per report (a report row holds all of
     its comments by design)."""
+    # time default: the change's own timestamp when the batch carries one
+    stamp = (F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+             if "ts" in new_comments.columns else F.lit(""))
+    created = (F.coalesce(F.nullif(F.col("createdAt"), F.lit("")), stamp)
+               if "createdAt" in new_comments.columns else stamp)
     c = new_comments.select(
         "report_id", "seq",
         F.struct(falsy_default("author", "Anonymous").alias("author"),
                  F.coalesce(F.col("message"), F.lit("")).alias("message"),
-                 F.coalesce(F.col("createdAt"), F.lit("")).alias("createdAt")).alias("c"))
+                 F.coalesce(created, F.lit("")).alias("createdAt")).alias("c"))
     grouped = c.groupBy("report_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("seq", "c"))), lambda x: x["c"])
         .alias("added"))

@@ -173,3 +173,14 @@ def test_upsert_folds_new_users_sharing_keys(spark):
     got = [(r.id, r.email, r.username, r.first_name) for r in ins.collect()]
     assert got == [(2, "m@x.t", "n2", "third")]
     assert rej.count() == 0
+
+
+def test_comment_time_defaults_to_change_timestamp(spark):
+    import datetime as dt
+    r = SN.conform(spark.createDataFrame([(1, "[]")], "id long, comments string"), "logreports")
+    c = spark.createDataFrame([(1, 1, "a", "m", None, dt.datetime(2024, 1, 2, 3, 4, 5)),
+                               (1, 2, "b", "n", "given", dt.datetime(2024, 1, 2, 3, 4, 6))],
+                              "report_id long, seq long, author string, message string, "
+                              "createdAt string, ts timestamp")
+    out = json.loads(TB.append_comments(r, c).first().comments)
+    assert [x["createdAt"] for x in out] == ["2024-01-02T03:04:05.000000", "given"]
