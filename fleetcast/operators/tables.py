@@ -528,3 +528,40 @@ def nested_answer(rows: DataFrame, request_col: str = "request_id") -> DataFrame
         F.array_sort(F.collect_list(F.struct("date", "predicted_bookings"))).alias("predictions"),
         F.sum("predicted_bookings").cast("long").alias("total_predicted_bookings"),
         F.count(F.lit(1)).alias("number_of_days"))
+
+
+# ---- log reports: insert with defaults (M5, N1, N2) ---------------------------------
+
+def create_reports(reports: DataFrame, batch: DataFrame) -> DataFrame:
+    """M5 for log reports: aliases, numeric defaults 0, nested fields kept
+    as normalized JSON text (N2: absent lists -> '[]', labels -> '{}')."""
+    mm = F.col("m")
+    arr_t = "array<string>"
+
+    def json_list(*keys):
+        parsed = F.from_json(pick(mm, *keys), arr_t)
+        return F.coalesce(F.to_json(parsed), F.lit("[]"))
+
+    p = batch.withColumn("m", payload_map("payload"))
+    num = lambda *k: F.coalesce(pick(mm, *k).try_cast("double"), F.lit(0.0))
+    rows = p.select(
+        "seq", pick(mm, "type", default="").alias("type"),
+        num("vehicleId", "vehicle_id").cast("long").alias("vehicle_id"),
+        pick(mm, "vehicleName", "vehicle_name", default="").alias("vehicle_name"),
+        num("rentalId", "rental_id").cast("long").alias("rental_id"),
+        pick(mm, "renterName", "renter_name", default="").alias("renter_name"),
+        pick(mm, "startDate", "start_date", default="").alias("start_date"),
+        pick(mm, "endDate", "end_date", default="").alias("end_date"),
+        num("amount").alias("amount"),
+        json_list("issues").alias("issues"),
+        pick(mm, "notes", default="").alias("notes"),
+        pick(mm, "odometer", default="").alias("odometer"),
+        pick(mm, "fuelLevel", "fuel_level", default="").alias("fuel_level"),
+        json_list("photos").alias("photos"),
+        F.coalesce(F.to_json(F.from_json(pick(mm, "customLabels", "custom_labels"),
+                                         "map<string,string>")), F.lit("{}")).alias("custom_labels"),
+        pick(mm, "checkout", default="").alias("checkout"),
+        F.coalesce(F.to_json(F.from_json(pick(mm, "comments"),
+                                         f"array<{COMMENT.simpleString()}>")),
+                   F.lit("[]")).alias("comments"))
+    return conform(next_ids(reports, rows), "logreports", keep=["seq"])

@@ -184,3 +184,18 @@ def test_comment_time_defaults_to_change_timestamp(spark):
                               "createdAt string, ts timestamp")
     out = json.loads(TB.append_comments(r, c).first().comments)
     assert [x["createdAt"] for x in out] == ["2024-01-02T03:04:05.000000", "given"]
+
+
+def test_create_reports_defaults_and_nested_fields(spark):
+    r = SN.conform(spark.createDataFrame([(4, "[]")], "id long, comments string"), "logreports")
+    b = batch(spark, [
+        {"type": "checkin", "vehicleId": 7, "issues": ["scratch", "dent"],
+         "customLabels": {"zone": "A"}, "checkout": {"km": 10}},
+        {"vehicle_id": "3", "amount": "12.5"},
+    ])
+    out = {x.seq: x for x in TB.create_reports(r, b).collect()}
+    a, c = out[1], out[2]
+    assert (a.id, a.type, a.vehicle_id, a.amount) == (5, "checkin", 7, 0.0)
+    assert json.loads(a.issues) == ["scratch", "dent"] and json.loads(a.custom_labels) == {"zone": "A"}
+    assert json.loads(a.checkout) == {"km": 10}
+    assert (c.id, c.type, c.vehicle_id, c.amount, c.issues, c.comments) == (6, "", 3, 12.5, "[]", "[]")
