@@ -905,3 +905,12 @@ SELECT ch.seq, ch.actor_id, ch.action, ch.target_user,
        WHEN ch.action = 'clear' AND u.role <> 'admin' AND ch.actor_id <> ch.target_user
          THEN 'Not allowed to clear these bookings' END AS reason
 FROM ch LEFT JOIN users u ON ch.actor_id = u.id"""
+
+ORACLE["report_create"] = """
+WITH first AS (SELECT conv_id, role FROM conversations WHERE turn = 0),
+mx AS (SELECT max(conv_id) AS m FROM (SELECT DISTINCT conv_id FROM conversations))
+SELECT conv_id AS seq, (SELECT m FROM mx) + row_number() OVER (ORDER BY conv_id) AS id,
+       role AS type, conv_id AS vehicle_id,
+       round(CAST(CASE WHEN conv_id % 2 = 0 THEN conv_id * 10 ELSE 0 END AS DOUBLE), 4) AS amount,
+       '["' || role || '"]' AS issues, '[]' AS photos, '{}' AS custom_labels, '[]' AS comments
+FROM first"""

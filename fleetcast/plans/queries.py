@@ -980,3 +980,18 @@ def q_booking_permissions(spark, sf):
                    F.when(k % 2 == 0, F.col("user_id")).otherwise(k).alias("target_user"))
     out = TB.booking_change_permissions(ch, SN.users(spark, sf))
     return out.select("seq", "actor_id", "action", "target_user", "accepted", "reason")
+
+
+@query
+def q_report_create(spark, sf):
+    """M5 for log reports: one new report per conversation (its first turn),
+    with aliases, numeric defaults and nested fields as JSON text."""
+    first = read_table(spark, sf, "conversations").filter(F.col("turn") == 0)
+    payload = F.to_json(F.struct(
+        F.col("role").alias("type"), F.col("conv_id").alias("vehicleId"),
+        F.when(F.col("conv_id") % 2 == 0, F.col("conv_id") * 10).alias("amount"),
+        F.array(F.col("role")).alias("issues")))
+    batch = first.select(F.col("conv_id").alias("seq"), payload.alias("payload"))
+    out = TB.create_reports(SN.logreports(spark, sf), batch)
+    return presentable(out.select("seq", "id", "type", "vehicle_id", "amount", "issues",
+                                  "photos", "custom_labels", "comments"))
