@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from fleetcast.llm.byte_bpe import op1_byte_bpe
+from fleetcast.llm.packing import op4_packing
 from fleetcast.llm.quality_qda import op6_quality_qda
 from fleetcast.llm.quality_rules import op8_quality_rules
 
 QUERIES = {f.__name__: f for f in (
+    op1_byte_bpe,
+    op4_packing,
     op6_quality_qda,
     op8_quality_rules,
 )}
