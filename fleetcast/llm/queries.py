@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from fleetcast.llm import licences, warc
+from fleetcast.llm import licences, topk, warc
 from fleetcast.llm.byte_bpe import op1_byte_bpe
 from fleetcast.llm.language_id import op3_language_id
 from fleetcast.llm.licences import op5_license_scan
 from fleetcast.llm.packing import op4_packing
 from fleetcast.llm.quality_qda import op6_quality_qda
 from fleetcast.llm.quality_rules import op8_quality_rules
+from fleetcast.llm.topk import op7_top_k
 from fleetcast.llm.warc import op9_warc_revisits
 
 QUERIES = {f.__name__: f for f in (
@@ -17,11 +18,13 @@ QUERIES = {f.__name__: f for f in (
     op4_packing,
     op5_license_scan,
     op6_quality_qda,
+    op7_top_k,
     op8_quality_rules,
     op9_warc_revisits,
 )}
 
 ORACLE: dict[str, str] = {
     "op5_license_scan": licences.oracle(),
+    "op7_top_k": topk.ORACLE,
     "op9_warc_revisits": warc.ORACLE,
 }
