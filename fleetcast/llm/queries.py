@@ -6,6 +6,7 @@ from fleetcast.llm import licences, topk, warc
 from fleetcast.llm.byte_bpe import op1_byte_bpe
 from fleetcast.llm.language_id import op3_language_id
 from fleetcast.llm.licences import op5_license_scan
+from fleetcast.llm.ngram_join import op2_ngram_join
 from fleetcast.llm.packing import op4_packing
 from fleetcast.llm.quality_qda import op6_quality_qda
 from fleetcast.llm.quality_rules import op8_quality_rules
@@ -14,6 +15,7 @@ from fleetcast.llm.warc import op9_warc_revisits
 
 QUERIES = {f.__name__: f for f in (
     op1_byte_bpe,
+    op2_ngram_join,
     op3_language_id,
     op4_packing,
     op5_license_scan,
