@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from fleetcast.llm import licences, topk, warc
 from fleetcast.llm.byte_bpe import op1_byte_bpe
+from fleetcast.llm.katz import op10_katz_scores
 from fleetcast.llm.language_id import op3_language_id
 from fleetcast.llm.licences import op5_license_scan
 from fleetcast.llm.ngram_join import op2_ngram_join
@@ -23,6 +24,7 @@ QUERIES = {f.__name__: f for f in (
     op7_top_k,
     op8_quality_rules,
     op9_warc_revisits,
+    op10_katz_scores,
 )}
 
 ORACLE: dict[str, str] = {
