@@ -31,6 +31,8 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from fleetcast.llm.common import bounded_batches, mix
 from fleetcast.session import scratch_path
@@ -42,6 +44,11 @@ SMALL_LETTERS = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 CHUNK = "chunk long, n_tokens long, keys array<{key}>, flags binary, ends binary, vocabulary binary, tokens binary"
 
 
+def arrow_type(kind: DataType) -> pa.DataType:
+    """As a worker expects it for a schema in DDL: every part may be null."""
+    return to_arrow_type(DataType.fromDDL(kind.simpleString()))
+
+
 def squeeze(values: np.ndarray) -> bytes:
     """Numbers by byte plane, compressed: constant planes cost nothing."""
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T

@@ -225,8 +225,7 @@ def scores(docs: DataFrame, held_out: Column, text: str = "text", key: str = "do
             "base_score": row_sums(base[s.after], s.ends), "score": row_sums(np.log10(p)[s.pair], s.ends)})
 
     kind = docs.select(F.col(key).alias("k")).schema["k"].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-    arrow_key = to_arrow_type(kind)
+    arrow_key = C.arrow_type(kind)
     schema = (f"`{key}` {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
               "base_score double, score double")
     return C.with_answers(parts, answers.unionByName(backed), score, schema)

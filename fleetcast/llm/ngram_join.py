@@ -122,8 +122,7 @@ def document_rows(docs: DataFrame, text: str, key: str, width: int, percent: int
         return pa.Table.from_pylist(prefixes(chunk, df, keys, doc, place, percent), schema=arrow)
 
     kind = docs.select(F.col(key).alias("k")).schema["k"].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-    arrow = pa.schema([("row", pa.int64()), ("key", to_arrow_type(kind)), ("n_shingles", pa.int64()), ("digest", pa.string()),
+    arrow = pa.schema([("row", pa.int64()), ("key", C.arrow_type(kind)), ("n_shingles", pa.int64()), ("digest", pa.string()),
                        ("prefix", pa.list_(pa.struct([("token", pa.int64()), ("place", pa.int32())]))),
                        ("others", pa.list_(pa.binary())), ("shingles", pa.binary())])
     answers = C.totals(C.requests(parts, n, asked), [np.uint32], count)
@@ -218,7 +217,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int =
     of fewer words than ``width`` has its whole sequence as one shingle.
     Repeated rows have equal sets and so are linked. A null key is larger than
     all others: a component of null keys only has a null id. Extra columns
-    are ignored; an empty table gives an empty result.
+    are ignored; an empty table gives an empty result. ``key`` may be a struct.
     """
     bounded_batches(docs.sparkSession)
     rows = document_rows(docs, text, key, width, percent)
@@ -232,5 +231,22 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int =
     return parts.join(least, "part").select("row", F.col("key").alias(key), "n_shingles", "class_row", "component_id")
 
 
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component the row
+    with the smallest key (then the smallest text digest) stays, with all its
+    columns. Rows that agree in key and text are copies and one of them stays,
+    also where the text is empty."""
+    known = F.md5(F.coalesce(F.col(text), F.lit("")))
+    named = docs.select(F.struct(F.col(key).alias("id"), known.alias("md5")).alias("_name"), F.col(text).alias("_text"))
+    found = materialize(join(named, "_text", "_name", width, percent), "near-copies")
+    chosen = (found.groupBy("component_id").agg(F.count(F.when(F.col("_name") == F.col("component_id"), 1)).alias("n"))
+              .select(F.col("component_id.id").alias("_id"), F.col("component_id.md5").alias("_md5"), "n"))
+    mine = docs.withColumn("_md5_", known)
+    same = mine[key].eqNullSafe(chosen["_id"]) & (mine["_md5_"] == chosen["_md5"])
+    kept = mine.join(chosen, same).drop("_id", "_md5")
+    once, often = kept.filter("n = 1"), kept.filter("n > 1").dropDuplicates([key, "_md5_"])
+    return once.unionByName(often).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
