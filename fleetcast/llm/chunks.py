@@ -51,7 +51,7 @@ def arrow_type(kind: DataType) -> pa.DataType:
 
 def squeeze(values: np.ndarray) -> bytes:
     """Numbers by byte plane, compressed: constant planes cost nothing."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 

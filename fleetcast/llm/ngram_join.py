@@ -236,16 +236,15 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", width: in
     with the smallest key (then the smallest text digest) stays, with all its
     columns. Rows that agree in key and text are copies and one of them stays,
     also where the text is empty."""
-    known = F.md5(F.coalesce(F.col(text), F.lit("")))
-    named = docs.select(F.struct(F.col(key).alias("id"), known.alias("md5")).alias("_name"), F.col(text).alias("_text"))
-    found = materialize(join(named, "_text", "_name", width, percent), "near-copies")
-    chosen = (found.groupBy("component_id").agg(F.count(F.when(F.col("_name") == F.col("component_id"), 1)).alias("n"))
-              .select(F.col("component_id.id").alias("_id"), F.col("component_id.md5").alias("_md5"), "n"))
-    mine = docs.withColumn("_md5_", known)
-    same = mine[key].eqNullSafe(chosen["_id"]) & (mine["_md5_"] == chosen["_md5"])
-    kept = mine.join(chosen, same).drop("_id", "_md5")
-    once, often = kept.filter("n = 1"), kept.filter("n > 1").dropDuplicates([key, "_md5_"])
-    return once.unionByName(often).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # all columns travel in one struct, so that none can clash with a name used here
+    mine = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    mine = mine.select("doc", F.struct(F.col(f"doc.`{key}`").alias("id"), F.md5(F.coalesce(F.col(f"doc.`{text}`"), F.lit(""))).alias("md5")).alias("name"))
+    found = materialize(join(mine.select("name", F.col(f"doc.`{text}`").alias("text")), "text", "name", width, percent), "near-copies")
+    chosen = (found.groupBy("component_id").agg(F.count(F.when(F.col("name") == F.col("component_id"), 1)).alias("n"))
+              .select(F.col("component_id").alias("chosen"), "n"))
+    kept = mine.join(chosen, (F.col("name.md5") == F.col("chosen.md5")) & F.col("name.id").eqNullSafe(F.col("chosen.id")))
+    once, often = kept.filter("n = 1"), kept.filter("n > 1").dropDuplicates(["name"])
+    return once.unionByName(often).select("doc.*")
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:
