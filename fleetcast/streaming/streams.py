@@ -1,19 +1,17 @@
 """Structured Streaming operators.
 
-* T1 ``apply_change_stream``: change rows arrive as a stream; each
-  micro-batch is deduplicated on (id, seq), folded onto the previous
-  snapshot (M7) and written as a new snapshot folder tagged with the batch
-  id. A retried batch rewrites the same folder, so the output is exactly
-  once; the folder being read is never the one being written. Changes of
-  one id must arrive in seq order across batches (as with a log
-  partitioned by id); a change at or below the id's last applied seq is
-  late and goes to the reject folder instead of being applied.
-* T2: the same ``foreachBatch`` writes the accepted changes as event
-  envelopes (N6), appended per batch.
-* T3 ``daily_demand_stream``: bookings arriving as a stream, joined to the
-  static dimensions, counted per day and segment under a one-day watermark.
-* T4 ``score_stream``: stateless feature build + model scoring of arriving
-  bookings.
+* T1 ``apply_change_stream``: change rows arrive as a stream and are applied
+  to a snapshot, id by id in seq order. Deleted ids stay in the state as
+  tombstones, so a late change can never bring one back. The state is cut into
+  buckets of ids; a micro-batch writes new folders for the buckets it touches,
+  tagged with its batch id. A retried batch rewrites the same folders, and the
+  folder being read is never the one being written.
+* T2: only changes that took effect become event envelopes (N6). All others
+  are written as rejects: late ones, and updates or deletes of ids that do not
+  exist at that point.
+* T3 ``run_daily_demand``: each micro-batch writes its own counts per day and
+  segment; the result sums them. There is no watermark, so nothing is late.
+* T4 ``score_stream``: stateless feature build and scoring of arriving rows.
 
 Stream state and checkpoints live under ``spark.checkpoint.dir`` (a shared
 folder on a cluster), so a restarted driver resumes where it stopped.
@@ -27,9 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetcast.operators.tables import fold_change_log
+from pyspark.sql import Window as W
+
+from fleetcast.operators.tables import UNKNOWN_ID, payload_map
 from fleetcast.session import scratch_path
-from fleetcast.sources.tables import SEGMENT_COLUMNS, VEHICLE_MODELS, read_table
+from fleetcast.sources.tables import SEGMENT_COLUMNS, read_table
 
 STATE_FIELDS = ["k", "value", "last_event"]
 
@@ -61,51 +61,84 @@ def change_rows(events: DataFrame) -> DataFrame:
 STATE_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("k", T.StringType()),
     T.StructField("value", T.StringType()), T.StructField("last_event", T.StringType()),
-    T.StructField("last_seq", T.LongType())])
-
-
-def _read_state(spark: SparkSession, path: str | None) -> DataFrame:
-    if path is None:
-        return spark.createDataFrame([], STATE_SCHEMA)
-    return spark.read.schema(STATE_SCHEMA).parquet(path)
-
-
-def _state_as_changes(state: DataFrame) -> DataFrame:
-    """A snapshot row re-enters the fold as a 'create' at its last seq."""
-    return state.select("id", F.col("last_seq").alias("seq"), F.lit("create").alias("action"),
-                        F.to_json(F.struct(*STATE_FIELDS)).alias("payload"))
+    T.StructField("last_seq", T.LongType()), T.StructField("deleted", T.BooleanType())])
+STATE_BUCKETS = 32
+LATE = "late_change"
+
+
+def _bucket(column: str = "id"):
+    return F.pmod(F.xxhash64(column), F.lit(STATE_BUCKETS)).cast("int")
+
+
+def _read_state(spark: SparkSession, base: str, before: int | None = None,
+                buckets: set[int] | None = None) -> DataFrame:
+    """The newest rows of each bucket, written before a batch id."""
+    newest = {}
+    for folder in list_folders(spark, f"{base}/state", "batch="):
+        if before is None or _batch_no(folder) < before:
+            for part in list_folders(spark, folder, "bucket="):
+                newest[int(part.rstrip("/").rsplit("bucket=", 1)[1])] = part
+    paths = [p for b, p in sorted(newest.items()) if buckets is None or b in buckets]
+    return spark.read.schema(STATE_SCHEMA).parquet(*paths) if paths else spark.createDataFrame([], STATE_SCHEMA)
+
+
+def decide(changes: DataFrame, state: DataFrame) -> DataFrame:
+    """One row per (id, seq) of a micro-batch with ``reason`` (null: it takes
+    effect). In seq order per id, after the id's state: a change at or below
+    the id's last seq is late; an update or a delete needs an existing row."""
+    known = state.select("id", F.col("last_seq").alias("_last"), (~F.col("deleted")).alias("_lives"))
+    rows = changes.dropDuplicates(["id", "seq"]).select("id", "seq", "action", "payload").join(known, "id", "left")
+    late = F.col("_last").isNotNull() & (F.col("seq") <= F.col("_last"))
+    turns = F.when(~late & F.col("action").isin("create", "delete"), F.col("action") == "create")
+    earlier = W.partitionBy("id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    lives = F.coalesce(F.last(turns, ignorenulls=True).over(earlier), F.col("_lives"), F.lit(False))
+    return rows.withColumn("_alive", lives).withColumn(
+        "reason", F.when(late, LATE).when((F.col("action") != "create") & ~F.col("_alive"), UNKNOWN_ID)).drop("_last", "_lives", "_alive")
+
+
+def next_state(decided: DataFrame, state: DataFrame) -> DataFrame:
+    """The state after the changes that took effect: a delete forgets all
+    fields and leaves a tombstone; other changes set their non-null fields."""
+    ok = decided.filter("reason is null").withColumn("m", payload_map("payload"))
+    ok = ok.withColumn("_del", F.max(F.when(F.col("action") == "delete", F.col("seq"))).over(W.partitionBy("id")))
+    counts = F.col("_del").isNull() | (F.col("seq") > F.col("_del"))
+    new = ok.groupBy("id").agg(
+        *[F.max_by(F.col("m")[f], F.when(counts & F.col("m")[f].isNotNull(), F.col("seq"))).alias(f"_{f}") for f in STATE_FIELDS],
+        F.max("seq").alias("_seq"), F.max("_del").alias("_cut"),
+        (F.max_by("action", "seq") == "delete").alias("_gone"))
+    j = state.join(new, "id", "full")
+    touched = F.col("_seq").isNotNull()
+    return j.select("id", *[F.when(F.col("_cut").isNotNull(), F.col(f"_{f}")).otherwise(F.coalesce(f"_{f}", f)).alias(f)
+                            for f in STATE_FIELDS],
+                    F.coalesce("_seq", "last_seq").alias("last_seq"),
+                    F.when(touched, F.col("_gone")).otherwise(F.col("deleted")).alias("deleted"))
 
 
 def apply_change_stream(spark: SparkSession, changes: DataFrame, base: str,
                         checkpoint: str) -> list[str]:
     """T1 + T2: run the change stream to the end of the available input
-    (``availableNow``) and return the snapshot folders written, in order."""
+    (``availableNow``) and return the state folders written, in order."""
     written: list[str] = []
 
     def apply_batch(batch: DataFrame, batch_id: int) -> None:
-        # previous snapshot = newest folder of an earlier batch (found by
-        # listing, so a restarted driver picks up where it stopped)
-        done = [p for p in list_batches(batch.sparkSession, f"{base}/snapshot")
-                if _batch_no(p) < batch_id]
-        prev = done[-1] if done else None
-        state = _read_state(batch.sparkSession, prev)
-        arrived = batch.dropDuplicates(["id", "seq"]).select("id", "seq", "action", "payload")
-        # per-id order is required across batches: a change at or below the
-        # id's last applied seq is late; it is rejected, not applied
-        applied = state.select("id", F.col("last_seq").alias("_applied"))
-        tagged = arrived.join(applied, "id", "left")
-        late = F.col("_applied").isNotNull() & (F.col("seq") <= F.col("_applied"))
-        (tagged.filter(late).select("id", "seq", "action", F.lit("late change").alias("reason"))
-         .write.mode("overwrite").parquet(f"{base}/rejects/batch={batch_id:012d}"))
-        fresh = tagged.filter(~late).drop("_applied")
-        folded = fold_change_log(_state_as_changes(state).unionByName(fresh), STATE_FIELDS)
-        path = f"{base}/snapshot/batch={batch_id:012d}"
-        folded.select("id", *STATE_FIELDS, "last_seq").write.mode("overwrite").parquet(path)
-        # The accepted changes of this batch as event envelopes
-        (fresh.select(F.lit("profile").alias("type"),
-                      F.concat(F.col("action"), F.lit("d")).alias("action"),
-                      "id", "payload", "seq")
-         .write.mode("overwrite").json(f"{base}/events/batch={batch_id:012d}"))
+        session, tag = batch.sparkSession, f"batch={batch_id:012d}"
+        arrived = batch.withColumn("bucket", _bucket())
+        # the batch is read several times: once from the source, then from the shared folder
+        arrived.write.mode("overwrite").parquet(f"{base}/arrived/{tag}")
+        arrived = session.read.parquet(f"{base}/arrived/{tag}")
+        buckets = {r.bucket for r in arrived.select("bucket").distinct().collect()}   # at most STATE_BUCKETS
+        state = _read_state(session, base, batch_id, buckets)
+        decide(arrived, state).write.mode("overwrite").parquet(f"{base}/decided/{tag}")
+        decided = session.read.parquet(f"{base}/decided/{tag}")
+        (decided.filter("reason is not null").select("id", "seq", "action", "reason")
+         .write.mode("overwrite").parquet(f"{base}/rejects/{tag}"))
+        path = f"{base}/state/{tag}"
+        (next_state(decided, state).withColumn("bucket", _bucket())
+         .write.mode("overwrite").partitionBy("bucket").parquet(path))
+        # What took effect, as event envelopes
+        (decided.filter("reason is null")
+         .select(F.lit("profile").alias("type"), F.concat(F.col("action"), F.lit("d")).alias("action"), "id", "payload", "seq")
+         .write.mode("overwrite").json(f"{base}/events/{tag}"))
         written.append(path)
 
     q = (changes.writeStream.foreachBatch(apply_batch)
@@ -119,91 +152,55 @@ def _batch_no(path: str) -> int:
     return int(path.rstrip("/").rsplit("batch=", 1)[1])
 
 
-def list_batches(spark: SparkSession, folder: str) -> list[str]:
-    """Batch-tagged sub-folders of ``folder``, oldest first (Hadoop
-    FileSystem listing, so it works on any shared file system)."""
+def list_folders(spark: SparkSession, folder: str, prefix: str) -> list[str]:
+    """Sub-folders of ``folder`` with a prefix, by name (Hadoop FileSystem
+    listing, so it works on any shared file system)."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return []
-    found = [st.getPath().toString() for st in fs.listStatus(path)
-             if st.isDirectory() and st.getPath().getName().startswith("batch=")]
-    return sorted(found, key=_batch_no)
+    return sorted(st.getPath().toString() for st in fs.listStatus(path)
+                  if st.isDirectory() and st.getPath().getName().startswith(prefix))
 
 
 def latest_snapshot(spark: SparkSession, base: str) -> DataFrame:
-    """The newest snapshot under ``base`` (by listing: also right after a
-    restart that found no new input)."""
-    done = list_batches(spark, f"{base}/snapshot")
-    return _read_state(spark, done[-1] if done else None)
-
-
-def daily_demand_stream(bookings: DataFrame) -> DataFrame:
-    """Streaming A1 over arriving booking rows (booking_created plus the
-    three segment keys, as booking records carry them). Counted per booking
-    day and segment; the one-day watermark bounds the state: days older than
-    the watermark are final and their state is dropped."""
-    return (bookings.withWatermark("booking_created", "1 day")
-            .groupBy(F.window("booking_created", "1 day"), *SEGMENT_COLUMNS)
-            .agg(F.count(F.lit(1)).cast("int").alias("demand"))
-            .select(F.to_date(F.col("window.start")).alias("booking_date"), *SEGMENT_COLUMNS,
-                    "demand"))
-
-
-def line_items_as_bookings(spark: SparkSession, sf_dir: str, line_items: DataFrame) -> DataFrame:
-    """Stand-in adapter: turn a stream of line items into booking rows with
-    stream-static joins to orders, parts and customers. (Real booking events
-    carry these keys; the joins exist only because the test data is split
-    into TPC-H-like tables. With large dimensions each micro-batch re-reads
-    them, so a production feed should not need this step.)"""
-    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate",
-                                                   "o_orderpriority")
-    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_size")
-    n = F.broadcast(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"))
-    c = (read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-         .join(n, F.col("c_nationkey") == F.col("n_nationkey")))
-    return (line_items.select("l_orderkey", "l_partkey")
-            .join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(p, F.col("l_partkey") == F.col("p_partkey"))
-            .join(c, F.col("o_custkey") == F.col("c_custkey"))
-            .select(F.col("o_orderdate").cast("timestamp").alias("booking_created"),
-                    F.col("n_regionkey").alias("from_area_id"),
-                    (F.col("p_size") % VEHICLE_MODELS).alias("vehicle_model_id"),
-                    F.coalesce(F.substring("o_orderpriority", 1, 1).try_cast("double")
-                               .try_cast("int"), F.lit(0)).alias("travel_type_id")))
-
-
-def run_update_stream(agg: DataFrame, base: str, checkpoint: str, keys: list[str]) -> DataFrame:
-    """Run an aggregating stream in update mode to the end of the available
-    input; each batch's updated rows go to a batch-tagged folder. The result
-    is the last version of every key (max_by over the batch id)."""
+    """The rows that exist now (by listing: also right after a restart that
+    found no new input)."""
+    return _read_state(spark, base).filter(~F.col("deleted")).drop("deleted")
+
+
+def arriving(rows: DataFrame, folder: str, files: int = 4) -> DataFrame:
+    """Stand-in for a feed: ``rows`` written as files that arrive one per
+    micro-batch, in no useful order."""
+    rows.repartition(files).write.mode("overwrite").parquet(folder)
+    return (rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder))
+
+
+def run_daily_demand(bookings: DataFrame, base: str, checkpoint: str) -> DataFrame:
+    """Streaming A1 over arriving booking rows (booking_date and the three
+    segment keys). A micro-batch writes its counts to a folder of its own, and
+    the sum over all folders is the demand, in whatever order rows arrive."""
+    keys = ["booking_date", *SEGMENT_COLUMNS]
+
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("_batch", F.lit(batch_id))
-         .write.mode("overwrite").parquet(f"{base}/updates/batch={batch_id:012d}"))
+        (batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+         .write.mode("overwrite").parquet(f"{base}/counts/batch={batch_id:012d}"))
 
-    q = (agg.writeStream.outputMode("update").foreachBatch(write_batch)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q = (bookings.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
     q.awaitTermination()
-    spark = agg.sparkSession
-    ups = spark.read.parquet(f"{base}/updates")
-    vals = [c for c in ups.columns if c not in keys and c not in ("_batch", "batch")]
-    return (ups.groupBy(*keys)
-            .agg(F.max_by(F.struct(*vals), "_batch").alias("_v"))
-            .select(*keys, "_v.*"))
-
-
-def score_stream(stream: DataFrame, feature_fn, model, base: str, checkpoint: str,
-                 keep: list[str]) -> DataFrame:
-    """T4: stateless scoring of arriving rows, appended to files."""
-    scored = model.transform(feature_fn(stream))
-    out = scored.select(*keep, F.col("prediction").cast("int").alias("prediction"),
-                        F.element_at(F.col("probability_array"), 2).alias("score")) \
-        if "probability_array" in scored.columns else scored
-    q = (out.writeStream.format("parquet").option("path", f"{base}/scores")
+    counts = bookings.sparkSession.read.parquet(f"{base}/counts")
+    return counts.groupBy(*keys).agg(F.sum("n").cast("int").alias("demand"))
+
+
+def score_stream(scored: DataFrame, base: str, checkpoint: str) -> DataFrame:
+    """T4: append the scores of arriving rows (any stateless projection of a
+    stream) to files."""
+    q = (scored.writeStream.format("parquet").option("path", f"{base}/scores")
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return stream.sparkSession.read.parquet(f"{base}/scores")
+    return scored.sparkSession.read.parquet(f"{base}/scores")
 
 
 def fresh_dirs(spark: SparkSession, name: str) -> tuple[str, str]:

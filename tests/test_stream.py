@@ -32,10 +32,10 @@ def test_late_changes_are_rejected_not_applied(spark, tmp_dir):
     out, ckpt = ST.fresh_dirs(spark, "late")
     written = ST.apply_change_stream(spark, ST.change_rows(stream), out, ckpt)
     assert len(written) == 2
-    rejects = spark.read.parquet(f"{out}/rejects")
+    rejects = spark.read.parquet(f"{out}/rejects").filter(F.col("reason") == ST.LATE)
     first = spark.read.parquet(written[0])
     assert rejects.count() > 0
-    # every rejected change is older than its id's state after batch 0
+    # every late change is older than its id's state after batch 0
     bad = rejects.join(first.select("id", "last_seq"), "id").filter("seq > last_seq")
     assert bad.count() == 0
 
@@ -61,18 +61,63 @@ def test_change_stream_over_many_batches_equals_batch_fold(spark, tmp_dir):
     # a restart on the same checkpoint finds no new input and keeps the state
     again = ST.apply_change_stream(spark, ST.change_rows(stream), out, ckpt)
     assert again == [] and ST.latest_snapshot(spark, out).count() == len(want)
-    # Envelopes for every change
-    assert spark.read.json(f"{out}/events").count() == ev.count()
+    # Every change is an envelope or a reject
+    events, rejects = spark.read.json(f"{out}/events"), spark.read.parquet(f"{out}/rejects")
+    assert events.count() + rejects.count() == ev.count() and rejects.filter("reason <> 'unknown_id'").count() == 0
+
+
+def _run_batches(spark, tmp_dir, batches, name):
+    """The state after micro-batches of (id, seq, action, payload)."""
+    schema = "id long, seq long, action string, payload string"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{tmp_dir}/b{i}")
+        f = [x for x in os.listdir(f"{tmp_dir}/b{i}") if x.endswith(".parquet")][0]
+        os.makedirs(f"{tmp_dir}/feed", exist_ok=True)
+        os.link(f"{tmp_dir}/b{i}/{f}", f"{tmp_dir}/feed/{i}.parquet")
+        os.utime(f"{tmp_dir}/feed/{i}.parquet", (1_600_000_000 + i, 1_600_000_000 + i))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_dir}/feed")
+    out, ckpt = ST.fresh_dirs(spark, name)
+    ST.apply_change_stream(spark, stream, out, ckpt)
+    rejects = {(r.id, r.seq): r.reason for r in spark.read.parquet(f"{out}/rejects").collect()}
+    events = {(r.id, r.seq) for r in spark.read.schema("id long, seq long").json(f"{out}/events").collect()}
+    return {r.id: (r.k, r.value) for r in ST.latest_snapshot(spark, out).collect()}, rejects, events
+
+
+def test_deleted_ids_stay_deleted(spark, tmp_dir):
+    state, rejects, events = _run_batches(spark, tmp_dir, [
+        [(1, 1, "create", '{"k":"a"}'), (1, 5, "delete", None), (2, 2, "create", '{"k":"b"}')],
+        [(1, 3, "create", '{"k":"late"}'), (7, 6, "update", '{"k":"nobody"}')],
+        [(2, 8, "update", '{"value":"4"}'), (1, 9, "update", '{"k":"gone"}'), (3, 7, "delete", None)],
+        [(1, 10, "create", '{"k":"again"}')]], "tombstone")
+    assert state == {1: ("again", None), 2: ("b", "4")}
+    assert rejects == {(1, 3): ST.LATE, (7, 6): "unknown_id", (1, 9): "unknown_id", (3, 7): "unknown_id"}
+    assert events == {(1, 1), (1, 5), (2, 2), (2, 8), (1, 10)}
+
+
+def test_batch_borders_do_not_matter(spark, tmp_dir):
+    import random
+    rng, rows = random.Random(7), []
+    for seq in range(1, 61):
+        action = rng.choice(["create", "update", "update", "delete"])
+        rows.append((rng.randint(1, 5), seq, action, None if action == "delete" else '{"k":"%d"}' % seq))
+    want = None
+    for n, size in enumerate((60, 12, 25)):
+        parts = [rows[i:i + size] for i in range(0, 60, size)]
+        os.makedirs(f"{tmp_dir}/{n}", exist_ok=True)
+        got = _run_batches(spark, f"{tmp_dir}/{n}", parts, f"borders-{n}")
+        assert want is None or got == want
+        want = got
+    folded = fold_change_log(spark.createDataFrame(rows, "id long, seq long, action string, payload string"), ["k", "value"])
+    assert want[0] == {r.id: (r.k, r.value) for r in folded.collect()}
 
 
 def test_daily_demand_stream_equals_batch(spark):
     from fleetcast.operators.demand import daily_segment_counts
     from fleetcast.sources.tables import load_history, segment_history
     out, ckpt = ST.fresh_dirs(spark, "d")
-    agg = ST.daily_demand_stream(ST.line_items_as_bookings(
-        spark, SMALL, ST.table_stream(spark, SMALL, "lineitem")))
     keys = ["booking_date", "from_area_id", "vehicle_model_id", "travel_type_id"]
-    got = ST.run_update_stream(agg, out, ckpt, keys)
-    want = daily_segment_counts(load_history(segment_history(spark, SMALL)))
+    rows = load_history(segment_history(spark, SMALL))
+    got = ST.run_daily_demand(ST.arriving(rows, f"{out}/feed", 6), out, ckpt)
+    want = daily_segment_counts(rows)
     assert got.select(*keys, "demand").exceptAll(want.select(*keys, "demand")).count() == 0
     assert want.exceptAll(got.select(*keys, "demand")).count() == 0
