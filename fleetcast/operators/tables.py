@@ -11,15 +11,48 @@ idempotent.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetcast.functions.buckets import quantile_buckets
+from fleetcast.functions.buckets import BUCKETS, quantile_buckets
 from fleetcast.functions.coerce import falsy_default, pick, to_bool
 from fleetcast.session import materialize
 from fleetcast.sources.snapshots import COMMENT, ROLES, conform
 
 
+# Reason codes of rejected changes.
+NO_ACTIVE_USER, OWNERS_ONLY, ADMINS_ONLY = "no_active_user", "owners_only", "admins_only"
+UNKNOWN_ID, UNKNOWN_VEHICLE, UNKNOWN_REPORT, UNKNOWN_ROLE = "unknown_id", "unknown_vehicle", "unknown_report", "unknown_role"
+NOT_OWN_VEHICLE, NOT_OWN_BOOKINGS, OWNER_MAY_NOT_BOOK = "not_own_vehicle", "not_own_bookings", "owner_may_not_book"
+IDENTITY_MISSING, IDENTITY_TAKEN, SEVERAL_USERS = "identity_missing", "identity_taken", "several_users"
+BAD_VALUE = "bad_value"
+
+# Payload names of each column, the first non-null one wins.
+ALIASES = {
+    "users": {"email": ("email", "username"), "username": ("username", "email"), "password": ("password",),
+              "first_name": ("firstName", "first_name"), "last_name": ("lastName", "last_name"),
+              "middle_name": ("middleName", "middle_name"), "sex": ("sex",), "date_of_birth": ("dateOfBirth", "date_of_birth"),
+              "role": ("role",), "active": ("active",), "photo_uri": ("photoUri", "photo_url")},
+    "vehicles": {"name": ("name",), "brand": ("brand",), "model": ("model",), "year": ("year",),
+                 "price_per_day": ("pricePerDay", "price", "daily_rate"), "available": ("available",),
+                 "photo_uri": ("photoUri", "photo_url", "photo", "image"), "type": ("type",), "transmission": ("transmission",),
+                 "fuel": ("fuel",), "seats": ("seats",), "location": ("location",), "description": ("description",),
+                 "owner_id": ("ownerId", "owner_id", "owner", "user_id"), "owner_email": ("ownerEmail", "owner_email"),
+                 "owner_name": ("ownerName", "owner_name"), "approval_status": ("approvalStatus", "approval_status"),
+                 "status": ("status",)},
+    "bookings": {"status": ("status",), "notes": ("notes",), "cancel_reason": ("cancelReason", "cancel_reason"),
+                 "amount": ("amount", "totalPrice", "total_price"), "start_date": ("startDate", "start_date", "fromDate", "from"),
+                 "end_date": ("endDate", "end_date", "toDate", "to"), "renter_name": ("renterName", "renter_name"),
+                 "renter_email": ("renterEmail", "renter_email")},
+    "logreports": {"type": ("type",), "vehicle_name": ("vehicleName", "vehicle_name"), "renter_name": ("renterName", "renter_name"),
+                   "start_date": ("startDate", "start_date"), "end_date": ("endDate", "end_date"), "amount": ("amount",),
+                   "issues": ("issues",), "notes": ("notes",), "odometer": ("odometer",), "fuel_level": ("fuelLevel", "fuel_level"),
+                   "photos": ("photos",), "custom_labels": ("customLabels", "custom_labels"), "checkout": ("checkout",)},
+}
+
+
 def norm_identity(c) -> Column:
     """C20: trim + lower."""
     return F.lower(F.trim(F.col(c) if isinstance(c, str) else c))
@@ -127,7 +160,7 @@ def newest(frame: DataFrame, n: int | None = None) -> DataFrame:
 # ---- distributed dense numbering -------------------------------------------------
 
 def ordered_index(frame: DataFrame, order_col: str, name: str = "idx",
-                  buckets: int | None = None) -> DataFrame:
+                  buckets: int = BUCKETS) -> DataFrame:
     """1..N in ``order_col`` order (ties broken arbitrarily), without pulling
     all rows into one partition: range buckets from approximate quantiles,
     per-bucket counts, a prefix sum over the (tiny) bucket table and a
@@ -154,49 +187,80 @@ def next_ids(snapshot: DataFrame, batch: DataFrame, order_col: str = "seq") -> D
 
 # ---- change application ----------------------------------------------------------
 
-def latest_values(changes: DataFrame, key: str, seq: str, fields: list[str],
+def latest_values(changes: DataFrame, key: str, seq: str, fields: dict[str, tuple[str, ...]],
                   keep_nulls: bool = False) -> DataFrame:
-    """M7 core: per key and field, the value of the latest change.
+    """M7 core: per key and field, the value of the latest change. ``fields``
+    maps a field to its payload names (P1).
 
     ``keep_nulls`` False (M3): latest non-null value. True (M4): latest change
-    whose payload contains the key, even with a null value. Changes arrive as
+    whose payload contains a name, even with a null value. Changes arrive as
     a map column ``m``.
     """
     aggs = []
-    for f in fields:
-        present = (F.map_contains_key("m", f) if keep_nulls else F.col("m")[f].isNotNull())
-        aggs.append(F.max_by(F.struct(F.lit(True).alias("set"), F.col("m")[f].alias("v")),
-                             F.when(present, F.col(seq))).alias(f"_{f}"))
+    for f, names in fields.items():
+        value = pick(F.col("m"), *names)
+        present = value.isNotNull()
+        if keep_nulls:
+            present = F.coalesce(functools.reduce(lambda x, y: x | y, [F.map_contains_key("m", n) for n in names]), F.lit(False))
+        aggs.append(F.max_by(F.struct(F.lit(True).alias("set"), value.alias("v")), F.when(present, F.col(seq))).alias(f"_{f}"))
     return changes.groupBy(key).agg(*aggs, F.max(seq).alias("last_seq"))
 
 
-def apply_patches(snapshot: DataFrame, patches: DataFrame, key: str, fields: dict[str, str],
+def apply_patches(snapshot: DataFrame, patches: DataFrame, key: str, fields: dict[str, tuple[str, ...]],
                   keep_nulls: bool = False) -> tuple[DataFrame, DataFrame]:
-    """M3 / M4 + M12: patch rows by id; several patches per id are folded in
-    sequence order first. ``fields`` maps payload key -> column.
-
-    Returns (patched rows, rejects for unknown ids). Columns absent from all
-    patches keep their current value.
+    """M3 / M4 + M12: patch rows by id. ``fields`` maps a column to its payload
+    names (ALIASES). Several patches of one id are folded in sequence order.
+
+    Returns (patched rows, rejects with id, seq and reason). A patch is
+    rejected as a whole when one of its values doesn't fit the column's type;
+    a patch of an unknown id has its own reject row too. Columns that no patch
+    names keep their value; ``updated_at`` (if the patches carry ``ts``) takes
+    the time of the last patch.
     """
-    folded = latest_values(patches.withColumn("m", payload_map("payload")), "id", "seq",
-                           list(fields), keep_nulls)
-    rejects = (folded.join(snapshot, folded["id"] == snapshot[key], "left_anti")
-               .select("id", F.col("last_seq").alias("seq"),
-                       F.lit("not found").alias("reason")))
-    j = snapshot.join(folded.withColumnRenamed("id", "_pid"),
-                      snapshot[key] == F.col("_pid"), "left")
+    p = patches.withColumn("m", payload_map("payload"))
+    types = {c: snapshot.schema[c].dataType.simpleString() for c in fields}
+    bad = F.lit(False)
+    for c, names in fields.items():
+        value = pick(F.col("m"), *names)
+        if types[c] != "string":
+            bad = bad | (value.isNotNull() & _typed(value, types[c]).isNull())
+    p = p.withColumn("_bad", bad)
+    good = p.filter(~F.col("_bad"))
+    known = snapshot.select(F.col(key).alias("_sid"))
+    unknown = good.join(known, good["id"] == known["_sid"], "left_anti")
+    rejects = (p.filter("_bad").select("id", "seq", F.lit(BAD_VALUE).alias("reason"))
+               .unionByName(unknown.select("id", "seq", F.lit(UNKNOWN_ID).alias("reason"))))
+    folded = latest_values(good, "id", "seq", fields, keep_nulls)
+    if "ts" in patches.columns:
+        folded = folded.join(good.groupBy(F.col("id").alias("_tid")).agg(F.max_by("ts", "seq").alias("_ts")),
+                             F.col("id") == F.col("_tid")).drop("_tid")
+    j = snapshot.join(folded.withColumnRenamed("id", "_pid"), snapshot[key] == F.col("_pid"), "left")
     cols = []
     for c in snapshot.columns:
-        src = [p for p, col in fields.items() if col == c]
-        if src:
-            s = F.col(f"_{src[0]}")
-            new = s["v"].cast(snapshot.schema[c].dataType)
-            cols.append(F.when(s["set"].isNotNull(), new).otherwise(F.col(c)).alias(c))
+        if c in fields:
+            s = F.col(f"_{c}")
+            cols.append(F.when(s["set"].isNotNull(), _typed(s["v"], types[c])).otherwise(F.col(c)).alias(c))
+        elif c == "updated_at" and "ts" in patches.columns:
+            stamp = F.date_format(F.col("_ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+            cols.append(F.coalesce(stamp, F.col(c)).alias(c))
         else:
             cols.append(F.col(c))
     return j.select(*cols), rejects
 
 
+def _typed(value: Column, kind: str) -> Column:
+    """Payload text as a column's type; null where it doesn't fit. Whole
+    numbers may be written with a fraction of 0, and never pass through a
+    double unless they are."""
+    if kind in ("int", "bigint"):
+        plain, real = value.try_cast("bigint"), value.try_cast("double")
+        whole = F.coalesce(plain, F.when(real == F.floor(real), real.try_cast("bigint")))
+        return whole if kind == "bigint" else whole.try_cast("int")
+    if kind == "boolean":
+        return to_bool(value)
+    return value.try_cast(kind)
+
+
 def delete_rows(snapshot: DataFrame, deletes: DataFrame, key: str = "id"
                 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """M6: (remaining rows, removed rows, rejects for ids not found)."""
@@ -204,10 +268,24 @@ def delete_rows(snapshot: DataFrame, deletes: DataFrame, key: str = "id"
     remaining = snapshot.join(d, snapshot[key] == d["_did"], "left_anti")
     removed = snapshot.join(d, snapshot[key] == d["_did"], "left_semi")
     rejects = (d.join(snapshot, d["_did"] == snapshot[key], "left_anti")
-               .select(F.col("_did").alias("id"), "seq", F.lit("not found").alias("reason")))
+               .select(F.col("_did").alias("id"), "seq", F.lit(UNKNOWN_ID).alias("reason")))
     return remaining, removed, rejects
 
 
+SALTS = 16      # tasks that the changes of one id may be spread over
+
+
+def _per_id(changes: DataFrame, known: DataFrame, keep: Column, *aggs) -> DataFrame:
+    """Aggregates over the changes of each id that ``keep`` lets through, given
+    one ``known`` row per id. The join is on (id, salt): a hot id's changes are
+    spread over SALTS tasks and reduced there before they meet."""
+    salted = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = (changes.select("id", "seq", "action", F.pmod(F.xxhash64("seq"), F.lit(SALTS)).cast("int").alias("_salt"))
+            .join(salted, ["id", "_salt"]).filter(keep))
+    part = rows.groupBy("id", "_salt").agg(*[f(F.expr(x)).alias(n) for n, f, x, _ in aggs])
+    return part.groupBy("id").agg(*[g(n).alias(n) for n, _, _, g in aggs])
+
+
 def fold_change_log(changes: DataFrame, fields: list[str]) -> DataFrame:
     """M7: the state each id ends in after a log of create / update / delete
     changes applied in ``seq`` order, starting from no row.
@@ -215,20 +293,25 @@ def fold_change_log(changes: DataFrame, fields: list[str]) -> DataFrame:
     A delete is a barrier: only changes after the last delete count, and the
     row exists from the first create after it (updates before that find no
     row and are rejected by the reference). Each field then takes its latest
-    non-null value. One shuffle by id; no per-row loop.
+    non-null value.
+
+    One aggregate per id (map-side combined) has the last delete and each
+    field's latest value with its seq. Two more passes over (id, seq, action)
+    find the birth and count what was applied; their joins are salted, so the
+    changes of a hot id never meet in one task before they are reduced. A field
+    whose latest value is older than the birth is null.
     """
-    barrier = changes.groupBy("id").agg(
-        F.max(F.when(F.col("action") == "delete", F.col("seq"))).alias("_del"))
-    after = (changes.join(barrier, "id")
-             .filter(F.col("_del").isNull() | (F.col("seq") > F.col("_del"))))
-    born = after.groupBy("id").agg(
-        F.min(F.when(F.col("action") == "create", F.col("seq"))).alias("_born"))
-    live = (after.join(born, "id").filter(F.col("seq") >= F.col("_born"))
-            .withColumn("m", payload_map("payload")))
-    folded = latest_values(live, "id", "seq", fields)
-    counts = live.groupBy("id").agg(F.count(F.lit(1)).alias("changes_applied"))
-    return folded.join(counts, "id").select(
-        "id", *[F.col(f"_{f}")["v"].alias(f) for f in fields], "changes_applied", "last_seq")
+    m = payload_map("payload")
+    latest = changes.withColumn("m", m).groupBy("id").agg(
+        F.max(F.when(F.col("action") == "delete", F.col("seq"))).alias("_del"), F.max("seq").alias("last_seq"),
+        *[F.max(F.when(F.col("m")[f].isNotNull(), F.struct("seq", F.col("m")[f].alias("v")))).alias(f"_{f}") for f in fields])
+    barrier = latest.select("id", F.coalesce("_del", F.lit(-(1 << 62))).alias("_del"))
+    born = _per_id(changes.filter("action = 'create'"), barrier, F.col("seq") > F.col("_del"),
+                   ("_born", F.min, "seq", F.min))
+    applied = _per_id(changes, born, F.col("seq") >= F.col("_born"), ("changes_applied", F.count, "seq", F.sum))
+    return latest.join(born, "id").join(applied, "id").select(
+        "id", *[F.when(F.col(f"_{f}.seq") >= F.col("_born"), F.col(f"_{f}.v")).alias(f) for f in fields],
+        "changes_applied", "last_seq")
 
 
 # ---- users: upsert and register (M1, M2, J8, M10) --------------------------------
@@ -269,26 +352,28 @@ def _match_users(users: DataFrame, p: DataFrame) -> DataFrame:
             .agg(F.min("uid").alias("match_id"), F.countDistinct("uid").alias("matches")))
 
 
-def upsert_users(users: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """M1: returns (updated rows, inserted rows, rejects).
+def upsert_users(users: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """M1: returns (updated rows, inserted rows, rejects, superseded changes).
 
     Match on e-mail or username; a match overwrites every field with the
     payload value or its default (not the current value). Missing e-mail,
     username or password, or a change matching two different users (it would
-    break uniqueness) is rejected. Changes in one batch are independent;
-    when several hit the same user, the last one (highest seq) wins.
+    break uniqueness) is rejected, and so is one that takes an e-mail or
+    username which another user of the result holds. When several changes hit
+    the same user, the last one (highest seq) wins and the others are
+    superseded: every change has exactly one outcome.
     """
     p = _user_payload(batch)
     missing = (p["email"] == "") | (p["username"] == "") | (p["password"] == "")
     rejects_missing = p.filter(missing).select(
-        "seq", F.lit("email, username, and password are required").alias("reason"))
+        "seq", F.lit(IDENTITY_MISSING).alias("reason"))
     valid = p.filter(~missing)
     m = _match_users(users, valid)
     # parsed changes with their matches: read by the update, insert and
     # reject branches, so written once
     j = materialize(valid.join(m, "seq", "left"), "user-matches")
     rejects_multi = j.filter(F.col("matches") > 1).select(
-        "seq", F.lit("matches more than one user").alias("reason"))
+        "seq", F.lit(SEVERAL_USERS).alias("reason"))
     upd = j.filter(F.col("matches") == 1)
     # last change per user: an aggregate (partial per task), safe for a hot user
     fields = [c for c in upd.columns if c not in ("match_id",)]
@@ -298,8 +383,26 @@ def upsert_users(users: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFra
     updated = conform(upd.join(cur, "match_id").withColumnRenamed("match_id", "id"), "users",
                       keep=["seq"])
     ins = _fold_new_users(j.filter(F.col("matches").isNull()))
+    # the identities of the result must stay unique: of several rows that want one e-mail or username, an
+    # untouched user keeps it, else the earliest change has it
+    claims = materialize(upd.select("seq", "match_id", "email", "username")
+                         .unionByName(ins.select("seq", F.lit(None).cast("long").alias("match_id"), "email", "username")), "user-claims")
+    rest = users.join(claims.select(F.col("match_id").alias("id")), "id", "left_anti").select(
+        F.lit(None).cast("long").alias("seq"), norm_identity("email").alias("email"), norm_identity("username").alias("username"))
+    lost = None
+    for name in ("email", "username"):
+        holders = claims.select("seq", name).unionByName(rest.select("seq", name))
+        first = holders.groupBy(name).agg(F.min(F.coalesce("seq", F.lit(-1))).alias("_first"))
+        beaten = claims.join(first, name).filter(F.col("seq") > F.col("_first")).select("seq")
+        lost = beaten if lost is None else lost.unionByName(beaten)
+    lost = materialize(lost.distinct(), "user-lost")
+    ins = ins.join(lost, "seq", "left_anti")
+    updated = updated.join(lost, "seq", "left_anti")
     inserted = conform(next_ids(users, ins), "users", keep=["seq"])
-    return updated, inserted, rejects_missing.unionByName(rejects_multi)
+    rejects = rejects_missing.unionByName(rejects_multi).unionByName(lost.select("seq", F.lit(IDENTITY_TAKEN).alias("reason")))
+    superseded = (j.filter(F.col("matches").isNull() | (F.col("matches") == 1)).select("seq")
+                  .join(claims.select("seq"), "seq", "left_anti"))
+    return updated, inserted, rejects, superseded
 
 
 def _fold_new_users(ins: DataFrame) -> DataFrame:
@@ -317,25 +420,34 @@ def _fold_new_users(ins: DataFrame) -> DataFrame:
 
 def register_users(users: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """M2 + M10: insert only when neither e-mail nor username exists yet and
-    the role is valid; within a batch, the lowest seq of a duplicate wins.
-    Returns (inserted rows, rejects)."""
+    the role is valid and neither is empty; within a batch, the result is that
+    of the changes applied one by one in seq order. Returns (inserted rows, rejects)."""
     p = _user_payload(batch)
-    bad_role = ~p["role"].isin(*ROLES)
     m = _match_users(users, p)
-    j = p.join(m, "seq", "left")
-    # in-batch duplicates: the first change per e-mail and per username wins
-    # (min aggregates: partial per task, safe for a hot e-mail)
-    fe = p.groupBy("email").agg(F.min("seq").alias("_fe"))
-    fu = p.groupBy("username").agg(F.min("seq").alias("_fu"))
-    j = j.join(fe, "email").join(fu, "username")
-    reason = (F.when(bad_role, "Invalid role. Must be renter, owner, or admin.")
-              .when(F.col("matches").isNotNull() | (F.col("seq") > F.col("_fe"))
-                    | (F.col("seq") > F.col("_fu")),
-                    "Email or username already exists"))
-    j = j.withColumn("reason", reason)
-    rejects = j.filter(F.col("reason").isNotNull()).select("seq", "reason")
-    ok = j.filter(F.col("reason").isNull())
-    inserted = conform(next_ids(users, ok), "users", keep=["seq"])
+    j = p.join(m, "seq", "left").withColumn(
+        "reason", F.when((F.col("email") == "") | (F.col("username") == ""), IDENTITY_MISSING)
+        .when(~F.col("role").isin(*ROLES), UNKNOWN_ROLE)
+        .when(F.col("matches").isNotNull(), IDENTITY_TAKEN))
+    j = materialize(j, "register-candidates")
+    # a change that may itself be refused for a clash must not block a third one: settle the clashes by
+    # rounds, in each of which a change that is the first of its e-mail and of its username is accepted
+    open_ = j.filter("reason is null").select("seq", "email", "username")
+    accepted = None
+    while True:
+        fe = open_.groupBy("email").agg(F.min("seq").alias("_fe"))
+        fu = open_.groupBy("username").agg(F.min("seq").alias("_fu"))
+        won = materialize(open_.join(fe, "email").join(fu, "username").filter("seq = _fe and seq = _fu").select("seq", "email", "username"),
+                          "register-won")
+        accepted = won if accepted is None else accepted.unionByName(won)
+        open_ = materialize(open_.join(won.select("email"), "email", "left_anti").join(won.select("username"), "username", "left_anti"),
+                            "register-open")
+        if open_.isEmpty():
+            break
+    ok = j.join(accepted.select("seq"), "seq", "left_semi")
+    rejects = (j.filter("reason is not null").select("seq", "reason")
+               .unionByName(j.filter("reason is null").join(accepted.select("seq"), "seq", "left_anti")
+                            .select("seq", F.lit(IDENTITY_TAKEN).alias("reason"))))
+    inserted = conform(next_ids(users, ok.drop("reason")), "users", keep=["seq"])
     return inserted, rejects
 
 
@@ -348,8 +460,7 @@ def create_bookings(vehicles: DataFrame, bookings: DataFrame, batch: DataFrame
     mm = F.col("m")
     p = batch.withColumn("m", payload_map("payload")).select(
         "seq",
-        F.coalesce(pick(mm, "vehicle", "vehicleId", "vehicle_id", "car", "carId")
-                   .try_cast("double").try_cast("long"), F.lit(0)).alias("vehicle"),
+        F.coalesce(_typed(pick(mm, "vehicle", "vehicleId", "vehicle_id", "car", "carId"), "bigint"), F.lit(0)).alias("vehicle"),
         norm_identity(pick(mm, "renterEmail", "renter_email", default="")).alias("renter_email"),
         pick(mm, "renterName", "renter_name", default="").alias("renter_name"),
         pick(mm, "renterId", "renter_id", "renter", default="").alias("renter_id"),
@@ -361,7 +472,7 @@ def create_bookings(vehicles: DataFrame, bookings: DataFrame, batch: DataFrame
     v = vehicles.select(F.col("id").alias("vehicle"), F.col("name").alias("vehicle_name"),
                         "owner_id", "owner_email", "owner_name", "price_per_day")
     rejects = p.join(v, "vehicle", "left_anti").select(
-        "seq", F.lit("vehicle not found").alias("reason"))
+        "seq", F.lit(UNKNOWN_VEHICLE).alias("reason"))
     ok = p.join(v, "vehicle")
     ok = ok.select(
         "*",
@@ -380,16 +491,15 @@ def vehicle_change_permissions(changes: DataFrame, users: DataFrame,
     vehicles. Adds ``accepted`` and ``reason``."""
     a = users.select(F.col("id").alias("actor_id"), F.col("role").alias("actor_role"),
                      F.col("active").alias("actor_active"))
-    v = vehicles.select(F.col("id").alias("target_id"), F.col("owner_id").alias("target_owner"))
+    v = vehicles.select(F.col("id").alias("target_id"), F.col("owner_id").alias("target_owner"), F.lit(True).alias("_known"))
     j = changes.join(a, "actor_id", "left").join(v, "target_id", "left")
-    reason = (F.when(F.col("actor_role").isNull() | ~F.col("actor_active"), "Invalid session")
-              .when(~F.col("actor_role").isin("owner", "admin"), "Owner privileges required")
-              .when((F.col("action") != "create") & F.col("target_owner").isNull()
-                    & F.lit(True), "Vehicle not found")
+    reason = (F.when(F.col("actor_role").isNull() | ~F.col("actor_active"), NO_ACTIVE_USER)
+              .when(~F.col("actor_role").isin("owner", "admin"), OWNERS_ONLY)
+              .when((F.col("action") != "create") & F.col("_known").isNull(), UNKNOWN_VEHICLE)
               .when((F.col("actor_role") == "owner") & (F.col("action") != "create")
                     & (F.col("target_owner") != F.col("actor_id").cast("string")),
-                    "You can only edit your own vehicles"))
-    return j.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
+                    NOT_OWN_VEHICLE))
+    return j.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull()).drop("_known")
 
 
 def event_envelopes(rows: DataFrame, type_: Column, action: Column, id_: Column,
@@ -401,8 +511,15 @@ def event_envelopes(rows: DataFrame, type_: Column, action: Column, id_: Column,
 
 # ---- nested fields (N2-N4) and backfill (M9) ----------------------------------------
 
+def unknown_reports(reports: DataFrame, changes: DataFrame) -> DataFrame:
+    """M12 for N3 and N4: comments and checkouts of reports that don't exist."""
+    ids = reports.select(F.col("id").alias("_rid"))
+    return (changes.join(ids, changes["report_id"] == ids["_rid"], "left_anti")
+            .select(F.col("report_id").alias("id"), "seq", F.lit(UNKNOWN_REPORT).alias("reason")))
+
+
 def append_comments(reports: DataFrame, new_comments: DataFrame) -> DataFrame:
-    """N3 + N2: append a batch of comments (report_id, seq, author, message,
+    """N3 + N2 (``unknown_reports`` has the rejects): append a batch of comments (report_id, seq, author, message,
     createdAt, optional ts) to the stored JSON arrays, in seq order; author
     defaults to 'Anonymous', createdAt to the change's timestamp. Comments are grouped per report (a report row holds all of
     its comments by design)."""
@@ -430,7 +547,7 @@ def append_comments(reports: DataFrame, new_comments: DataFrame) -> DataFrame:
 
 def set_checkout(reports: DataFrame, checkouts: DataFrame) -> DataFrame:
     """Replace the checkout object (JSON text) with the latest one per
-    report in the batch."""
+    report in the batch. ``unknown_reports`` has the rejects."""
     last = checkouts.groupBy("report_id").agg(F.max_by("checkout", "seq").alias("_co"))
     j = reports.join(last, reports["id"] == last["report_id"], "left")
     return j.select(*[F.coalesce(F.col("_co"), F.col(c)).alias(c) if c == "checkout"
@@ -438,8 +555,12 @@ def set_checkout(reports: DataFrame, checkouts: DataFrame) -> DataFrame:
 
 
 def backfill(snapshot: DataFrame, corrections: DataFrame, key: str, column: str) -> DataFrame:
-    """M9: keyed column backfill from a correction table."""
-    c = corrections.select(F.col(key).alias("_k"), F.col(column).alias("_v"))
+    """M9: keyed column backfill from a correction table. A key that is
+    corrected more than once takes the correction with the highest ``seq`` (or,
+    without that column, the largest value); rows are never multiplied."""
+    order = F.col("seq") if "seq" in corrections.columns else F.col(column)
+    c = (corrections.filter(F.col(column).isNotNull()).groupBy(F.col(key).alias("_k"))
+         .agg(F.max_by(F.col(column), order).alias("_v")))
     j = snapshot.join(c, snapshot[key] == c["_k"], "left")
     return j.select(*[F.coalesce(F.col("_v"), F.col(x)).alias(x) if x == column else F.col(x)
                       for x in snapshot.columns])
@@ -455,32 +576,33 @@ def write_snapshot(frame: DataFrame, base_path: str, batch_id: int) -> str:
 
 # ---- vehicles: insert with defaults (M5, C23, C24, C25, P1) -------------------------
 
-def create_vehicles(vehicles: DataFrame, batch: DataFrame) -> DataFrame:
-    """M5 for vehicles: aliases (P1), falsy defaults (C23), availability from
+def create_vehicles(vehicles: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """M5 for vehicles (new rows, rejects of payloads with a bad number): aliases (P1), falsy defaults (C23), availability from
     status when absent (C24, truthiness by boolean parse, C25). The default
     year is the year of the change's own timestamp (the reference takes the
     clock at insert time)."""
-    mm = F.col("m")
+    mm, of = F.col("m"), ALIASES["vehicles"]
     p = batch.withColumn("m", payload_map("payload"))
+    bad = functools.reduce(lambda x, y: x | y, [
+        pick(mm, *of[c]).isNotNull() & _typed(pick(mm, *of[c]), t).isNull()
+        for c, t in (("year", "int"), ("price_per_day", "double"), ("seats", "int"))])
+    p = p.withColumn("_bad", bad)
+    rejects = p.filter("_bad").select("seq", F.lit(BAD_VALUE).alias("reason"))
     name = pick(mm, "name", default=pick(mm, "model", default=""))
     model = pick(mm, "model", default=pick(mm, "name", default=""))
     status = pick(mm, "status", default="available")
-    year_default = F.year("ts")
-    rows = p.select(
-        "seq", name.alias("name"), pick(mm, "brand", default="").alias("brand"),
-        model.alias("model"),
-        F.coalesce(F.nullif(pick(mm, "year").try_cast("double").try_cast("int"), F.lit(0)),
-                   year_default).alias("year"),
-        F.coalesce(pick(mm, "pricePerDay", "price", "daily_rate").try_cast("double"),
-                   F.lit(0.0)).alias("price_per_day"),
+    text = ["brand", "photo_uri", "type", "transmission", "fuel", "location", "description", "owner_id", "owner_email", "owner_name"]
+    stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    rows = p.filter(~F.col("_bad")).select(
+        "seq", name.alias("name"), model.alias("model"),
+        *[pick(mm, *of[c], default="").alias(c) for c in text],
+        F.coalesce(F.nullif(_typed(pick(mm, "year"), "int"), F.lit(0)), F.year("ts")).alias("year"),
+        F.coalesce(_typed(pick(mm, *of["price_per_day"]), "double"), F.lit(0.0)).alias("price_per_day"),
         F.coalesce(to_bool(mm["available"]), status == "available").alias("available"),
-        pick(mm, "photoUri", "photo_url", "photo", "image", default="").alias("photo_uri"),
-        F.coalesce(pick(mm, "seats").try_cast("double").try_cast("int"), F.lit(0)).alias("seats"),
-        pick(mm, "ownerId", "owner_id", "owner", "user_id", default="").alias("owner_id"),
-        pick(mm, "ownerEmail", "owner_email", default="").alias("owner_email"),
-        pick(mm, "approvalStatus", "approval_status", default="approved").alias("approval_status"),
-        status.alias("status"))
-    return conform(next_ids(vehicles, rows), "vehicles", keep=["seq"])
+        F.coalesce(_typed(pick(mm, "seats"), "int"), F.lit(0)).alias("seats"),
+        pick(mm, *of["approval_status"], default="approved").alias("approval_status"),
+        status.alias("status"), stamp.alias("created_at"), stamp.alias("updated_at"))
+    return conform(next_ids(vehicles, rows), "vehicles", keep=["seq"]), rejects
 
 
 # ---- bookings: permissions and bulk clear (M8, M6) ------------------------------------
@@ -492,12 +614,12 @@ def booking_change_permissions(changes: DataFrame, users: DataFrame) -> DataFram
     a = users.select(F.col("id").alias("actor_id"), F.col("role").alias("actor_role"),
                      F.col("active").alias("actor_active"))
     j = changes.join(a, "actor_id", "left")
-    reason = (F.when(F.col("actor_role").isNull() | ~F.col("actor_active"), "Invalid session")
+    reason = (F.when(F.col("actor_role").isNull() | ~F.col("actor_active"), NO_ACTIVE_USER)
               .when((F.col("action") == "create") & (F.col("actor_role") == "owner"),
-                    "Owners cannot make bookings")
+                    OWNER_MAY_NOT_BOOK)
               .when((F.col("action") == "clear") & (F.col("actor_role") != "admin")
                     & (F.col("actor_id") != F.col("target_user")),
-                    "Not allowed to clear these bookings"))
+                    NOT_OWN_BOOKINGS))
     return j.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
 
 

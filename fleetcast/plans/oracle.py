@@ -623,7 +623,7 @@ ORACLE["report_view"] = _with(REPORTS) + """
 , firsts AS (
   SELECT conv_id, count(*) AS n, string_agg(role, ',' ORDER BY turn) AS authors,
          sum(length(text)) AS chars
-  FROM conversations WHERE turn < 2 GROUP BY conv_id
+  FROM conversations WHERE turn % 2 = 0 GROUP BY conv_id
 )
 SELECT r.id, 'checkin' AS type, r.id AS vehicleId, r.id AS rentalId, CAST(0.0 AS DOUBLE) AS amount,
        '[]' AS issues, '{"turns":"' || CAST(r.turns AS VARCHAR) || '"}' AS customLabels,
@@ -633,7 +633,7 @@ FROM reports r LEFT JOIN firsts f ON r.id = f.conv_id"""
 
 ORACLE["append_comments"] = _with(REPORTS) + """
 , alls AS (
-  SELECT conv_id, count(*) AS n, string_agg(role, ',' ORDER BY turn) AS authors,
+  SELECT conv_id, count(*) AS n, string_agg(role, ',' ORDER BY turn % 2, turn) AS authors,
          sum(length(text)) AS chars
   FROM conversations GROUP BY conv_id
 )
@@ -668,22 +668,23 @@ SELECT (SELECT max(id) FROM bookings) + row_number() OVER (ORDER BY seq) AS id,
 FROM ok"""
 
 ORACLE["booking_rejects"] = _with(VEHICLES, BOOKINGS, BOOKING_BATCH) + """
-SELECT seq, 'create' AS action, 'vehicle not found' AS reason
+SELECT seq, 'create' AS action, 'unknown_vehicle' AS reason
 FROM bb WHERE vehicle NOT IN (SELECT id FROM vehicles)
 UNION ALL
-SELECT max(event_id) AS seq, 'update' AS action, 'not found' AS reason
-FROM events WHERE event_type = 'click' AND event_id * 2 NOT IN (SELECT id FROM bookings)
-GROUP BY event_id * 2"""
+SELECT event_id AS seq, 'update' AS action, 'unknown_id' AS reason
+FROM events WHERE event_type = 'click' AND event_id * 2 NOT IN (SELECT id FROM bookings)"""
 
 USER_BATCH = """
 ub_raw AS (
   SELECT event_id AS seq, user_id AS u,
+    CASE WHEN event_id % 11 = 0 THEN 'fam' || CAST(user_id % 20 AS VARCHAR) || '@fleet.test' ELSE
     CASE event_id % 3 WHEN 0 THEN '  ' || upper(printf('customer.%09d@fleet.test', user_id)) || ' '
                       WHEN 1 THEN 'new' || CAST(event_id AS VARCHAR) || '@fleet.test'
-                      ELSE printf('customer.%09d@fleet.test', user_id + 2) END AS email_raw,
+                      ELSE printf('customer.%09d@fleet.test', user_id + 2) END END AS email_raw,
+    CASE WHEN event_id % 11 = 0 THEN 'fam' || CAST(event_id % 13 AS VARCHAR) ELSE
     CASE event_id % 3 WHEN 0 THEN 'new' || CAST(event_id AS VARCHAR)
                       WHEN 1 THEN printf('customer%09d', user_id + 1)
-                      ELSE printf('customer%09d', user_id) END AS username_raw,
+                      ELSE printf('customer%09d', user_id) END END AS username_raw,
     CASE WHEN event_id % 7 <> 0 THEN 'pw' || CAST(event_id AS VARCHAR) END AS password,
     'F' || CAST(event_id AS VARCHAR) AS first_name,
     CASE WHEN event_id % 5 = 0 THEN 'driver' ELSE 'renter' END AS role
@@ -719,36 +720,56 @@ ins0 AS (
 ),
 ins AS (
   SELECT * FROM ins0 QUALIFY row_number() OVER (PARTITION BY username ORDER BY seq DESC) = 1
-)
+),
+claims AS (SELECT seq, match_id, email, username FROM upd
+           UNION ALL SELECT seq, NULL, email, username FROM ins),
+rest AS (SELECT lower(trim(email)) AS email, lower(trim(username)) AS username FROM users
+         WHERE id NOT IN (SELECT match_id FROM claims WHERE match_id IS NOT NULL)),
+lost AS (
+  SELECT seq FROM claims c WHERE EXISTS (SELECT 1 FROM rest r WHERE r.email = c.email)
+    OR EXISTS (SELECT 1 FROM rest r WHERE r.username = c.username)
+    OR EXISTS (SELECT 1 FROM claims o WHERE o.email = c.email AND o.seq < c.seq)
+    OR EXISTS (SELECT 1 FROM claims o WHERE o.username = c.username AND o.seq < c.seq))
 SELECT seq, 'updated' AS outcome, match_id AS id, email, username, first_name, role,
-       CAST(NULL AS VARCHAR) AS reason FROM upd
+       CAST(NULL AS VARCHAR) AS reason FROM upd WHERE seq NOT IN (SELECT seq FROM lost)
 UNION ALL
 SELECT seq, 'inserted', (SELECT max(id) FROM users) + row_number() OVER (ORDER BY seq),
-       email, username, first_name, role, NULL FROM ins
+       email, username, first_name, role, NULL FROM ins WHERE seq NOT IN (SELECT seq FROM lost)
 UNION ALL
 SELECT seq, 'rejected', NULL, NULL, NULL, NULL, NULL,
-       CASE WHEN missing THEN 'email, username, and password are required'
-            ELSE 'matches more than one user' END
-FROM j WHERE missing OR matches > 1"""
-
-ORACLE["user_insert_if_absent"] = _with(USERS, USER_BATCH) + """
-, j AS (
-  SELECT b.*, m.matches,
-         min(b.seq) OVER (PARTITION BY b.email) AS fe, min(b.seq) OVER (PARTITION BY b.username) AS fu
+       CASE WHEN missing THEN 'identity_missing' ELSE 'several_users' END
+FROM j WHERE missing OR matches > 1
+UNION ALL
+SELECT seq, 'rejected', NULL, NULL, NULL, NULL, NULL, 'identity_taken' FROM lost
+UNION ALL
+SELECT seq, 'superseded', NULL, NULL, NULL, NULL, NULL, NULL
+FROM j WHERE NOT missing AND (matches IS NULL OR matches = 1) AND seq NOT IN (SELECT seq FROM claims)"""
+
+# One change after the other: a change is accepted if no user and no change accepted before holds its identity.
+ORACLE["user_insert_if_absent"] = _with(USERS, USER_BATCH).replace("WITH", "WITH RECURSIVE", 1) + """
+, r AS (
+  SELECT b.*, CASE WHEN b.email = '' OR b.username = '' THEN 'identity_missing'
+                   WHEN b.role NOT IN ('renter', 'owner', 'admin') THEN 'unknown_role'
+                   WHEN m.matches IS NOT NULL THEN 'identity_taken' END AS reason
   FROM ub b LEFT JOIN um m ON b.seq = m.seq
 ),
-r AS (
-  SELECT *, CASE WHEN role NOT IN ('renter', 'owner', 'admin')
-                   THEN 'Invalid role. Must be renter, owner, or admin.'
-                 WHEN matches IS NOT NULL OR seq > fe OR seq > fu
-                   THEN 'Email or username already exists' END AS reason
-  FROM j
+cand AS (SELECT row_number() OVER (ORDER BY seq) AS rn, seq, email, username FROM r WHERE reason IS NULL),
+step AS (
+  SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS VARCHAR[]) AS es, CAST([] AS VARCHAR[]) AS us,
+         CAST(NULL AS BIGINT) AS seq, false AS ok
+  UNION ALL
+  SELECT c.rn,
+    CASE WHEN list_contains(s.es, c.email) OR list_contains(s.us, c.username) THEN s.es ELSE list_append(s.es, c.email) END,
+    CASE WHEN list_contains(s.es, c.email) OR list_contains(s.us, c.username) THEN s.us ELSE list_append(s.us, c.username) END,
+    c.seq, NOT (list_contains(s.es, c.email) OR list_contains(s.us, c.username))
+  FROM step s JOIN cand c ON c.rn = s.rn + 1
 )
 SELECT seq, 'inserted' AS outcome, (SELECT max(id) FROM users) + row_number() OVER (ORDER BY seq) AS id,
        email, username, first_name, role, CAST(NULL AS VARCHAR) AS reason
-FROM r WHERE reason IS NULL
+FROM r WHERE seq IN (SELECT seq FROM step WHERE ok)
 UNION ALL
-SELECT seq, 'rejected', NULL, NULL, NULL, NULL, NULL, reason FROM r WHERE reason IS NOT NULL"""
+SELECT seq, 'rejected', NULL, NULL, NULL, NULL, NULL, COALESCE(reason, 'identity_taken')
+FROM r WHERE reason IS NOT NULL OR seq IN (SELECT seq FROM step WHERE NOT ok AND rn > 0)"""
 
 VEHICLE_PATCHES = """
 vp AS (
@@ -757,7 +778,7 @@ vp AS (
          CASE WHEN value > 20 THEN value END AS price,
          CASE WHEN value <= 20 THEN event_id % 6 + 2 END AS seats,
          CASE WHEN value > 40 THEN 'depot-' || json_extract_string(props, '$.k') END AS location
-  FROM events WHERE event_type = 'view'
+  FROM events WHERE event_type = 'view' AND NOT (event_id % 17 = 0 AND value > 20)
 )"""
 
 ORACLE["patch_coalesce"] = _with(VEHICLES, VEHICLE_PATCHES) + """
@@ -791,7 +812,8 @@ SELECT id, 'removed' AS outcome FROM bookings WHERE id IN (SELECT id FROM d)
 UNION ALL
 SELECT id, 'not found' FROM d WHERE id NOT IN (SELECT id FROM bookings)
 UNION ALL
-SELECT id, 'cleared' FROM bookings WHERE renter_id = '3'"""
+SELECT id, 'cleared' FROM bookings WHERE id NOT IN (SELECT id FROM d)
+  AND renter_id IN (SELECT DISTINCT CAST(user_id * 2 + 1 AS VARCHAR) FROM events WHERE event_type = 'error' AND user_id % 10 = 1)"""
 
 ORACLE["backfill_column"] = """
 SELECT p_partkey AS id,
@@ -830,11 +852,11 @@ pj AS (
 ),
 perm AS (
   SELECT seq, actor_id, target_id,
-    CASE WHEN actor_role IS NULL OR NOT actor_active THEN 'Invalid session'
-         WHEN actor_role NOT IN ('owner', 'admin') THEN 'Owner privileges required'
-         WHEN vid IS NULL THEN 'Vehicle not found'
+    CASE WHEN actor_role IS NULL OR NOT actor_active THEN 'no_active_user'
+         WHEN actor_role NOT IN ('owner', 'admin') THEN 'owners_only'
+         WHEN vid IS NULL THEN 'unknown_vehicle'
          WHEN actor_role = 'owner' AND target_owner <> CAST(actor_id AS VARCHAR)
-           THEN 'You can only edit your own vehicles' END AS reason
+           THEN 'not_own_vehicle' END AS reason
   FROM pj
 )"""
 
@@ -854,6 +876,20 @@ ORACLE["stream_apply_changes"] = ORACLE["apply_change_log"].replace(
     "count(*) AS changes_applied, ", "")
 
 
+ORACLE["stream_outcomes"] = """
+WITH c AS (
+  SELECT user_id AS id, event_id AS seq,
+         CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' ELSE 'update' END AS action
+  FROM events
+),
+e AS (
+  SELECT *, last_value(CASE WHEN action <> 'update' THEN action END IGNORE NULLS)
+    OVER (PARTITION BY id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c
+)
+SELECT id, seq, CASE WHEN action = 'create' OR before = 'create' THEN action || 'd' ELSE 'unknown_id' END AS outcome
+FROM e"""
+
+
 # ---- profile -------------------------------------------------------------------------
 
 _PROFILE_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
@@ -896,21 +932,20 @@ ORACLE["booking_permissions"] = _with(USERS) + """
   FROM events WHERE event_type IN ('purchase', 'error')
 )
 SELECT ch.seq, ch.actor_id, ch.action, ch.target_user,
-  CASE WHEN u.role IS NULL OR NOT u.active THEN 'Invalid session'
-       WHEN ch.action = 'create' AND u.role = 'owner' THEN 'Owners cannot make bookings'
+  CASE WHEN u.role IS NULL OR NOT u.active THEN 'no_active_user'
+       WHEN ch.action = 'create' AND u.role = 'owner' THEN 'owner_may_not_book'
        WHEN ch.action = 'clear' AND u.role <> 'admin' AND ch.actor_id <> ch.target_user
-         THEN 'Not allowed to clear these bookings' END IS NULL AS accepted,
-  CASE WHEN u.role IS NULL OR NOT u.active THEN 'Invalid session'
-       WHEN ch.action = 'create' AND u.role = 'owner' THEN 'Owners cannot make bookings'
+         THEN 'not_own_bookings' END IS NULL AS accepted,
+  CASE WHEN u.role IS NULL OR NOT u.active THEN 'no_active_user'
+       WHEN ch.action = 'create' AND u.role = 'owner' THEN 'owner_may_not_book'
        WHEN ch.action = 'clear' AND u.role <> 'admin' AND ch.actor_id <> ch.target_user
-         THEN 'Not allowed to clear these bookings' END AS reason
+         THEN 'not_own_bookings' END AS reason
 FROM ch LEFT JOIN users u ON ch.actor_id = u.id"""
 
 ORACLE["report_create"] = """
-WITH first AS (SELECT conv_id, role FROM conversations WHERE turn = 0),
-mx AS (SELECT max(conv_id) AS m FROM (SELECT DISTINCT conv_id FROM conversations))
-SELECT conv_id AS seq, (SELECT m FROM mx) + row_number() OVER (ORDER BY conv_id) AS id,
+WITH mx AS (SELECT max(conv_id) AS m FROM conversations)
+SELECT conv_id * 1000000 + turn AS seq, (SELECT m FROM mx) + row_number() OVER (ORDER BY conv_id, turn) AS id,
        role AS type, conv_id AS vehicle_id,
        round(CAST(CASE WHEN conv_id % 2 = 0 THEN conv_id * 10 ELSE 0 END AS DOUBLE), 4) AS amount,
-       '["' || role || '"]' AS issues, '[]' AS photos, '{}' AS custom_labels, '[]' AS comments
-FROM first"""
+       '["' || role || '"]' AS issues, length(text) AS note_chars, '[]' AS photos, '{}' AS custom_labels, '[]' AS comments
+FROM conversations"""

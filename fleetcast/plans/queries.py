@@ -7,6 +7,7 @@ in ``fleetcast.plans.oracle``; column names and types are kept equal.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -440,18 +441,13 @@ def _synthetic_bookings(req):
         F.timestamp_add("HOUR", F.lit(-24), start).alias("booking_created"))
 
 
-def risk_index(score: F.Column) -> F.Column:
-    """int(round(5 + 15 * max(0, 1 - score)))."""
-    return F.bround(5 + 15 * F.greatest(F.lit(0.0), 1 - score), 0).cast("int")
-
-
 @query
 def q_risk_demand_index(spark, sf):
     """G11 + C18 with the rule score: demand index per requested day."""
     counts = _counts(spark, sf)
     syn = _synthetic_bookings(_segment_requests(counts))
     feats = G.prepare_features(syn, keep=["request_id", "ds"])
-    rows = feats.select("request_id", "ds", risk_index(risk_rule()).alias("predicted_bookings"))
+    rows = feats.select("request_id", "ds", ML.risk_index(risk_rule()).alias("predicted_bookings"))
     return _answer(rows)
 
 
@@ -481,10 +477,11 @@ def user_batch(spark, sf):
     ev = _events(spark, sf, "signup")
     u, e = F.col("user_id"), F.col("event_id")
     mode = e % 3
-    email = (F.when(mode == 0, F.concat(F.lit("  "), F.upper(_cust_email(u)), F.lit(" ")))
+    family = e % 11 == 0                      # new identities that several changes share
+    email = (F.when(family, F.concat(F.lit("fam"), (u % 20).cast("string"), F.lit("@fleet.test"))).when(mode == 0, F.concat(F.lit("  "), F.upper(_cust_email(u)), F.lit(" ")))
              .when(mode == 1, F.concat(F.lit("new"), e.cast("string"), F.lit("@fleet.test")))
              .otherwise(_cust_email(u + 2)))
-    username = (F.when(mode == 0, F.concat(F.lit("new"), e.cast("string")))
+    username = (F.when(family, F.concat(F.lit("fam"), (e % 13).cast("string"))).when(mode == 0, F.concat(F.lit("new"), e.cast("string")))
                 .when(mode == 1, _cust_username(u + 1)).otherwise(_cust_username(u)))
     password = F.when(e % 7 != 0, F.concat(F.lit("pw"), e.cast("string")))
     role = F.when(e % 5 == 0, "driver").otherwise("renter")
@@ -592,53 +589,54 @@ def q_booking_rejects(spark, sf):
     b = SN.bookings(spark, sf)
     _, rej_new = TB.create_bookings(SN.vehicles(spark, sf), b, booking_batch(spark, sf))
     _, rej_upd = TB.apply_patches(b, booking_patch_batch(spark, sf), "id",
-                                  {"status": "status", "amount": "amount"})
+                                  {c: TB.ALIASES["bookings"][c] for c in ("status", "amount")})
     return presentable(rej_new.select("seq", F.lit("create").alias("action"), "reason")
                        .unionByName(rej_upd.select("seq", F.lit("update").alias("action"),
                                                    "reason")))
 
 
-def _user_outcomes(updated, inserted, rejects):
-    cols = ["id", "email", "username", "first_name", "role"]
-    return (updated.select("seq", F.lit("updated").alias("outcome"), *cols,
-                           F.lit(None).cast("string").alias("reason"))
-            .unionByName(inserted.select("seq", F.lit("inserted").alias("outcome"), *cols,
-                                         F.lit(None).cast("string").alias("reason")))
-            .unionByName(rejects.select("seq", F.lit("rejected").alias("outcome"),
-                                        *[F.lit(None).cast("long" if c == "id" else "string")
-                                          .alias(c) for c in cols], "reason")))
+def _user_outcomes(**frames):
+    """One row per change: seq, outcome, the row's public fields, reason."""
+    kinds = {"id": "long", "email": "string", "username": "string", "first_name": "string", "role": "string", "reason": "string"}
+    rows = [f.select("seq", F.lit(outcome).alias("outcome"),
+                     *[F.col(c) if c in f.columns else F.lit(None).cast(t).alias(c) for c, t in kinds.items()])
+            for outcome, f in frames.items()]
+    return functools.reduce(DataFrame.unionByName, rows)
 
 
 @query
 def q_user_upsert(spark, sf):
     """M1 + J8: upsert of user changes, outcome per change."""
-    upd, ins, rej = TB.upsert_users(SN.users(spark, sf), user_batch(spark, sf))
-    return presentable(_user_outcomes(upd, ins, rej))
+    upd, ins, rej, old = TB.upsert_users(SN.users(spark, sf), user_batch(spark, sf))
+    return presentable(_user_outcomes(updated=upd, inserted=ins, rejected=rej, superseded=old))
 
 
 @query
 def q_user_insert_if_absent(spark, sf):
     """M2 + M10: register users that do not exist yet, outcome per change."""
     ins, rej = TB.register_users(SN.users(spark, sf), user_batch(spark, sf))
-    out = _user_outcomes(ins.limit(0), ins, rej)
-    return presentable(out)
+    return presentable(_user_outcomes(inserted=ins, rejected=rej))
 
 
 def vehicle_patch_batch(spark, sf, explicit_nulls=False):
-    """Vehicle patches from view events: price, seats, location; a null field
-    is absent (M3) or an explicit JSON null (M4)."""
+    """Vehicle patches from view events: price under each of its names, seats,
+    location; some prices are no numbers. A null field is absent (M3) or an
+    explicit JSON null (M4)."""
     ev = _events(spark, sf, "view")
     k = F.get_json_object("props", "$.k").cast("long")
+    e = F.col("event_id")
+    price = F.when(F.col("value") > 20, F.when(e % 17 == 0, F.lit("abc")).otherwise(F.col("value").cast("string")))
+    names = [] if explicit_nulls else [F.when(e % 3 == 1, price).alias("price"), F.when(e % 3 == 2, price).alias("daily_rate")]
     st = F.struct(
-        F.when(F.col("value") > 20, F.col("value")).alias("pricePerDay"),
-        F.when(F.col("value") <= 20, (F.col("event_id") % 6 + 2)).alias("seats"),
+        (price if explicit_nulls else F.when(e % 3 == 0, price)).alias("pricePerDay"), *names,
+        F.when(F.col("value") <= 20, (e % 6 + 2)).alias("seats"),
         F.when(F.col("value") > 40, F.concat(F.lit("depot-"), k.cast("string"))).alias("location"))
     opts = {"ignoreNullFields": "false"} if explicit_nulls else {}
     return ev.select((k * 20 + F.col("user_id") % 20).alias("id"),
                      F.col("event_id").alias("seq"), F.to_json(st, opts).alias("payload"))
 
 
-VEHICLE_PATCH_FIELDS = {"pricePerDay": "price_per_day", "seats": "seats", "location": "location"}
+VEHICLE_PATCH_FIELDS = {c: TB.ALIASES["vehicles"][c] for c in ("price_per_day", "seats", "location")}
 
 
 @query
@@ -659,13 +657,14 @@ def q_patch_present(spark, sf):
 
 @query
 def q_delete_rows(spark, sf):
-    """M6: delete bookings by id (error events), plus the bulk clear of one
-    renter's bookings; outcome per affected id."""
+    """M6: delete bookings by id (error events), then the bulk clear of
+    some renters' bookings from what remains; outcome per affected id."""
     b = SN.bookings(spark, sf)
     dels = _events(spark, sf, "error").select((F.col("event_id") * 2).alias("id"),
                                                F.col("event_id").alias("seq"))
-    _, removed, rejects = TB.delete_rows(b, dels)
-    cleared = b.filter(F.col("renter_id") == "3")     # clear_user_bookings(user 3)
+    remaining, removed, rejects = TB.delete_rows(b, dels)
+    renters = _events(spark, sf, "error").filter(F.col("user_id") % 10 == 1).select((F.col("user_id") * 2 + 1).alias("user_id"))
+    _, cleared = TB.clear_user_bookings(remaining, renters)
     return (removed.select("id", F.lit("removed").alias("outcome"))
             .unionByName(rejects.select("id", F.lit("not found").alias("outcome")))
             .unionByName(cleared.select("id", F.lit("cleared").alias("outcome"))))
@@ -719,7 +718,7 @@ def q_change_events(spark, sf):
 
 
 def _new_comments(spark, sf):
-    return read_table(spark, sf, "conversations").filter(F.col("turn") >= 2).select(
+    return read_table(spark, sf, "conversations").filter(F.col("turn") % 2 == 1).select(
         F.col("conv_id").alias("report_id"), F.col("turn").alias("seq"),
         F.col("role").alias("author"), F.col("text").alias("message"),
         F.lit("").alias("createdAt"))
@@ -727,7 +726,7 @@ def _new_comments(spark, sf):
 
 @query
 def q_append_comments(spark, sf):
-    """N3 + N2: append later conversation turns as report comments."""
+    """N3 + N2: append the arriving conversation turns as report comments."""
     r = TB.append_comments(SN.logreports(spark, sf), _new_comments(spark, sf))
     v = TB.report_view(r)
     return presentable(v.select("id", *_comment_summary(v)))
@@ -751,19 +750,17 @@ from fleetcast.streaming import streams as ST  # noqa: E402
 
 @query
 def q_stream_daily_demand(spark, sf):
-    """Daily segment demand computed by a stream over arriving line items
-    (watermark 1 day, update mode, batch-tagged output); equals the batch A1."""
+    """Daily segment demand computed by a stream over booking rows that
+    arrive file by file; equals the batch A1."""
     out, ckpt = ST.fresh_dirs(spark, "stream-daily-demand")
-    bookings = ST.line_items_as_bookings(spark, sf, ST.table_stream(spark, sf, "lineitem"))
-    agg = ST.daily_demand_stream(bookings)
-    res = ST.run_update_stream(agg, out, ckpt, ["booking_date", *SEGMENT_COLUMNS])
+    res = ST.run_daily_demand(ST.arriving(_history(spark, sf), f"{out}/feed"), out, ckpt)
     return presentable(res.select("booking_date", *SEGMENT_COLUMNS, "demand"))
 
 
 @query
 def q_stream_apply_changes(spark, sf):
-    """T1 + T2: the change log applied by a stream, snapshot per micro-batch;
-    the final snapshot equals the batch fold (M7)."""
+    """The change log applied by a stream, state per micro-batch; the
+    final snapshot equals the batch fold (M7)."""
     out, ckpt = ST.fresh_dirs(spark, "stream-changes")
     changes = ST.change_rows(ST.table_stream(spark, sf, "events", max_files_per_trigger=1))
     ST.apply_change_stream(spark, changes, out, ckpt)
@@ -771,6 +768,19 @@ def q_stream_apply_changes(spark, sf):
     return presentable(snap.withColumn("value", F.col("value").cast("double")))
 
 
+@query
+def q_stream_outcomes(spark, sf):
+    """T2 + M12: every change of the stream, with the event it became or the
+    reason why it was rejected."""
+    out, ckpt = ST.fresh_dirs(spark, "stream-outcomes")
+    changes = ST.change_rows(ST.table_stream(spark, sf, "events", max_files_per_trigger=1))
+    ST.apply_change_stream(spark, changes, out, ckpt)
+    ev = spark.read.schema("type string, action string, id long, payload string, seq long").json(f"{out}/events")
+    rejects = spark.read.parquet(f"{out}/rejects")
+    return (ev.select("id", "seq", F.col("action").alias("outcome"))
+            .unionByName(rejects.select("id", "seq", F.col("reason").alias("outcome"))))
+
+
 # ---- models (rows-only checks) -------------------------------------------------------
 
 import hashlib  # noqa: E402
@@ -778,8 +788,6 @@ import hashlib  # noqa: E402
 from fleetcast.operators import models as ML  # noqa: E402
 from fleetcast.session import scratch_path  # noqa: E402
 
-# Driver-query model sizes (the operator defaults follow the reference: 200).
-DRIVER_TREES, DRIVER_DEPTH = 20, 5
 CANCEL_MODEL = "random_forest"
 
 
@@ -797,8 +805,7 @@ def cancellation_model(spark, sf):
     if ML.model_exists(spark, path):
         return ML.load_model(spark, path, CANCEL_MODEL)
     s = _split_features(spark, sf)
-    model = ML.fit_cancellation(s.filter(F.col("split") == "train"), G.FEATURE_COLUMNS,
-                                trees=DRIVER_TREES, max_depth=DRIVER_DEPTH)
+    model = ML.fit_cancellation(s.filter(F.col("split") == "train"), G.FEATURE_COLUMNS)
     test = ML.score(model, s.filter(F.col("split") == "test"), ["label"])
     cm = M.classification_metrics(test).first().asDict()
     auc = M.roc_auc(test).first()["roc_auc"]
@@ -828,16 +835,12 @@ def q_score_bookings(spark, sf):
 
 @query
 def q_stream_score(spark, sf):
-    """T4: arriving line items scored by the saved model (stateless stream)."""
+    """T4: arriving bookings scored by the saved model (stateless stream)."""
     model, _, _ = cancellation_model(spark, sf)
     out, ckpt = ST.fresh_dirs(spark, "stream-score")
-    li = ST.table_stream(spark, sf, "lineitem")
-    feats = G.prepare_features(booking_history(spark, sf, li), keep=["order_key", "line_number"])
-    scored = ML.score(model, feats, ["order_key", "line_number"])
-    q = (scored.writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
+    li = ST.arriving(booking_history(spark, sf), f"{out}/feed")
+    scored = ML.score(model, G.prepare_features(li, keep=["order_key", "line_number"]), ["order_key", "line_number"])
+    return ST.score_stream(scored, out, ckpt)
 
 
 @query
@@ -922,8 +925,7 @@ def q_forecast_additive_holdout(spark, sf):
 def q_text_sentiment(spark, sf):
     """Text classifier trained on the labelled documents, applied to
     every document (whole texts)."""
-    docs = read_table(spark, sf, "documents").select(
-        "doc_id", ML.truncate_text(F.col("text"), None).alias("text"))
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
     labels = read_table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
     model = ML.fit_text_classifier(docs.join(labels, "doc_id"))
     return ML.classify_text(model, docs, ["doc_id"])
@@ -964,7 +966,7 @@ def vehicle_batch(spark, sf):
 @query
 def q_vehicle_create(spark, sf):
     """M5 + C23 + C24 + C25 + P1: new vehicles with the backend's defaults."""
-    out = TB.create_vehicles(SN.vehicles(spark, sf), vehicle_batch(spark, sf))
+    out, _ = TB.create_vehicles(SN.vehicles(spark, sf), vehicle_batch(spark, sf))
     return presentable(out.select("seq", "id", "name", "model", "year", "price_per_day",
                                   "available", "owner_id", "approval_status", "status"))
 
@@ -984,14 +986,15 @@ def q_booking_permissions(spark, sf):
 
 @query
 def q_report_create(spark, sf):
-    """M5 for log reports: one new report per conversation (its first turn),
-    with aliases, numeric defaults and nested fields as JSON text."""
-    first = read_table(spark, sf, "conversations").filter(F.col("turn") == 0)
+    """M5 for log reports: one new report per conversation turn, with its text
+    as notes, aliases, numeric defaults and nested fields as JSON text."""
+    turns = read_table(spark, sf, "conversations")
     payload = F.to_json(F.struct(
-        F.col("role").alias("type"), F.col("conv_id").alias("vehicleId"),
+        F.col("role").alias("type"), F.col("conv_id").alias("vehicleId"), F.col("text").alias("notes"),
         F.when(F.col("conv_id") % 2 == 0, F.col("conv_id") * 10).alias("amount"),
         F.array(F.col("role")).alias("issues")))
-    batch = first.select(F.col("conv_id").alias("seq"), payload.alias("payload"))
+    batch = turns.select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("seq"), payload.alias("payload"))
     out = TB.create_reports(SN.logreports(spark, sf), batch)
     return presentable(out.select("seq", "id", "type", "vehicle_id", "amount", "issues",
+                                  F.length("notes").cast("long").alias("note_chars"),
                                   "photos", "custom_labels", "comments"))

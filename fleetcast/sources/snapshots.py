@@ -172,10 +172,10 @@ def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logreports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One report per conversation; its first two turns are the stored
-    comments (JSON text, as the backend stores them)."""
+    """One report per conversation; its even turns are the stored comments
+    (JSON text, as the backend stores them), its odd turns arrive as changes."""
     conv = read_table(spark, sf_dir, "conversations")
-    first = conv.filter(F.col("turn") < 2)
+    first = conv.filter(F.col("turn") % 2 == 0)
     comments = (first.groupBy("conv_id")
                 .agg(F.array_sort(F.collect_list(F.struct(
                     "turn", F.col("role").alias("author"), F.col("text").alias("message"))))

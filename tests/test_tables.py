@@ -27,7 +27,7 @@ def test_upsert_matches_case_insensitively_and_rejects(spark):
         {"email": "c@x.t", "username": "carol"},                              # no password
         {"email": "d@x.t", "username": "dan", "password": "p"},               # new
     ])
-    upd, ins, rej = TB.upsert_users(users, b)
+    upd, ins, rej, _ = TB.upsert_users(users, b)
     u = upd.collect()
     assert [(r.id, r.email, r.first_name, r.role) for r in u] == [(1, "a@x.t", "Al", "renter")]
     i = ins.collect()
@@ -46,7 +46,7 @@ def test_register_rejects_duplicates_and_roles(spark):
     ins, rej = TB.register_users(users, b)
     assert [r.email for r in ins.collect()] == ["m@x.t"]
     reasons = {r.seq: r.reason for r in rej.collect()}
-    assert set(reasons) == {1, 2, 4} and "Invalid role" in reasons[2]
+    assert reasons == {1: TB.IDENTITY_TAKEN, 2: TB.UNKNOWN_ROLE, 4: TB.IDENTITY_TAKEN}
 
 
 def vehicles_df(spark):
@@ -55,7 +55,7 @@ def vehicles_df(spark):
         "id long, name string, price_per_day double, seats int, location string"), "vehicles")
 
 
-FIELDS = {"pricePerDay": "price_per_day", "seats": "seats", "location": "location"}
+FIELDS = {c: TB.ALIASES["vehicles"][c] for c in ("price_per_day", "seats", "location")}
 
 
 def test_patch_null_keeps_vs_present_null_wins(spark):
@@ -73,21 +73,14 @@ def test_patch_null_keeps_vs_present_null_wins(spark):
     assert r4[1].location is None and r4[1].seats == 5 and r4[2].seats == 7
 
 
-def test_fold_is_independent_of_batch_boundaries(spark):
-    from fleetcast.streaming.streams import _state_as_changes
+def test_fold_counts_only_what_follows_the_birth(spark):
     rows = [(1, 1, "create", '{"k":"a","value":"1"}'), (1, 2, "update", '{"k":"b"}'),
             (2, 3, "create", '{"k":"x"}'), (1, 4, "delete", None),
             (1, 5, "update", '{"k":"lost"}'), (1, 6, "create", '{"k":"c"}'),
             (2, 7, "update", '{"value":"9"}'), (3, 8, "update", '{"k":"orphan"}')]
     ch = spark.createDataFrame(rows, "id long, seq long, action string, payload string")
-    fields = ["k", "value"]
-    whole = {r.id: (r.k, r.value) for r in TB.fold_change_log(ch, fields).collect()}
-    assert whole == {1: ("c", None), 2: ("x", "9")}
-    first = TB.fold_change_log(ch.filter("seq <= 4"), fields).select("id", *fields, "last_seq")
-    st = _state_as_changes(first.withColumn("last_event", F.lit(None).cast("string")))
-    second = TB.fold_change_log(
-        st.unionByName(ch.filter("seq > 4")), fields).collect()
-    assert {r.id: (r.k, r.value) for r in second} == whole
+    got = {r.id: (r.k, r.value, r.changes_applied, r.last_seq) for r in TB.fold_change_log(ch, ["k", "value"]).collect()}
+    assert got == {1: ("c", None, 1, 6), 2: ("x", "9", 2, 7)}
 
 
 def test_delete_and_enrichment_rejects(spark):
@@ -154,7 +147,7 @@ def test_vehicle_create_defaults(spark):
         (1, dt.datetime(2021, 3, 1), '{"model": "Corolla", "price": "12.5", "status": "rented"}'),
         (2, dt.datetime(2021, 3, 1), '{"name": "Van", "available": "false", "year": 2019}')],
         "seq long, ts timestamp, payload string")
-    out = {r.seq: r for r in TB.create_vehicles(v, b).collect()}
+    out = {r.seq: r for r in TB.create_vehicles(v, b)[0].collect()}
     a, c = out[1], out[2]
     assert (a.id, a.name, a.model, a.year, a.price_per_day, a.available) == \
         (6, "Corolla", "Corolla", 2021, 12.5, False)
@@ -169,10 +162,90 @@ def test_upsert_folds_new_users_sharing_keys(spark):
         {"email": "N@X.T", "username": "n2", "password": "p", "firstName": "second"},
         {"email": "m@x.t", "username": "n2", "password": "p", "firstName": "third"},
     ])
-    _, ins, rej = TB.upsert_users(users, b)
+    _, ins, rej, old = TB.upsert_users(users, b)
     got = [(r.id, r.email, r.username, r.first_name) for r in ins.collect()]
     assert got == [(2, "m@x.t", "n2", "third")]
-    assert rej.count() == 0
+    assert rej.count() == 0 and sorted(r.seq for r in old.collect()) == [1, 2]
+
+
+def test_upsert_keeps_identities_unique(spark):
+    users = users_df(spark, [(1, "old@x.t", "one")])
+    b = batch(spark, [{"email": "new@x.t", "username": "one", "password": "p"},       # user 1 moves to new@x
+                      {"email": "new@x.t", "username": "two", "password": "p"}])       # and this one wants it too
+    upd, ins, rej, old = TB.upsert_users(users, b)
+    assert [(r.id, r.email) for r in upd.collect()] == [(1, "new@x.t")] and ins.count() == 0
+    assert [(r.seq, r.reason) for r in rej.collect()] == [(2, TB.IDENTITY_TAKEN)] and old.count() == 0
+
+
+def test_register_follows_the_order_of_changes(spark):
+    users = users_df(spark, [(1, "a@x.t", "alice")])
+    b = batch(spark, [
+        {"email": "b@x.t", "username": "b", "password": "p", "role": "pilot"},   # refused: does not block the next
+        {"email": "b@x.t", "username": "b", "password": "p"},
+        {"email": "b@x.t", "username": "c", "password": "p"},                    # refused: does not block the next
+        {"email": "c@x.t", "username": "c", "password": "p"},
+        {"password": "p"}])
+    ins, rej = TB.register_users(users, b)
+    assert [(r.seq, r.id) for r in ins.orderBy("seq").collect()] == [(2, 2), (4, 3)]
+    assert {r.seq: r.reason for r in rej.collect()} == {1: TB.UNKNOWN_ROLE, 3: TB.IDENTITY_TAKEN, 5: TB.IDENTITY_MISSING}
+
+
+def test_patch_aliases_bad_values_and_time(spark):
+    import datetime as dt
+    t = dt.datetime(2024, 5, 6, 7, 8, 9)
+    p = spark.createDataFrame([(1, 1, '{"daily_rate": 12.5}', t), (1, 2, '{"pricePerDay": "abc", "seats": 9}', t),
+                               (2, 3, '{"price": "7", "seats": "4.0"}', t)], "id long, seq long, payload string, ts timestamp")
+    got, rej = TB.apply_patches(vehicles_df(spark), p, "id", FIELDS)
+    rows = {r.id: r for r in got.collect()}
+    assert (rows[1].price_per_day, rows[1].seats) == (12.5, 4) and (rows[2].price_per_day, rows[2].seats) == (7.0, 4)
+    assert rows[1].updated_at == "2024-05-06T07:08:09.000000"
+    assert [(r.id, r.seq, r.reason) for r in rej.collect()] == [(1, 2, TB.BAD_VALUE)]
+
+
+def test_patches_of_users_and_reports(spark):
+    users = users_df(spark, [(1, "a@x.t", "alice")])
+    p = spark.createDataFrame([(1, 1, '{"firstName": "Al", "active": "false", "photo_url": "/p"}')], "id long, seq long, payload string")
+    names = TB.ALIASES["users"]
+    u = TB.apply_patches(users, p, "id", {c: names[c] for c in ("first_name", "active", "photo_uri")})[0].first()
+    assert (u.first_name, u.active, u.photo_uri) == ("Al", False, "/p")
+    reports = SN.conform(spark.createDataFrame([(4, "[]")], "id long, comments string"), "logreports")
+    p = spark.createDataFrame([(4, 1, '{"fuelLevel": "half", "issues": ["dent"], "amount": 3}')], "id long, seq long, payload string")
+    names = TB.ALIASES["logreports"]
+    r = TB.apply_patches(reports, p, "id", {c: names[c] for c in ("fuel_level", "issues", "amount")})[0].first()
+    assert (r.fuel_level, json.loads(r.issues), r.amount) == ("half", ["dent"], 3.0)
+
+
+def test_vehicle_insert_keeps_all_fields_and_refuses_bad_numbers(spark):
+    import datetime as dt
+    v = SN.conform(spark.createDataFrame([(5, "x")], "id long, name string"), "vehicles")
+    fields = {"type": "suv", "transmission": "auto", "fuel": "gas", "location": "L", "description": "D", "ownerName": "O"}
+    b = spark.createDataFrame([(1, dt.datetime(2021, 3, 1), json.dumps({"name": "A", **fields})),
+                               (2, dt.datetime(2021, 3, 1), '{"name": "B", "seats": "many"}')], "seq long, ts timestamp, payload string")
+    new, rej = TB.create_vehicles(v, b)
+    r = new.first()
+    assert (r.type, r.transmission, r.fuel, r.location, r.description, r.owner_name) == ("suv", "auto", "gas", "L", "D", "O")
+    assert r.created_at == "2021-03-01T00:00:00.000000" and [(x.seq, x.reason) for x in rej.collect()] == [(2, TB.BAD_VALUE)]
+
+
+def test_ids_above_two_to_the_53rd_survive(spark):
+    big = 2**53 + 1
+    v = SN.conform(spark.createDataFrame([(big, "car")], "id long, name string"), "vehicles")
+    b = SN.conform(spark.createDataFrame([(1, 1)], "id long, vehicle long"), "bookings")
+    new, rej = TB.create_bookings(v, b, batch(spark, [{"vehicleId": big}]))
+    assert new.first().vehicle == big and rej.count() == 0
+
+
+def test_backfill_never_multiplies_rows(spark):
+    v = vehicles_df(spark)
+    c = spark.createDataFrame([(1, "/a", 1), (1, "/b", 2), (2, None, 1)], "id long, photo_uri string, seq long")
+    assert {r.id: r.photo_uri for r in TB.backfill(v, c, "id", "photo_uri").collect()} == {1: "/b", 2: ""}
+
+
+def test_comments_and_checkouts_of_unknown_reports_are_rejected(spark):
+    r = SN.conform(spark.createDataFrame([(1, "[]")], "id long, comments string"), "logreports")
+    c = spark.createDataFrame([(1, 1, "a", "m"), (99, 2, "b", "n")], "report_id long, seq long, author string, message string")
+    assert [(x.id, x.seq, x.reason) for x in TB.unknown_reports(r, c).collect()] == [(99, 2, TB.UNKNOWN_REPORT)]
+    assert TB.append_comments(r, c).count() == 1
 
 
 def test_comment_time_defaults_to_change_timestamp(spark):
