@@ -7,35 +7,25 @@ of rows, and each range is handled by its own task.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIN_BUCKETS = 64
-MAX_BUCKETS = 65_536
-ROWS_PER_BUCKET = 2_000_000
-
-
-def bucket_count(frame: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
-    """Enough buckets that one holds about ``rows_per_bucket`` rows (one
-    count; the result is clamped so the bucket table itself stays small)."""
-    n = frame.count()
-    return int(min(MAX_BUCKETS, max(MIN_BUCKETS, math.ceil(n / rows_per_bucket))))
+#: Ranges that the order is cut into, at any size. One range is one task's
+#: work: raise it with the data, so that a range holds a few million rows.
+BUCKETS = 1024
 
 
 def quantile_buckets(frame: DataFrame, value_col: str, out_col: str,
-                     buckets: int | None = None) -> DataFrame:
+                     buckets: int = BUCKETS) -> DataFrame:
     """Add ``out_col``: the range bucket of ``value_col`` (as double).
 
     The edges are one row of at most ``buckets - 1`` numbers (a bounded
     scalar fetched once); Bucketizer applies them with a binary search on the
     executors. Any set of edges gives correct results downstream; quantiles
-    only balance the work. ``buckets`` defaults to a count-based size.
+    only balance the work.
     """
-    buckets = buckets or bucket_count(frame)
-    accuracy = int(min(1_000_000, 10 * buckets))
+    accuracy = 10 * buckets
     edges = frame.agg(F.array_sort(F.array_distinct(F.percentile_approx(
         F.col(value_col).cast("double"), [i / buckets for i in range(1, buckets)],
         accuracy)))).first()[0] or []

@@ -127,18 +127,12 @@ def fit_poisson(train: DataFrame, features: list[str], label: str = "demand",
 TEXT_LABELS = ("NEGATIVE", "POSITIVE")
 
 
-def truncate_text(c: Column, max_chars: int | None) -> Column:
-    """Keep the first ``max_chars`` characters (None keeps the whole
-    text, which is what the driver query uses)."""
-    return c if max_chars is None else F.substring(c, 1, max_chars)
-
-
 def fit_text_classifier(train: DataFrame, text_col: str = "text", label: str = "label",
                         num_features: int = 1 << 18, max_iter: int = 20) -> PipelineModel:
     """Tokenizer -> hashed term frequencies -> IDF -> logistic
     regression. Label-agnostic: any 0/1 label column."""
     stages = [
-        RegexTokenizer(inputCol=text_col, outputCol="tokens", pattern=r"\W+", minTokenLength=2),
+        RegexTokenizer(inputCol=text_col, outputCol="tokens", pattern=r"(?U)\W+"),
         HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features),
         IDF(inputCol="tf", outputCol="features"),
         LogisticRegression(labelCol=label, featuresCol="features", maxIter=max_iter),

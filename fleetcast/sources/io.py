@@ -26,29 +26,36 @@ def read_booking_csv(spark: SparkSession, path: str, columns: list[str] | None =
     build), header row, no schema inference (it would scan the data twice).
     Missing required columns raise with the names sorted."""
     header = spark.read.option("header", True).csv(path).columns   # reads the first line only
-    cols = columns or header
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in cols])
     missing = sorted(set(required or []).difference(header))
     if missing:
-        raise ValueError("The dataset is missing required columns: " + ", ".join(missing))
-    return spark.read.option("header", True).schema(schema).csv(path)
+        raise ValueError("The dataset lacks required columns: " + ", ".join(missing))
+    absent = sorted(set(columns or []).difference(header))
+    if absent:
+        raise ValueError("No such columns in the file: " + ", ".join(absent))
+    # the whole header is the schema, and each file's own header is checked against it: a file whose columns
+    # differ or stand in another order fails instead of being read by position
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    rows = spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(path)
+    return rows.select(*[F.col(f"`{c}`") for c in columns]) if columns else rows
 
 
 def write_forecast_csv(forecast: DataFrame, path: str, holdout: bool = False) -> None:
     """S6 + P7: the forecast (or the hold-out table) in the CSV layout of
-    the reference's exports."""
+    the reference's exports. Several series go to one folder each
+    (``series_id=...``)."""
+    key = ["series_id"] if "series_id" in forecast.columns else []
     if holdout:
-        out = forecast.select(F.date_format("ds", "yyyy-MM-dd").alias("Date"),
+        out = forecast.select(*key, F.date_format("ds", "yyyy-MM-dd").alias("Date"),
                               F.col("y").cast("long").alias("Actual"),
                               F.col("yhat").alias("Predicted"),
                               F.col("yhat_lower").alias("Lower_Bound"),
                               F.col("yhat_upper").alias("Upper_Bound"))
     else:
-        out = forecast.select(F.date_format("ds", "yyyy-MM-dd").alias("Date"),
+        out = forecast.select(*key, F.date_format("ds", "yyyy-MM-dd").alias("Date"),
                               F.col("yhat").alias("Forecast"),
                               F.col("yhat_lower").alias("Lower_Bound"),
                               F.col("yhat_upper").alias("Upper_Bound"))
-    out.write.mode("overwrite").option("header", True).csv(path)
+    out.write.mode("overwrite").option("header", True).partitionBy(*key).csv(path)
 
 
 CHANGE_SCHEMA = T.StructType([
@@ -63,12 +70,11 @@ def read_changes_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     """JSON-lines change rows -> (valid changes, rejects).
 
     A line that is not valid JSON lands in ``_corrupt_record`` (PERMISSIVE
-    mode) and goes to the reject frame with its text. The frame is cached
-    because Spark does not allow a query on the corrupt column alone over
-    the raw file.
+    mode) and goes to the reject frame with its text. The lines are read as
+    text and parsed here, so each frame is a lazy scan and nothing is cached.
     """
-    df = (spark.read.schema(CHANGE_SCHEMA).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt_record").json(path)).cache()
+    parsed = F.from_json("value", CHANGE_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    df = spark.read.text(path).filter(F.trim("value") != "").select(parsed.alias("r")).select("r.*")
     bad = df.filter(F.col("_corrupt_record").isNotNull()).select(
         F.col("_corrupt_record").alias("record"), F.lit("malformed JSON").alias("reason"))
     ok = df.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")

@@ -35,6 +35,31 @@ def test_missing_columns_error_is_sorted(spark, tmp_dir):
         IO.read_booking_csv(spark, path, required=["c", "b", "a"])
 
 
+def test_csv_columns_are_bound_by_name(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "n.csv")
+    with open(path, "w") as f:
+        f.write("a,b,c\n1,2,3\n")
+    assert IO.read_booking_csv(spark, path, columns=["c", "a"]).first().asDict() == {"c": "3", "a": "1"}
+    with pytest.raises(ValueError):
+        IO.read_booking_csv(spark, path, columns=["d"])
+
+
+def test_csv_folder_with_different_headers_fails(spark, tmp_dir):
+    for name, text in (("x", "a,b\n1,2\n"), ("y", "b,a\n3,4\n")):
+        with open(os.path.join(tmp_dir, f"{name}.csv"), "w") as f:
+            f.write(text)
+    with pytest.raises(Exception, match="(?i)header"):
+        IO.read_booking_csv(spark, tmp_dir).collect()
+
+
+def test_forecast_sink_keeps_series_apart(spark, tmp_dir):
+    import datetime as dt
+    fc = spark.createDataFrame([(s, dt.date(2013, 1, 1), 1.0, 0.5, 1.5) for s in ("x", "y")],
+                               "series_id string, ds date, yhat double, yhat_lower double, yhat_upper double")
+    IO.write_forecast_csv(fc, os.path.join(tmp_dir, "s"))
+    assert sorted(x for x in os.listdir(os.path.join(tmp_dir, "s")) if "=" in x) == ["series_id=x", "series_id=y"]
+
+
 def test_json_changes_split_rejects(spark, tmp_dir):
     p = os.path.join(tmp_dir, "changes.json")
     with open(p, "w") as f:
