@@ -196,9 +196,12 @@ def _features(spark, sf):
 
 
 def _split_features(spark, sf):
-    """Booking features with their split (the split writes its keyed input
-    once; later statistics read that table, not the seven-way join)."""
-    return L.stratified_split(_features(spark, sf), "label", BOOKING_KEYS)
+    """Booking features with their split. Every line item is a booking, so the
+    split's cuts come from line items alone."""
+    keys = read_table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line_number"), F.col("l_partkey").alias("part_key"),
+        F.col("l_suppkey").alias("supp_key"), (F.col("l_returnflag") == "R").cast("int").alias("label"))
+    return L.stratified_split(_features(spark, sf), "label", BOOKING_KEYS, keys=keys)
 
 
 def risk_rule(lead_hours_col="booking_lead_hours"):
