@@ -12,7 +12,7 @@ import json
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, HashingTF, IDF, RegexTokenizer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -102,6 +102,8 @@ def model_exists(spark: SparkSession, path: str) -> bool:
 
 # ---- L7 / L8: Poisson demand regression --------------------------------------------
 
+ID_BINS = 256
+
 def fill_lags(frame: DataFrame, lag_cols: list[str]) -> tuple[DataFrame, list[str]]:
     """MLlib rejects nulls: null lag/rolling values -> 0 plus a has_ flag."""
     flags = [f"has_{c}" for c in lag_cols]
@@ -115,11 +117,14 @@ def fill_lags(frame: DataFrame, lag_cols: list[str]) -> tuple[DataFrame, list[st
 def fit_poisson(train: DataFrame, features: list[str], label: str = "demand",
                 max_iter: int = 25, reg: float = 1e-4) -> PipelineModel:
     """Poisson GLM with log link (the likelihood of the reference's
-    boosted Poisson model)."""
-    asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
+    boosted Poisson model). Ids are categories: each is hashed to one of
+    ID_BINS indicator columns, so the number of ids does not bound the model."""
+    ids = [c for c in features if c.endswith("_id")]
+    hashed = FeatureHasher(inputCols=ids, categoricalCols=ids, outputCol="id_bins", numFeatures=ID_BINS)
+    asm = VectorAssembler(inputCols=[*[c for c in features if c not in ids], "id_bins"], outputCol="features", handleInvalid="keep")
     glm = GeneralizedLinearRegression(family="poisson", link="log", labelCol=label,
                                       featuresCol="features", maxIter=max_iter, regParam=reg)
-    return Pipeline(stages=[asm, glm]).fit(train.withColumn(label, F.col(label).cast("double")))
+    return Pipeline(stages=[hashed, asm, glm]).fit(train.withColumn(label, F.col(label).cast("double")))
 
 
 # ---- X1: text classification ------------------------------------------------------------

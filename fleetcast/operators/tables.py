@@ -113,6 +113,16 @@ def booking_view(b: DataFrame) -> DataFrame:
         falsy_default("status", "pending").alias("status"))
 
 
+def booking_record(b: DataFrame) -> DataFrame:
+    """P4, stored form: every column under its public name, as stored."""
+    names = {"vehicle_name": "vehicleName", "renter_email": "renterEmail", "renter_name": "renterName", "owner_id": "ownerId",
+             "owner_email": "ownerEmail", "owner_name": "ownerName", "start_date": "startDate", "end_date": "endDate",
+             "cancel_reason": "cancelReason", "created_at": "createdAt"}
+    shown = ["id", "vehicle", *names, "renter", "amount", "status", "notes"]
+    return b.select(*[F.col(c).alias(names.get(c, c)) for c in shown],
+                    F.col("vehicle").alias("vehicleId"), F.col("renter_id").alias("renterId"))
+
+
 def report_view(r: DataFrame) -> DataFrame:
     """P5 + N1: nested fields parsed from JSON text; empty or malformed text
     gives the default (empty list / empty map)."""
@@ -151,6 +161,11 @@ def filter_bookings(b: DataFrame, renter_email: str | None = None,
     return b.filter(cond)
 
 
+def filter_vehicles(v: DataFrame, owner_email: str | None = None) -> DataFrame:
+    """F4 for vehicles: one owner's, e-mail matched without case or blanks."""
+    return v if not owner_email else v.filter(F.lower(F.col("owner_email")) == owner_email.strip().lower())
+
+
 def newest(frame: DataFrame, n: int | None = None) -> DataFrame:
     """O1 + O3: id descending; with n, a top-n (limit is the feature here)."""
     out = frame.orderBy(F.desc("id"))
@@ -502,6 +517,19 @@ def vehicle_change_permissions(changes: DataFrame, users: DataFrame,
     return j.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull()).drop("_known")
 
 
+def user_change_permissions(changes: DataFrame, users: DataFrame) -> DataFrame:
+    """M8 for users: only an active admin may list, patch or delete users, and
+    the target must exist (a list has none). ``changes`` has seq, actor_id,
+    action in {'list', 'patch', 'delete'}, target_id."""
+    a = users.select(F.col("id").alias("actor_id"), F.col("role").alias("actor_role"), F.col("active").alias("actor_active"))
+    t = users.select(F.col("id").alias("target_id"), F.lit(True).alias("_known"))
+    j = changes.join(a, "actor_id", "left").join(t, "target_id", "left")
+    reason = (F.when(F.col("actor_role").isNull() | ~F.col("actor_active"), NO_ACTIVE_USER)
+              .when(F.col("actor_role") != "admin", ADMINS_ONLY)
+              .when((F.col("action") != "list") & F.col("_known").isNull(), UNKNOWN_ID))
+    return j.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull()).drop("_known")
+
+
 def event_envelopes(rows: DataFrame, type_: Column, action: Column, id_: Column,
                     payload: Column) -> DataFrame:
     """{type, action, id, payload JSON} per accepted change."""

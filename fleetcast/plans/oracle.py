@@ -949,3 +949,73 @@ SELECT conv_id * 1000000 + turn AS seq, (SELECT m FROM mx) + row_number() OVER (
        round(CAST(CASE WHEN conv_id % 2 = 0 THEN conv_id * 10 ELSE 0 END AS DOUBLE), 4) AS amount,
        '["' || role || '"]' AS issues, length(text) AS note_chars, '[]' AS photos, '{}' AS custom_labels, '[]' AS comments
 FROM conversations"""
+
+ORACLE["booking_records"] = _with(BOOKINGS) + """
+SELECT id, vehicle, vehicle AS "vehicleId", '' AS "vehicleName", renter, renter_id AS "renterId", renter_email AS "renterEmail",
+       renter_name AS "renterName", '' AS "ownerId", '' AS "ownerEmail", '' AS "ownerName", start_date AS "startDate",
+       end_date AS "endDate", round(amount, 4) AS amount, status, '' AS notes, '' AS "cancelReason",
+       CAST(NULL AS VARCHAR) AS "createdAt" FROM bookings"""
+
+ORACLE["vehicles_by_owner"] = ORACLE["vehicle_view"] + " WHERE owner_email = 'supplier.000000001@fleet.test'"
+
+ORACLE["lookup_bookings"] = _with(BOOKINGS) + f"""
+SELECT {BOOKING_VIEW_COLS} FROM bookings WHERE id IN (SELECT event_id % 4000 * 2 FROM events)"""
+
+ADMINS = """
+admins AS (SELECT id, active, CASE WHEN id % 10 = 7 THEN 'admin' ELSE role END AS role FROM users)"""
+
+ORACLE["user_permissions"] = _with(USERS, ADMINS) + """
+, ch AS (SELECT event_id AS seq, user_id AS actor_id,
+    CASE event_type WHEN 'error' THEN 'delete' WHEN 'view' THEN 'list' ELSE 'patch' END AS action,
+    event_id % 5000 AS target_id FROM events),
+p AS (SELECT ch.*, CASE WHEN a.id IS NULL OR NOT a.active THEN 'no_active_user' WHEN a.role <> 'admin' THEN 'admins_only'
+                     WHEN ch.action <> 'list' AND t.id IS NULL THEN 'unknown_id' END AS reason
+  FROM ch LEFT JOIN admins a ON a.id = ch.actor_id LEFT JOIN admins t ON t.id = ch.target_id)
+SELECT seq, actor_id, action, target_id, reason IS NULL AS accepted, reason FROM p"""
+
+ORACLE["vehicle_permissions"] = _with(USERS, VEHICLES, ADMINS) + """
+, ch AS (SELECT event_id AS seq, user_id AS actor_id,
+    CASE event_type WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'create' ELSE 'update' END AS action,
+    event_id % 2500 AS target_id FROM events),
+p AS (SELECT ch.*, CASE WHEN a.id IS NULL OR NOT a.active THEN 'no_active_user'
+                     WHEN a.role = 'renter' THEN 'owners_only'
+                     WHEN ch.action = 'create' THEN NULL
+                     WHEN v.id IS NULL THEN 'unknown_vehicle'
+                     WHEN a.role = 'owner' AND v.owner_id <> CAST(a.id AS VARCHAR) THEN 'not_own_vehicle' END AS reason
+  FROM ch LEFT JOIN admins a ON a.id = ch.actor_id LEFT JOIN vehicles v ON v.id = ch.target_id)
+SELECT seq, actor_id, action, target_id, reason IS NULL AS accepted, reason FROM p"""
+
+ORACLE["patch_users"] = _with(USERS) + """
+, f AS (SELECT user_id * 2 + 1 AS id, arg_max('P' || CAST(event_id AS VARCHAR), event_id) AS first_name,
+               bool_or(event_id % 5 = 0) AS off, strftime(arg_max(ts, event_id), '%Y-%m-%d') AS day FROM events GROUP BY 1)
+SELECT u.id, COALESCE(f.first_name, u.first_name) AS first_name, u.active AND NOT COALESCE(f.off, false) AS active,
+       f.day AS updated_day FROM users u LEFT JOIN f ON f.id = u.id"""
+
+ORACLE["patch_reports"] = _with(REPORTS) + """
+, e AS (SELECT user_id % 130 AS id, * EXCLUDE (event_type) FROM events),
+f AS (SELECT id, arg_max('n' || CAST(event_id AS VARCHAR), event_id) AS notes,
+             arg_max(value, event_id) FILTER (WHERE value > 20) AS amount, bool_or(event_id % 2 = 0) AS half FROM e GROUP BY id)
+SELECT r.id, COALESCE(f.notes, '') AS notes, round(COALESCE(f.amount, 0.0), 4) AS amount,
+       CASE WHEN f.half THEN 'half' ELSE '' END AS fuel_level, CAST(0 AS BIGINT) AS rejected
+FROM reports r LEFT JOIN f ON f.id = r.id
+UNION ALL
+SELECT id, '', 0.0, '', count(*) FROM e WHERE id NOT IN (SELECT id FROM reports) GROUP BY id"""
+
+ORACLE["report_rejects"] = """
+SELECT conv_id * 3 AS id, turn AS seq, 'unknown_report' AS reason FROM conversations
+WHERE turn % 2 = 1 AND conv_id * 3 NOT IN (SELECT conv_id FROM conversations)"""
+
+ORACLE["csv_booking_features"] = ORACLE["booking_features"]
+
+ORACLE["json_change_log"] = (ORACLE["apply_change_log"].replace("  FROM events\n", "  FROM events WHERE event_id % 50 <> 0\n")
+    .replace("""       round(arg_max(value, seq) FILTER (WHERE value IS NOT NULL), 4) AS value,\n""", "")) + """
+UNION ALL SELECT NULL, NULL, 'broken', count(*), NULL FROM events WHERE event_id % 50 = 0"""
+
+ORACLE["forecast_csv"] = _with(HIST) + """
+, s AS (SELECT 'area-' || CAST(from_area_id AS VARCHAR) AS series_id, booking_date AS ds, count(*) AS y FROM hist GROUP BY ALL
+        UNION ALL SELECT 'total', booking_date, count(*) FROM hist GROUP BY ALL),
+last AS (SELECT series_id, max(ds) AS hi FROM s GROUP BY 1),
+step AS (SELECT unnest(generate_series(1, 30)) AS k)
+SELECT l.series_id, strftime(l.hi + CAST(k AS INTEGER), '%Y-%m-%d') AS "Date",
+       round(CAST(COALESCE(s.y, 0) AS DOUBLE), 4) AS "Forecast"
+FROM last l, step LEFT JOIN s ON s.series_id = l.series_id AND s.ds = l.hi + CAST((k - 1) % 7 - 6 AS INTEGER)"""

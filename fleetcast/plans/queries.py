@@ -8,6 +8,7 @@ in ``fleetcast.plans.oracle``; column names and types are kept equal.
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -789,7 +790,7 @@ def q_stream_outcomes(spark, sf):
 import hashlib  # noqa: E402
 
 from fleetcast.operators import models as ML  # noqa: E402
-from fleetcast.session import scratch_path  # noqa: E402
+from fleetcast.session import forget_at_exit, scratch_path  # noqa: E402
 
 CANCEL_MODEL = "random_forest"
 
@@ -807,7 +808,7 @@ def cancellation_model(spark, sf):
     path = _artifact(spark, sf, "cancellation")
     if ML.model_exists(spark, path):
         return ML.load_model(spark, path, CANCEL_MODEL)
-    s = _split_features(spark, sf)
+    s = materialize(_split_features(spark, sf), "training-input")    # the fit passes over it many times
     model = ML.fit_cancellation(s.filter(F.col("split") == "train"), G.FEATURE_COLUMNS)
     test = ML.score(model, s.filter(F.col("split") == "test"), ["label"])
     cm = M.classification_metrics(test).first().asDict()
@@ -1001,3 +1002,138 @@ def q_report_create(spark, sf):
     return presentable(out.select("seq", "id", "type", "vehicle_id", "amount", "issues",
                                   F.length("notes").cast("long").alias("note_chars"),
                                   "photos", "custom_labels", "comments"))
+
+
+# ---- stored records, owner listing, point lookups ------------------------------------
+
+OWNER_EMAIL = " Supplier.000000001@FLEET.test"     # F4 parameter (mixed case, a blank)
+
+
+@query
+def q_booking_records(spark, sf):
+    """The stored booking rows under their public names."""
+    return presentable(TB.booking_record(SN.bookings(spark, sf)))
+
+
+@query
+def q_vehicles_by_owner(spark, sf):
+    """F4 + O1 for vehicles: one owner's vehicles, newest first."""
+    return presentable(TB.vehicle_view(TB.newest(TB.filter_vehicles(SN.vehicles(spark, sf), OWNER_EMAIL))))
+
+
+@query
+def q_lookup_bookings(spark, sf):
+    """the bookings that events point at (some ids occur often, some not at all)."""
+    ids = read_table(spark, sf, "events").select((F.col("event_id") % 4000 * 2).alias("id"))
+    return presentable(TB.booking_view(TB.lookup(SN.bookings(spark, sf), ids)))
+
+
+# ---- permission rules with admins, patches of users and reports -------------------------
+
+def _users_with_admins(spark, sf):
+    """Stand-in: users with an id that ends in 7 are admins."""
+    return SN.users(spark, sf).withColumn("role", F.when(F.col("id") % 10 == 7, "admin").otherwise(F.col("role")))
+
+
+@query
+def q_user_permissions(spark, sf):
+    """M8: only admins list, patch and delete users."""
+    ev = read_table(spark, sf, "events")
+    ch = ev.select(F.col("event_id").alias("seq"), F.col("user_id").alias("actor_id"),
+                   (F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "view", "list")
+                    .otherwise("patch")).alias("action"), (F.col("event_id") % 5000).alias("target_id"))
+    out = TB.user_change_permissions(ch, _users_with_admins(spark, sf))
+    return out.select("seq", "actor_id", "action", "target_id", "accepted", "reason")
+
+
+@query
+def q_vehicle_permissions(spark, sf):
+    """M8 + F9: create, update and delete of vehicles by renters, owners and admins."""
+    ev = read_table(spark, sf, "events")
+    ch = ev.select(F.col("event_id").alias("seq"), F.col("user_id").alias("actor_id"),
+                   (F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "signup", "create")
+                    .otherwise("update")).alias("action"), (F.col("event_id") % 2500).alias("target_id"))
+    out = TB.vehicle_change_permissions(ch, _users_with_admins(spark, sf), SN.vehicles(spark, sf))
+    return out.select("seq", "actor_id", "action", "target_id", "accepted", "reason")
+
+
+@query
+def q_patch_users(spark, sf):
+    """M3 for users: names under both spellings, activity as text, update time."""
+    ev = read_table(spark, sf, "events")
+    e = F.col("event_id")
+    name = F.concat(F.lit("P"), e.cast("string"))
+    payload = F.to_json(F.struct(F.when(e % 2 == 0, name).alias("firstName"), F.when(e % 2 == 1, name).alias("first_name"),
+                                 F.when(e % 5 == 0, F.lit("false")).alias("active")))
+    batch = ev.select((F.col("user_id") * 2 + 1).alias("id"), e.alias("seq"), payload.alias("payload"), F.col("ts"))
+    names = TB.ALIASES["users"]
+    out, _ = TB.apply_patches(SN.users(spark, sf), batch, "id", {c: names[c] for c in ("first_name", "active")})
+    return out.select("id", "first_name", "active", F.substring("updated_at", 1, 10).alias("updated_day"))
+
+
+@query
+def q_patch_reports(spark, sf):
+    """M3 for log reports, with the rejects of unknown ids counted per report id."""
+    ev = read_table(spark, sf, "events")
+    e = F.col("event_id")
+    payload = F.to_json(F.struct(F.concat(F.lit("n"), e.cast("string")).alias("notes"),
+                                 F.when(F.col("value") > 20, F.col("value")).alias("amount"),
+                                 F.when(e % 2 == 0, F.lit("half")).alias("fuelLevel")))
+    batch = ev.select((F.col("user_id") % 130).alias("id"), e.alias("seq"), payload.alias("payload"))
+    names = TB.ALIASES["logreports"]
+    out, rej = TB.apply_patches(SN.logreports(spark, sf), batch, "id", {c: names[c] for c in ("notes", "amount", "fuel_level")})
+    return presentable(out.select("id", "notes", "amount", "fuel_level", F.lit(0).cast("long").alias("rejected"))
+                       .unionByName(rej.groupBy("id").agg(F.count("*").alias("rejected")).select(
+                           "id", F.lit("").alias("notes"), F.lit(0.0).alias("amount"), F.lit("").alias("fuel_level"), "rejected")))
+
+
+@query
+def q_report_rejects(spark, sf):
+    """N3 + N4 + M12: comments of reports that do not exist."""
+    c = _new_comments(spark, sf).withColumn("report_id", F.col("report_id") * 3)
+    return TB.unknown_reports(SN.logreports(spark, sf), c)
+
+
+# ---- sources and sinks --------------------------------------------------------------------
+
+@query
+def q_csv_booking_features(spark, sf):
+    """S1 + S2 + G1: bookings written as CSV text, read back by name, to features."""
+    path = scratch_path(spark, f"bookings-csv-{uuid.uuid4().hex}")
+    h = booking_history(spark, sf)
+    cols = [*IO.BOOKING_CSV_COLUMNS, *BOOKING_KEYS]
+    h.select(*[F.col(c).cast("string").alias(c) for c in cols]).write.option("header", True).csv(path)
+    forget_at_exit(spark, path)
+    raw = IO.read_booking_csv(spark, path, columns=cols[::-1], required=["Car_Cancellation"])
+    return presentable(G.prepare_features(raw, keep=[
+        *[F.col(c).cast("int" if c == "line_number" else "long").alias(c) for c in BOOKING_KEYS],
+        F.col(LABEL).cast("int").alias("label")]))
+
+
+@query
+def q_json_change_log(spark, sf):
+    """S9 + M7: the change log as JSON lines, of which some are cut off; the
+    valid ones are folded, and the broken ones counted (id null)."""
+    path = scratch_path(spark, f"changes-json-{uuid.uuid4().hex}")
+    log = SN.change_log(spark, sf)
+    line = F.to_json(F.struct("entity", "action", "id", "actor_id", "seq", "payload"))
+    log.select(F.when(F.col("seq") % 50 == 0, F.substring(line, 1, 30)).otherwise(line).alias("value")).write.text(path)
+    forget_at_exit(spark, path)
+    ok, bad = IO.read_changes_json(spark, path)
+    state = TB.fold_change_log(ok, ["k", "last_event"]).select("id", "k", "last_event", "changes_applied", "last_seq")
+    return state.unionByName(bad.agg(F.count("*").alias("changes_applied")).select(
+        F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("k"), F.lit("broken").alias("last_event"),
+        "changes_applied", F.lit(None).cast("long").alias("last_seq")))
+
+
+@query
+def q_forecast_csv(spark, sf):
+    """The naive outlook of each area, written as CSV by series and read back."""
+    path = scratch_path(spark, f"forecast-csv-{uuid.uuid4().hex}")
+    dense = FC.dense_series(_area_series(spark, sf))
+    fut = FC.seasonal_naive(dense, FC.future_days(dense.select("series_id", "ds"), 30))
+    IO.write_forecast_csv(FC.with_bounds(fut, F.lit(1.0)), path)
+    forget_at_exit(spark, path)
+    back = spark.read.option("header", True).schema(
+        "Date string, Forecast double, Lower_Bound double, Upper_Bound double, series_id string").csv(path)
+    return presentable(back.select("series_id", "Date", "Forecast"))
