@@ -1019,3 +1019,30 @@ step AS (SELECT unnest(generate_series(1, 30)) AS k)
 SELECT l.series_id, strftime(l.hi + CAST(k AS INTEGER), '%Y-%m-%d') AS "Date",
        round(CAST(COALESCE(s.y, 0) AS DOUBLE), 4) AS "Forecast"
 FROM last l, step LEFT JOIN s ON s.series_id = l.series_id AND s.ds = l.hi + CAST((k - 1) % 7 - 6 AS INTEGER)"""
+
+
+# ---- model answers: keys, and that each row is valid -----------------------------------
+
+ORACLE["score_bookings_valid"] = """
+SELECT l_orderkey AS order_key, l_linenumber AS line_number, CAST(l_returnflag = 'R' AS INTEGER) AS label, true AS ok FROM lineitem"""
+ORACLE["stream_score_valid"] = "SELECT l_orderkey AS order_key, l_linenumber AS line_number, true AS ok FROM lineitem"
+ORACLE["train_cancellation_valid"] = """
+SELECT 'random_forest' AS model_name, CAST(22 AS INTEGER) AS features, count(*) AS rows, true AS ok FROM lineitem"""
+ORACLE["risk_index_valid"] = _with(HIST, COUNTS, GRID, REQUESTS) + """
+SELECT request_id, strftime(ds, '%Y-%m-%d') AS date, CAST(30 AS BIGINT) AS number_of_days, true AS ok FROM req_days"""
+ORACLE["demand_request_valid"] = ORACLE["risk_index_valid"]
+
+AREA_SERIES = """
+s AS (SELECT 'area-' || CAST(from_area_id AS VARCHAR) AS series_id, booking_date AS ds, CAST(count(*) AS DOUBLE) AS y
+      FROM hist GROUP BY 1, 2
+      UNION ALL SELECT 'total', booking_date, CAST(count(*) AS DOUBLE) FROM hist GROUP BY 1, 2)"""
+ORACLE["forecast_valid"] = _with(HIST, AREA_SERIES) + """
+SELECT series_id, strftime(ds, '%Y-%m-%d') AS ds, y, true AS ok FROM s
+UNION ALL
+SELECT series_id, strftime(hi + CAST(k AS INTEGER), '%Y-%m-%d'), NULL, true
+FROM (SELECT series_id, max(ds) AS hi FROM s GROUP BY 1), (SELECT unnest(generate_series(1, 30)) AS k)"""
+ORACLE["forecast_holdout_valid"] = _with(HIST, AREA_SERIES) + """
+, d AS (SELECT ds, row_number() OVER (ORDER BY ds) AS rn, count(*) OVER () AS n FROM s WHERE series_id = 'total')
+SELECT series_id, count(*) AS rows, true AS ok FROM s
+WHERE ds > (SELECT ds FROM d WHERE rn = greatest(1, CAST(floor(n * 0.8) AS BIGINT))) GROUP BY series_id"""
+ORACLE["text_sentiment_valid"] = "SELECT doc_id, true AS ok FROM documents"

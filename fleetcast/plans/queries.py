@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetcast.functions.calendar import add_holiday_flags, calendar_columns, cyclic_columns
@@ -400,18 +401,17 @@ def _answer(rows):
         "total_predicted_bookings", "number_of_days", F.lit(ANSWER_MESSAGE).alias("message"))
 
 
-@query
-def q_demand_request(spark, sf):
-    """G10 + G6 + F10 + C15 + C16 + C19 + N5: per-segment demand answers."""
+def _segment_series(counts):
+    """The dense daily series of every segment, with its keys."""
     a, v, t = SEGMENT_COLUMNS
-    counts = _counts(spark, sf)
-    grid = D.dense_grid(counts)
-    series = grid.select(F.concat_ws("-", a, v, t).alias("series_id"), a, v, t,
-                         F.col("booking_date").alias("ds"), F.col("demand").cast("double").alias("y"))
-    keys = series.select("series_id", a, v, t).distinct()
-    fut = FC.seasonal_naive(series.select("series_id", "ds", "y"),
-                            FC.future_days(series.select("series_id", "ds"), 30))
-    fut = fut.join(keys, "series_id")
+    return D.dense_grid(counts).select(F.concat_ws("-", a, v, t).alias("series_id"), a, v, t,
+                                       F.col("booking_date").alias("ds"), F.col("demand").cast("double").alias("y"))
+
+
+def _demand_answer(counts, series, fut):
+    """The requests' answers from a forecast (series_id, ds, yhat) per segment."""
+    a, v, t = SEGMENT_COLUMNS
+    fut = fut.select("series_id", "ds", "yhat").join(series.select("series_id", a, v, t).distinct(), "series_id")
     req = _segment_requests(counts)
     req_days = req.select("request_id", a, v, t,
                           F.explode(FC.date_range_days(F.col("start_date"), F.col("end_date")))
@@ -426,6 +426,27 @@ def q_demand_request(spark, sf):
     return _answer(rows)
 
 
+@query
+def q_demand_request(spark, sf):
+    """G6 + F10 + C15 + C16 + C19 + N5: per-segment demand answers from the
+    last week, repeated."""
+    counts = _counts(spark, sf)
+    series = _segment_series(counts)
+    fut = FC.seasonal_naive(series.select("series_id", "ds", "y"), FC.future_days(series.select("series_id", "ds"), 30))
+    return _demand_answer(counts, series, fut)
+
+
+@query
+def q_demand_request_fitted(spark, sf):
+    """The same answers from the additive forecaster, fitted per segment.
+    The forecast is saved (S7) and the answer read from the saved table (S8)."""
+    counts = _counts(spark, sf)
+    series = _segment_series(counts)
+    fc = FC.additive_forecast(series.select("series_id", "ds", "y"), periods=30).filter("not is_history")
+    saved = materialize(fc.select("series_id", "ds", "yhat", "yhat_lower", "yhat_upper"), "segment-forecast")
+    return _demand_answer(counts, series, saved)
+
+
 def _synthetic_bookings(req):
     """One synthetic booking per requested day: starts 10:00, lasts six
     hours, created 24 hours before; fixed ids as in the reference."""
@@ -1137,3 +1158,75 @@ def q_forecast_csv(spark, sf):
     back = spark.read.option("header", True).schema(
         "Date string, Forecast double, Lower_Bound double, Upper_Bound double, series_id string").csv(path)
     return presentable(back.select("series_id", "Date", "Forecast"))
+
+
+# ---- what any fitted model's answer must keep to (each row: its keys and whether it does) ----
+
+def _score_ok():
+    p, s = F.col("prediction"), F.col("score")
+    return ((s >= 0) & (s <= 1) & ((p == 1) == (s > 0.5)) & (F.col("label_text") == F.when(p == 1, ML.CANCEL_LABELS[1])
+                                                             .otherwise(ML.CANCEL_LABELS[0]))).alias("ok")
+
+
+@query
+def q_score_bookings_valid(spark, sf):
+    """L5 + C17: a score and the label that follows from it for every booking."""
+    return QUERIES["score_bookings"](spark, sf).select("order_key", "line_number", "label", _score_ok())
+
+
+@query
+def q_stream_score_valid(spark, sf):
+    """T4: every arriving booking is scored once."""
+    return QUERIES["stream_score"](spark, sf).select("order_key", "line_number", _score_ok())
+
+
+@query
+def q_train_cancellation_valid(spark, sf):
+    """L2-L6 + S7 + S11: trained on all bookings, metrics in range."""
+    m = QUERIES["train_cancellation"](spark, sf)
+    return m.select("model_name", "features", "rows", (F.col("accuracy").between(0, 1) & F.col("f1").between(0, 1)
+                                                      & F.col("roc_auc").between(0, 1)).alias("ok"))
+
+
+@query
+def q_risk_index_valid(spark, sf):
+    """G11 + C18: an index from 5 to 20 for every requested day, and its total."""
+    total = F.sum("predicted_bookings").over(W.partitionBy("request_id"))
+    return QUERIES["risk_index_model"](spark, sf).select(
+        "request_id", "date", "number_of_days",
+        (F.col("predicted_bookings").between(5, 20) & (F.col("total_predicted_bookings") == total)).alias("ok"))
+
+
+@query
+def q_demand_request_valid(spark, sf):
+    """An answer of at least 0 for every requested day, and its total."""
+    total = F.sum("predicted_bookings").over(W.partitionBy("request_id"))
+    return QUERIES["demand_request_fitted"](spark, sf).select(
+        "request_id", "date", "number_of_days",
+        ((F.col("predicted_bookings") >= 0) & (F.col("total_predicted_bookings") == total)).alias("ok"))
+
+
+@query
+def q_forecast_valid(spark, sf):
+    """G3 + G4 + G8: all history days with their value and 30 days more; the
+    forecast is the sum of its parts and lies in the middle of its bounds."""
+    fc = _area_forecast(spark, sf)
+    parts = F.abs(F.col("yhat") - F.col("trend") - F.col("yearly") - F.col("weekly"))
+    middle = F.abs(F.col("yhat_upper") + F.col("yhat_lower") - 2 * F.col("yhat"))
+    return presentable(fc.select("series_id", "ds", F.nanvl("y", F.lit(None).cast("double")).alias("y"),
+                                 ((parts < 1e-6) & (middle < 1e-6) & (F.col("yhat_upper") >= F.col("yhat"))).alias("ok")))
+
+
+@query
+def q_forecast_holdout_valid(spark, sf):
+    """G9 + A7: hold-out rows of each series."""
+    h = QUERIES["forecast_additive_holdout"](spark, sf)
+    return h.select("series_id", "rows", ((F.col("mae") >= 0) & (F.col("rmse") >= F.col("mae"))
+                                          & F.col("inside_bounds").between(0, F.col("rows"))).alias("ok"))
+
+
+@query
+def q_text_sentiment_valid(spark, sf):
+    """One label for every document, with the probability of that label."""
+    t = QUERIES["text_sentiment"](spark, sf)
+    return t.select("doc_id", (F.col("label").isin(*ML.TEXT_LABELS) & F.col("score").between(0.5, 1)).alias("ok"))
