@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,7 +16,7 @@ from fleetcast.session import materialize  # noqa: F401  (re-exported for the op
 
 #: Arrow batches handed to Python are cut at this many bytes, so that a batch
 #: of long texts does not fill a worker.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 #: Bytes 0x20 and 0x09-0x0D separate words: words are ``[^\x20\x09-\x0D]+``.
 SPACE = np.zeros(256, bool)
@@ -53,6 +57,38 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0]:at[-1]], at - at[0]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system. Python workers outlive their tasks,
+    and the allocator would keep what large arrays held."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):        # another C library
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function over its batches that gives memory back at the end."""
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def row_slices(batch: pa.RecordBatch, text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``most`` bytes of text in column ``text``; a
+    longer text is a run of its own."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + most, side="right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of ``values`` within each row's range; 0 for an empty range."""
     kind = np.float64 if values.dtype.kind == "f" else np.int64

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetcast.llm.common import bounded_batches, fold, mix, row_sums, table, text_bytes
+from fleetcast.llm.common import bounded_batches, fold, mix, row_slices, row_sums, table, text_bytes, tidy
 
 BINS = 4096
 GRAMS = (1, 2, 3)                 # bytes
@@ -163,14 +163,17 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", per_language: i
         total = np.zeros((len(families), BINS), np.int64)
         for batch in batches:
             names = np.array([families.index(family(x)) for x in batch.column(0).to_pylist()])
-            raw, at = text_bytes(batch.column(1))
-            for bins, offsets in grams(raw, at):
-                key = np.repeat(names, np.diff(offsets)) * BINS + bins
-                total += np.bincount(key, minlength=total.size).reshape(total.shape)
+            done = 0
+            for part in row_slices(batch, 1):
+                raw, at = text_bytes(part.column(1))
+                for bins, offsets in grams(raw, at):
+                    key = np.repeat(names[done:done + part.num_rows], np.diff(offsets)) * BINS + bins
+                    total += np.bincount(key, minlength=total.size).reshape(total.shape)
+                done += part.num_rows
         yield pa.RecordBatch.from_pydict({"family": pa.array(range(len(families)), pa.int32()),
                                           "counts": pa.array(list(total), pa.list_(pa.int64()))})
 
-    summed = (rows.mapInArrow(tally, "family int, counts array<long>")
+    summed = (rows.mapInArrow(tidy(tally), "family int, counts array<long>")
               .select("family", F.posexplode("counts").alias("bin", "n")).filter("n > 0")
               .groupBy("family", "bin").agg(F.sum("n").alias("n"))
               .groupBy("family").agg(F.collect_list(F.struct("bin", "n")).alias("n")).collect())
@@ -204,7 +207,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", per_language: i
             w, b = fit_pair(x, y)
             return pa.table({"pair": pa.array([key[0].as_py()], pa.int32()), "w": [w.tolist()], "b": [b]})
 
-        machines = (drawn.withColumn("pair", of[F.col("lang")]).mapInArrow(vectors, "lang string, x binary, pair array<int>")
+        machines = (drawn.withColumn("pair", of[F.col("lang")]).mapInArrow(tidy(vectors), "lang string, x binary, pair array<int>")
                     .select("lang", "x", F.explode("pair").alias("pair")).filter("pair >= 0")
                     .groupBy("pair").applyInArrow(machine, "pair int, w array<double>, b double").collect())
         found = {r.pair: r for r in machines}
@@ -220,7 +223,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in row_slices(whole, len(keep))):
             column = batch.column(len(keep))
             raw, at = text_bytes(column)
             said, score = model.predict(raw, at)
@@ -234,7 +237,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
 
     few = docs.select(*keep, text)
     kept = ", ".join(f"`{k}` {few.schema[k].dataType.simpleString()}" for k in keep)
-    return few.mapInArrow(run, f"{kept}, lang_pred string, score double")
+    return few.mapInArrow(tidy(run), f"{kept}, lang_pred string, score double")
 
 
 def language_id(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
