@@ -6,7 +6,7 @@ support vector machines tell closely related languages apart, one for each
 pair of languages; the language with most pairwise votes wins.
 
 The machines are fitted by Spark tasks, one per pair, on a bounded sample
-(``PER_LANGUAGE`` rows a language, chosen by a hash of the row). Models have
+(about ``PER_LANGUAGE`` rows a language, each drawn by itself). Models have
 fixed sizes: languages x BINS and pairs x BINS numbers.
 """
 
@@ -186,8 +186,9 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", per_language: i
     pairs = [(a, b) for a, b in combinations(languages, 2) if family(a) == family(b)]
     if pairs:
         share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, per_language / counts[k]))])
-        # the row's hash decides, so a retry draws the same sample
-        drawn = rows.filter((F.xxhash64("text", F.lit(7)).bitwiseAND(0xFFFFFFFF) / float(1 << 32)) < share[F.col("lang")])
+        # seeded by partition, so a retry draws the same sample; each row by itself, so that many copies of
+        # one text don't all get in
+        drawn = rows.filter(F.rand(7) < share[F.col("lang")])
         of = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for k in languages
                             for x in (k, [i for i, p in enumerate(pairs) if k in p] or [-1])])
 
