@@ -183,7 +183,8 @@ def find_links(rows: DataFrame, percent: int, rounds: int = ROUNDS) -> DataFrame
     sets = rows.select("row", "others", "shingles").join(index.select("row").distinct(), "row", "left_semi")
     sets = materialize(sets, "prefix-sets")
     a, b = F.least("row", "row_"), F.greatest("row", "row_")
-    passes = (similar_sizes(F.col("n"), F.col("n_"), percent)
+    sizes = similar_sizes(F.col("n"), F.col("n_"), percent)
+    passes = (sizes
               & enough_left(F.col("n"), F.col("place"), F.col("n_"), F.col("place_"), percent))
     links = None
 
@@ -197,7 +198,8 @@ def find_links(rows: DataFrame, percent: int, rounds: int = ROUNDS) -> DataFrame
         one = (now.groupBy("token").agg(F.min(F.struct(by.alias("by"), "row", "n", "place", "part")).alias("one"),
                                         F.min("part").alias("least"), F.max("part").alias("most")).filter("least <> most")
                .select("token", *[F.col(f"one.{c}").alias(f"{c}_") for c in ("row", "n", "place", "part")]))
-        links = add(now.join(one, "token").filter("part <> part_").filter(passes))
+        # the position filter holds for the first shared shingle only; a row may share a later one with this row
+        links = add(now.join(one, "token").filter("part <> part_").filter(sizes))
 
     now = materialize(_labelled(index, links), "prefix-parts")
     main = (now.groupBy("token", "part").agg(F.count("*").alias("size"))
