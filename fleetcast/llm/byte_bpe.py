@@ -24,7 +24,7 @@ import public_tokenizers
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-from fleetcast.llm.common import bounded_batches, table, text_bytes
+from fleetcast.llm.common import bounded_batches, table, text_bytes, tidy
 from fleetcast.llm.pieces import Pieces, as_array, byte_alphabet, latin_letters
 from fleetcast.llm.textstats import IS_START
 
@@ -192,10 +192,11 @@ def round_trip(docs: DataFrame, text: str = "text", key: str = "doc_id", path: s
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cells, kinds)],
                                              names=[key, "n_tokens", "ids_sha256", "decoded_sha256", "last_char_end", "lossless"])
+        bpe.pieces.forget()
 
     few = docs.select(key, text)
     kind = few.schema[key].dataType.simpleString()
-    return few.mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, "
+    return few.mapInArrow(tidy(run), f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, "
                                "last_char_end long, lossless boolean")
 
 

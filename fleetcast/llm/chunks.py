@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
-from fleetcast.llm.common import bounded_batches, mix
+from fleetcast.llm.common import bounded_batches, give_back, mix, tidy
 from fleetcast.session import scratch_path
 
-CHUNK_BYTES = 16 << 20        # of text; a chunk ends with the document that reaches it
+CHUNK_BYTES = 8 << 20        # of text; a chunk ends with the document that reaches it
 SLOT_TOKENS = 1 << 21
 SMALL_LETTERS = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -126,7 +126,7 @@ def encode(docs: DataFrame, name: str, text: str = "text", key: str = "doc_id",
 
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
     # rows are large: the writer has to look at its buffers after each of them
-    (few.mapInArrow(run, schema).write.option("compression", "none").option("parquet.page.size.row.check.min", "1")
+    (few.mapInArrow(tidy(run), schema).write.option("compression", "none").option("parquet.page.size.row.check.min", "1")
      .option("parquet.block.size.row.check.min", "1").option("parquet.enable.dictionary", "false").parquet(path))
     return spark.read.parquet(path)
 
@@ -151,7 +151,7 @@ def requests(chunks: DataFrame, n: int, keys_of: Callable[[Chunk], list[tuple[np
             for i in range(batch.num_rows):
                 yield request_rows(Chunk.of(pa.Table.from_batches([batch]), i), n, keys_of)
 
-    return chunks.mapInArrow(run, REQUEST)
+    return chunks.mapInArrow(tidy(run), REQUEST)
 
 
 REQUEST = "slot long, chunk long, keys binary, values array<binary>"
@@ -199,6 +199,7 @@ def totals(asked: DataFrame, dtypes: list, answer: Callable[[int, np.ndarray, li
         rows = [[*(squeeze(v[place[a:b]]) for v in back), squeeze(own[a:b])] for a, b in zip(ends[:-1], ends[1:])]
         if about:
             who, rows = [*who, -1], [*rows, [squeeze(v) for v in about]]
+        give_back()
         return pa.table({"slot": pa.array([slot] * len(who), pa.int64()), "chunk": pa.array(who, pa.int64()),
                          "values": pa.array(rows, pa.list_(pa.binary()))})
 
@@ -218,7 +219,9 @@ def read_answer(found: pa.Table, kind: int, n: int, dtypes: list) -> list[np.nda
 def with_answers(chunks: DataFrame, answers: DataFrame, run: Callable[[Chunk, pa.Table], pa.Table], schema: str) -> DataFrame:
     """``run`` for each chunk with the answers that it got."""
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
-        return run(Chunk.of(left), right)
+        out = run(Chunk.of(left), right)
+        give_back()
+        return out
 
     both.__annotations__ = {"left": pa.Table, "right": pa.Table, "return": pa.Table}
     return (chunks.groupBy("chunk").cogroup(answers.filter("chunk >= 0").groupBy("chunk")).applyInArrow(both, schema))

@@ -27,7 +27,7 @@ import public_tokenizers
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 
-from fleetcast.llm.common import bounded_batches, table
+from fleetcast.llm.common import bounded_batches, table, tidy
 from fleetcast.llm.pieces import Pieces, as_array, byte_alphabet, latin_letters
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -187,6 +187,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], key: str, path: str, windows, ste
                 packer.pack()
                 yield flush()
     packer.pack(last=True)
+    words.pieces.forget()
     if kind is not None:
         yield flush()
 
@@ -208,7 +209,7 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str = V
     bounded_batches(docs.sparkSession)
     few = docs.select(key, text)
     schema = ", ".join([f"`{key}` {few.schema[key].dataType.simpleString()}", *(f"{f} long" for f in FIELDS)])
-    return few.mapInArrow(lambda it: _pieces(it, key, path, windows, step_tokens), schema)
+    return few.mapInArrow(tidy(lambda it: _pieces(it, key, path, windows, step_tokens)), schema)
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:

@@ -35,12 +35,17 @@ class Pieces:
         self.encode_many, self.simple, self.kept = encode_many, simple, kept
         self.new: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
+        self.numbers = list(range(1 << 16))       # one object for each id, shared by all pieces
+
+    def forget(self) -> None:
+        """At the end of a task; its worker lives on."""
+        self.new, self.old = {}, {}
 
     def encode(self, pieces: list[str]) -> list[int]:
         """The ids of the pieces, one after the other."""
         if len(self.new) > self.kept:
             self.old, self.new = self.new, {}
-        new, unknown, passing = self.new, [], {}
+        new, unknown, passing, number = self.new, [], {}, self.numbers.__getitem__
         for p in dict.fromkeys(pieces):
             if p in new:
                 continue
@@ -48,10 +53,10 @@ class Pieces:
             if ids is None:
                 unknown.append(p)
             else:
-                (new if len(p) <= KEPT_LENGTH else passing)[p] = tuple(ids)
+                (new if len(p) <= KEPT_LENGTH else passing)[p] = tuple(map(number, ids))
         if unknown:
             for p, ids in zip(unknown, self.encode_many(unknown)):
-                (new if len(p) <= KEPT_LENGTH else passing)[p] = tuple(ids)
+                (new if len(p) <= KEPT_LENGTH else passing)[p] = tuple(map(number, ids))
         if passing:
             return list(chain.from_iterable([passing[p] if p in passing else new[p] for p in pieces]))
         return list(chain.from_iterable([new[p] for p in pieces]))

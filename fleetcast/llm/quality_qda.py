@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetcast.llm.common import SPACE, bounded_batches, fold, materialize, table, text_bytes
+from fleetcast.llm.common import SPACE, bounded_batches, fold, materialize, table, text_bytes, tidy
 from fleetcast.llm.textstats import IS_START, base_stats, class_counts, intern_words
 
 FEATURES = ["words", "word_length", "symbols", "upper", "digits", "marks", "non_ascii", "dup_lines",
@@ -131,7 +131,7 @@ def feature_table(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), rows], names=[key, "x"])
 
     few = docs.select(key, text)
-    return few.mapInArrow(run, f"`{key}` {few.schema[key].dataType.simpleString()}, x array<double>")
+    return few.mapInArrow(tidy(run), f"`{key}` {few.schema[key].dataType.simpleString()}, x array<double>")
 
 
 def fit(labelled: DataFrame, d: int = len(FEATURES)) -> Model:
@@ -202,7 +202,7 @@ def keep_rows(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
             s = model.score(features(batch.column(batch.schema.get_field_index(text))))
             yield batch.filter(pa.array(s >= THRESHOLD))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(tidy(kept), docs.schema)
 
 
 def op6_quality_qda(spark, sf_dir: str) -> DataFrame:

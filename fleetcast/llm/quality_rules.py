@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetcast.llm.common import bounded_batches, text_bytes
+from fleetcast.llm.common import bounded_batches, text_bytes, tidy
 from fleetcast.llm.textstats import base_stats, intern_words
 
 LEVEL = 3
@@ -107,7 +107,7 @@ def quality_rules(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = (
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in few.schema.fields[:len(keys)]),
                         *(f"{k} {t}" for k, t in FIELDS)])
     n = len(keys)
-    return few.mapInArrow(lambda it: _judge(it, n, text, bands, chunk), schema)
+    return few.mapInArrow(tidy(lambda it: _judge(it, n, text, bands, chunk)), schema)
 
 
 def keep_rows(docs: DataFrame, text: str = "text", bands=BANDS, chunk: int = CHUNK) -> DataFrame:
@@ -122,7 +122,7 @@ def keep_rows(docs: DataFrame, text: str = "text", bands=BANDS, chunk: int = CHU
             verdict = next(_judge(iter([only]), 0, "text", bands, chunk))
             yield batch.filter(verdict.column(verdict.schema.get_field_index("kept")))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(tidy(kept), docs.schema)
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
