@@ -62,11 +62,21 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (percent * n + 99) // 100 + 1
 
 
+def row_numbers(chunk: C.Chunk) -> range:
+    """A number for each document of a chunk: partition (23 bits), chunk in
+    the partition (16 bits), document in the chunk (24 bits)."""
+    partition, at, n = chunk.number >> 32, chunk.number & 0xFFFFFFFF, len(chunk.ends) - 1
+    if partition >= 1 << 23 or at >= 1 << 16 or n > 1 << 24:
+        raise ValueError(f"no row numbers for partition {partition}, chunk {at}, {n} documents; read the table in other partitions")
+    first = (partition << 40) + (at << 24)
+    return range(first, first + n)
+
+
 def prefixes(chunk: C.Chunk, df: np.ndarray, keys: np.ndarray, doc: np.ndarray, place: np.ndarray,
              percent: int) -> list[dict]:
     """The rows of a chunk's documents (ROW). Prefixes leave out shingles of a
     single document, which nobody can share, but keep places in the whole set."""
-    rows = len(chunk.ends) - 1
+    rows, numbers = len(chunk.ends) - 1, row_numbers(chunk)
     by_doc = np.argsort(doc, kind="stable")           # keys ascend within a document
     doc, key, count = doc[by_doc], keys[place[by_doc]], df[place[by_doc]]
     n = np.bincount(doc, minlength=rows)
@@ -93,7 +103,7 @@ def prefixes(chunk: C.Chunk, df: np.ndarray, keys: np.ndarray, doc: np.ndarray,
             digest = hashlib.blake2b(mine.tobytes(), digest_size=16).hexdigest()
         else:
             digest = f"empty {chunk.number} {i}"
-        row = {"row": (chunk.number << 24) + i, "key": chunk.keys[i], "n_shingles": int(n[i]), "digest": digest,
+        row = {"row": numbers[i], "key": chunk.keys[i], "n_shingles": int(n[i]), "digest": digest,
                "prefix": [], "others": [], "shingles": None}
         a, b = borders[0][i], borders[0][i + 1]
         if alive[i] and b > a:

@@ -68,6 +68,25 @@ def test_planted_components(spark, width, percent):
     assert found == brute_components(texts, width, percent)
 
 
+def test_join_of_many_input_partitions(spark):
+    texts = planted()
+    rows = spark.sparkContext.parallelize([(i, texts[i % len(texts)]) for i in range(300)], 300)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    found = ngram_join.join(d).collect()
+    assert len({r.row for r in found}) == 300
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components({i: texts[i % len(texts)] for i in range(300)}, 3, 90)
+
+
+def test_row_numbers_fit_and_are_checked():
+    import fleetcast.llm.chunks as C
+    at = lambda partition, chunk: C.Chunk((partition << 32) + chunk, [], None, np.zeros(4, np.int64), None, None)
+    numbers = [n for p in (0, 127, 128, (1 << 23) - 1) for c in (0, 1, (1 << 16) - 1) for n in ngram_join.row_numbers(at(p, c))]
+    assert len(set(numbers)) == 36 and 0 <= min(numbers) and max(numbers) < 1 << 63
+    for p, c in ((1 << 23, 0), (0, 1 << 16)):
+        with pytest.raises(ValueError):
+            ngram_join.row_numbers(at(p, c))
+
+
 def test_join_of_documents_matches_brute_force(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.op2_ngram_join(spark, SMALL).collect()}
