@@ -1,7 +1,8 @@
 """License scan by canonical digest lookup.
 
-A text is normalised: small letters, no punctuation, no copyright lines, one
-spelling for equivalent words. The digest of the whole normalised text is then
+A text is normalised: small letters, no punctuation, no copyright notices at
+the beginning of a line, one spelling for equivalent words, wherever its lines
+are wrapped. The digest of the whole normalised text is then
 looked up by a hash join in a table of known licence digests. Each line is
 looked up in the same way, since a document often carries a one-line notice.
 
@@ -11,6 +12,8 @@ Only Spark SQL expressions are used. The known table is a parameter of at most
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,21 +24,63 @@ MOST_KNOWN = 5000
 
 #: ASCII characters that are neither letters, digits nor line ends.
 MARKS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
-#: What is left of a copyright line once marks are gone ("(c) 2020" is "c 2020").
+#: In the SQL: what begins a copyright line once marks are gone.
 COPYRIGHT = r"^ ?(copyright|©|c [0-9]{4}|all rights reserved)[^\n]*"
 
-
-def normal_lines(text: Column) -> Column:
+_M = MARKS[:-1]                                   # one mark
+_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]++"         # marks and line ends between two words
+_END_OF_WORD = r"(?![a-z0-9])"
+_ALL = rf"all{_M}++rights{_M}++reserved{_END_OF_WORD}"
+#: Words behind "copyright" in running text; other words there are a holder.
+RUNNING = ("notice notices holder holders owner owners license licenses licence licences law laws statement statements "
+           "act treaty treaties protection claim claims interest interests permission disclaimer infringement "
+           "and or in of on to is are for that which").split()
+#: A full stop behind these (or a single letter) does not end a holder.
+SHORT = "inc ltd co corp llc gmbh dr jr sr st al".split()
+
+
+def words_of(text: str) -> list[str]:
+    return re.sub(MARKS, " ", text.lower()).split()
+
+
+def _spelt(words: list[str]) -> str:
+    return _GAP.join(re.escape(w).replace("license", "licen[cs]e") for w in words)
+
+
+def notice(known: list[tuple[str, str]]) -> str:
+    """Expression (Java's) for the copyright notices at the beginning of a
+    line of a text in small letters: the mark or word, year and holder, up to
+    the line end, the end of the sentence or the first words of a known text.
+    A line of running text that a wrap made to begin with "copyright" has a
+    word of RUNNING next, or two words that are next in a known text."""
+    openings, running = set(), {(w,) for w in RUNNING}
+    for _, text in known:
+        words = words_of(text)
+        openings.add(tuple(words[:3]))
+        running |= {tuple(words[i + 1:i + 3]) for i, w in enumerate(words[:-1]) if w == "copyright"}
+    any_of = lambda runs: "(?:" + "|".join(_spelt(list(r)) for r in sorted(runs) if r) + ")" + _END_OF_WORD
+    head = (rf"(?:copyrights?{_END_OF_WORD}(?!{_GAP}{any_of(running)})(?=[^\n]*[^\x00-\x2F\x3A-\x60\x7B-\x7F])"
+            rf"|©|c{_M}++[0-9]{{4}}|{_ALL}{_M}++by{_END_OF_WORD})")
+    sentence = rf"(?<!(?:^|[^a-z0-9])(?:[a-z]|{'|'.join(SHORT)}))(?=\.{_M}++[^\n])"
+    end = rf"(?<![\x00-\x2F\x3A-\x60\x7B-\x7F])(?:(?={_M}*+$)" + (rf"|(?={_GAP}{any_of(openings)})" if any(openings) else "") + rf"|{sentence})"
+    return rf"(?md)^{_M}*+(?:(?:{head}[^\n]*?{end}|{_ALL}){_M}*+)+"
+
+
+def normal_lines(text: Column, known: list[tuple[str, str]] = KNOWN) -> Column:
     """The normalised text with its line ends; null is empty."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), MARKS, " ")
-    out = F.regexp_replace(out, f"(?md){COPYRIGHT}", "")
+    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), notice(known), " ")
+    out = F.regexp_replace(out, MARKS, " ")
     for word, usual in SPELLINGS:
         out = F.replace(out, F.lit(word), F.lit(usual))
     return out
 
 
 def whole(lines: Column) -> Column:
-    return F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
+    out = F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
+    for word, usual in SPELLINGS:
+        if " " in word:                           # may have been on two lines
+            out = F.replace(out, F.lit(word), F.lit(usual))
+    return out
 
 
 def digest(normal: Column) -> Column:
@@ -48,7 +93,7 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) ->
     if len(known) > MOST_KNOWN:
         raise ValueError(f"{len(known)} known texts; the broadcast is bounded by {MOST_KNOWN}")
     texts = spark.createDataFrame(known, "license_id string, text string")
-    return (texts.select("license_id", digest(whole(normal_lines(F.col("text")))).alias("digest"))
+    return (texts.select("license_id", digest(whole(normal_lines(F.col("text"), known))).alias("digest"))
             .groupBy("digest").agg(F.min("license_id").alias("license_id")))
 
 
@@ -64,7 +109,7 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN, text: str = "tex
     table_ = known_digests(docs.sparkSession, known).filter(F.col("digest") != F.sha2(F.lit(""), 256))
     ids = {r.digest: r.license_id for r in table_.collect()}          # at most MOST_KNOWN rows
     name = F.create_map(*[F.lit(x) for kv in ids.items() for x in kv])
-    rows = docs.select(F.col(key), normal_lines(F.col(text)).alias("_lines"))
+    rows = docs.select(F.col(key), normal_lines(F.col(text), known).alias("_lines"))
     rows = rows.select(key, digest(whole(F.col("_lines"))).alias("canonical_sha256"),
                        F.transform(F.split("_lines", "\n"), lambda x: digest(whole(x))).alias("_lines"))
     wanted = F.array(*map(F.lit, ids))

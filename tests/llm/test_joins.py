@@ -125,6 +125,29 @@ def test_components_of_a_path_a_star_and_a_ring(spark):
 
 # -- licences -----------------------------------------------------------------
 
+def test_known_licences_at_any_wrap(spark):
+    import textwrap
+    from fleetcast.llm.licence_texts import KNOWN
+    heads = ["", "Copyright (c) 2020 A. Smith, B Inc. All rights reserved.\n\n", "Copyright The Some Authors\nAll rights reserved.\n",
+             "(c) 2019-2021 A\nCopyright (C) 2022 by B <b@x.org>\n"]
+    texts = [(i, h + "\n".join(textwrap.wrap(t, w, break_long_words=False))) for i, t in KNOWN for w in (*range(40, 100, 3), 10000) for h in heads]
+    texts += [(i, "Copyright (c) 2020 A. " + t) for i, t in KNOWN]
+    # the usual wrap of the ISC text
+    isc = next(t for i, t in KNOWN if i == "ISC")
+    texts.append(("ISC", isc.replace("the above copyright", "the above\ncopyright")))
+    d = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r.license_id for r in licences.scan(d).collect()}
+    assert [(k, texts[k]) for k in found if found[k] != texts[k][0]][:3] == []
+
+
+def test_only_the_notice_of_a_line_goes(spark):
+    texts = ["the above\ncopyright notice stays", "copyrighted works stay", "Copyright\nholders stay", "Copyright 2020 A. B. Holder Inc. Gone",
+             "Copyright 2020 The Holder. These words stay", "All rights reserved. Words", "copyright " + "-" * 100000 + " x"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [r.t for r in d.orderBy("doc_id").select(licences.whole(licences.normal_lines(F.col("text"))).alias("t")).collect()]
+    assert found == ["the above copyright notice stays", "copyrighted works stay", "copyright owners stay", "", "these words stay", "words", ""]
+
+
 def test_licence_variants(spark):
     from fleetcast.llm.licence_texts import _MIT
     texts = ["Copyright (c) 2021 Somebody\n\n" + _MIT.upper(), _MIT.replace(",", " ;"), "© 2020 X\n" + _MIT.replace("sublicense", "sub-license"),
