@@ -1,9 +1,12 @@
 """Known licence texts and equivalent spellings.
 
 Fixed values: the published texts of some short licences, and notices in
-common use. A site passes its own list of (id, text) for more.
+common use (KNOWN), and the long licences of the folder known_licences (LONG:
+the file's name is the id). A site passes its own list of (id, text) for more.
 """
 
+from importlib.resources import files
+
 SPELLINGS = [
     ("licence", "license"), ("sub license", "sublicense"), ("non commercial", "noncommercial"),
     ("organisation", "organization"), ("authoris", "authoriz"), ("recognis", "recogniz"),
@@ -81,3 +84,20 @@ KNOWN = [
     ("GPL-3.0 notice", "This work is licensed under the GNU General Public License, version 3."),
     ("BSD notice", "Licensed under the BSD License."), ("MPL-2.0 notice", "Licensed under the Mozilla Public License, Version 2.0."),
 ]
+
+_END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+
+
+def _long() -> list[tuple[str, str]]:
+    """Each long licence, also without the appendix that tells how to apply it."""
+    found = []
+    for p in sorted((files(__package__) / "known_licences").iterdir(), key=lambda p: p.name):
+        name, text = p.name.removesuffix(".txt"), p.read_text("utf-8")
+        found.append((name, text))
+        terms, mark, _ = text.rpartition(_END_OF_TERMS)
+        if mark:
+            found += [(name, terms), (name, terms + mark)]
+    return found
+
+
+LONG = _long()

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetcast.llm.common import table
-from fleetcast.llm.licence_texts import KNOWN, SPELLINGS
+from fleetcast.llm.licence_texts import KNOWN, LONG, SPELLINGS
 
 MOST_KNOWN = 5000
 
@@ -57,7 +57,8 @@ def notice(known: list[tuple[str, str]]) -> str:
     for _, text in known:
         words = words_of(text)
         openings.add(tuple(words[:3]))
-        running |= {tuple(words[i + 1:i + 3]) for i, w in enumerate(words[:-1]) if w == "copyright"}
+        running |= {tuple(words[i + 1:i + 3]) for i, w in enumerate(words[:-1])
+                    if w == "copyright" and not re.fullmatch("c|©|yyyy|[0-9]{4}", words[i + 1])}
     any_of = lambda runs: "(?:" + "|".join(_spelt(list(r)) for r in sorted(runs) if r) + ")" + _END_OF_WORD
     head = (rf"(?:copyrights?{_END_OF_WORD}(?!{_GAP}{any_of(running)})(?=[^\n]*[^\x00-\x2F\x3A-\x60\x7B-\x7F])"
             rf"|©|c{_M}++[0-9]{{4}}|{_ALL}{_M}++by{_END_OF_WORD})")
@@ -66,7 +67,7 @@ def notice(known: list[tuple[str, str]]) -> str:
     return rf"(?md)^{_M}*+(?:(?:{head}[^\n]*?{end}|{_ALL}){_M}*+)+"
 
 
-def normal_lines(text: Column, known: list[tuple[str, str]] = KNOWN) -> Column:
+def normal_lines(text: Column, known: list[tuple[str, str]] = KNOWN + LONG) -> Column:
     """The normalised text with its line ends; null is empty."""
     out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), notice(known), " ")
     out = F.regexp_replace(out, MARKS, " ")
@@ -87,7 +88,7 @@ def digest(normal: Column) -> Column:
     return F.sha2(normal, 256)
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
+def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN + LONG) -> DataFrame:
     """``digest`` and ``license_id`` of each known text; of texts that
     normalise alike, the smallest id."""
     if len(known) > MOST_KNOWN:
@@ -97,7 +98,7 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) ->
             .groupBy("digest").agg(F.min("license_id").alias("license_id")))
 
 
-def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN, text: str = "text", key: str = "doc_id") -> DataFrame:
+def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN + LONG, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row of ``docs``: key, ``canonical_sha256`` of the whole normalised
     text, ``license_id`` of the known text it equals (null if none),
     ``n_license_lines`` (lines that equal a known text) and ``line_licenses``

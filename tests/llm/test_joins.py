@@ -140,6 +140,17 @@ def test_known_licences_at_any_wrap(spark):
     assert [(k, texts[k]) for k in found if found[k] != texts[k][0]][:3] == []
 
 
+def test_long_licences_at_any_wrap(spark):
+    import textwrap
+    from fleetcast.llm.licence_texts import LONG
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= {i for i, _ in LONG}
+    texts = LONG + [(i, "\n\n".join("\n".join(textwrap.wrap(p, w, break_long_words=False)) for p in t.split("\n\n")))
+                    for i, t in LONG if "opyright (C)" not in t for w in (50, 72, 79)]
+    d = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r.license_id for r in licences.scan(d).collect()}
+    assert [(k, texts[k][0]) for k in found if found[k] != texts[k][0]] == []
+
+
 def test_only_the_notice_of_a_line_goes(spark):
     texts = ["the above\ncopyright notice stays", "copyrighted works stay", "Copyright\nholders stay", "Copyright 2020 A. B. Holder Inc. Gone",
              "Copyright 2020 The Holder. These words stay", "All rights reserved. Words", "copyright " + "-" * 100000 + " x"]
