@@ -39,13 +39,14 @@ BUFFER = 1 << 20
 
 class WordBpe:
     """Ids of texts by a tokenizer file. Texts are cut at blanks and line
-    ends, which the tokenizer drops and never merges across."""
+    ends, which the tokenizer drops and never merges across. A text that holds
+    an added token's string is encoded whole."""
 
     def __init__(self, path: str = VOCABULARY):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True   # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.sign = self.tokenizer.model, byte_alphabet()
         self.marks = {x: self._whole([x])[0] for x in (".", ",")}
         self.pieces = Pieces(self._whole, self._simple)
@@ -63,6 +64,8 @@ class WordBpe:
         return [*(t.id for t in self.model.tokenize(spelt)), *tail]
 
     def encode(self, text: str | None) -> list[int]:
+        if text and any(a in text for a in self.added):
+            return self._whole([text])[0]
         return self.pieces.encode([p for p in (text or "").replace("\n", " ").split(" ") if p])
 
 

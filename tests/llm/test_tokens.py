@@ -67,6 +67,14 @@ def test_word_ids_equal_the_tokenizers(text):
     assert words.encode(text) == words.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_in_a_text_are_the_files_own():
+    from tokenizers import Tokenizer
+    plain, words = Tokenizer.from_file(packing.VOCABULARY), packing.WordBpe()
+    assert words.encode("a <|endoftext|> b") == [320, 49407, 321]
+    for text in ("a<|startoftext|>b, c.", "<|endoftext|>\n\n<|endoftext|>x", "<|ENDOFTEXT|> y", "<|endoftext", "é<|endoftext|>\u0301 L"):
+        assert words.encode(text) == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_of_documents(spark):
     from tokenizers import Tokenizer
     plain = Tokenizer.from_file(packing.VOCABULARY)
