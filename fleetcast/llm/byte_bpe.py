@@ -14,7 +14,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
-import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -25,13 +24,29 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 from fleetcast.llm.common import bounded_batches, table, text_bytes, tidy
-from fleetcast.llm.pieces import Pieces, as_array, byte_alphabet, latin_letters
+from fleetcast.llm.pieces import Cut, Pieces, before, byte_alphabet, flatten, latin_letters, starts_cut
 from fleetcast.llm.textstats import IS_START
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: No match of the splitting pattern holds white space after something else,
-#: and a single blank or line end before a word starts a match of its own.
-CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+
+
+def cut(raw: np.ndarray, at: np.ndarray) -> Cut:
+    """Cuts before a single blank or line end between two visible characters:
+    no match of the splitting pattern holds white space after something else,
+    and a single blank or line end before a word starts a match of its own.
+
+    Visible ASCII and characters led by the bytes C3 to DF and E4 to F4 hold no
+    white space; around others nothing is cut."""
+    visible = (raw > 0x20) & (raw < 0x7F)
+    later = (raw >= 0x80) & (raw < 0xC0)
+    two, three = before(raw), before(raw, 2)
+    end = visible | later & ((two >= 0xC3) & (two < 0xE0) | (two >= 0x80) & (two < 0xC0) & (three >= 0xE4) & (three < 0xF0))
+    begin = visible | (raw >= 0xC3) & (raw < 0xE0) | (raw >= 0xE4)
+    start = np.zeros(len(raw), bool)
+    start[1:-1] = ((raw == 0x20) | (raw == 0x0A))[1:-1] & end[:-2] & begin[2:]
+    inner = at[1:-1]
+    start[np.maximum(inner[inner > 0] - 1, 0)] = False        # the last byte of a row: what follows is another text
+    return starts_cut(raw, at, start)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -71,14 +86,25 @@ class ByteBpe:
         self.length_of = np.zeros(max(ranks.values()) + 1, np.int64)
         for t, r in ranks.items():
             self.length_of[r] = len(t)
+        self.ranks, self.sign = ranks, dict(enumerate(sign))
         self.marks = {x: self._whole([x])[0] for x in (".", ",", "\n")}
-        self.pieces = Pieces(self._whole, self._simple)
+        self.pieces = Pieces(cut if self.own_pattern else lambda raw, at: starts_cut(raw, at, np.zeros(len(raw), bool)), self._learn)
 
     def _whole(self, pieces: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
 
+    def _learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self._simple(p.decode()) for p in pieces]
+        hard = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(hard, self._whole([pieces[i].decode() for i in hard])):
+            found[i] = ids
+        return flatten(found)
+
     def _simple(self, piece: str) -> list[int] | None:
-        """[line end] [blank] Latin letters [one . or ,]: each is a match."""
+        """[line end] [blank] Latin letters [one . or ,]: each is a match, and
+        a match that is a token needs no merges."""
+        if not self.own_pattern:
+            return None
         head, tail, core = [], [], piece
         if core[:1] == "\n":
             head, core = self.marks["\n"], core[1:]
@@ -87,23 +113,25 @@ class ByteBpe:
         word = core[1:] if core[:1] == " " and not head else core
         if not word or not latin_letters(word):
             return None
-        return [*head, *(t.id for t in self.model.tokenize(self.spell(core.encode()))), *tail]
+        raw = core.encode()
+        token = self.ranks.get(raw)
+        if token is not None:
+            return [*head, token, *tail]
+        return [*head, *[t.id for t in self.model.tokenize(raw.decode("latin-1").translate(self.sign))], *tail]
 
     def encode(self, text: str | None) -> list[int]:
         """The ids of a whole text; none for null or empty."""
-        if not text:
-            return []
-        return self.pieces.encode(CUT.split(text) if self.own_pattern else [text])
+        return self.pieces.encode(pa.array([text], pa.string()))[0].tolist()
 
     def offsets(self, text: str | None, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """First character of each token and the one after its last. A token
         that ends inside a character reaches over that character."""
         starts = IS_START[np.frombuffer((text or "").encode(), np.uint8)]
-        before = np.concatenate(([0], np.cumsum(starts)))
+        so_far = np.concatenate(([0], np.cumsum(starts)))
         end = np.cumsum(self.length_of[ids]) if len(ids) else np.zeros(0, np.int64)
         begin = end - self.length_of[ids] if len(ids) else end
         inside = ~starts[begin] if len(ids) else np.zeros(0, bool)
-        return before[begin] - inside, before[end]
+        return so_far[begin] - inside, so_far[end]
 
     def decode_bytes(self, ids) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
@@ -135,12 +163,13 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str =
         bpe = codec(path)
         for batch in batches:
             ids, first, last = [], [], []
-            for t in _texts(batch, text):
-                x = bpe.encode(t)
-                a, b = bpe.offsets(t, x)
-                ids.append(as_array(x))
-                first.append(a)
-                last.append(b)
+            column = batch.column(batch.schema.get_field_index(text))
+            flat, at = bpe.pieces.encode(column)
+            for t, a, b in zip(column.to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                ids.append(flat[a:b])
+                begin, end = bpe.offsets(t, flat[a:b])
+                first.append(begin)
+                last.append(end)
             of = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, of) for x in (ids, first, last))],
                                              names=[key, "ids", "char_start", "char_end"])
@@ -182,8 +211,9 @@ def round_trip(docs: DataFrame, text: str = "text", key: str = "doc_id", path: s
             raw, at = text_bytes(column)
             buffer, rows = raw.tobytes(), []
             chars = np.concatenate(([0], np.cumsum(IS_START[raw])))
-            for t, a, b in zip(column.to_pylist(), at[:-1].tolist(), at[1:].tolist()):
-                ids = bpe.encode(t)
+            flat, of = bpe.pieces.encode(column)
+            for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+                ids = flat[of[i]:of[i + 1]].tolist()
                 back = bpe.decode_bytes(ids)
                 rows.append((len(ids), sha(" ".join([decimal[i] for i in ids]).encode()).hexdigest(),
                              sha(back).hexdigest(), int(chars[a + len(back)] - chars[a]) if a + len(back) <= b else -1,
@@ -192,7 +222,6 @@ def round_trip(docs: DataFrame, text: str = "text", key: str = "doc_id", path: s
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cells, kinds)],
                                              names=[key, "n_tokens", "ids_sha256", "decoded_sha256", "last_char_end", "lossless"])
-        bpe.pieces.forget()
 
     few = docs.select(key, text)
     kind = few.schema[key].dataType.simpleString()

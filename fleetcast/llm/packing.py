@@ -23,12 +23,13 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 
 from fleetcast.llm.common import bounded_batches, table, tidy
-from fleetcast.llm.pieces import Pieces, as_array, byte_alphabet, latin_letters
+from fleetcast.llm.pieces import Cut, Pieces, before, byte_alphabet, flatten, latin_letters
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END = 2
@@ -37,6 +38,18 @@ STEP_TOKENS = 16 * WINDOWS[-1]        # of a step group
 BUFFER = 1 << 20
 
 
+def cut(raw: np.ndarray, at: np.ndarray) -> Cut:
+    """The runs between blanks and line ends, without these."""
+    blank = (raw == 0x20) | (raw == 0x0A)
+    last = before(raw)
+    start = ~blank & ((last == 0x20) | (last == 0x0A))
+    begins = at[:-1][at[:-1] < at[1:]]
+    start[begins] = ~blank[begins]
+    first = np.flatnonzero(start)
+    left = np.concatenate(([0], np.cumsum(~blank)))       # bytes before each that stay
+    return raw[~blank], np.append(left[first], left[-1]), np.searchsorted(first, at)
+
+
 class WordBpe:
     """Ids of texts by a tokenizer file. Texts are cut at blanks and line
     ends, which the tokenizer drops and never merges across. A text that holds
@@ -47,26 +60,40 @@ class WordBpe:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.model, self.sign = self.tokenizer.model, byte_alphabet()
+        self.model, self.sign = self.tokenizer.model, dict(enumerate(byte_alphabet()))
         self.marks = {x: self._whole([x])[0] for x in (".", ",")}
-        self.pieces = Pieces(self._whole, self._simple)
+        self.pieces = Pieces(cut, self._learn)
 
     def _whole(self, pieces: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
 
+    def _learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self._simple(p.decode()) for p in pieces]
+        hard = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(hard, self._whole([pieces[i].decode() for i in hard])):
+            found[i] = ids
+        return flatten(found)
+
     def _simple(self, piece: str) -> list[int] | None:
         """Latin letters with at most one . or , behind: a word and a mark."""
         tail = self.marks.get(piece[-1:], [])
         word = piece[:-1] if tail else piece
         if not word or not latin_letters(word):
             return None
-        spelt = "".join([self.sign[b] for b in word.lower().encode()])
-        return [*(t.id for t in self.model.tokenize(spelt)), *tail]
+        spelt = word.lower().encode().decode("latin-1").translate(self.sign)
+        return [*[t.id for t in self.model.tokenize(spelt)], *tail]
+
+    def encode_rows(self, column: pa.Array) -> list[np.ndarray]:
+        """The ids of each row; none for null or empty."""
+        flat, at = self.pieces.encode(column)
+        rows = [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        for added in self.added:
+            for i in np.flatnonzero(pc.fill_null(pc.match_substring(column, added), False).to_numpy(zero_copy_only=False)):
+                rows[i] = np.array(self._whole([column[int(i)].as_py()])[0], np.int32)
+        return rows
 
     def encode(self, text: str | None) -> list[int]:
-        if text and any(a in text for a in self.added):
-            return self._whole([text])[0]
-        return self.pieces.encode([p for p in (text or "").replace("\n", " ").split(" ") if p])
+        return self.encode_rows(pa.array([text], pa.string()))[0].tolist()
 
 
 @cache
@@ -92,7 +119,7 @@ class Packer:
     def __init__(self, windows=WINDOWS, step_tokens: int = STEP_TOKENS):
         self.windows, self.step_tokens = windows, step_tokens
         self.tiers = [deque() for _ in windows]
-        self.waiting = self.sequences = self.steps = 0
+        self.waiting = self.closed = self.sequences = self.steps = 0    # closed: tokens in out
         self.step_of: list[int] = []                  # of each window
         self.room: dict[int, int] = {}                # of open step groups
         self.out: list[tuple] = []
@@ -120,6 +147,7 @@ class Packer:
         for run, start, length in pieces:
             self.out.append((run, start, length, self.sequences, offset, window))
             offset += length
+        self.closed += offset
         self.sequences += 1
         group = next((g for g, room in self.room.items() if room >= window), None)
         if group is None:
@@ -168,7 +196,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], key: str, path: str, windows, ste
     kind, n = None, 0
 
     def flush() -> pa.RecordBatch:
-        out, packer.out = packer.out, []
+        out, packer.out, packer.closed = packer.out, [], 0
         rows = [(keys[run.row], start, length, zlib.crc32(run.ids[start:start + length].tobytes()), len(run.ids),
                  task + sequence, offset, window, task + packer.step_of[sequence])
                 for run, start, length, sequence, offset, window in out]
@@ -180,17 +208,14 @@ def _pieces(batches: Iterator[pa.RecordBatch], key: str, path: str, windows, ste
 
     for batch in batches:
         kind = batch.schema.field(0).type
-        for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids = words.encode(t)
-            ids.append(END)
+        for k, ids in zip(batch.column(0).to_pylist(), words.encode_rows(batch.column(1))):
             keys[n] = k
-            packer.put(Run(n, as_array(ids, np.dtype("<u4"))))
+            packer.put(Run(n, np.append(ids, END).astype("<u4")))
             n += 1
-            if packer.waiting >= BUFFER:
+            if packer.waiting + packer.closed >= BUFFER:
                 packer.pack()
                 yield flush()
     packer.pack(last=True)
-    words.pieces.forget()
     if kind is not None:
         yield flush()
 

@@ -78,7 +78,6 @@ def test_added_tokens_in_a_text_are_the_files_own():
 def test_packing_of_documents(spark):
     from tokenizers import Tokenizer
     plain = Tokenizer.from_file(packing.VOCABULARY)
-    plain.encode_special_tokens = True
     rows = [r.asDict() for r in packing.op4_packing(spark, SMALL).collect()]
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
     by_doc, by_sequence, padding, total = {}, {}, 0, 0
