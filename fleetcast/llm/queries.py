@@ -9,6 +9,7 @@ from fleetcast.llm.language_id import op3_language_id
 from fleetcast.llm.licences import op5_license_scan
 from fleetcast.llm.ngram_join import op2_ngram_join
 from fleetcast.llm.packing import op4_packing
+from fleetcast.llm.piece_bpe import op11_piece_bpe
 from fleetcast.llm.quality_qda import op6_quality_qda
 from fleetcast.llm.quality_rules import op8_quality_rules
 from fleetcast.llm.topk import op7_top_k
@@ -25,6 +26,7 @@ QUERIES = {f.__name__: f for f in (
     op8_quality_rules,
     op9_warc_revisits,
     op10_katz_scores,
+    op11_piece_bpe,
 )}
 
 ORACLE: dict[str, str] = {

@@ -5,12 +5,14 @@ import math
 import pytest
 
 import odd
-from fleetcast.llm import byte_bpe, katz, language_id, licences, ngram_join, packing, quality_qda, quality_rules
+from fleetcast.llm import byte_bpe, katz, language_id, licences, ngram_join, packing, piece_bpe, quality_qda, quality_rules
 from fleetcast.llm.common import fold
 
 RUN = {
     "byte_bpe": lambda spark, d: byte_bpe.round_trip(d),
     "byte_bpe_encode_decode": lambda spark, d: byte_bpe.decode(byte_bpe.encode(d)),
+    "piece_bpe": lambda spark, d: piece_bpe.round_trip(d),
+    "piece_bpe_encode_decode": lambda spark, d: piece_bpe.decode(piece_bpe.encode(d)),
     "ngram_join": lambda spark, d: ngram_join.join(d),
     "language_id": lambda spark, d: language_id.language_id(d),
     "packing": lambda spark, d: packing.pack(d),
