@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from fleetcast.llm import licences, topk, warc
+from fleetcast.llm import licences, merkle, topk, warc
 from fleetcast.llm.byte_bpe import op1_byte_bpe
 from fleetcast.llm.katz import op10_katz_scores
 from fleetcast.llm.language_id import op3_language_id
 from fleetcast.llm.licences import op5_license_scan
+from fleetcast.llm.merkle import op12_merkle_manifest
 from fleetcast.llm.ngram_join import op2_ngram_join
 from fleetcast.llm.packing import op4_packing
 from fleetcast.llm.piece_bpe import op11_piece_bpe
@@ -27,10 +28,12 @@ QUERIES = {f.__name__: f for f in (
     op9_warc_revisits,
     op10_katz_scores,
     op11_piece_bpe,
+    op12_merkle_manifest,
 )}
 
 ORACLE: dict[str, str] = {
     "op5_license_scan": licences.oracle(),
     "op7_top_k": topk.ORACLE,
+    "op12_merkle_manifest": merkle.ORACLE,
     "op9_warc_revisits": warc.ORACLE,
 }
