@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from fleetcast.llm import licences, merkle, topk, warc
+from fleetcast.llm import hard_negatives, licences, merkle, topk, warc
 from fleetcast.llm.byte_bpe import op1_byte_bpe
+from fleetcast.llm.hard_negatives import op13_hard_negatives
 from fleetcast.llm.katz import op10_katz_scores
 from fleetcast.llm.language_id import op3_language_id
 from fleetcast.llm.licences import op5_license_scan
@@ -29,11 +30,13 @@ QUERIES = {f.__name__: f for f in (
     op10_katz_scores,
     op11_piece_bpe,
     op12_merkle_manifest,
+    op13_hard_negatives,
 )}
 
 ORACLE: dict[str, str] = {
     "op5_license_scan": licences.oracle(),
     "op7_top_k": topk.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
     "op12_merkle_manifest": merkle.ORACLE,
     "op9_warc_revisits": warc.ORACLE,
 }

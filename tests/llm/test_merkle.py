@@ -9,6 +9,7 @@ import pytest
 import odd
 from conftest import SMALL
 from fleetcast.llm import merkle
+from fleetcast.llm.numbering import numbered
 from pyspark.sql import functions as F
 
 
@@ -131,6 +132,6 @@ def test_empty_table_and_one_row(spark):
 
 def test_one_key_with_most_rows_is_spread(spark):
     rows = spark.range(3000).select(F.when(F.col("id") < 2000, 7).otherwise(F.col("id")).alias("key"), F.lit("=a").alias("tree"), F.lit("d").alias("digest"))
-    n = merkle.numbered(rows.repartition(16), ["key", "digest"])
+    n = numbered(rows.repartition(16), ["key", "digest"])
     assert [r.pos for r in n.orderBy("pos").collect()] == list(range(3000))
     assert n.filter("key = 7").agg(F.min("pos"), F.max("pos")).first()[:] == (0 + n.filter("key < 7").count(), 1999 + n.filter("key < 7").count())
