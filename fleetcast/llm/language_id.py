@@ -148,11 +148,14 @@ def fit_pair(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return w[:-1] * scale, float(w[-1])
 
 
-def fit(rows: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
+def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model:
     """A model from all rows with a non-null ``lang``. No such row: a model
-    that answers ``und`` with score 0."""
+    that answers ``und`` with score 0. The sample for the machines is drawn by
+    a hash of key and text, so it doesn't depend on how the rows are split;
+    rows that agree in both are in it once."""
     bounded_batches(rows.sparkSession)
-    rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
+    rows = (rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key"))
+            .filter("lang is not null and text is not null"))
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}   # one row a language
     languages = sorted(counts)
     families = sorted({family(x) for x in languages})
@@ -173,7 +176,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", per_language: i
         yield pa.RecordBatch.from_pydict({"family": pa.array(range(len(families)), pa.int32()),
                                           "counts": pa.array(list(total), pa.list_(pa.int64()))})
 
-    summed = (rows.mapInArrow(tidy(tally), "family int, counts array<long>")
+    summed = (rows.select("lang", "text").mapInArrow(tidy(tally), "family int, counts array<long>")
               .select("family", F.posexplode("counts").alias("bin", "n")).filter("n > 0")
               .groupBy("family", "bin").agg(F.sum("n").alias("n"))
               .groupBy("family").agg(F.collect_list(F.struct("bin", "n")).alias("n")).collect())
@@ -186,9 +189,10 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", per_language: i
     pairs = [(a, b) for a, b in combinations(languages, 2) if family(a) == family(b)]
     if pairs:
         share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, per_language / counts[k]))])
-        # seeded by partition, so a retry draws the same sample; each row by itself, so that many copies of
-        # one text don't all get in
-        drawn = rows.filter(F.rand(7) < share[F.col("lang")])
+        # each row by itself, so that many copies of one text don't all get in
+        at = F.xxhash64(F.col("key"), F.col("text"), F.lit(7))
+        drawn = (rows.withColumn("at", at).filter((F.shiftrightunsigned("at", 11) / float(1 << 53)) < share[F.col("lang")])
+                 .dropDuplicates(["lang", "at"]).select("lang", "text", "at"))
         of = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for k in languages
                             for x in (k, [i for i, p in enumerate(pairs) if k in p] or [-1])])
 
@@ -198,18 +202,19 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", per_language: i
                     part = batch.slice(at_row, 256)
                     x = bag(*text_bytes(part.column(1)))
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0), pa.array([v.astype(np.float32).tobytes() for v in x], pa.binary()), part.column(2)],
-                        names=["lang", "x", "pair"])
+                        [part.column(0), pa.array([v.astype(np.float32).tobytes() for v in x], pa.binary()), part.column(2),
+                         part.column(3)], names=["lang", "x", "at", "pair"])
 
         def machine(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+            group = group.sort_by([("at", "ascending"), ("lang", "ascending")])       # the same sums in every run
             x = np.array([np.frombuffer(v, np.float32) for v in group["x"].to_pylist()], float)
             x /= np.maximum(x.sum(1, keepdims=True), 1)
             y = np.where(np.array(group["lang"].to_pylist()) == pairs[key[0].as_py()][0], 1.0, -1.0)
             w, b = fit_pair(x, y)
             return pa.table({"pair": pa.array([key[0].as_py()], pa.int32()), "w": [w.tolist()], "b": [b]})
 
-        machines = (drawn.withColumn("pair", of[F.col("lang")]).mapInArrow(tidy(vectors), "lang string, x binary, pair array<int>")
-                    .select("lang", "x", F.explode("pair").alias("pair")).filter("pair >= 0")
+        machines = (drawn.withColumn("pair", of[F.col("lang")]).mapInArrow(tidy(vectors), "lang string, x binary, at long, pair array<int>")
+                    .select("lang", "x", "at", F.explode("pair").alias("pair")).filter("pair >= 0")
                     .groupBy("pair").applyInArrow(machine, "pair int, w array<double>, b double").collect())
         found = {r.pair: r for r in machines}
         for k in range(len(pairs)):
@@ -247,7 +252,7 @@ def language_id(docs: DataFrame, text: str = "text", lang: str = "lang", key: st
     count as often as they occur. Null keys are not held out. An empty table
     gives an empty result."""
     marked = docs.select(key, text, lang, (fold(key, FOLDS) == 0).alias("held_out"))
-    model = fit(marked.filter("not held_out"), text, lang)
+    model = fit(marked.filter("not held_out"), text, lang, key)
     return predict(marked, model, text, (key, "held_out"))
 
 

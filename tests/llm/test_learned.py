@@ -33,6 +33,15 @@ def test_texts_without_letters_are_undetermined(spark):
     assert found[1].lang_pred in ("en", "de", "fr")
 
 
+def test_language_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(language_id.fit, "__defaults__", ("text", "lang", "doc_id", 40))     # so that a part is drawn
+    d = spark.read.parquet(f"{MEDIUM}/documents.parquet").select("doc_id", "text", "lang")
+    copies = d.filter("doc_id < 20").unionByName(d.filter("doc_id < 20"))
+    d = d.unionByName(copies)
+    one, other = ({(r.doc_id, r.lang_pred, r.score) for r in language_id.language_id(x).collect()} for x in (d.coalesce(1), d.repartition(7)))
+    assert one == other and len(one) == 1000
+
+
 def test_three_close_languages_vote():
     rng = np.random.default_rng(0)
     shares = np.vstack([rng.dirichlet(np.ones(50) + 5 * (np.arange(50) % 3 == k), 60) for k in range(3)])
