@@ -19,8 +19,10 @@ region, or many equal vectors, make more blocks and not larger ones.
 
 from __future__ import annotations
 
+import heapq
 import pickle
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -118,10 +120,11 @@ class Search:
         self.floor = np.full(n, -np.inf) if floor is None else np.asarray(floor, float)
         self.score, self.best = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
         most = np.abs(queries.x).max(initial=0) * np.abs(data.x).max(initial=0) * queries.x.shape[1]
-        if most >= EXACT:
-            raise ValueError("components are too large for exact scores")
-        self.points = 0
-        self.walk(0, 0)
+        self.points, self.large = 0, most >= EXACT
+        if self.large:
+            self.by_integers()
+        else:
+            self.walk(0, 0)
 
     def worst(self, q: int) -> float:
         """The least kth score among the queries below a node."""
@@ -165,21 +168,43 @@ class Search:
             # the most promising child comes first off the stack
             todo += [(q, int(kids[i]), float(bounds[i])) for i in np.argsort(bounds)]
 
-    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def by_integers(self) -> None:
+        """All rows against all, for components whose products float64 rounds."""
+        whole = lambda x: [[int(c) for c in row] for row in x.tolist()]
+        data, self.found = whole(self.d.x), []
+        for who, q, floor in zip(self.query_ids.tolist(), whole(self.q.x), self.floor.tolist()):
+            scored = [(-sum(a * b for a, b in zip(q, d)), i) for i, d in zip(self.data_ids.tolist(), data) if i != who]
+            self.found += [(who, i, -s) for s, i in heapq.nsmallest(self.k, scored) if -s >= floor]
+
+    def rows(self) -> tuple:
         """(query id, data id, score) of the found rows that reach the floor."""
+        if self.large:
+            return tuple(zip(*self.found)) or ((), (), ())
         found = np.isfinite(self.score) & (self.score >= self.floor[:, None])
         who = np.broadcast_to(self.query_ids[:, None], found.shape)
         return who[found], self.best[found], self.score[found].astype(np.int64)
 
 
+HITS = "query_id long, vec_id long, score decimal(38,0)"
+MOST = 10 ** 38 - 1
+
+
+def hits(found: tuple) -> dict[str, pa.Array]:
+    """Scores of more than 38 digits are taken for the largest of 38."""
+    who, ids, score = found
+    return {"query_id": pa.array(who, pa.int64()), "vec_id": pa.array(ids, pa.int64()),
+            "score": pa.array([Decimal(max(min(int(s), MOST), -MOST)) for s in score], pa.decimal128(38, 0))}
+
+
 def vectors(rows: DataFrame, key: str, vector: str, scale: int = SCALE) -> DataFrame:
     """``id`` and ``v``: floor(scale * x) of each component as double. Rows
     with a null id, a null or empty vector, or a component that is null or not
-    finite are left out."""
-    finite = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
+    finite (also once scaled) are left out."""
+    good = F.forall("y", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    down = F.transform("y", lambda c: F.when(F.abs(c) < EXACT, F.floor(c).cast("double")).otherwise(c))      # larger ones are integers
     return (rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("x"))
-            .filter(F.col("id").isNotNull() & (F.size("x") > 0) & finite)
-            .select("id", F.transform("x", lambda c: F.floor(c.cast("double") * scale).cast("double")).alias("v")))
+            .filter(F.col("id").isNotNull() & (F.size("x") > 0))
+            .withColumn("y", F.transform("x", lambda c: c.cast("double") * scale)).filter(good).select("id", down.alias("v")))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -252,6 +277,8 @@ def top_k(data: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
     more than once is answered for its smallest vector; data rows that repeat
     each count. Only vectors of one length are compared. Null ids, null or
     empty vectors and vectors with null or non-finite components take no part.
+    Large components are scored with Python integers; a score beyond the range
+    of a long is ranked exactly (up to 38 digits) and given as the range's end.
     Empty tables give an empty result.
     """
     spark = data.sparkSession
@@ -270,23 +297,24 @@ def top_k(data: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
 
     def home(group: pa.Table, found: pa.Table) -> pa.Table:
         if not len(group) or not len(found):
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
+            return pa.table(hits(((), (), ())))
         tree, ids, _ = pickle.loads(found["tree"][0].as_py())
         group = group.combine_chunks()
-        hits = Search(CoverTree(matrix(group["v"].combine_chunks()), QUERY_LEAF), group["id"].to_numpy(), tree, ids, k).rows()
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), hits)))
+        return pa.table(hits(Search(CoverTree(matrix(group["v"].combine_chunks()), QUERY_LEAF), group["id"].to_numpy(), tree, ids, k).rows()))
 
     # a query goes to the block that a row like it would be in; its cell has data or not
     first = materialize(
         q.withColumn("block", of_data).filter("block is not null").select("block", "id", "v").groupBy("block")
-        .cogroup(index.select("block", "tree").groupBy("block")).applyInArrow(home, "query_id long, vec_id long, score long"), "topk-home")
+        .cogroup(index.select("block", "tree").groupBy("block")).applyInArrow(home, HITS), "topk-home")
     floor = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
     of_query, n_query = block_of(count(q), query_block)
+    least = F.col("least").cast("double")
+    least = F.when(F.abs(least) < EXACT, least).otherwise(least - F.abs(least) * 1e-12)       # never above the score itself
     floored = (q.join(floor, F.col("id") == F.col("query_id"), "left")
-               .withColumn("floor", F.when(F.col("n") >= k, F.col("least").cast("double")).otherwise(F.lit(float("-inf")))))
+               .withColumn("floor", F.when(F.col("n") >= k, least).otherwise(F.lit(float("-inf")))))
     groups = materialize(trees(floored.withColumn("block", of_query), QUERY_LEAF), "topk-query-trees")
     if not n_query or not n_data:
-        return first.select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
+        return first.select("query_id", F.lit(1).alias("rank"), "vec_id", F.col("score").cast("long").alias("score"))
 
     worst = (floored.withColumn("block", of_query).groupBy("block").agg(F.min("floor").alias("worst")))
     heads = (groups.join(worst, "block").select(F.col("block").alias("q"), F.col("dim").alias("q_dim"),
@@ -304,12 +332,12 @@ def top_k(data: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
             for data_, queries_ in zip(batch.column(0), batch.column(1)):
                 tree, ids, _ = pickle.loads(data_.as_py())
                 mine, who, floors = pickle.loads(queries_.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in Search(mine, who, tree, ids, k, floors).rows()],
-                                                 names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_pydict(hits(Search(mine, who, tree, ids, k, floors).rows()))
 
-    hits = work.mapInArrow(search, "query_id long, vec_id long, score long")
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    clipped = F.greatest(F.least("score", F.lit(2 ** 63 - 1)), F.lit(-2 ** 63)).cast("long")
+    return (work.mapInArrow(search, HITS).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            .select("query_id", "rank", "vec_id", clipped.alias("score")))
 
 
 def op7_top_k(spark, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -224,6 +225,23 @@ def test_search_over_many_blocks(spark):
 
 # -- archives -----------------------------------------------------------------
 
+
+def test_large_vectors_take_part_exactly(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=4) * (1e13 if i % 3 == 0 else 1e9 if i % 3 == 1 else 1)).tolist()) for i in range(60)]
+    rows += [(60, [1e13, 1e13, 0.0, 0.0]), (61, [1e13, 1e13, 0.0, 2.0 ** -8]), (62, [1e307] * 4)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows if i < 62}
+    clip = lambda s: max(min(s, 2 ** 63 - 1), -2 ** 63)
+    expected = []
+    for q in range(0, 62, 10):
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in whole if i != q)[:5]
+        expected += [(q, r, i, clip(-s)) for r, (s, i) in enumerate(scored, 1)]
+    for block in (16, 4096):
+        found = topk.top_k(d, d.filter("vec_id % 10 = 0"), block=block, query_block=4).collect()
+        assert sorted(map(tuple, found)) == sorted(expected)
+
+
 def test_revisits_resolve(spark):
     long, other = "x" * 999 + "é", "<p>" + "WARC/1.1\r\n\r\n\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" * 30
     rows = [(1, "http://a", long), (2, None, long), (7, "http://c\r\nEvil: 1", long), (3, "d", other), (4, "d", other), (5, "e", "short"),
