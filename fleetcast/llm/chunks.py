@@ -187,8 +187,11 @@ def totals(asked: DataFrame, dtypes: list, answer: Callable[[int, np.ndarray, li
         parts = [stretch_sorted(k) for k in group["keys"].to_pylist()]
         ends = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
         keys, place = np.unique(np.concatenate(parts), return_inverse=True)
+        del parts
         blobs = group["values"].to_pylist()
+        del group
         columns = [np.concatenate([stretch(b[k], d) for b in blobs]) for k, d in enumerate(dtypes)]
+        del blobs
         sums = [np.bincount(place, weights=c, minlength=len(keys)) for c in columns]
         first = np.full(len(keys), -1, np.int64)
         counted = np.flatnonzero(columns[0] > 0)[::-1]
@@ -233,20 +236,24 @@ def grams(chunk: Chunk, width: int) -> tuple[np.ndarray, np.ndarray]:
     words gives none."""
     words, n = chunk.vocabulary[chunk.tokens], len(chunk.tokens)
     lengths = np.diff(chunk.ends)
-    doc = np.repeat(np.arange(len(lengths)), lengths)
     out_doc, out_key = [], []
     if n >= width:
-        key = np.zeros(n - width + 1, np.uint64)
-        for k in range(width):
-            key = mix(key + words[k:n - width + 1 + k])
+        doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         inside = doc[:n - width + 1] == doc[width - 1:]
         out_doc.append(doc[:n - width + 1][inside])
-        out_key.append(mix(key[inside] + np.uint64(width)))
+        del doc
+        key = np.zeros(n - width + 1, np.uint64)
+        for k in range(width):
+            key += words[k:n - width + 1 + k]
+            key = mix(key)
+        key = key[inside]
+        key += np.uint64(width)
+        out_key.append(mix(key))
     for size in range(1, width):
         short = np.flatnonzero(lengths == size)
         key = np.zeros(len(short), np.uint64)
         for k in range(size):
             key = mix(key + words[chunk.ends[short] + k])
-        out_doc.append(short)
+        out_doc.append(short.astype(np.int32))
         out_key.append(mix(key + np.uint64(size)))
     return np.concatenate(out_doc), np.concatenate(out_key)

@@ -61,6 +61,7 @@ def give_back() -> None:
     """Returns freed memory to the system. Python workers outlive their tasks,
     and the allocator would keep what large arrays held."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):        # another C library

@@ -13,8 +13,9 @@ prefix. The document counts cover the whole corpus (chunks.totals).
 
 Equal sets form a class and only its smallest row goes on. The result needs
 components, not all links, so a bucket of rows that share a prefix shingle is
-not expanded into pairs. All its rows are compared with one of them, twice;
-what is linked becomes one component. Then only pairs between different
+not expanded into pairs. Its rows are compared with one of them, twice: first
+each row with the one that it shares most buckets with, then in each bucket
+that is not one component yet. What is linked becomes one component. Then only pairs between different
 components are left, of which one lies outside the bucket's main component;
 all of these that pass the size and position filters are compared.
 """
@@ -35,9 +36,12 @@ from fleetcast.llm.components import components
 
 WIDTH, PERCENT = 3, 90
 ORDERS = 3
+AT_ONCE = 1 << 18         # shingles of a chunk whose prefixes are found together
 ROUNDS = 2                # comparisons with one row of each bucket, before the rest
 
-ROW = ("row long, key {key}, n_shingles long, digest string, prefix array<struct<token:long,place:int>>, "
+WORDS = 4                 # of 64 bits, in the bitmap of a prefix
+
+ROW = ("row long, key {key}, n_shingles long, digest string, prefix array<struct<token:long,place:int>>, bits array<long>, "
        "others array<binary>, shingles binary")
 
 
@@ -47,14 +51,25 @@ def distinct(chunk: C.Chunk, width: int) -> tuple[np.ndarray, np.ndarray, np.nda
     doc, key = C.grams(chunk, width)
     order = np.argsort(key, kind="stable")            # documents ascend within a key
     doc, key = doc[order], key[order]
+    del order
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
     doc, key = doc[new], key[new]
-    starts = np.ones(len(key), bool)
-    starts[1:] = key[1:] != key[:-1]
-    place = np.cumsum(starts) - 1
-    at = np.flatnonzero(starts)
-    return key[at], np.diff(np.append(at, len(key))).astype(np.uint32), doc, place
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    at = np.flatnonzero(new)
+    return key[at], np.diff(np.append(at, len(key))).astype(np.uint32), doc, np.cumsum(new, dtype=np.int32) - np.int32(1)
+
+
+def by_document(chunk: C.Chunk, width: int, answer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(borders of the documents, their distinct keys, ascending, and the
+    documents that have each). ``answer()`` gives the latter for each key."""
+    keys, _, doc, place = distinct(chunk, width)
+    order = np.argsort(doc, kind="stable")            # keys ascend within a document
+    ends = np.searchsorted(doc[order], np.arange(len(chunk.ends)))
+    place = place[order]
+    del order, doc
+    return ends, keys[place], answer()[place]
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -72,46 +87,54 @@ def row_numbers(chunk: C.Chunk) -> range:
     return range(first, first + n)
 
 
-def prefixes(chunk: C.Chunk, df: np.ndarray, keys: np.ndarray, doc: np.ndarray, place: np.ndarray,
-             percent: int) -> list[dict]:
-    """The rows of a chunk's documents (ROW). Prefixes leave out shingles of a
-    single document, which nobody can share, but keep places in the whole set."""
-    rows, numbers = len(chunk.ends) - 1, row_numbers(chunk)
-    by_doc = np.argsort(doc, kind="stable")           # keys ascend within a document
-    doc, key, count = doc[by_doc], keys[place[by_doc]], df[place[by_doc]]
-    n = np.bincount(doc, minlength=rows)
-    ends = np.concatenate(([0], np.cumsum(n)))
+def prefixes(chunk: C.Chunk, ends: np.ndarray, key: np.ndarray, count: np.ndarray, percent: int, kind: pa.DataType) -> pa.Table:
+    """The rows of a chunk's documents (ROW), some documents at a time.
+    Prefixes leave out shingles of a single document, which nobody can share,
+    but keep places in the whole set."""
+    tables, a = [], 0
+    while a < len(ends) - 1:
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + AT_ONCE, side="right")) - 1)
+        part = slice(ends[a], ends[b])
+        tables.append(_prefixes(chunk, range(a, b), ends[a:b + 1] - ends[a], key[part], count[part], percent, kind))
+        a = b
+    return pa.concat_tables(tables)
+
+
+def _prefixes(chunk: C.Chunk, documents: range, ends, key, count, percent: int, kind: pa.DataType) -> pa.Table:
+    rows, numbers, n = len(documents), row_numbers(chunk), np.diff(ends)
+    doc = np.repeat(np.arange(rows), n)
     take = prefix_length(n, percent)
-    single = np.bincount(doc[count == 1], minlength=rows)
-    alive = single < take                             # else the prefix is all singles
+    alive = np.bincount(doc[count == 1], minlength=rows) < take        # else the prefix is all singles
     some = alive[doc]
     d, k, c = doc[some], key[some], count[some]
-    found: list[list] = []
-    for o in range(ORDERS):
-        tie = k if o == 0 else mix(k ^ np.uint64(o))
-        order = np.lexsort((tie, c, d))
-        od, ok, oc = d[order], k[order], c[order]
-        begin = np.searchsorted(od, np.arange(rows))
-        at = np.arange(len(od)) - begin[od]
-        use = (at < take[od]) & (oc > 1)
-        found.append([od[use], ok[use], at[use]])
-    borders = [np.searchsorted(f[0], np.arange(rows + 1)) for f in found]
-    out = []
-    for i in range(rows):
-        mine = key[ends[i]:ends[i + 1]]
-        if n[i]:
-            digest = hashlib.blake2b(mine.tobytes(), digest_size=16).hexdigest()
-        else:
-            digest = f"empty {chunk.number} {i}"
-        row = {"row": numbers[i], "key": chunk.keys[i], "n_shingles": int(n[i]), "digest": digest,
-               "prefix": [], "others": [], "shingles": None}
-        a, b = borders[0][i], borders[0][i + 1]
-        if alive[i] and b > a:
-            row["prefix"] = [{"token": int(t), "place": int(p)} for t, p in zip(found[0][1][a:b].view(np.int64), found[0][2][a:b])]
-            row["others"] = [np.sort(f[1][x[i]:x[i + 1]]).tobytes() for f, x in zip(found[1:], borders[1:])]
-            row["shingles"] = C.squeeze_sorted(mine)
-        out.append(row)
-    return out
+    first = np.searchsorted(d, np.arange(rows))
+
+    def prefix(o: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(border of each document, keys, places) of the prefixes under order o."""
+        order = np.lexsort((k if o == 0 else mix(k ^ np.uint64(o)), c, d))
+        at = np.arange(len(d)) - first[d]              # documents stay where they are
+        use = (at < take[d]) & (c[order] > 1)
+        return np.searchsorted(d[use], np.arange(rows + 1)), k[order[use]], at[use]
+
+    borders, tokens, places = prefix(0)
+    entries = pa.StructArray.from_arrays([pa.array(tokens.view(np.int64)), pa.array(places, pa.int32())], names=["token", "place"])
+    wanted = np.diff(borders) > 0
+    bits = np.zeros((rows, WORDS), np.uint64)
+    np.bitwise_or.at(bits, (np.repeat(np.arange(rows), np.diff(borders)), (tokens >> np.uint64(6)).astype(np.int64) % WORDS),
+                     np.uint64(1) << (tokens & np.uint64(63)))
+    others = [[] for _ in documents]
+    for o in range(1, ORDERS):
+        at, tokens, _ = prefix(o)
+        for i in np.flatnonzero(wanted):
+            others[i].append(np.sort(tokens[at[i]:at[i + 1]]).tobytes())
+    digests = [hashlib.blake2b(key[ends[i]:ends[i + 1]], digest_size=16).hexdigest() if n[i] else f"empty {chunk.number} {x}" for i, x in enumerate(documents)]
+    shingles = [C.squeeze_sorted(key[ends[i]:ends[i + 1]]) if wanted[i] else None for i in range(rows)]
+    return pa.table({
+        "row": pa.array(numbers[documents.start:documents.stop], pa.int64()), "key": pa.array(chunk.keys[documents.start:documents.stop], kind),
+        "n_shingles": pa.array(n, pa.int64()), "digest": pa.array(digests, pa.string()),
+        "prefix": pa.ListArray.from_arrays(pa.array(borders, pa.int32()), entries),
+        "bits": pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * WORDS, pa.int32()), pa.array(bits.ravel().view(np.int64))),
+        "others": pa.array(others, pa.list_(pa.binary())), "shingles": pa.array(shingles, pa.binary())})
 
 
 def document_rows(docs: DataFrame, text: str, key: str, width: int, percent: int) -> DataFrame:
@@ -127,14 +150,11 @@ def document_rows(docs: DataFrame, text: str, key: str, width: int, percent: int
         return [np.minimum(sums[0], 2**32 - 1).astype(np.uint32)], []
 
     def select(chunk: C.Chunk, found: pa.Table) -> pa.Table:
-        keys, _, doc, place = distinct(chunk, width)
-        df = C.read_answer(found, 0, n, [np.uint32])[0]
-        return pa.Table.from_pylist(prefixes(chunk, df, keys, doc, place, percent), schema=arrow)
+        borders, shingles, df = by_document(chunk, width, lambda: C.read_answer(found, 0, n, [np.uint32])[0])
+        return prefixes(chunk, borders, shingles, df, percent, arrow)
 
     kind = docs.select(F.col(key).alias("k")).schema["k"].dataType
-    arrow = pa.schema([("row", pa.int64()), ("key", C.arrow_type(kind)), ("n_shingles", pa.int64()), ("digest", pa.string()),
-                       ("prefix", pa.list_(pa.struct([("token", pa.int64()), ("place", pa.int32())]))),
-                       ("others", pa.list_(pa.binary())), ("shingles", pa.binary())])
+    arrow = C.arrow_type(kind)
     answers = C.totals(C.requests(parts, n, asked), [np.uint32], count)
     # a chunk without any word asks nothing, and still gets its rows
     silent = parts.select(F.lit(-1).cast("long").alias("slot"), "chunk", F.array().cast("array<binary>").alias("values"))
@@ -152,6 +172,16 @@ def enough_left(n_a: Column, at_a: Column, n_b: Column, at_b: Column, percent: i
     return (F.lit(1) + F.least(n_a - at_a - 1, n_b - at_b - 1)) * (100 + percent) >= (n_a + n_b) * percent
 
 
+def enough_shared(n_a: Column, bits_a: Column, lost_a: Column, n_b: Column, bits_b: Column, lost_b: Column, percent: int) -> Column:
+    """Where the smaller last prefix shingle ends, all that two sets share up to
+    there is in both prefixes, so the overlap is at most what the prefixes
+    share and the rest of one set. Prefixes share at most as many shingles as
+    their bitmaps share bits, and the shingles that had no bit of their own."""
+    both = sum((F.bit_count(bits_a[i].bitwiseAND(bits_b[i])) for i in range(WORDS)), F.lit(0))
+    rest = lambda n: F.floor((n * percent + 99) / 100) - 1
+    return (both + F.least(lost_a, lost_b) + F.greatest(rest(n_a), rest(n_b))) * (100 + percent) >= (n_a + n_b) * percent
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are links: they share a prefix shingle under each
     of the other orders, and their whole sets are similar enough."""
@@ -186,17 +216,19 @@ def _labelled(rows: DataFrame, links: DataFrame | None) -> DataFrame:
 def find_links(rows: DataFrame, percent: int, rounds: int = ROUNDS) -> DataFrame:
     """Links (a, b) between different sets that connect what all links
     connect. ``rows``: one document of each class (ROW)."""
-    index = (rows.select("row", F.col("n_shingles").alias("n"), F.explode("prefix").alias("p"))
-             .select("row", "n", F.col("p.token").alias("token"), F.col("p.place").alias("place")))
+    lost = F.size("prefix") - sum((F.bit_count(F.col("bits")[i]) for i in range(WORDS)), F.lit(0))
+    index = (rows.select("row", F.col("n_shingles").alias("n"), "bits", lost.alias("lost"), F.explode("prefix").alias("p"))
+             .select("row", "n", "bits", "lost", F.col("p.token").alias("token"), F.col("p.place").alias("place")))
     shared = index.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token")
     index = materialize(index.join(shared, "token"), "prefix-index")
     sets = rows.select("row", "others", "shingles").join(index.select("row").distinct(), "row", "left_semi")
     sets = materialize(sets, "prefix-sets")
     a, b = F.least("row", "row_"), F.greatest("row", "row_")
-    sizes = similar_sizes(F.col("n"), F.col("n_"), percent)
+    sizes = (similar_sizes(F.col("n"), F.col("n_"), percent)
+             & enough_shared(*(F.col(f"{c}{end}") for end in ("", "_") for c in ("n", "bits", "lost")), percent))
     passes = (sizes
               & enough_left(F.col("n"), F.col("place"), F.col("n_"), F.col("place_"), percent))
-    links = None
+    links, taken = None, ("row", "n", "place", "part", "bits", "lost")
 
     def add(pairs: DataFrame) -> DataFrame:
         new = materialize(verify(pairs.select(a.alias("a"), b.alias("b")).distinct(), sets, percent), "verified")
@@ -205,18 +237,23 @@ def find_links(rows: DataFrame, percent: int, rounds: int = ROUNDS) -> DataFrame
     for k in range(rounds):
         now = _labelled(index, links)
         by = F.col("row") if k == 0 else F.xxhash64("row", F.lit(k))
-        one = (now.groupBy("token").agg(F.min(F.struct(by.alias("by"), "row", "n", "place", "part")).alias("one"),
+        one = (now.groupBy("token").agg(F.min(F.struct(by.alias("by"), *taken)).alias("one"),
                                         F.min("part").alias("least"), F.max("part").alias("most")).filter("least <> most")
-               .select("token", *[F.col(f"one.{c}").alias(f"{c}_") for c in ("row", "n", "place", "part")]))
+               .select("token", *[F.col(f"one.{c}").alias(f"{c}_") for c in taken]))
         # the position filter holds for the first shared shingle only; a row may share a later one with this row
-        links = add(now.join(one, "token").filter("part <> part_").filter(sizes))
+        pairs = now.join(one, "token").filter("part <> part_").filter(sizes)
+        if k == 0:
+            pairs = (pairs.groupBy("row", "row_").agg(F.count("*").alias("shared"))
+                     .groupBy("row").agg(F.max(F.struct("shared", (-F.col("row_")).alias("other"))).alias("best"))
+                     .select("row", (-F.col("best.other")).alias("row_")))
+        links = add(pairs)
 
     now = materialize(_labelled(index, links), "prefix-parts")
     main = (now.groupBy("token", "part").agg(F.count("*").alias("size"))
             .groupBy("token").agg(F.max(F.struct("size", "part")).alias("main"), F.count("*").alias("parts"))
             .filter("parts > 1").select("token", F.col("main.part").alias("main")))
     mixed = now.join(main, "token")
-    outside = mixed.filter("part <> main").select("token", *[F.col(c).alias(f"{c}_") for c in ("row", "n", "place", "part")])
+    outside = mixed.filter("part <> main").select("token", *[F.col(c).alias(f"{c}_") for c in taken])
     return add(mixed.join(outside, "token").filter("part <> part_").filter(passes))
 
 

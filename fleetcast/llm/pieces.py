@@ -17,7 +17,7 @@ from fleetcast.llm.common import text_bytes
 
 #: Pieces that are remembered, and ids of all of them. When the memory is full,
 #: the pieces that the latest batch used again stay. Longer ones are never kept.
-KEPT, KEPT_IDS, KEPT_LENGTH = 300_000, 3_000_000, 48
+KEPT, KEPT_IDS, KEPT_LENGTH = 200_000, 2_000_000, 48
 
 #: The pieces of some rows: their bytes, the n + 1 offsets of the pieces in
 #: them, and the number of pieces before each row (and in all).
