@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from fleetcast.functions.buckets import BUCKETS, quantile_buckets
 from fleetcast.functions.coerce import falsy_default, pick, to_bool
+from fleetcast.operators import identity
 from fleetcast.session import materialize
 from fleetcast.sources.snapshots import COMMENT, ROLES, conform
 
@@ -341,7 +342,7 @@ USER_FIELDS = {
 }
 
 
-def _user_payload(batch: DataFrame) -> DataFrame:
+def user_payload(batch: DataFrame) -> DataFrame:
     m = payload_map("payload")
     b = batch.withColumn("m", m)
     mm = F.col("m")
@@ -352,7 +353,8 @@ def _user_payload(batch: DataFrame) -> DataFrame:
         pick(mm, "password", default="").alias("password"),
         *[pick(mm, *keys, default="").alias(col) for col, keys in USER_FIELDS.items()],
         pick(mm, "role", default="renter").alias("role"),
-        F.coalesce(to_bool(mm["active"]), F.lit(True)).alias("active"))
+        F.coalesce(to_bool(mm["active"]), F.lit(True)).alias("active"),
+        (F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS") if "ts" in batch.columns else F.lit(None).cast("string")).alias("made_at"))
 
 
 def _match_users(users: DataFrame, p: DataFrame) -> DataFrame:
@@ -367,77 +369,44 @@ def _match_users(users: DataFrame, p: DataFrame) -> DataFrame:
             .agg(F.min("uid").alias("match_id"), F.countDistinct("uid").alias("matches")))
 
 
-def upsert_users(users: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """M1: returns (updated rows, inserted rows, rejects, superseded changes).
+def upsert_users(users: DataFrame, batch: DataFrame, at_once: int = identity.AT_ONCE) -> tuple[DataFrame, DataFrame]:
+    """M1: the changes of a batch applied one after the other, by seq. Returns
+    the rows of all users they touched (``seq``: the last change) and one
+    outcome per change: seq, outcome (inserted, updated or rejected), id, reason.
 
-    Match on e-mail or username; a match overwrites every field with the
-    payload value or its default (not the current value). Missing e-mail,
-    username or password, or a change matching two different users (it would
-    break uniqueness) is rejected, and so is one that takes an e-mail or
-    username which another user of the result holds. When several changes hit
-    the same user, the last one (highest seq) wins and the others are
-    superseded: every change has exactly one outcome.
+    A change updates the user who holds its e-mail or its user name at that
+    point, and inserts one if nobody does; ids are given in the order of the
+    insertions. An update overwrites every field with the payload's value or
+    its default, not with the current one. Rejected: a missing e-mail, user
+    name or password, and a change that meets two users, since they can't both
+    hold one identity. See ``operators.identity`` for how groups of tied changes
+    are found and replayed.
     """
-    p = _user_payload(batch)
-    missing = (p["email"] == "") | (p["username"] == "") | (p["password"] == "")
-    rejects_missing = p.filter(missing).select(
-        "seq", F.lit(IDENTITY_MISSING).alias("reason"))
+    p = materialize(user_payload(batch), "user-changes")
+    missing = (F.col("email") == "") | (F.col("username") == "") | (F.col("password") == "")
     valid = p.filter(~missing)
-    m = _match_users(users, valid)
-    # parsed changes with their matches: read by the update, insert and
-    # reject branches, so written once
-    j = materialize(valid.join(m, "seq", "left"), "user-matches")
-    rejects_multi = j.filter(F.col("matches") > 1).select(
-        "seq", F.lit(SEVERAL_USERS).alias("reason"))
-    upd = j.filter(F.col("matches") == 1)
-    # last change per user: an aggregate (partial per task), safe for a hot user
-    fields = [c for c in upd.columns if c not in ("match_id",)]
-    upd = (upd.groupBy("match_id").agg(F.max_by(F.struct(*fields), "seq").alias("_s"))
-           .select("match_id", "_s.*"))
-    cur = users.select(F.col("id").alias("match_id"), "created_at")
-    updated = conform(upd.join(cur, "match_id").withColumnRenamed("match_id", "id"), "users",
-                      keep=["seq"])
-    ins = _fold_new_users(j.filter(F.col("matches").isNull()))
-    # the identities of the result must stay unique: of several rows that want one e-mail or username, an
-    # untouched user keeps it, else the earliest change has it
-    claims = materialize(upd.select("seq", "match_id", "email", "username")
-                         .unionByName(ins.select("seq", F.lit(None).cast("long").alias("match_id"), "email", "username")), "user-claims")
-    rest = users.join(claims.select(F.col("match_id").alias("id")), "id", "left_anti").select(
-        F.lit(None).cast("long").alias("seq"), norm_identity("email").alias("email"), norm_identity("username").alias("username"))
-    lost = None
-    for name in ("email", "username"):
-        holders = claims.select("seq", name).unionByName(rest.select("seq", name))
-        first = holders.groupBy(name).agg(F.min(F.coalesce("seq", F.lit(-1))).alias("_first"))
-        beaten = claims.join(first, name).filter(F.col("seq") > F.col("_first")).select("seq")
-        lost = beaten if lost is None else lost.unionByName(beaten)
-    lost = materialize(lost.distinct(), "user-lost")
-    ins = ins.join(lost, "seq", "left_anti")
-    updated = updated.join(lost, "seq", "left_anti")
-    inserted = conform(next_ids(users, ins), "users", keep=["seq"])
-    rejects = rejects_missing.unionByName(rejects_multi).unionByName(lost.select("seq", F.lit(IDENTITY_TAKEN).alias("reason")))
-    superseded = (j.filter(F.col("matches").isNull() | (F.col("matches") == 1)).select("seq")
-                  .join(claims.select("seq"), "seq", "left_anti"))
-    return updated, inserted, rejects, superseded
-
-
-def _fold_new_users(ins: DataFrame) -> DataFrame:
-    """New-user changes of one batch that share an e-mail, then a username,
-    become one insert carrying the last change (applied one by one, the later
-    change would update the row the earlier one created). Aggregates, so a
-    hot e-mail stays a partial aggregate. Chains longer than e-mail then
-    username are not merged further."""
-    def last_by(frame, key):
-        rest = [c for c in frame.columns if c != key]
-        return (frame.groupBy(key).agg(F.max_by(F.struct(*rest), "seq").alias("_s"))
-                .select(key, "_s.*"))
-    return last_by(last_by(ins, "email"), "username")
+    stored = users.select(F.col("id").alias("uid"), norm_identity("email").alias("email"), norm_identity("username").alias("username"))
+    met = materialize(identity.replay(stored, valid.select("seq", "email", "username"), at_once), "user-outcomes")
+    new = next_ids(users, met.filter("born = seq").select("seq")).select(F.col("seq").alias("born"), F.col("id").alias("new_id"))
+    met = materialize(met.join(new, "born", "left").select("seq", "matches", "born", F.coalesce("uid", "new_id").alias("id")), "user-ids")
+    outcomes = (met.select("seq", F.when(F.col("matches") > 1, "rejected").when(F.col("born") == F.col("seq"), "inserted")
+                           .otherwise("updated").alias("outcome"), "id", F.when(F.col("matches") > 1, SEVERAL_USERS).alias("reason"))
+                .unionByName(p.filter(missing).select("seq", F.lit("rejected").alias("outcome"), F.lit(None).cast("long").alias("id"),
+                                                      F.lit(IDENTITY_MISSING).alias("reason"))))
+    # the last change of each user, and the time of the one that made it: partial aggregates, safe for a hot user
+    applied = valid.join(met.filter("matches < 2").select("seq", "id", "born"), "seq")
+    fields = [c for c in valid.columns if c != "made_at"]
+    last = (applied.groupBy("id").agg(F.max_by(F.struct(*fields), "seq").alias("_s"), F.max(F.when(F.col("born") == F.col("seq"), F.col("made_at"))).alias("_made"))
+            .join(users.select("id", F.col("created_at").alias("_created")), "id", "left")
+            .select("id", "_s.*", F.coalesce("_created", "_made").alias("created_at")))
+    return conform(last, "users", keep=["seq"]), outcomes
 
 
 def register_users(users: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """M2 + M10: insert only when neither e-mail nor username exists yet and
     the role is valid and neither is empty; within a batch, the result is that
     of the changes applied one by one in seq order. Returns (inserted rows, rejects)."""
-    p = _user_payload(batch)
+    p = user_payload(batch)
     m = _match_users(users, p)
     j = p.join(m, "seq", "left").withColumn(
         "reason", F.when((F.col("email") == "") | (F.col("username") == ""), IDENTITY_MISSING)
@@ -462,7 +431,7 @@ def register_users(users: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataF
     rejects = (j.filter("reason is not null").select("seq", "reason")
                .unionByName(j.filter("reason is null").join(accepted.select("seq"), "seq", "left_anti")
                             .select("seq", F.lit(IDENTITY_TAKEN).alias("reason"))))
-    inserted = conform(next_ids(users, ok.drop("reason")), "users", keep=["seq"])
+    inserted = conform(next_ids(users, ok.drop("reason").withColumnRenamed("made_at", "created_at")), "users", keep=["seq"])
     return inserted, rejects
 
 

@@ -704,46 +704,42 @@ um AS (
   ) GROUP BY seq
 )"""
 
-ORACLE["user_upsert"] = _with(USERS, USER_BATCH) + """
-, j AS (
-  SELECT b.*, m.match_id, m.matches,
-         (b.email = '' OR b.username = '' OR b.password = '') AS missing
-  FROM ub b LEFT JOIN um m ON b.seq = m.seq
-),
-upd AS (
-  SELECT * FROM j WHERE NOT missing AND matches = 1
-  QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY seq DESC) = 1
-),
-ins0 AS (
-  SELECT * FROM j WHERE NOT missing AND matches IS NULL
-  QUALIFY row_number() OVER (PARTITION BY email ORDER BY seq DESC) = 1
-),
-ins AS (
-  SELECT * FROM ins0 QUALIFY row_number() OVER (PARTITION BY username ORDER BY seq DESC) = 1
-),
-claims AS (SELECT seq, match_id, email, username FROM upd
-           UNION ALL SELECT seq, NULL, email, username FROM ins),
-rest AS (SELECT lower(trim(email)) AS email, lower(trim(username)) AS username FROM users
-         WHERE id NOT IN (SELECT match_id FROM claims WHERE match_id IS NOT NULL)),
-lost AS (
-  SELECT seq FROM claims c WHERE EXISTS (SELECT 1 FROM rest r WHERE r.email = c.email)
-    OR EXISTS (SELECT 1 FROM rest r WHERE r.username = c.username)
-    OR EXISTS (SELECT 1 FROM claims o WHERE o.email = c.email AND o.seq < c.seq)
-    OR EXISTS (SELECT 1 FROM claims o WHERE o.username = c.username AND o.seq < c.seq))
-SELECT seq, 'updated' AS outcome, match_id AS id, email, username, first_name, role,
-       CAST(NULL AS VARCHAR) AS reason FROM upd WHERE seq NOT IN (SELECT seq FROM lost)
-UNION ALL
-SELECT seq, 'inserted', (SELECT max(id) FROM users) + row_number() OVER (ORDER BY seq),
-       email, username, first_name, role, NULL FROM ins WHERE seq NOT IN (SELECT seq FROM lost)
-UNION ALL
-SELECT seq, 'rejected', NULL, NULL, NULL, NULL, NULL,
-       CASE WHEN missing THEN 'identity_missing' ELSE 'several_users' END
-FROM j WHERE missing OR matches > 1
-UNION ALL
-SELECT seq, 'rejected', NULL, NULL, NULL, NULL, NULL, 'identity_taken' FROM lost
-UNION ALL
-SELECT seq, 'superseded', NULL, NULL, NULL, NULL, NULL, NULL
-FROM j WHERE NOT missing AND (matches IS NULL OR matches = 1) AND seq NOT IN (SELECT seq FROM claims)"""
+# One change after the other: ``t`` has the users that the changes before touched; a stored user counts by the
+# identity that it came with only until then. New users have minus their change's seq, less one, for an id.
+USER_UPSERT = _with(USERS, USER_BATCH).replace("WITH", "WITH RECURSIVE", 1) + """
+, valid AS (SELECT row_number() OVER (ORDER BY seq) AS rn, * FROM ub WHERE email <> '' AND username <> '' AND password <> ''),
+met AS (
+  SELECT v.seq, list(DISTINCT u.id) AS ids FROM valid v
+  JOIN (SELECT id, lower(trim(email)) AS name, 'e' AS kind FROM users UNION ALL SELECT id, lower(trim(username)), 'n' FROM users) u
+    ON (u.kind = 'e' AND u.name = v.email) OR (u.kind = 'n' AND u.name = v.username) GROUP BY v.seq),
+step AS (
+  SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS seq, CAST([] AS BIGINT[]) AS found,
+    CAST([] AS STRUCT(id BIGINT, email VARCHAR, username VARCHAR)[]) AS t
+  UNION ALL
+  SELECT rn, seq, found,
+    CASE WHEN len(found) > 1 THEN t
+         ELSE list_append(list_filter(t, lambda x: x.id <> coalesce(found[1], -seq - 1)),
+                          {'id': coalesce(found[1], -seq - 1), 'email': email, 'username': username}) END
+  FROM (SELECT v.rn, v.seq, v.email, v.username, s.t, list_distinct(list_concat(
+            list_filter(coalesce(m.ids, []), lambda i: NOT list_contains(list_transform(s.t, lambda x: x.id), i)),
+            list_transform(list_filter(s.t, lambda x: x.email = v.email OR x.username = v.username), lambda x: x.id))) AS found
+        FROM step s JOIN valid v ON v.rn = s.rn + 1 LEFT JOIN met m ON m.seq = v.seq)),
+out AS (
+  SELECT seq, CASE WHEN len(found) > 1 THEN 'rejected' WHEN len(found) = 1 THEN 'updated' ELSE 'inserted' END AS outcome,
+    CASE WHEN len(found) < 2 THEN coalesce(found[1], -seq - 1) END AS who FROM step WHERE rn > 0),
+new AS (SELECT -seq - 1 AS who, (SELECT max(id) FROM users) + row_number() OVER (ORDER BY seq) AS id FROM out WHERE outcome = 'inserted'),
+done AS (SELECT out.seq, out.outcome, coalesce(new.id, out.who) AS id FROM out LEFT JOIN new USING (who))"""
+
+ORACLE["user_upsert"] = USER_UPSERT + """
+SELECT b.seq, coalesce(d.outcome, 'rejected') AS outcome, d.id,
+  CASE WHEN d.id IS NOT NULL THEN email END AS email, CASE WHEN d.id IS NOT NULL THEN username END AS username,
+  CASE WHEN d.id IS NOT NULL THEN first_name END AS first_name, CASE WHEN d.id IS NOT NULL THEN role END AS role,
+  CASE WHEN d.seq IS NULL THEN 'identity_missing' WHEN d.outcome = 'rejected' THEN 'several_users' END AS reason
+FROM ub b LEFT JOIN done d ON d.seq = b.seq"""
+
+ORACLE["user_upsert_rows"] = USER_UPSERT + """
+SELECT d.id, b.seq, b.email, b.username, b.password, b.first_name, b.role, true AS active
+FROM done d JOIN ub b ON b.seq = d.seq WHERE d.id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY d.id ORDER BY b.seq DESC) = 1"""
 
 # One change after the other: a change is accepted if no user and no change accepted before holds its identity.
 ORACLE["user_insert_if_absent"] = _with(USERS, USER_BATCH).replace("WITH", "WITH RECURSIVE", 1) + """

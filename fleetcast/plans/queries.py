@@ -631,9 +631,18 @@ def _user_outcomes(**frames):
 
 @query
 def q_user_upsert(spark, sf):
-    """M1 + J8: upsert of user changes, outcome per change."""
-    upd, ins, rej, old = TB.upsert_users(SN.users(spark, sf), user_batch(spark, sf))
-    return presentable(_user_outcomes(updated=upd, inserted=ins, rejected=rej, superseded=old))
+    """M1 + J8: user changes applied in their order, outcome per change."""
+    batch = user_batch(spark, sf)
+    _, outcomes = TB.upsert_users(SN.users(spark, sf), batch)
+    shown = [F.when(F.col("outcome") != "rejected", F.col(c)).alias(c) for c in ("email", "username", "first_name", "role")]
+    return presentable(outcomes.join(TB.user_payload(batch).drop("reason"), "seq").select("seq", "outcome", "id", *shown, "reason"))
+
+
+@query
+def q_user_upsert_rows(spark, sf):
+    """M1: the rows of the users that the changes touched, as they end up."""
+    rows, _ = TB.upsert_users(SN.users(spark, sf), user_batch(spark, sf))
+    return presentable(rows.select("id", "seq", "email", "username", "password", "first_name", "role", "active"))
 
 
 @query

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from fleetcast.operators import tables as TB
@@ -19,20 +21,76 @@ def batch(spark, payloads):
                                   for i, p in enumerate(payloads)], "seq long, payload string")
 
 
+def upserted(spark, users, payloads, **how):
+    rows, outcomes = TB.upsert_users(users, batch(spark, payloads), **how)
+    return ({r.id: (r.email, r.username, r.first_name, r.seq) for r in rows.collect()},
+            {r.seq: (r.outcome, r.id, r.reason) for r in outcomes.collect()})
+
+
 def test_upsert_matches_case_insensitively_and_rejects(spark):
     users = users_df(spark, [(1, "a@x.t", "alice"), (2, "b@x.t", "bob")])
-    b = batch(spark, [
-        {"email": "  A@X.T ", "username": "alice2", "password": "p", "firstName": "Al"},
+    rows, outcomes = upserted(spark, users, [
         {"email": "b@x.t", "username": "alice", "password": "p"},            # two users
+        {"email": "  A@X.T ", "username": "alice2", "password": "p", "firstName": "Al"},
         {"email": "c@x.t", "username": "carol"},                              # no password
-        {"email": "d@x.t", "username": "dan", "password": "p"},               # new
-    ])
-    upd, ins, rej, _ = TB.upsert_users(users, b)
-    u = upd.collect()
-    assert [(r.id, r.email, r.first_name, r.role) for r in u] == [(1, "a@x.t", "Al", "renter")]
-    i = ins.collect()
-    assert [(r.id, r.email) for r in i] == [(3, "d@x.t")]
-    assert sorted(r.seq for r in rej.collect()) == [2, 3]
+        {"email": "d@x.t", "username": "dan", "password": "p"}])              # new
+    assert rows == {1: ("a@x.t", "alice2", "Al", 2), 3: ("d@x.t", "dan", "", 4)}
+    assert outcomes == {1: ("rejected", None, TB.SEVERAL_USERS), 2: ("updated", 1, None), 3: ("rejected", None, TB.IDENTITY_MISSING),
+                        4: ("inserted", 3, None)}
+
+
+def test_upsert_frees_and_passes_on_identities(spark):
+    users = users_df(spark, [(1, "a@x", "u1")])
+    rows, outcomes = upserted(spark, users, [{"email": "a@x", "username": "u9", "password": "p"},
+                                             {"email": "z@x", "username": "u1", "password": "p"}])
+    assert rows == {1: ("a@x", "u9", "", 1), 2: ("z@x", "u1", "", 2)}
+    assert outcomes == {1: ("updated", 1, None), 2: ("inserted", 2, None)}
+
+
+def one_by_one(stored, payloads):
+    """The rule, one change after the other."""
+    rows, outcomes, last = dict(stored), {}, max(stored, default=0)
+    for seq, p in enumerate(payloads, 1):
+        email, name = (p.get("email") or p.get("username") or "").strip().lower(), (p.get("username") or p.get("email") or "").strip().lower()
+        if not (email and name and p.get("password")):
+            outcomes[seq] = ("rejected", None, TB.IDENTITY_MISSING)
+            continue
+        found = [i for i, r in rows.items() if r[0] == email or r[1] == name]
+        if len(found) > 1:
+            outcomes[seq] = ("rejected", None, TB.SEVERAL_USERS)
+            continue
+        last += not found
+        who = found[0] if found else last
+        rows[who] = (email, name, p.get("firstName", ""), seq)
+        outcomes[seq] = ("updated" if found else "inserted", who, None)
+    return {i: r for i, r in rows.items() if len(r) == 4}, outcomes
+
+
+@pytest.mark.parametrize("seed, names, at_once", [(1, 4, 100), (2, 12, 100), (3, 60, 100), (4, 6, 7), (5, 25, 3)])
+def test_upsert_equals_one_by_one(spark, seed, names, at_once):
+    import random
+    rng = random.Random(seed)
+    stored = {i: (f"e{i}@x", f"n{i}") for i in range(1, names // 2 + 1)}
+    payloads = [{k: v for k, v in {"email": f"E{rng.randint(1, names)}@x ", "username": f"n{rng.randint(1, names)}", "password": rng.choice(["p", "p", "p", ""]),
+                                   "firstName": str(i)}.items() if k != "username" or rng.random() > 0.1} for i in range(60)]
+    users = users_df(spark, [(i, *r) for i, r in stored.items()])
+    assert upserted(spark, users, payloads, at_once=at_once) == one_by_one(stored, payloads)
+
+
+def test_upsert_of_nothing(spark):
+    users = users_df(spark, [(1, "a@x", "u1")])
+    none = batch(spark, [{"email": "a@x"}]).limit(0)
+    rows, outcomes = TB.upsert_users(users, none)
+    assert rows.count() == 0 and outcomes.count() == 0
+
+
+def test_groups_of_paths_stars_and_rings(spark):
+    from fleetcast.operators.identity import groups
+    edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 30)] + [(200 + i, 200 + (i + 1) % 9) for i in range(9)] + [(500, 500)]
+    found = {}
+    for r in groups(spark.createDataFrame(edges, "a long, b long")).collect():
+        found.setdefault(r.group, set()).add(r.node)
+    assert sorted(map(len, found.values())) == [1, 9, 30, 61]
 
 
 def test_register_rejects_duplicates_and_roles(spark):
@@ -155,28 +213,6 @@ def test_vehicle_create_defaults(spark):
         (7, "Van", "Van", 2019, False, "available")
 
 
-def test_upsert_folds_new_users_sharing_keys(spark):
-    users = users_df(spark, [(1, "a@x.t", "alice")])
-    b = batch(spark, [
-        {"email": "n@x.t", "username": "n1", "password": "p", "firstName": "first"},
-        {"email": "N@X.T", "username": "n2", "password": "p", "firstName": "second"},
-        {"email": "m@x.t", "username": "n2", "password": "p", "firstName": "third"},
-    ])
-    _, ins, rej, old = TB.upsert_users(users, b)
-    got = [(r.id, r.email, r.username, r.first_name) for r in ins.collect()]
-    assert got == [(2, "m@x.t", "n2", "third")]
-    assert rej.count() == 0 and sorted(r.seq for r in old.collect()) == [1, 2]
-
-
-def test_upsert_keeps_identities_unique(spark):
-    users = users_df(spark, [(1, "old@x.t", "one")])
-    b = batch(spark, [{"email": "new@x.t", "username": "one", "password": "p"},       # user 1 moves to new@x
-                      {"email": "new@x.t", "username": "two", "password": "p"}])       # and this one wants it too
-    upd, ins, rej, old = TB.upsert_users(users, b)
-    assert [(r.id, r.email) for r in upd.collect()] == [(1, "new@x.t")] and ins.count() == 0
-    assert [(r.seq, r.reason) for r in rej.collect()] == [(2, TB.IDENTITY_TAKEN)] and old.count() == 0
-
-
 def test_register_follows_the_order_of_changes(spark):
     users = users_df(spark, [(1, "a@x.t", "alice")])
     b = batch(spark, [
