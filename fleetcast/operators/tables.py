@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from fleetcast.functions.buckets import BUCKETS, quantile_buckets
 from fleetcast.functions.coerce import falsy_default, pick, to_bool
-from fleetcast.operators import identity
+from fleetcast.operators import asof, identity
 from fleetcast.session import materialize
 from fleetcast.sources.snapshots import COMMENT, ROLES, conform
 
@@ -493,10 +493,26 @@ def user_change_permissions(changes: DataFrame, users: DataFrame) -> DataFrame:
     a = users.select(F.col("id").alias("actor_id"), F.col("role").alias("actor_role"), F.col("active").alias("actor_active"))
     t = users.select(F.col("id").alias("target_id"), F.lit(True).alias("_known"))
     j = changes.join(a, "actor_id", "left").join(t, "target_id", "left")
-    reason = (F.when(F.col("actor_role").isNull() | ~F.col("actor_active"), NO_ACTIVE_USER)
-              .when(F.col("actor_role") != "admin", ADMINS_ONLY)
-              .when((F.col("action") != "list") & F.col("_known").isNull(), UNKNOWN_ID))
-    return j.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull()).drop("_known")
+    return j.withColumn("reason", _user_change_reason(F.coalesce("_known", F.lit(False)))).withColumn("accepted", F.col("reason").isNull()).drop("_known")
+
+
+def _user_change_reason(known: Column) -> Column:
+    return (F.when(F.col("actor_role").isNull() | ~F.col("actor_active"), NO_ACTIVE_USER)
+            .when(F.col("actor_role") != "admin", ADMINS_ONLY)
+            .when((F.col("action") != "list") & ~known, UNKNOWN_ID))
+
+
+def user_changes_as_of(changes: DataFrame, users: DataFrame, states: DataFrame) -> DataFrame:
+    """M8 as of each change: as ``user_change_permissions``, but the actor and
+    the target are as ``states`` (id, seq, role, active, gone) left them."""
+    return asof.permitted_users(changes, users, states, _user_change_reason(F.col("known")))
+
+
+def user_changes_in_order(changes: DataFrame, users: DataFrame) -> DataFrame:
+    """M8 with changes judged one by one: an admin who is deactivated, demoted
+    or deleted by an accepted change is refused from then on. ``changes`` has
+    seq, actor_id, action, target_id, role and active (null: not changed)."""
+    return asof.changes_in_order(changes, users, _user_change_reason(F.col("known")))
 
 
 def event_envelopes(rows: DataFrame, type_: Column, action: Column, id_: Column,

@@ -969,6 +969,34 @@ p AS (SELECT ch.*, CASE WHEN a.id IS NULL OR NOT a.active THEN 'no_active_user'
   FROM ch LEFT JOIN admins a ON a.id = ch.actor_id LEFT JOIN admins t ON t.id = ch.target_id)
 SELECT seq, actor_id, action, target_id, reason IS NULL AS accepted, reason FROM p"""
 
+ORACLE["user_requests_as_of"] = _with(USERS, ADMINS) + """
+, asked AS (SELECT event_id AS seq, user_id AS actor_id, event_type,
+    CASE event_type WHEN 'error' THEN 'delete' WHEN 'view' THEN 'list' ELSE 'patch' END AS action,
+    1 + (event_id * 7919) % (SELECT max(id) FROM users) AS target_id,
+    CASE event_id % 6 WHEN 0 THEN 'admin' WHEN 1 THEN 'renter' END AS role,
+    CASE event_id % 5 WHEN 0 THEN true WHEN 1 THEN false END AS active FROM events),
+states AS (SELECT actor_id AS id, seq, role, active FROM asked WHERE event_type = 'signup'),
+roles AS (SELECT id, seq, role FROM states WHERE role IS NOT NULL),
+switches AS (SELECT id, seq, active FROM states WHERE active IS NOT NULL),
+j AS (
+  SELECT a.seq, a.actor_id, a.action, a.target_id, t.id AS known,
+    CASE WHEN u.id IS NOT NULL THEN coalesce(r.role, u.role) END AS actor_role,
+    CASE WHEN u.id IS NOT NULL THEN coalesce(s.active, u.active) END AS actor_active
+  FROM (SELECT * FROM asked WHERE event_type <> 'signup') a
+  ASOF LEFT JOIN roles r ON r.id = a.actor_id AND a.seq > r.seq
+  ASOF LEFT JOIN switches s ON s.id = a.actor_id AND a.seq > s.seq
+  LEFT JOIN admins u ON u.id = a.actor_id LEFT JOIN admins t ON t.id = a.target_id),
+p AS (SELECT *, CASE WHEN actor_role IS NULL OR NOT actor_active THEN 'no_active_user' WHEN actor_role <> 'admin' THEN 'admins_only'
+    WHEN action <> 'list' AND known IS NULL THEN 'unknown_id' END AS reason FROM j)
+SELECT seq, actor_id, action, target_id, actor_role, actor_active, reason IS NULL AS accepted, reason FROM p"""
+
+ORACLE["booking_price_as_of"] = _with(VEHICLES) + """
+, most AS (SELECT max(id) AS n FROM vehicles),
+p AS (SELECT 1 + (user_id * 31) % n AS id, event_id AS seq, value FROM events, most WHERE event_type = 'view' AND value IS NOT NULL),
+b AS (SELECT event_id AS seq, 1 + (user_id * 31) % n AS vehicle FROM events, most WHERE event_type = 'purchase')
+SELECT b.seq, b.vehicle, round(coalesce(CAST(p.value AS DOUBLE), v.price_per_day), 4) AS amount
+FROM b ASOF LEFT JOIN p ON p.id = b.vehicle AND b.seq > p.seq LEFT JOIN vehicles v ON v.id = b.vehicle"""
+
 ORACLE["vehicle_permissions"] = _with(USERS, VEHICLES, ADMINS) + """
 , ch AS (SELECT event_id AS seq, user_id AS actor_id,
     CASE event_type WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'create' ELSE 'update' END AS action,

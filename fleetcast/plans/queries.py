@@ -478,6 +478,7 @@ def q_risk_demand_index(spark, sf):
 
 # ---- operational tables: views, listings, change application ---------------------
 
+from fleetcast.operators import asof  # noqa: E402
 from fleetcast.operators import tables as TB  # noqa: E402
 from fleetcast.sources import snapshots as SN  # noqa: E402
 
@@ -1076,6 +1077,51 @@ def q_user_permissions(spark, sf):
     return out.select("seq", "actor_id", "action", "target_id", "accepted", "reason")
 
 
+def _admin_requests(spark, sf):
+    """User requests of all events: the target is another user of the whole id
+    range; some ask for a role, some switch the target on or off."""
+    e, u = F.col("event_id"), F.col("user_id")
+    ev = read_table(spark, sf, "events")
+    most = SN.users(spark, sf).agg(F.max("id")).scalar()
+    return ev.select(e.alias("seq"), u.alias("actor_id"),
+                     F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "view", "list").otherwise("patch").alias("action"),
+                     (1 + F.pmod(e * 7919, most)).alias("target_id"),
+                     F.when(e % 6 == 0, "admin").when(e % 6 == 1, "renter").alias("role"),
+                     F.when(e % 5 == 0, True).when(e % 5 == 1, False).alias("active"))
+
+
+@query
+def q_user_requests_as_of(spark, sf):
+    """M8 as of the change: signups switch users (role, active) as they come,
+    and every other request is judged by what its actor is by then."""
+    users, asked = _users_with_admins(spark, sf), _admin_requests(spark, sf)
+    states = asked.join(read_table(spark, sf, "events").filter("event_type = 'signup'").select(F.col("event_id").alias("seq")), "seq").select(
+        F.col("actor_id").alias("id"), "seq", "role", "active", F.lit(None).cast("boolean").alias("gone"))
+    out = TB.user_changes_as_of(asked.join(states.select("seq"), "seq", "left_anti"), users, states)
+    return out.select("seq", "actor_id", "action", "target_id", "actor_role", "actor_active", "accepted", "reason")
+
+
+@query
+def q_user_requests_in_order(spark, sf):
+    """M8 one by one: accepted requests change what later ones are judged by."""
+    out = TB.user_changes_in_order(_admin_requests(spark, sf), _users_with_admins(spark, sf))
+    return out.select("seq", "actor_id", "action", "target_id", "accepted", "reason")
+
+
+@query
+def q_booking_price_as_of(spark, sf):
+    """J6 as of the change: new bookings take the vehicle's day price as the
+    price changes before them left it."""
+    ev = read_table(spark, sf, "events")
+    vehicles = SN.vehicles(spark, sf).select("id", "price_per_day")
+    most = SN.vehicles(spark, sf).agg(F.max("id")).scalar()
+    vehicle = 1 + F.pmod(F.col("user_id") * 31, most)
+    prices = ev.filter("event_type = 'view'").select(vehicle.alias("id"), F.col("event_id").alias("seq"), F.col("value").cast("double").alias("price_per_day"))
+    asked = ev.filter("event_type = 'purchase'").select(F.col("event_id").alias("seq"), vehicle.alias("vehicle"))
+    out = asof.as_of(asked, vehicles, prices, "vehicle", "id", "seq", ["price_per_day"])
+    return presentable(out.select("seq", "vehicle", F.col("price_per_day").alias("amount")))
+
+
 @query
 def q_vehicle_permissions(spark, sf):
     """M8 + F9: create, update and delete of vehicles by renters, owners and admins."""
