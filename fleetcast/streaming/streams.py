@@ -1,15 +1,18 @@
 """Structured Streaming operators.
 
-* T1 ``apply_change_stream``: change rows arrive as a stream and are applied
-  to a snapshot, id by id in seq order. Deleted ids stay in the state as
-  tombstones, so a late change can never bring one back. The state is cut into
-  buckets of ids; a micro-batch writes new folders for the buckets it touches,
-  tagged with its batch id. A retried batch rewrites the same folders, and the
-  folder being read is never the one being written.
-* T2: only changes that took effect become event envelopes (N6). All others
-  are written as rejects: late ones, and updates or deletes of ids that do not
-  exist at that point.
-* T3 ``run_daily_demand``: each micro-batch writes its own counts per day and
+* T1 ``apply_change_stream``: change rows arrive as a stream, in any order, and
+  are merged into a state that doesn't depend on it. Per id that is, for each
+  field, the latest value with its seq, the seq of the last delete, and the
+  seqs of the creates. Fields of a row count from its birth on: the first
+  create after the last delete. A micro-batch only appends what it adds;
+  ``mergelog`` keeps the number of folders small.
+* T2: a change takes effect if it is a create, or if the last create or delete
+  of its id before it is a create. Those that do become event envelopes (N6),
+  the others rejects, by what has arrived up to their batch. A create or a
+  delete that arrives late can alter the verdict on changes after it:
+  ``outcomes`` has the verdicts by all that has arrived, ``corrections`` those
+  that differ from what was written.
+* T3 ``run_daily_demand``: each micro-batch appends its own counts per day and
   segment; the result sums them. There is no watermark, so nothing is late.
 * T4 ``score_stream``: stateless feature build and scoring of arriving rows.
 
@@ -25,11 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pyspark.sql import Window as W
-
+from fleetcast.operators.asof import asof_join
 from fleetcast.operators.tables import UNKNOWN_ID, payload_map
-from fleetcast.session import scratch_path
+from fleetcast.session import forget_at_exit, scratch_path
 from fleetcast.sources.tables import SEGMENT_COLUMNS, read_table
+from fleetcast.streaming.mergelog import EVERY, MergeLog
 
 STATE_FIELDS = ["k", "value", "last_event"]
 
@@ -58,140 +61,124 @@ def change_rows(events: DataFrame) -> DataFrame:
                          F.col("ts").cast("timestamp").alias("ts"))
 
 
-STATE_SCHEMA = T.StructType([
-    T.StructField("id", T.LongType()), T.StructField("k", T.StringType()),
-    T.StructField("value", T.StringType()), T.StructField("last_event", T.StringType()),
-    T.StructField("last_seq", T.LongType()), T.StructField("deleted", T.BooleanType())])
-STATE_BUCKETS = 32
-LATE = "late_change"
-
-
-def _bucket(column: str = "id"):
-    return F.pmod(F.xxhash64(column), F.lit(STATE_BUCKETS)).cast("int")
-
-
-def _read_state(spark: SparkSession, base: str, before: int | None = None,
-                buckets: set[int] | None = None) -> DataFrame:
-    """The newest rows of each bucket, written before a batch id."""
-    newest = {}
-    for folder in list_folders(spark, f"{base}/state", "batch="):
-        if before is None or _batch_no(folder) < before:
-            for part in list_folders(spark, folder, "bucket="):
-                newest[int(part.rstrip("/").rsplit("bucket=", 1)[1])] = part
-    paths = [p for b, p in sorted(newest.items()) if buckets is None or b in buckets]
-    return spark.read.schema(STATE_SCHEMA).parquet(*paths) if paths else spark.createDataFrame([], STATE_SCHEMA)
-
-
-def decide(changes: DataFrame, state: DataFrame) -> DataFrame:
-    """One row per (id, seq) of a micro-batch with ``reason`` (null: it takes
-    effect). In seq order per id, after the id's state: a change at or below
-    the id's last seq is late; an update or a delete needs an existing row."""
-    known = state.select("id", F.col("last_seq").alias("_last"), (~F.col("deleted")).alias("_lives"))
-    rows = changes.dropDuplicates(["id", "seq"]).select("id", "seq", "action", "payload").join(known, "id", "left")
-    late = F.col("_last").isNotNull() & (F.col("seq") <= F.col("_last"))
-    turns = F.when(~late & F.col("action").isin("create", "delete"), F.col("action") == "create")
-    earlier = W.partitionBy("id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    lives = F.coalesce(F.last(turns, ignorenulls=True).over(earlier), F.col("_lives"), F.lit(False))
-    return rows.withColumn("_alive", lives).withColumn(
-        "reason", F.when(late, LATE).when((F.col("action") != "create") & ~F.col("_alive"), UNKNOWN_ID)).drop("_last", "_lives", "_alive")
-
-
-def next_state(decided: DataFrame, state: DataFrame) -> DataFrame:
-    """The state after the changes that took effect: a delete forgets all
-    fields and leaves a tombstone; other changes set their non-null fields."""
-    ok = decided.filter("reason is null").withColumn("m", payload_map("payload"))
-    ok = ok.withColumn("_del", F.max(F.when(F.col("action") == "delete", F.col("seq"))).over(W.partitionBy("id")))
-    counts = F.col("_del").isNull() | (F.col("seq") > F.col("_del"))
-    new = ok.groupBy("id").agg(
-        *[F.max_by(F.col("m")[f], F.when(counts & F.col("m")[f].isNotNull(), F.col("seq"))).alias(f"_{f}") for f in STATE_FIELDS],
-        F.max("seq").alias("_seq"), F.max("_del").alias("_cut"),
-        (F.max_by("action", "seq") == "delete").alias("_gone"))
-    j = state.join(new, "id", "full")
-    touched = F.col("_seq").isNotNull()
-    return j.select("id", *[F.when(F.col("_cut").isNotNull(), F.col(f"_{f}")).otherwise(F.coalesce(f"_{f}", f)).alias(f)
-                            for f in STATE_FIELDS],
-                    F.coalesce("_seq", "last_seq").alias("last_seq"),
-                    F.when(touched, F.col("_gone")).otherwise(F.col("deleted")).alias("deleted"))
-
-
-def apply_change_stream(spark: SparkSession, changes: DataFrame, base: str,
-                        checkpoint: str) -> list[str]:
-    """T1 + T2: run the change stream to the end of the available input
-    (``availableNow``) and return the state folders written, in order."""
-    written: list[str] = []
+_VALUE = T.StructType([T.StructField("seq", T.LongType()), T.StructField("v", T.StringType())])
+REGISTERS = T.StructType([T.StructField("id", T.LongType()), T.StructField("last_seq", T.LongType()), T.StructField("deleted", T.LongType()),
+                          *[T.StructField(f, _VALUE) for f in STATE_FIELDS]])
+TURNS = T.StructType([T.StructField("id", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("turn", T.StringType())])
+
+
+def registers(spark: SparkSession, base: str, every: int = EVERY) -> MergeLog:
+    """Per id: the last seq, the last delete, and each field's latest value."""
+    return MergeLog(spark, f"{base}/registers", REGISTERS, lambda parts: parts.groupBy("id").agg(
+        *[F.max(c).alias(c) for c in ("last_seq", "deleted", *STATE_FIELDS)]), every)
+
+
+def turns(spark: SparkSession, base: str, every: int = EVERY) -> MergeLog:
+    """The creates and deletes of each id."""
+    return MergeLog(spark, f"{base}/turns", TURNS, lambda parts: parts.distinct(), every)
+
+
+def _registers_of(changes: DataFrame) -> DataFrame:
+    rows = changes.withColumn("m", payload_map("payload"))
+    lives = F.col("action") != "delete"
+    return rows.groupBy("id").agg(
+        F.max("seq").alias("last_seq"), F.max(F.when(~lives, F.col("seq"))).alias("deleted"),
+        *[F.max(F.when(lives & F.col("m")[f].isNotNull(), F.struct("seq", F.col("m")[f].alias("v")))).alias(f) for f in STATE_FIELDS])
+
+
+def _judged(changes: DataFrame, turns_: DataFrame) -> DataFrame:
+    """``changes`` with ``reason``: null for those that take effect."""
+    known = asof_join(changes, turns_, "id", "seq", ["turn"])
+    alive = (F.col("action") == "create") | F.col("turn").eqNullSafe(F.lit("create"))
+    return known.select(*changes.columns, F.when(~alive, UNKNOWN_ID).alias("reason"))
+
+
+def apply_change_stream(spark: SparkSession, changes: DataFrame, base: str, checkpoint: str, every: int = EVERY) -> list[int]:
+    """T1 + T2: run the change stream (id, seq, action, payload) to the end of
+    the available input (``availableNow``); returns the batches that ran. A
+    change that arrives twice counts once. ``every``: folders that are merged
+    into one."""
+    done: list[int] = []
 
     def apply_batch(batch: DataFrame, batch_id: int) -> None:
         session, tag = batch.sparkSession, f"batch={batch_id:012d}"
-        arrived = batch.withColumn("bucket", _bucket())
         # the batch is read several times: once from the source, then from the shared folder
-        arrived.write.mode("overwrite").parquet(f"{base}/arrived/{tag}")
-        arrived = session.read.parquet(f"{base}/arrived/{tag}")
-        buckets = {r.bucket for r in arrived.select("bucket").distinct().collect()}   # at most STATE_BUCKETS
-        state = _read_state(session, base, batch_id, buckets)
-        decide(arrived, state).write.mode("overwrite").parquet(f"{base}/decided/{tag}")
-        decided = session.read.parquet(f"{base}/decided/{tag}")
-        (decided.filter("reason is not null").select("id", "seq", "action", "reason")
-         .write.mode("overwrite").parquet(f"{base}/rejects/{tag}"))
-        path = f"{base}/state/{tag}"
-        (next_state(decided, state).withColumn("bucket", _bucket())
-         .write.mode("overwrite").partitionBy("bucket").parquet(path))
-        # What took effect, as event envelopes
-        (decided.filter("reason is null")
+        batch.select("id", "seq", "action", "payload").write.mode("overwrite").parquet(f"{base}/arrived/{tag}")
+        arrived = session.read.parquet(f"{base}/arrived/{tag}").dropDuplicates(["id", "seq"])
+        registers(session, base, every).append(_registers_of(arrived), batch_id)
+        log = turns(session, base, every)
+        new = arrived.filter("action <> 'update'").select("id", "seq", F.col("action").alias("turn"))
+        log.append(new.distinct(), batch_id)
+        known = log.read().join(arrived.select("id").distinct(), "id", "left_semi")
+        _judged(arrived, known).write.mode("overwrite").parquet(f"{base}/judged/{tag}")
+        judged = session.read.parquet(f"{base}/judged/{tag}")
+        judged.filter("reason is not null").select("id", "seq", "action", "reason").write.mode("overwrite").parquet(f"{base}/rejects/{tag}")
+        (judged.filter("reason is null")
          .select(F.lit("profile").alias("type"), F.concat(F.col("action"), F.lit("d")).alias("action"), "id", "payload", "seq")
          .write.mode("overwrite").json(f"{base}/events/{tag}"))
-        written.append(path)
+        done.append(batch_id)
 
-    q = (changes.writeStream.foreachBatch(apply_batch)
-         .option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+    q = (changes.writeStream.foreachBatch(apply_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return written
+    return done
+
 
+def latest_snapshot(spark: SparkSession, base: str) -> DataFrame:
+    """The rows that exist now (by the manifests: also right after a restart
+    that found no new input): id, the fields, last_seq."""
+    state = registers(spark, base).read()
+    births = turns(spark, base).read().filter("turn = 'create'").select("id", F.col("seq").alias("at"))
+    born = (births.join(state.select("id", "deleted"), "id").filter(F.col("deleted").isNull() | (F.col("at") > F.col("deleted")))
+            .groupBy("id").agg(F.min("at").alias("born")))
+    return state.join(born, "id").select("id", *[F.when(F.col(f"{f}.seq") >= F.col("born"), F.col(f"{f}.v")).alias(f) for f in STATE_FIELDS], "last_seq")
 
-def _batch_no(path: str) -> int:
-    return int(path.rstrip("/").rsplit("batch=", 1)[1])
 
+def _arrived(spark: SparkSession, base: str) -> DataFrame:
+    return spark.read.parquet(f"{base}/judged").select("id", "seq", "action", "reason")
 
-def list_folders(spark: SparkSession, folder: str, prefix: str) -> list[str]:
-    """Sub-folders of ``folder`` with a prefix, by name (Hadoop FileSystem
-    listing, so it works on any shared file system)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    return sorted(st.getPath().toString() for st in fs.listStatus(path)
-                  if st.isDirectory() and st.getPath().getName().startswith(prefix))
 
+def outcomes(spark: SparkSession, base: str) -> DataFrame:
+    """id, seq, action, reason of every change, by all that has arrived."""
+    rows = _arrived(spark, base).dropDuplicates(["id", "seq"]).drop("reason")
+    return _judged(rows, turns(spark, base).read())
 
-def latest_snapshot(spark: SparkSession, base: str) -> DataFrame:
-    """The rows that exist now (by listing: also right after a restart that
-    found no new input)."""
-    return _read_state(spark, base).filter(~F.col("deleted")).drop("deleted")
 
+def corrections(spark: SparkSession, base: str) -> DataFrame:
+    """The changes whose envelope or reject was written before a create or a
+    delete arrived that comes earlier: id, seq, action, the verdict that was
+    ``written`` and the ``reason`` that holds (null: it took effect)."""
+    was = _arrived(spark, base).groupBy("id", "seq").agg(F.max_by("reason", F.struct(F.col("reason").isNull())).alias("written"))
+    now = outcomes(spark, base)
+    return now.join(was, ["id", "seq"]).filter(~F.col("written").eqNullSafe(F.col("reason"))).select("id", "seq", "action", "written", "reason")
 
-def arriving(rows: DataFrame, folder: str, files: int = 4) -> DataFrame:
-    """Stand-in for a feed: ``rows`` written as files that arrive one per
-    micro-batch, in no useful order."""
+
+def arriving(rows: DataFrame, folder: str, batches: int = 4) -> DataFrame:
+    """Stand-in for a feed: ``rows`` written by as many tasks as Spark has for
+    them (``batches`` at least), in no useful order, and read as a stream of
+    about ``batches`` micro-batches."""
+    files = max(rows.rdd.getNumPartitions(), batches)
     rows.repartition(files).write.mode("overwrite").parquet(folder)
-    return (rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder))
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-files // batches)).parquet(folder)
 
 
-def run_daily_demand(bookings: DataFrame, base: str, checkpoint: str) -> DataFrame:
+def run_daily_demand(bookings: DataFrame, base: str, checkpoint: str, every: int = EVERY) -> DataFrame:
     """Streaming A1 over arriving booking rows (booking_date and the three
-    segment keys). A micro-batch writes its counts to a folder of its own, and
-    the sum over all folders is the demand, in whatever order rows arrive."""
+    segment keys). A micro-batch appends its counts, and the sum over all is
+    the demand, in whatever order rows arrive."""
     keys = ["booking_date", *SEGMENT_COLUMNS]
+    spark = bookings.sparkSession
+    schema = T.StructType([*[bookings.schema[k] for k in keys], T.StructField("n", T.LongType())])
+
+    def log(session: SparkSession) -> MergeLog:
+        return MergeLog(session, f"{base}/counts", schema, lambda parts: parts.groupBy(*keys).agg(F.sum("n").alias("n")), every)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        (batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-         .write.mode("overwrite").parquet(f"{base}/counts/batch={batch_id:012d}"))
+        log(batch.sparkSession).append(batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), batch_id)
 
     q = (bookings.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    counts = bookings.sparkSession.read.parquet(f"{base}/counts")
-    return counts.groupBy(*keys).agg(F.sum("n").cast("int").alias("demand"))
+    return log(spark).read().select(*keys, F.col("n").cast("int").alias("demand"))
 
 
 def score_stream(scored: DataFrame, base: str, checkpoint: str) -> DataFrame:
@@ -204,6 +191,9 @@ def score_stream(scored: DataFrame, base: str, checkpoint: str) -> DataFrame:
 
 
 def fresh_dirs(spark: SparkSession, name: str) -> tuple[str, str]:
-    """Output and checkpoint folders for one run, inside the shared folder."""
+    """Output and checkpoint folders for one run, inside the shared folder.
+    They go when the application ends; a stream that is to be resumed names its
+    own folders."""
     run = f"{name}-{uuid.uuid4().hex}"
+    forget_at_exit(spark, scratch_path(spark, run))
     return scratch_path(spark, run + "/out"), scratch_path(spark, run + "/checkpoint")

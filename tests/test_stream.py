@@ -21,49 +21,52 @@ def _write_parts(spark, ev, tmp_dir, conds):
     return src
 
 
-def test_late_changes_are_rejected_not_applied(spark, tmp_dir):
+def test_files_in_any_order_equal_the_batch_fold(spark, tmp_dir):
+    # the events table as 6 files, the newest first -> 6 micro-batches
     ev = spark.read.parquet(f"{SMALL}/events.parquet")
     n = ev.count()
-    # second file holds changes older than the first one's
-    src = _write_parts(spark, ev, tmp_dir, [F.col("event_id") >= n // 2,
-                                            F.col("event_id") < n // 2])
-    stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
-              .option("pathGlobFilter", "events*.parquet").parquet(src))
-    out, ckpt = ST.fresh_dirs(spark, "late")
-    written = ST.apply_change_stream(spark, ST.change_rows(stream), out, ckpt)
-    assert len(written) == 2
-    rejects = spark.read.parquet(f"{out}/rejects").filter(F.col("reason") == ST.LATE)
-    first = spark.read.parquet(written[0])
-    assert rejects.count() > 0
-    # every late change is older than its id's state after batch 0
-    bad = rejects.join(first.select("id", "last_seq"), "id").filter("seq > last_seq")
-    assert bad.count() == 0
-
-
-def test_change_stream_over_many_batches_equals_batch_fold(spark, tmp_dir):
-    # the events table as 4 files in time order -> 4 micro-batches
-    ev = spark.read.parquet(f"{SMALL}/events.parquet")
-    n = ev.count()
-    q = [n * i // 4 for i in range(5)]
-    src = _write_parts(spark, ev, tmp_dir, [(F.col("event_id") >= q[i]) & (F.col("event_id") < q[i + 1])
-                                            for i in range(4)])
+    q = [n * i // 6 for i in range(7)]
+    src = _write_parts(spark, ev, tmp_dir, [(F.col("event_id") >= q[i]) & (F.col("event_id") < q[i + 1]) for i in (4, 1, 5, 0, 3, 2)])
+    for i, name in enumerate(sorted(os.listdir(src))):
+        os.utime(os.path.join(src, name), (1_600_000_000 + i, 1_600_000_000 + i))
     stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
               .option("pathGlobFilter", "events*.parquet").parquet(src))
     out, ckpt = ST.fresh_dirs(spark, "t")
-    written = ST.apply_change_stream(spark, ST.change_rows(stream), out, ckpt)
-    assert len(written) == 4
-    got = {r.id: (r.k, r.value, r.last_event, r.last_seq)
-           for r in ST.latest_snapshot(spark, out).collect()}
+    assert len(ST.apply_change_stream(spark, ST.change_rows(stream), out, ckpt, every=2)) == 6
+    got = {r.id: (r.k, r.value, r.last_event, r.last_seq) for r in ST.latest_snapshot(spark, out).collect()}
     want = {r.id: (r.k, r.value, r.last_event, r.last_seq)
-            for r in fold_change_log(change_log(spark, SMALL),
-                                     ["k", "value", "last_event"]).collect()}
+            for r in fold_change_log(change_log(spark, SMALL), ["k", "value", "last_event"]).collect()}
     assert got == want
     # a restart on the same checkpoint finds no new input and keeps the state
-    again = ST.apply_change_stream(spark, ST.change_rows(stream), out, ckpt)
-    assert again == [] and ST.latest_snapshot(spark, out).count() == len(want)
-    # Every change is an envelope or a reject
+    assert ST.apply_change_stream(spark, ST.change_rows(stream), out, ckpt, every=2) == [] and ST.latest_snapshot(spark, out).count() == len(want)
+    # Every change is an envelope or a reject, and the corrections make both what they are in true order
     events, rejects = spark.read.json(f"{out}/events"), spark.read.parquet(f"{out}/rejects")
-    assert events.count() + rejects.count() == ev.count() and rejects.filter("reason <> 'unknown_id'").count() == 0
+    assert events.count() + rejects.count() == n
+    written = {(r.id, r.seq): None for r in events.collect()} | {(r.id, r.seq): r.reason for r in rejects.collect()}
+    fixed = written | {(r.id, r.seq): r.reason for r in ST.corrections(spark, out).collect()}
+    alive, true = set(), {}
+    for r in sorted(change_log(spark, SMALL).collect(), key=lambda r: r.seq):
+        true[r.id, r.seq] = None if r.action == "create" or r.id in alive else "unknown_id"
+        (alive.add if r.action == "create" else alive.discard if r.action == "delete" else lambda x: None)(r.id)
+    assert fixed == true and written != true
+    assert {(r.id, r.seq): r.reason for r in ST.outcomes(spark, out).collect()} == true
+
+
+def test_merge_log_stays_small(spark, tmp_dir):
+    """Fifty batches: the same files and manifests as after ten, give or take."""
+    from fleetcast.streaming.mergelog import MergeLog
+    schema = spark.createDataFrame([], "k long, n long").schema
+    log = MergeLog(spark, f"{tmp_dir}/log", schema, lambda parts: parts.groupBy("k").agg(F.sum("n").alias("n")), every=3)
+    files = []
+    for b in range(50):
+        part = spark.createDataFrame([(b % 4, 1), (9, 1)], schema).coalesce(1)
+        log.append(part, b)
+        if b % 7 == 3:
+            log.append(part, b)                               # the same batch again
+        files.append(sum(len(f) for _, _, f in os.walk(f"{tmp_dir}/log")))
+    assert {r.k: r.n for r in log.read().collect()} == {0: 13, 1: 13, 2: 12, 3: 12, 9: 50}
+    assert log.manifests() == [48, 49] and len(log.live()) <= 2 * 4
+    assert max(files[10:]) <= max(files[:10]) * 3
 
 
 def _run_batches(spark, tmp_dir, batches, name):
@@ -90,25 +93,23 @@ def test_deleted_ids_stay_deleted(spark, tmp_dir):
         [(2, 8, "update", '{"value":"4"}'), (1, 9, "update", '{"k":"gone"}'), (3, 7, "delete", None)],
         [(1, 10, "create", '{"k":"again"}')]], "tombstone")
     assert state == {1: ("again", None), 2: ("b", "4")}
-    assert rejects == {(1, 3): ST.LATE, (7, 6): "unknown_id", (1, 9): "unknown_id", (3, 7): "unknown_id"}
-    assert events == {(1, 1), (1, 5), (2, 2), (2, 8), (1, 10)}
+    assert rejects == {(7, 6): "unknown_id", (1, 9): "unknown_id", (3, 7): "unknown_id"}
+    assert events == {(1, 1), (1, 5), (2, 2), (2, 8), (1, 10), (1, 3)}
 
 
-def test_batch_borders_do_not_matter(spark, tmp_dir):
+def test_batch_borders_and_order_do_not_matter(spark, tmp_dir):
     import random
     rng, rows = random.Random(7), []
     for seq in range(1, 61):
         action = rng.choice(["create", "update", "update", "delete"])
         rows.append((rng.randint(1, 5), seq, action, None if action == "delete" else '{"k":"%d"}' % seq))
-    want = None
-    for n, size in enumerate((60, 12, 25)):
-        parts = [rows[i:i + size] for i in range(0, 60, size)]
-        os.makedirs(f"{tmp_dir}/{n}", exist_ok=True)
-        got = _run_batches(spark, f"{tmp_dir}/{n}", parts, f"borders-{n}")
-        assert want is None or got == want
-        want = got
     folded = fold_change_log(spark.createDataFrame(rows, "id long, seq long, action string, payload string"), ["k", "value"])
-    assert want[0] == {r.id: (r.k, r.value) for r in folded.collect()}
+    want = {r.id: (r.k, r.value) for r in folded.collect()}
+    for n, (size, shuffled) in enumerate([(60, False), (12, True), (9, True)]):
+        mine = rng.sample(rows, len(rows)) + rows[:3] if shuffled else rows            # some arrive twice
+        parts = [mine[i:i + size] for i in range(0, len(mine), size)]
+        os.makedirs(f"{tmp_dir}/{n}", exist_ok=True)
+        assert _run_batches(spark, f"{tmp_dir}/{n}", parts, f"borders-{n}")[0] == want
 
 
 def test_daily_demand_stream_equals_batch(spark):
