@@ -1070,3 +1070,7 @@ ORACLE["forecast_holdout_valid"] = _with(HIST, AREA_SERIES) + """
 SELECT series_id, count(*) AS rows, true AS ok FROM s
 WHERE ds > (SELECT ds FROM d WHERE rn = greatest(1, CAST(floor(n * 0.8) AS BIGINT))) GROUP BY series_id"""
 ORACLE["text_sentiment_valid"] = "SELECT doc_id, true AS ok FROM documents"
+# Skill: what the fitted models have to reach, whatever their coefficients.
+ORACLE["forecast_skill"] = ORACLE["forecast_holdout_valid"]
+ORACLE["text_skill"] = "SELECT true AS ok"
+ORACLE["poisson_skill"] = "SELECT true AS ok"

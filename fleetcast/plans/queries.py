@@ -308,6 +308,7 @@ def q_roc_auc(spark, sf):
 # ---- forecasts, hold-out evaluation, demand requests ------------------------------
 
 from fleetcast.operators import forecast as FC  # noqa: E402
+from fleetcast.session import forget_at_exit, scratch_path  # noqa: E402
 
 
 def _total_series(spark, sf):
@@ -436,15 +437,43 @@ def q_demand_request(spark, sf):
     return _demand_answer(counts, series, fut)
 
 
+def _demand_model(spark, sf, counts):
+    """The saved and loaded model table of all segments' series."""
+    path = scratch_path(spark, f"segment-model-{uuid.uuid4().hex}")
+    FC.save_models(FC.fit_models(_segment_series(counts).select("series_id", "ds", "y")), path)
+    forget_at_exit(spark, path)
+    return FC.load_models(spark, path)
+
+
+def _model_answer(counts, models, req):
+    """Answers to requests of any range from the model table: a day of a
+    request is the sum over the segments that it covers."""
+    a, v, t = SEGMENT_COLUMNS
+    segments = counts.select(F.concat_ws("-", a, v, t).alias("series_id"), a, v, F.col(t).alias("_t")).distinct()
+    asked = (req.join(segments, [a, v]).filter(F.col(t).isNull() | (F.col(t) == F.col("_t")))
+             .select("request_id", "series_id", F.explode(FC.date_range_days(F.col("start_date"), F.col("end_date"))).alias("ds")))
+    rows = (FC.predict_days(models, asked).groupBy("request_id", "ds").agg(F.sum("yhat").alias("yhat"))
+            .select("request_id", "ds", FC.clip_round(F.col("yhat")).alias("predicted_bookings")))
+    return _answer(rows)
+
+
 @query
 def q_demand_request_fitted(spark, sf):
-    """The same answers from the additive forecaster, fitted per segment.
-    The forecast is saved (S7) and the answer read from the saved table (S8)."""
+    """The same answers from the additive model, fitted per segment, saved
+    as a table (S7) and loaded again (S8)."""
     counts = _counts(spark, sf)
-    series = _segment_series(counts)
-    fc = FC.additive_forecast(series.select("series_id", "ds", "y"), periods=30).filter("not is_history")
-    saved = materialize(fc.select("series_id", "ds", "yhat", "yhat_lower", "yhat_upper"), "segment-forecast")
-    return _demand_answer(counts, series, saved)
+    return _model_answer(counts, _demand_model(spark, sf, counts), _segment_requests(counts))
+
+
+@query
+def q_demand_request_any_range(spark, sf):
+    """G10 + G6: requests that begin up to 369 days after the last booking, or
+    before it, and last 1 to 31 days."""
+    counts = _counts(spark, sf)
+    spread = lambda n, salt: F.pmod(F.crc32(F.concat("request_id", F.lit(salt))), F.lit(n)).cast("int")
+    req = _segment_requests(counts).withColumn("start_date", F.date_add("start_date", spread(400, "a") - 30))
+    req = req.withColumn("end_date", F.date_add("start_date", spread(31, "b")))
+    return _model_answer(counts, _demand_model(spark, sf, counts), req)
 
 
 def _synthetic_bookings(req):
@@ -821,7 +850,6 @@ def q_stream_outcomes(spark, sf):
 import hashlib  # noqa: E402
 
 from fleetcast.operators import models as ML  # noqa: E402
-from fleetcast.session import forget_at_exit, scratch_path  # noqa: E402
 
 CANCEL_MODEL = "random_forest"
 
@@ -1285,3 +1313,40 @@ def q_text_sentiment_valid(spark, sf):
     """One label for every document, with the probability of that label."""
     t = QUERIES["text_sentiment"](spark, sf)
     return t.select("doc_id", (F.col("label").isin(*ML.TEXT_LABELS) & F.col("score").between(0.5, 1)).alias("ok"))
+
+
+@query
+def q_forecast_skill(spark, sf):
+    """G3 + A7: on the hold-out days the additive forecast is no worse than the
+    last week before them, repeated."""
+    s = _area_series(spark, sf)
+    cut = D.split_date(s.filter(F.col("series_id") == "total"), "ds")
+    fitted = FC.additive_forecast(s, periods=0, fit_until=cut).filter(F.col("ds") > cut).select("series_id", "ds", "y", "yhat")
+    train = FC.dense_series(s.filter(F.col("ds") <= cut).select("series_id", "ds", "y"))
+    last = train.groupBy("series_id").agg(F.max("ds").alias("last_ds"))
+    naive = FC.seasonal_naive(train, fitted.select("series_id", "ds").join(last, "series_id")).withColumnRenamed("yhat", "naive")
+    both = fitted.join(naive, ["series_id", "ds"])
+    error = lambda c: F.avg(F.abs(F.col("y") - F.greatest(F.col(c), F.lit(0.0))))
+    return both.groupBy("series_id").agg(F.count(F.lit(1)).alias("rows"), (error("yhat") <= error("naive")).alias("ok"))
+
+
+@query
+def q_text_skill(spark, sf):
+    """X1 + A11: the text classifier ranks the labelled documents (AUC over
+    0.9: a random model has 0.5)."""
+    labels = read_table(spark, sf, "labels").select("doc_id", "quality")
+    t = QUERIES["text_sentiment"](spark, sf).join(labels, "doc_id")
+    score = F.when(F.col("label") == ML.TEXT_LABELS[1], F.col("score")).otherwise(1 - F.col("score"))
+    auc = M.roc_auc(t.select(F.col("quality").alias("label"), score.alias("score")), "label", "score")
+    return auc.select((F.col("roc_auc") > 0.9).alias("ok"))
+
+
+@query
+def q_poisson_skill(spark, sf):
+    """L7 + L8: the hold-out predictions of the Poisson model have the mean of
+    the demand, within 15 %."""
+    feat = materialize(D.build_demand_features(_history(spark, sf)), "demand-features")
+    filled, flags = ML.fill_lags(feat, [c for c in D.DEMAND_FEATURE_COLUMNS if c.startswith("lag_") or c.startswith("rolling_")])
+    model = ML.fit_poisson(filled.filter(F.col("is_train")), D.DEMAND_FEATURE_COLUMNS + flags)
+    pred = materialize(model.transform(filled.filter(~F.col("is_train"))).select(F.col("demand").cast("double").alias("y"), "prediction"), "poisson-predictions")
+    return pred.agg((F.abs(F.avg("prediction") / F.avg("y") - 1) < 0.15).alias("ok"))

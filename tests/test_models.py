@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +62,67 @@ def test_poisson_and_text_models_run(spark):
     t = Q.QUERIES["text_sentiment"](spark, SMALL)
     assert t.count() == spark.read.parquet(f"{SMALL}/documents.parquet").count()
     assert t.filter("score < 0.5 OR score > 1").count() == 0
+
+
+def _series(spark, rows):
+    import datetime as dt
+    day = dt.date(2022, 1, 1)
+    return spark.createDataFrame([(i, day + dt.timedelta(days=int(d)), float(y)) for i, d, y in rows], "series_id string, ds date, y double")
+
+
+def test_saved_model_answers_any_day(spark, tmp_dir):
+    """1 to 400 days ahead, and history: equal to the fit evaluated in numpy."""
+    rng = np.random.default_rng(3)
+    rows = [(f"s{k}", d, 20 + k + 0.03 * d + 5 * np.sin(2 * np.pi * d / 7) + rng.normal()) for k in range(3) for d in range(300)]
+    s = _series(spark, rows)
+    FC.save_models(FC.fit_models(s), f"{tmp_dir}/model")
+    models = FC.load_models(spark, f"{tmp_dir}/model")
+    days = models.select("series_id", F.explode(F.sequence("origin", F.date_add("last", 400))).alias("ds"))
+    found = FC.predict_days(models, days).collect()
+    assert len(found) == 3 * 700
+    by_id = {m.series_id: m for m in models.collect()}
+    for r in found:
+        m = by_id[r.series_id]
+        d = (r.ds - m.origin).days
+        t = d / m.span
+        trend = m.level + m.slope * t + sum(h.bend * max(t - h["at"], 0) for h in m.hinges)
+        year = sum(w["sin"] * np.sin(2 * np.pi * k * d / 365.25) + w["cos"] * np.cos(2 * np.pi * k * d / 365.25) for k, w in enumerate(m.yearly, 1))
+        week = sum(w["sin"] * np.sin(2 * np.pi * k * d / 7) + w["cos"] * np.cos(2 * np.pi * k * d / 7) for k, w in enumerate(m.weekly, 1))
+        assert abs(r.yhat - m.scale * (trend + year + week)) < 1e-6
+    own = {(r.series_id, r.ds): r.yhat for r in FC.additive_forecast(s, periods=30).collect()}
+    assert len(own) == 3 * 330 and all(abs(own[r.series_id, r.ds] - r.yhat) < 1e-9 for r in found if (r.series_id, r.ds) in own)
+    with pytest.raises(ValueError, match="model_kind"):
+        models.withColumn("kind", F.lit("other")).write.parquet(f"{tmp_dir}/other")
+        FC.load_models(spark, f"{tmp_dir}/other")
+
+
+def test_bends_are_sparse(spark):
+    """One bend in the series: few hinges carry nearly all of it."""
+    rng = np.random.default_rng(4)
+    rows = [("s", d, 50 + 0.1 * d + 0.4 * max(d - 200, 0) + rng.normal()) for d in range(500)]
+    m = FC.fit_models(_series(spark, rows), yearly=False, weekly=False).first()
+    bends = np.sort(np.abs([h.bend for h in m.hinges]))[::-1]
+    assert bends[:4].sum() > 0.9 * bends.sum() and bends.sum() > 0.1 and (bends < 0.01 * bends[0]).sum() >= 15
+
+
+def test_bounds_widen_and_cover(spark):
+    """Series whose trend bends at random where the model has hinges (the first
+    80 % of the history) and after its end: 95 % bounds 1 and 30 days ahead."""
+    rng = np.random.default_rng(5)
+    rows, truth = [], {}
+    for k in range(60):
+        bends = rng.laplace(0, 0.05, 430) * (rng.random(430) < 25 / 320) * (abs(np.arange(430) - 359.5) > 40)
+        y = 100 + np.cumsum(np.cumsum(bends)) + 3 * np.sin(2 * np.pi * np.arange(430) / 7) + rng.normal(0, 2, 430)
+        rows += [(f"s{k}", d, y[d]) for d in range(400)]
+        truth.update({(f"s{k}", d): y[d] for d in range(400, 430)})
+    fc = FC.additive_forecast(_series(spark, rows), periods=30, yearly=False).filter("not is_history").collect()
+    inside = {h: [] for h in (1, 30)}
+    width = {h: [] for h in (1, 30)}
+    for r in fc:
+        d = (r.ds - dt.date(2022, 1, 1)).days
+        if d - 399 in inside:
+            inside[d - 399].append(r.yhat_lower <= truth[r.series_id, d] <= r.yhat_upper)
+            width[d - 399].append(r.yhat_upper - r.yhat_lower)
+    print("coverage", {h: np.mean(v) for h, v in inside.items()}, {h: np.mean(v) for h, v in width.items()})
+    assert np.mean(inside[1]) >= 0.9 and np.mean(inside[30]) >= 0.8        # 0.95 and 0.83 as measured
+    assert np.mean(width[30]) > 1.02 * np.mean(width[1])
