@@ -160,7 +160,7 @@ def split_date(frame: DataFrame, date_col: str = "booking_date",
         k = F.greatest(F.lit(1), k)
     cut = dates.agg(
         F.when(n >= min_dates, F.try_element_at(F.array_sort(F.collect_list(date_col)), k))
-        .otherwise(F.raise_error(F.lit("a split by date needs at least two booking dates")))
+        .otherwise(F.raise_error(F.lit(f"too_few_dates: a split by date takes {min_dates} booking dates")))
     ).scalar()
     return cut
 

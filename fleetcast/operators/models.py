@@ -80,18 +80,21 @@ def save_model(spark: SparkSession, model: PipelineModel, path: str, model_name:
     meta.coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
 
 
+#: What a saved model's metadata row has to hold.
+METADATA = "model_name string, feature_columns string, metrics string"
+
+
 def load_model(spark: SparkSession, path: str, expected_name: str | None = None):
-    """Load; fail when the metadata is absent or names another model."""
-    try:
-        meta = spark.read.json(f"{path}/metadata").first()
-    except Exception as exc:
-        raise FileNotFoundError(f"Model not found at {path}") from exc
-    if meta is None:
-        raise ValueError(f"Unexpected model artifact format at {path}")
-    if expected_name and meta["model_name"] != expected_name:
-        raise ValueError(f"Expected a {expected_name!r} artifact, found {meta['model_name']!r}.")
-    return PipelineModel.load(f"{path}/pipeline"), json.loads(meta["feature_columns"]), \
-        json.loads(meta["metrics"])
+    """Pipeline, feature list and metrics of a saved model. An artifact
+    without a metadata row, or of another name, is refused by a reason code
+    (``model_absent``, ``model_kind``)."""
+    rows = spark.read.schema(METADATA).json(f"{path}/metadata").collect() if model_exists(spark, path) else []   # one row
+    if len(rows) != 1 or rows[0].model_name is None:
+        raise ValueError(f"model_absent: no model metadata under {path}")
+    (saved,) = rows
+    if expected_name not in (None, saved.model_name):
+        raise ValueError(f"model_kind: {path} holds {saved.model_name!r}")
+    return PipelineModel.load(f"{path}/pipeline"), json.loads(saved.feature_columns), json.loads(saved.metrics)
 
 
 def model_exists(spark: SparkSession, path: str) -> bool:
