@@ -17,7 +17,8 @@ not expanded into pairs. Its rows are compared with one of them, twice: first
 each row with the one that it shares most buckets with, then in each bucket
 that is not one component yet. What is linked becomes one component. Then only pairs between different
 components are left, of which one lies outside the bucket's main component;
-all of these that pass the size and position filters are compared.
+all of these that pass the size and position filters, and whose bitmaps leave
+room for the overlap that is needed, are compared.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ ORDERS = 3
 AT_ONCE = 1 << 18         # shingles of a chunk whose prefixes are found together
 ROUNDS = 2                # comparisons with one row of each bucket, before the rest
 
-WORDS = 4                 # of 64 bits, in the bitmap of a prefix
+WORDS = 16                # of 64 bits, in the bitmap of a set
 
 ROW = ("row long, key {key}, n_shingles long, digest string, prefix array<struct<token:long,place:int>>, bits array<long>, "
        "others array<binary>, shingles binary")
@@ -120,8 +121,7 @@ def _prefixes(chunk: C.Chunk, documents: range, ends, key, count, percent: int,
     entries = pa.StructArray.from_arrays([pa.array(tokens.view(np.int64)), pa.array(places, pa.int32())], names=["token", "place"])
     wanted = np.diff(borders) > 0
     bits = np.zeros((rows, WORDS), np.uint64)
-    np.bitwise_or.at(bits, (np.repeat(np.arange(rows), np.diff(borders)), (tokens >> np.uint64(6)).astype(np.int64) % WORDS),
-                     np.uint64(1) << (tokens & np.uint64(63)))
+    np.bitwise_or.at(bits, (doc, (key >> np.uint64(6)).astype(np.int64) % WORDS), np.uint64(1) << (key & np.uint64(63)))
     others = [[] for _ in documents]
     for o in range(1, ORDERS):
         at, tokens, _ = prefix(o)
@@ -133,7 +133,7 @@ def _prefixes(chunk: C.Chunk, documents: range, ends, key, count, percent: int,
         "row": pa.array(numbers[documents.start:documents.stop], pa.int64()), "key": pa.array(chunk.keys[documents.start:documents.stop], kind),
         "n_shingles": pa.array(n, pa.int64()), "digest": pa.array(digests, pa.string()),
         "prefix": pa.ListArray.from_arrays(pa.array(borders, pa.int32()), entries),
-        "bits": pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * WORDS, pa.int32()), pa.array(bits.ravel().view(np.int64))),
+        "bits": pa.array([b if w else None for b, w in zip(bits.view(np.int64), wanted)], pa.list_(pa.int64())),
         "others": pa.array(others, pa.list_(pa.binary())), "shingles": pa.array(shingles, pa.binary())})
 
 
@@ -172,14 +172,13 @@ def enough_left(n_a: Column, at_a: Column, n_b: Column, at_b: Column, percent: i
     return (F.lit(1) + F.least(n_a - at_a - 1, n_b - at_b - 1)) * (100 + percent) >= (n_a + n_b) * percent
 
 
-def enough_shared(n_a: Column, bits_a: Column, lost_a: Column, n_b: Column, bits_b: Column, lost_b: Column, percent: int) -> Column:
-    """Where the smaller last prefix shingle ends, all that two sets share up to
-    there is in both prefixes, so the overlap is at most what the prefixes
-    share and the rest of one set. Prefixes share at most as many shingles as
-    their bitmaps share bits, and the shingles that had no bit of their own."""
-    both = sum((F.bit_count(bits_a[i].bitwiseAND(bits_b[i])) for i in range(WORDS)), F.lit(0))
-    rest = lambda n: F.floor((n * percent + 99) / 100) - 1
-    return (both + F.least(lost_a, lost_b) + F.greatest(rest(n_a), rest(n_b))) * (100 + percent) >= (n_a + n_b) * percent
+def enough_shared(n_a: Column, bits_a: Column, n_b: Column, bits_b: Column, percent: int) -> Column:
+    """The overlap that the threshold needs is still possible: two sets share
+    at most as many shingles as their bitmaps share bits, and the shingles of
+    one set that had no bit of their own."""
+    count = lambda bits: F.aggregate(bits, F.lit(0), lambda n, x: n + F.bit_count(x))
+    both = F.aggregate(F.zip_with(bits_a, bits_b, lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda n, x: n + x)
+    return (both + F.least(n_a - count(bits_a), n_b - count(bits_b))) * (100 + percent) >= (n_a + n_b) * percent
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -216,19 +215,18 @@ def _labelled(rows: DataFrame, links: DataFrame | None) -> DataFrame:
 def find_links(rows: DataFrame, percent: int, rounds: int = ROUNDS) -> DataFrame:
     """Links (a, b) between different sets that connect what all links
     connect. ``rows``: one document of each class (ROW)."""
-    lost = F.size("prefix") - sum((F.bit_count(F.col("bits")[i]) for i in range(WORDS)), F.lit(0))
-    index = (rows.select("row", F.col("n_shingles").alias("n"), "bits", lost.alias("lost"), F.explode("prefix").alias("p"))
-             .select("row", "n", "bits", "lost", F.col("p.token").alias("token"), F.col("p.place").alias("place")))
+    index = (rows.select("row", F.col("n_shingles").alias("n"), F.explode("prefix").alias("p"))
+             .select("row", "n", F.col("p.token").alias("token"), F.col("p.place").alias("place")))
     shared = index.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token")
     index = materialize(index.join(shared, "token"), "prefix-index")
-    sets = rows.select("row", "others", "shingles").join(index.select("row").distinct(), "row", "left_semi")
+    sets = rows.select("row", "bits", "others", "shingles").join(index.select("row").distinct(), "row", "left_semi")
     sets = materialize(sets, "prefix-sets")
     a, b = F.least("row", "row_"), F.greatest("row", "row_")
-    sizes = (similar_sizes(F.col("n"), F.col("n_"), percent)
-             & enough_shared(*(F.col(f"{c}{end}") for end in ("", "_") for c in ("n", "bits", "lost")), percent))
+    sizes = similar_sizes(F.col("n"), F.col("n_"), percent)
     passes = (sizes
-              & enough_left(F.col("n"), F.col("place"), F.col("n_"), F.col("place_"), percent))
-    links, taken = None, ("row", "n", "place", "part", "bits", "lost")
+              & enough_left(F.col("n"), F.col("place"), F.col("n_"), F.col("place_"), percent)
+              & enough_shared(F.col("n"), F.col("bits"), F.col("n_"), F.col("bits_"), percent))
+    links, taken = None, ("row", "n", "place", "part")
 
     def add(pairs: DataFrame) -> DataFrame:
         new = materialize(verify(pairs.select(a.alias("a"), b.alias("b")).distinct(), sets, percent), "verified")
@@ -252,8 +250,8 @@ def find_links(rows: DataFrame, percent: int, rounds: int = ROUNDS) -> DataFrame
     main = (now.groupBy("token", "part").agg(F.count("*").alias("size"))
             .groupBy("token").agg(F.max(F.struct("size", "part")).alias("main"), F.count("*").alias("parts"))
             .filter("parts > 1").select("token", F.col("main.part").alias("main")))
-    mixed = now.join(main, "token")
-    outside = mixed.filter("part <> main").select("token", *[F.col(c).alias(f"{c}_") for c in taken])
+    mixed = now.join(main, "token").join(sets.select("row", "bits"), "row")
+    outside = mixed.filter("part <> main").select("token", *[F.col(c).alias(f"{c}_") for c in (*taken, "bits")])
     return add(mixed.join(outside, "token").filter("part <> part_").filter(passes))
 
 
