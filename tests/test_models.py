@@ -26,7 +26,7 @@ def test_scores_are_probabilities_and_artifact_roundtrip(spark, tmp_dir):
     assert feats == Q.G.FEATURE_COLUMNS and metrics == {"f1": 0.5}
     with pytest.raises(ValueError):
         ML.load_model(spark, path, "lightgbm")
-    with pytest.raises(FileNotFoundError):
+    with pytest.raises(ValueError, match="model_absent"):
         ML.load_model(spark, f"{tmp_dir}/absent", "random_forest")
 
 
