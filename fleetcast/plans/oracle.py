@@ -809,7 +809,7 @@ UNION ALL
 SELECT id, 'not found' FROM d WHERE id NOT IN (SELECT id FROM bookings)
 UNION ALL
 SELECT id, 'cleared' FROM bookings WHERE id NOT IN (SELECT id FROM d)
-  AND renter_id IN (SELECT DISTINCT CAST(user_id * 2 + 1 AS VARCHAR) FROM events WHERE event_type = 'error' AND user_id % 10 = 1)"""
+  AND renter_id IN (SELECT DISTINCT CAST(user_id * 2 + 1 AS VARCHAR) FROM events WHERE event_type = 'error')"""
 
 ORACLE["backfill_column"] = """
 SELECT p_partkey AS id,
@@ -955,7 +955,7 @@ SELECT id, vehicle, vehicle AS "vehicleId", '' AS "vehicleName", renter, renter_
 ORACLE["vehicles_by_owner"] = ORACLE["vehicle_view"] + " WHERE owner_email = 'supplier.000000001@fleet.test'"
 
 ORACLE["lookup_bookings"] = _with(BOOKINGS) + f"""
-SELECT {BOOKING_VIEW_COLS} FROM bookings WHERE id IN (SELECT event_id % 4000 * 2 FROM events)"""
+SELECT {BOOKING_VIEW_COLS} FROM bookings WHERE id IN (SELECT event_id * 7919 % (SELECT ((max(id) + 1) * 5) >> 2 FROM bookings) FROM events)"""
 
 ADMINS = """
 admins AS (SELECT id, active, CASE WHEN id % 10 = 7 THEN 'admin' ELSE role END AS role FROM users)"""
@@ -963,7 +963,7 @@ admins AS (SELECT id, active, CASE WHEN id % 10 = 7 THEN 'admin' ELSE role END A
 ORACLE["user_permissions"] = _with(USERS, ADMINS) + """
 , ch AS (SELECT event_id AS seq, user_id AS actor_id,
     CASE event_type WHEN 'error' THEN 'delete' WHEN 'view' THEN 'list' ELSE 'patch' END AS action,
-    event_id % 5000 AS target_id FROM events),
+    event_id * 7919 % (SELECT ((max(id) + 1) * 5) >> 2 FROM users) AS target_id FROM events),
 p AS (SELECT ch.*, CASE WHEN a.id IS NULL OR NOT a.active THEN 'no_active_user' WHEN a.role <> 'admin' THEN 'admins_only'
                      WHEN ch.action <> 'list' AND t.id IS NULL THEN 'unknown_id' END AS reason
   FROM ch LEFT JOIN admins a ON a.id = ch.actor_id LEFT JOIN admins t ON t.id = ch.target_id)
@@ -1000,7 +1000,7 @@ FROM b ASOF LEFT JOIN p ON p.id = b.vehicle AND b.seq > p.seq LEFT JOIN vehicles
 ORACLE["vehicle_permissions"] = _with(USERS, VEHICLES, ADMINS) + """
 , ch AS (SELECT event_id AS seq, user_id AS actor_id,
     CASE event_type WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'create' ELSE 'update' END AS action,
-    event_id % 2500 AS target_id FROM events),
+    event_id * 7919 % (SELECT ((max(id) + 1) * 5) >> 2 FROM vehicles) AS target_id FROM events),
 p AS (SELECT ch.*, CASE WHEN a.id IS NULL OR NOT a.active THEN 'no_active_user'
                      WHEN a.role = 'renter' THEN 'owners_only'
                      WHEN ch.action = 'create' THEN NULL
@@ -1016,7 +1016,7 @@ SELECT u.id, COALESCE(f.first_name, u.first_name) AS first_name, u.active AND NO
        f.day AS updated_day FROM users u LEFT JOIN f ON f.id = u.id"""
 
 ORACLE["patch_reports"] = _with(REPORTS) + """
-, e AS (SELECT user_id % 130 AS id, * EXCLUDE (event_type) FROM events),
+, e AS (SELECT event_id * 7919 % (SELECT ((max(conv_id) + 1) * 5) >> 2 FROM conversations) AS id, * EXCLUDE (event_type) FROM events),
 f AS (SELECT id, arg_max('n' || CAST(event_id AS VARCHAR), event_id) AS notes,
              arg_max(value, event_id) FILTER (WHERE value > 20) AS amount, bool_or(event_id % 2 = 0) AS half FROM e GROUP BY id)
 SELECT r.id, COALESCE(f.notes, '') AS notes, round(COALESCE(f.amount, 0.0), 4) AS amount,
@@ -1027,7 +1027,7 @@ SELECT id, '', 0.0, '', count(*) FROM e WHERE id NOT IN (SELECT id FROM reports)
 
 ORACLE["report_rejects"] = """
 SELECT conv_id * 3 AS id, turn AS seq, 'unknown_report' AS reason FROM conversations
-WHERE turn % 2 = 1 AND conv_id * 3 NOT IN (SELECT conv_id FROM conversations)"""
+WHERE conv_id * 3 NOT IN (SELECT conv_id FROM conversations)"""
 
 ORACLE["csv_booking_features"] = ORACLE["booking_features"]
 

@@ -722,12 +722,12 @@ def q_patch_present(spark, sf):
 @query
 def q_delete_rows(spark, sf):
     """M6: delete bookings by id (error events), then the bulk clear of
-    some renters' bookings from what remains; outcome per affected id."""
+    those events' renters' bookings from what remains; outcome per affected id."""
     b = SN.bookings(spark, sf)
     dels = _events(spark, sf, "error").select((F.col("event_id") * 2).alias("id"),
                                                F.col("event_id").alias("seq"))
     remaining, removed, rejects = TB.delete_rows(b, dels)
-    renters = _events(spark, sf, "error").filter(F.col("user_id") % 10 == 1).select((F.col("user_id") * 2 + 1).alias("user_id"))
+    renters = _events(spark, sf, "error").select((F.col("user_id") * 2 + 1).alias("user_id"))
     _, cleared = TB.clear_user_bookings(remaining, renters)
     return (removed.select("id", F.lit("removed").alias("outcome"))
             .unionByName(rejects.select("id", F.lit("not found").alias("outcome")))
@@ -781,13 +781,18 @@ def q_change_events(spark, sf):
                  F.col("seq").alias("seq")))
 
 
-def _new_comments(spark, sf):
-    return read_table(spark, sf, "conversations").filter(F.col("turn") % 2 == 1).select(
+def _turns(spark, sf):
+    return read_table(spark, sf, "conversations").select(
         F.col("conv_id").alias("report_id"), F.col("turn").alias("seq"),
         F.col("role").alias("author"), F.col("text").alias("message"),
         F.lit("").alias("createdAt"))
 
 
+def _new_comments(spark, sf):
+    """The turns that the stored reports don't hold yet."""
+    return _turns(spark, sf).filter(F.col("seq") % 2 == 1)
+
+
 @query
 def q_append_comments(spark, sf):
     """N3 + N2: append the arriving conversation turns as report comments."""
@@ -1082,13 +1087,20 @@ def q_vehicles_by_owner(spark, sf):
 
 @query
 def q_lookup_bookings(spark, sf):
-    """the bookings that events point at (some ids occur often, some not at all)."""
-    ids = read_table(spark, sf, "events").select((F.col("event_id") % 4000 * 2).alias("id"))
-    return presentable(TB.booking_view(TB.lookup(SN.bookings(spark, sf), ids)))
+    """the bookings that events point at, over the whole id range."""
+    bookings = SN.bookings(spark, sf)
+    ids = read_table(spark, sf, "events").select(_target(F.col("event_id"), bookings).alias("id"))
+    return presentable(TB.booking_view(TB.lookup(bookings, ids)))
 
 
 # ---- permission rules with admins, patches of users and reports -------------------------
 
+def _target(e: F.Column, table: DataFrame) -> F.Column:
+    """A target for each event: ids over the whole range of a table, and a
+    quarter as many again that it doesn't have."""
+    return F.pmod(e * 7919, F.shiftright((table.agg(F.max("id")).scalar() + 1) * 5, 2))
+
+
 def _users_with_admins(spark, sf):
     """Stand-in: users with an id that ends in 7 are admins."""
     return SN.users(spark, sf).withColumn("role", F.when(F.col("id") % 10 == 7, "admin").otherwise(F.col("role")))
@@ -1100,7 +1112,7 @@ def q_user_permissions(spark, sf):
     ev = read_table(spark, sf, "events")
     ch = ev.select(F.col("event_id").alias("seq"), F.col("user_id").alias("actor_id"),
                    (F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "view", "list")
-                    .otherwise("patch")).alias("action"), (F.col("event_id") % 5000).alias("target_id"))
+                    .otherwise("patch")).alias("action"), _target(F.col("event_id"), SN.users(spark, sf)).alias("target_id"))
     out = TB.user_change_permissions(ch, _users_with_admins(spark, sf))
     return out.select("seq", "actor_id", "action", "target_id", "accepted", "reason")
 
@@ -1156,7 +1168,7 @@ def q_vehicle_permissions(spark, sf):
     ev = read_table(spark, sf, "events")
     ch = ev.select(F.col("event_id").alias("seq"), F.col("user_id").alias("actor_id"),
                    (F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "signup", "create")
-                    .otherwise("update")).alias("action"), (F.col("event_id") % 2500).alias("target_id"))
+                    .otherwise("update")).alias("action"), _target(F.col("event_id"), SN.vehicles(spark, sf)).alias("target_id"))
     out = TB.vehicle_change_permissions(ch, _users_with_admins(spark, sf), SN.vehicles(spark, sf))
     return out.select("seq", "actor_id", "action", "target_id", "accepted", "reason")
 
@@ -1183,9 +1195,11 @@ def q_patch_reports(spark, sf):
     payload = F.to_json(F.struct(F.concat(F.lit("n"), e.cast("string")).alias("notes"),
                                  F.when(F.col("value") > 20, F.col("value")).alias("amount"),
                                  F.when(e % 2 == 0, F.lit("half")).alias("fuelLevel")))
-    batch = ev.select((F.col("user_id") % 130).alias("id"), e.alias("seq"), payload.alias("payload"))
+    reports = SN.logreports(spark, sf)
+    batch = ev.select(_target(e, read_table(spark, sf, "conversations").select(F.col("conv_id").alias("id"))).alias("id"),
+                      e.alias("seq"), payload.alias("payload"))
     names = TB.ALIASES["logreports"]
-    out, rej = TB.apply_patches(SN.logreports(spark, sf), batch, "id", {c: names[c] for c in ("notes", "amount", "fuel_level")})
+    out, rej = TB.apply_patches(reports, batch, "id", {c: names[c] for c in ("notes", "amount", "fuel_level")})
     return presentable(out.select("id", "notes", "amount", "fuel_level", F.lit(0).cast("long").alias("rejected"))
                        .unionByName(rej.groupBy("id").agg(F.count("*").alias("rejected")).select(
                            "id", F.lit("").alias("notes"), F.lit(0.0).alias("amount"), F.lit("").alias("fuel_level"), "rejected")))
@@ -1194,7 +1208,7 @@ def q_patch_reports(spark, sf):
 @query
 def q_report_rejects(spark, sf):
     """N3 + N4 + M12: comments of reports that do not exist."""
-    c = _new_comments(spark, sf).withColumn("report_id", F.col("report_id") * 3)
+    c = _turns(spark, sf).withColumn("report_id", F.col("report_id") * 3)
     return TB.unknown_reports(SN.logreports(spark, sf), c)
 
 
