@@ -1074,3 +1074,4 @@ ORACLE["text_sentiment_valid"] = "SELECT doc_id, true AS ok FROM documents"
 ORACLE["forecast_skill"] = ORACLE["forecast_holdout_valid"]
 ORACLE["text_skill"] = "SELECT true AS ok"
 ORACLE["poisson_skill"] = "SELECT true AS ok"
+ORACLE["boosted_calibration"] = "SELECT true AS ok"
