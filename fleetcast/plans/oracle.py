@@ -1075,3 +1075,12 @@ ORACLE["forecast_skill"] = ORACLE["forecast_holdout_valid"]
 ORACLE["text_skill"] = "SELECT true AS ok"
 ORACLE["poisson_skill"] = "SELECT true AS ok"
 ORACLE["boosted_calibration"] = "SELECT true AS ok"
+
+ORACLE["comment_totals"] = """
+SELECT conv_id AS report_id, count(*) AS n_comments, CAST(sum(length(text)) AS BIGINT) AS message_chars,
+       arg_min(role, (turn % 2) * 1000000 + turn) AS first_author, arg_max(role, (turn % 2) * 1000000 + turn) AS last_author
+FROM conversations GROUP BY conv_id"""
+ORACLE["newest_comments"] = """
+SELECT conv_id AS report_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn % 2 DESC, turn DESC) AS INTEGER) AS rank,
+       role AS author, text AS message
+FROM conversations QUALIFY rank <= 3"""

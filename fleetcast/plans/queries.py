@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from fleetcast.functions.calendar import add_holiday_flags, calendar_columns, cyclic_columns
 from fleetcast.operators import boosting as BT
+from fleetcast.operators import comments as CM
 from fleetcast.operators import demand as D
 from fleetcast.plans.output import presentable
 from fleetcast.session import materialize
@@ -802,6 +803,29 @@ def q_append_comments(spark, sf):
     return presentable(v.select("id", *_comment_summary(v)))
 
 
+def _comment_table(spark, sf):
+    """The child table after the stored comments and one appended batch."""
+    path = scratch_path(spark, f"comments-{uuid.uuid4().hex}")
+    forget_at_exit(spark, path)
+    reports = SN.logreports(spark, sf)
+    CM.write_comments(CM.stored_comments(reports), path)
+    CM.write_comments(CM.new_comments(reports, _new_comments(spark, sf), 1)[0], path)
+    return CM.read_comments(spark, path)
+
+
+@query
+def q_comment_totals(spark, sf):
+    """N2 + N3 with comments as rows: counts and authors after an append that
+    rewrites no report."""
+    return CM.comment_totals(_comment_table(spark, sf))
+
+
+@query
+def q_newest_comments(spark, sf):
+    """N1 with comments as rows: the page of each report's 3 newest comments."""
+    return CM.newest_comments(_comment_table(spark, sf), 3).select("report_id", "rank", "author", "message")
+
+
 @query
 def q_set_checkout(spark, sf):
     """Checkout object = the last turn of each conversation."""
