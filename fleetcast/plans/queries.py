@@ -919,6 +919,29 @@ def q_train_cancellation(spark, sf):
         "model_name string, features int, accuracy double, f1 double, roc_auc double, rows long")
 
 
+BOOSTED_CANCEL = dict(rounds=10, rate=0.1, leaves=31, waves=5)
+
+
+def boosted_cancellation(spark, sf):
+    """L3: the boosted classifier, saved once per data folder and loaded, and
+    the test rows with its score. The reference takes 200 rounds."""
+    path = _artifact(spark, sf, "boosted-cancellation")
+    s = materialize(_split_features(spark, sf), "training-input")
+    if not ML.model_exists(spark, path):
+        BT.save_boosted(spark, BT.fit_boosted_classifier(s.filter("split = 'train'"), G.FEATURE_COLUMNS, **BOOSTED_CANCEL), path)
+    model, _ = BT.load_boosted(spark, path)
+    return BT.predict(model, s.filter("split = 'test'"), "score")
+
+
+@query
+def q_train_cancellation_boosted(spark, sf):
+    """L3 + A10 + A11 + A16 + S7 + S8: the boosted classifier on the test split; one metrics row."""
+    test = materialize(boosted_cancellation(spark, sf).select(
+        "label", "score", (F.col("score") >= 0.5).cast("int").alias("prediction")), "boosted-scores")
+    auc = M.roc_auc(test).first()["roc_auc"]
+    return presentable(M.classification_metrics(test).select("accuracy", "f1", F.lit(auc).alias("roc_auc")))
+
+
 @query
 def q_score_bookings(spark, sf):
     """L5 + C17 + S8: label and cancellation score for every booking."""
