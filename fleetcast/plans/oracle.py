@@ -1084,3 +1084,5 @@ ORACLE["newest_comments"] = """
 SELECT conv_id AS report_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn % 2 DESC, turn DESC) AS INTEGER) AS rank,
        role AS author, text AS message
 FROM conversations QUALIFY rank <= 3"""
+
+ORACLE["lookup_bookings_by_id"] = ORACLE["lookup_bookings"]

@@ -21,6 +21,7 @@ from fleetcast.operators import comments as CM
 from fleetcast.operators import demand as D
 from fleetcast.plans.output import presentable
 from fleetcast.session import materialize
+from fleetcast.sources import layout as LY
 from fleetcast.sources.tables import SEGMENT_COLUMNS, load_history, segment_history
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1172,6 +1173,17 @@ def q_lookup_bookings(spark, sf):
 
 # ---- permission rules with admins, patches of users and reports -------------------------
 
+@query
+def q_lookup_bookings_by_id(spark, sf):
+    """F5 on a table laid out by id: the same answer, from the folders of the ids only."""
+    path = scratch_path(spark, f"bookings-by-id-{uuid.uuid4().hex}")
+    forget_at_exit(spark, path)
+    bookings = SN.bookings(spark, sf)
+    LY.write_by_id(bookings, path)
+    ids = read_table(spark, sf, "events").select(_target(F.col("event_id"), bookings).alias("id"))
+    return presentable(TB.booking_view(LY.lookup_by_id(spark, path, bookings.schema, ids)))
+
+
 def _target(e: F.Column, table: DataFrame) -> F.Column:
     """A target for each event: ids over the whole range of a table, and a
     quarter as many again that it doesn't have."""
