@@ -115,3 +115,24 @@ def test_feature_frame_edge_rows(spark):
     assert a.booking_created_dayofweek == 6.0 and a.from_date_hour == 10.0
     assert b.from_lat is None and b.route_distance_km is None
     assert b.booking_lead_hours is None and b.from_date_hour is None
+
+
+def test_timestamp_texts_are_parsed_once_by_their_shape(spark):
+    """Same answers as trying every format in turn; each date column is parsed in one place."""
+    from fleetcast.functions import coerce as C
+    from fleetcast.operators import features as G
+    texts = ["2024-02-03T04:05:06.123456", "2024-02-03T04:05:06", "2024-02-03t04:05:06", "2024-02-03T04:05", "2024-02-03 04:05:06.5", "2024-02-03 04:05:06",
+             "2024-02-03 04:05", "2024-02-03", "2/3/2024 4:05", "02/03/2024 04:05", "2/3/2024", "+12024-02-03", "-2024-02-03", "2024-2-3", " 2024-02-03",
+             "2024-02-30", "24-02-03", "0000-01-01", "99/99/2024", "2024-02-03 24:00:00", "--", "- :", "//", "", "x", None, "2024-02-03T04:05:06Z", "٢٠٢٤-02-03"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    each = F.coalesce(*[F.try_to_timestamp("t", F.lit(f)) for f in C.TIMESTAMP_FORMATS])
+    got = rows.select("t", C.to_timestamp_any("t").cast("string").alias("now"), each.cast("string").alias("each")).collect()
+    assert [(r.t, r.now) for r in got] == [(r.t, r.each) for r in got] and sum(r.now is not None for r in got) >= 11
+    raw = spark.createDataFrame([("2024-02-03 04:05:06",) * 3], "from_date string, to_date string, booking_created string")
+    kept = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        plan = G.prepare_features(raw.repartition(1))._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", kept)
+    assert plan.count("M/d/yyyy H:mm") == 6         # by shape and otherwise, for each of three columns
