@@ -23,7 +23,8 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, values: li
     nothing. ``right`` has key, time and the values; ``left`` none of these
     values.
     """
-    packed = F.struct(*[F.col(f"`{c}`") for c in left.columns])
+    # key and time are not written twice
+    packed = F.struct(F.lit(True).alias("_left"), *[F.col(f"`{c}`") for c in left.columns if c not in (key, time)])
     before = 0 if inclusive else 1                       # at one time, versions come before the rows or after them
     a = left.select(F.col(key).alias("_key"), F.col(time).alias("_time"), F.lit(1 - before).alias("_side"), packed.alias("_row"),
                     *[F.lit(None).cast(right.schema[v].dataType).alias(f"_{v}") for v in values])
@@ -44,7 +45,9 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, values: li
                .select("_key", "_part", *[F.last(f"_{v}", ignorenulls=True).over(by_part).alias(f"c_{v}") for v in values]))
     known = F.col("_key").isNotNull() & F.col("_time").isNotNull()
     pick = lambda v: F.when(known, F.coalesce(f"_{v}", f"c_{v}")).alias(v)
-    return filled.join(carried, ["_key", "_part"], "left").select("_row.*", *[pick(v) for v in values])
+    back = {c: F.col(p).cast(left.schema[c].dataType).alias(c) for c, p in ((key, "_key"), (time, "_time"))}
+    return filled.join(carried, ["_key", "_part"], "left").select(
+        *[back.get(c, F.col("_row")[c].alias(c)) for c in left.columns], *[pick(v) for v in values])
 
 
 def as_of(left: DataFrame, snapshot: DataFrame, changes: DataFrame, key: str, id_: str, time: str, values: list[str]) -> DataFrame:
@@ -66,12 +69,14 @@ def permitted_users(changes: DataFrame, users: DataFrame, states: DataFrame | No
     base = users.select("id", "role", "active", F.lit(False).alias("gone"))
     fields = ["role", "active", "gone"]
     # a change may itself have columns like a user's
-    asked = changes.select("seq", "actor_id", "target_id", F.struct(*[F.col(f"`{c}`") for c in changes.columns]).alias("change"))
+    own = ("seq", "actor_id", "target_id")
+    asked = changes.select("seq", "actor_id", "target_id", F.struct(F.lit(True).alias("_change"), *[F.col(f"`{c}`") for c in changes.columns if c not in own]).alias("change"))
     actor = as_of(asked, base, states, "actor_id", "id", "seq", fields)
     alive = F.col("gone").eqNullSafe(F.lit(False))
     actor = actor.select(*asked.columns, F.when(alive, F.col("role")).alias("actor_role"), F.when(alive, F.col("active")).alias("actor_active"))
     target = as_of(actor, base.select("id", "gone"), states.select("id", "seq", "gone"), "target_id", "id", "seq", ["gone"])
-    return (target.select("change.*", "actor_role", "actor_active", F.col("gone").eqNullSafe(F.lit(False)).alias("known"))
+    columns = [F.col(c) if c in own else F.col("change")[c].alias(c) for c in changes.columns]
+    return (target.select(*columns, "actor_role", "actor_active", F.col("gone").eqNullSafe(F.lit(False)).alias("known"))
             .withColumn("reason", reason).drop("known").withColumn("accepted", F.col("reason").isNull()))
 
 

@@ -80,3 +80,16 @@ def test_a_deactivated_actor_is_refused_from_then_on(spark):
                                (4, 1, "delete", 3, None, None), (5, 1, "patch", 3, None, True)],
                               "seq long, actor_id long, action string, target_id long, role string, active boolean")
     assert {r.seq: r.reason for r in TB.user_changes_in_order(c, u).collect()} == {1: None, 2: None, 3: TB.NO_ACTIVE_USER, 4: None, 5: TB.UNKNOWN_ID}
+
+
+def test_key_and_time_are_written_once(spark, monkeypatch):
+    """Rows carry their other columns only; the key keeps its type and its nulls."""
+    from fleetcast.operators import asof
+    written = []
+    monkeypatch.setattr(asof, "materialize", lambda df, name: written.append(df.schema) or df.localCheckpoint())
+    left = spark.createDataFrame([(1, 5, "a"), (1, 2, "b"), (None, 5, "c"), (2, None, "d")], "k int, t long, x string")
+    right = spark.createDataFrame([(1, 3, "v")], "k long, t long, v string")
+    out = asof.asof_join(left, right, "k", "t", ["v"])
+    assert not {"k", "t"} & set(written[0]["_row"].dataType.names)
+    assert out.columns == ["k", "t", "x", "v"] and out.schema["k"].dataType == left.schema["k"].dataType
+    assert {tuple(r) for r in out.collect()} == {(1, 5, "a", "v"), (1, 2, "b", None), (None, 5, "c", None), (2, None, "d", None)}
