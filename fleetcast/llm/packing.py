@@ -14,7 +14,9 @@ source or bucket can overload a task.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -29,7 +31,7 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 
 from fleetcast.llm.common import bounded_batches, table, tidy
-from fleetcast.llm.pieces import Cut, Pieces, before, byte_alphabet, flatten, latin_letters
+from fleetcast.llm.pieces import Cut, Pieces, before, byte_alphabet, flatten, starts_cut
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END = 2
@@ -38,22 +40,55 @@ STEP_TOKENS = 16 * WINDOWS[-1]        # of a step group
 BUFFER = 1 << 20
 
 
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+# Kinds of bytes, as the tokenizer's splitting pattern sees them. A tab or line
+# end is a blank to it; digits are matches of their own. OTHER: not told by the byte.
+BLANK, LETTER, DIGIT, MARK, OTHER = range(5)
+KIND = np.full(256, OTHER, np.uint8)
+KIND[0x21:0x7F] = MARK
+KIND[[0x20, *range(0x09, 0x0E)]] = BLANK
+KIND[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = LETTER
+KIND[ord("0"):ord("9") + 1] = DIGIT
+LEAD = 0xC3                           # of the letters from U+00C0 to U+00FF, but for × (C3 97) and ÷ (C3 B7)
+LATIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")      # a word in lower case
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A"):ord("Z") + 1] += 0x20
+
+
 def cut(raw: np.ndarray, at: np.ndarray) -> Cut:
-    """The runs between blanks and line ends, without these."""
-    blank = (raw == 0x20) | (raw == 0x0A)
-    last = before(raw)
-    start = ~blank & ((last == 0x20) | (last == 0x0A))
+    """Lower-cased runs of letters, runs of marks, and digits, without blanks.
+
+    Cuts are made only at kinds that the bytes tell, and where a match of the
+    splitting pattern ends whatever comes before: not behind an apostrophe,
+    which takes some letters with it. ASCII and Latin-1 never compose with what
+    is before them; a letter with a combining mark behind it keeps its case."""
+    kind, low = KIND[raw], LOWER[raw]
+    second = np.flatnonzero(before(raw) == LEAD)
+    of = raw[second]
+    second = second[(of >= 0x80) & (of < 0xC0) & (of != 0x97) & (of != 0xB7)]
+    kind[second] = kind[second - 1] = LETTER
+    low[second[raw[second] < 0x9F]] += 0x20
+    combines = np.flatnonzero(raw[1:] >= 0xC4)            # the byte before what may be a combining mark
+    low[combines] = raw[combines]
+    blank, last = kind == BLANK, before(kind)
+    known = (last > BLANK) & (last < OTHER) & (kind < OTHER)
+    start = ~blank & ((last == BLANK) | known & ((kind != last) | (kind == DIGIT)))
+    start &= ~((kind == LETTER) & (before(raw) == ord("'")))
     begins = at[:-1][at[:-1] < at[1:]]
     start[begins] = ~blank[begins]
     first = np.flatnonzero(start)
     left = np.concatenate(([0], np.cumsum(~blank)))       # bytes before each that stay
-    return raw[~blank], np.append(left[first], left[-1]), np.searchsorted(first, at)
+    return low[~blank], np.append(left[first], left[-1]), np.searchsorted(first, at)
 
 
 class WordBpe:
-    """Ids of texts by a tokenizer file. Texts are cut at blanks and line
-    ends, which the tokenizer drops and never merges across. A text that holds
-    an added token's string is encoded whole."""
+    """Ids of texts by a tokenizer file. Texts are lower-cased and cut into the
+    matches of its splitting pattern where bytes tell them, so a word is learnt
+    once whatever its case and the marks around it. A text that holds an added
+    token's string is encoded whole, and so are all texts if the file has
+    another pattern or other normalizers."""
 
     def __init__(self, path: str = VOCABULARY):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -61,28 +96,31 @@ class WordBpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.sign = self.tokenizer.model, dict(enumerate(byte_alphabet()))
-        self.marks = {x: self._whole([x])[0] for x in (".", ",")}
-        self.pieces = Pieces(cut, self._learn)
+        stages = [json.loads(x.__getstate__()) if x else {} for x in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)]
+        self.own = ([x["type"] for x in stages[0].get("normalizers", [])] == NORMALIZERS
+                    and [x.get("pattern") for x in stages[1].get("pretokenizers", [])] == [{"Regex": SPLIT}, None])
+        self.pieces = Pieces(cut if self.own else lambda raw, at: starts_cut(raw, at, np.zeros(len(raw), bool)), self._learn)
 
     def _whole(self, pieces: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
 
     def _learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = [self._simple(p.decode()) for p in pieces]
-        hard = [i for i, ids in enumerate(found) if ids is None]
+        found, hard = [], []
+        for i, p in enumerate(pieces):
+            if not self.own:
+                found.append([])
+                hard.append(i)
+            elif p.isalpha() and p.islower():                 # ASCII stands for itself in the vocabulary
+                found.append([t.id for t in self.model.tokenize(p.decode())])
+            elif LATIN.fullmatch(p):
+                found.append([t.id for t in self.model.tokenize(p.decode("latin-1").translate(self.sign))])
+            else:
+                found.append([])
+                hard.append(i)
         for i, ids in zip(hard, self._whole([pieces[i].decode() for i in hard])):
             found[i] = ids
         return flatten(found)
 
-    def _simple(self, piece: str) -> list[int] | None:
-        """Latin letters with at most one . or , behind: a word and a mark."""
-        tail = self.marks.get(piece[-1:], [])
-        word = piece[:-1] if tail else piece
-        if not word or not latin_letters(word):
-            return None
-        spelt = word.lower().encode().decode("latin-1").translate(self.sign)
-        return [*[t.id for t in self.model.tokenize(spelt)], *tail]
-
     def encode_rows(self, column: pa.Array) -> list[np.ndarray]:
         """The ids of each row; none for null or empty."""
         flat, at = self.pieces.encode(column)

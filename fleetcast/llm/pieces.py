@@ -9,6 +9,7 @@ before reach the tokenizer, and the ids of all rows are gathered at once.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -79,7 +80,7 @@ class Pieces:
             return np.zeros(0, np.int32), np.zeros(len(at), np.int64)
         pieces = pa.Array.from_buffers(pa.large_binary(), len(piece_at) - 1, [
             None, pa.py_buffer(np.ascontiguousarray(piece_at, np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        distinct, indices, met = pieces.dictionary.to_pylist(), pieces.indices.to_numpy(), len(self.at) - 1
+        distinct, indices, met = pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), pieces.indices.to_numpy(), len(self.at) - 1
         number = self._numbers(distinct)
         code = number[indices]
         length = self.at[code + 1] - self.at[code]
@@ -115,7 +116,7 @@ class Pieces:
 def flatten(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """All ids, and how many there are in each row."""
     sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-    return np.fromiter((x for row in rows for x in row), np.int32, int(sizes.sum())), sizes
+    return np.fromiter(chain.from_iterable(rows), np.int32, int(sizes.sum())), sizes
 
 
 def latin_letters(s: str) -> bool:

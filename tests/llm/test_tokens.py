@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -67,6 +68,52 @@ def test_word_ids_equal_the_tokenizers(text):
     assert words.encode(text) == words.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_a_word_is_learnt_once_whatever_its_case_and_marks():
+    words = packing.WordBpe()
+    learnt, learn = [], words.pieces.learn
+    words.pieces.learn = lambda pieces: (learnt.extend(pieces), learn(pieces))[1]
+    texts = ["word Word WORD word. (word), [word]!! word's", "Été été, ÉTÉ! 'été\tété\r\n", "1234 word12", "don't 'tis ''s it'll"]
+    for text in texts:
+        assert words.encode(text) == words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert learnt.count(b"word") == learnt.count("été".encode()) == 1
+    assert not [p for p in learnt if p != b"word" and b"word" in p.lower()]
+    assert not [p for p in learnt if "été" in p.decode().lower() and p.decode() not in ("été", "'été")]
+    assert {p for p in learnt if p.isdigit()} == {b"1", b"2", b"3", b"4"}
+
+
+def test_a_file_with_another_pattern_is_asked_for_whole_texts(tmp_path):
+    from tokenizers import Regex, Tokenizer, pre_tokenizers
+    other = Tokenizer.from_file(packing.VOCABULARY)
+    assert packing.WordBpe().own
+    other.pre_tokenizer = pre_tokenizers.Sequence([
+        pre_tokenizers.Split(Regex(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+"), "removed", invert=True),
+        pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    other.save(str(tmp_path / "other.json"))
+    words = packing.WordBpe(str(tmp_path / "other.json"))
+    assert not words.own
+    for text in ("In 1999, 20 of Them.", "", "don't 12a", None):
+        assert words.encode(text) == other.encode(text or "", add_special_tokens=False).ids
+
+
+# Where letters compose with what follows, lower-casing first would give other ids
+COMPOSING = st.text(alphabet="HhIiEeÉêÇçßÞ×÷ªºA1.'’<=>!sStrLl \t\r\x0b\x1c\x7f\u0331\u0307\u0301\u0338\u0345\u030a\u20e3ΣσǅİſK½²漢\xad\xa0", max_size=30)
+
+
+@settings(max_examples=600, deadline=None)
+@given(COMPOSING)
+def test_word_ids_where_letters_compose(text):
+    words = packing.encoder(packing.VOCABULARY)
+    assert words.encode(text) == words.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_cuts_keep_to_their_rows():
+    words = packing.WordBpe()
+    texts = ["", "É", "H", "\u0331h", None, "'", "s", "a'", "tÉ", "\u0301", "", "É", "x\n"]
+    for texts in (texts, texts[::-1], texts[:-1] + [None]):
+        got = [ids.tolist() for ids in words.encode_rows(pa.array(texts, pa.string()))]
+        assert got == [words.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_added_tokens_in_a_text_are_the_files_own():
     from tokenizers import Tokenizer
     plain, words = Tokenizer.from_file(packing.VOCABULARY), packing.WordBpe()
