@@ -20,7 +20,7 @@ from fleetcast.operators import boosting as BT
 from fleetcast.operators import comments as CM
 from fleetcast.operators import demand as D
 from fleetcast.plans.output import presentable
-from fleetcast.session import materialize
+from fleetcast.session import forget, materialize, scratch_tables
 from fleetcast.sources import layout as LY
 from fleetcast.sources.tables import SEGMENT_COLUMNS, load_history, segment_history
 
@@ -898,13 +898,14 @@ def cancellation_model(spark, sf):
     path = _artifact(spark, sf, "cancellation")
     if ML.model_exists(spark, path):
         return ML.load_model(spark, path, CANCEL_MODEL)
-    s = materialize(_split_features(spark, sf), "training-input")    # the fit passes over it many times
-    model = ML.fit_cancellation(s.filter(F.col("split") == "train"), G.FEATURE_COLUMNS)
-    test = materialize(ML.score(model, s.filter(F.col("split") == "test"), ["label"]), "cancellation-scores")
-    cm = M.classification_metrics(test).first().asDict()
-    auc = M.roc_auc(test).first()["roc_auc"]
-    metrics = {"accuracy": cm["accuracy"], "f1": cm["f1"], "roc_auc": auc,
-               "rows": s.count()}
+    with scratch_tables(spark):
+        s = materialize(_split_features(spark, sf), "training-input")    # the fit passes over it many times
+        model = ML.fit_cancellation(s.filter(F.col("split") == "train"), G.FEATURE_COLUMNS)
+        test = materialize(ML.score(model, s.filter(F.col("split") == "test"), ["label"]), "cancellation-scores")
+        cm = M.classification_metrics(test).first().asDict()
+        auc = M.roc_auc(test).first()["roc_auc"]
+        metrics = {"accuracy": cm["accuracy"], "f1": cm["f1"], "roc_auc": auc,
+                   "rows": s.count()}
     ML.save_model(spark, model, path, CANCEL_MODEL, G.FEATURE_COLUMNS, metrics)
     return model, G.FEATURE_COLUMNS, metrics
 
@@ -955,9 +956,12 @@ def q_stream_score(spark, sf):
     """T4: arriving bookings scored by the saved model (stateless stream)."""
     model, _, _ = cancellation_model(spark, sf)
     out, ckpt = ST.fresh_dirs(spark, "stream-score")
-    li = ST.arriving(booking_history(spark, sf), f"{out}/feed")
-    scored = ML.score(model, G.prepare_features(li, keep=["order_key", "line_number"]), ["order_key", "line_number"])
-    return ST.score_stream(scored, out, ckpt)
+    keys = ["order_key", "line_number"]
+    li = ST.arriving(booking_history(spark, sf).select(*keys, *G.BASE_NUMERIC_COLUMNS, *G.DATE_COLUMNS), f"{out}/feed")
+    scored = ML.score(model, G.prepare_features(li, keep=keys), keys)
+    scores = ST.score_stream(scored, out, ckpt)
+    forget(spark, f"{out}/feed")
+    return scores
 
 
 @query

@@ -112,23 +112,25 @@ def booking_history(spark: SparkSession, sf_dir: str, li: DataFrame | None = Non
     """
     li = (line_items(spark, sf_dir, *BOOKING_LINE_COLUMNS) if li is None
           else li.select(*BOOKING_LINE_COLUMNS))
+    # orders meet their customers, and suppliers their coordinates, before line items join:
+    # the line items themselves are moved by three keys only
+    c = _customers(spark, sf_dir)
     o = read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
+        "o_orderkey", "o_custkey", "o_orderdate", F.substring("o_orderpriority", 1, 1).alias("priority"),
+        (F.col("o_orderstatus") == "O").alias("online"))
+    o = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_size")
-    c = _customers(spark, sf_dir)
-    s = _suppliers(spark, sf_dir)
     e = read_table(spark, sf_dir, "embeddings").select(
         "vec_id",
         (F.element_at("embedding", 1).cast("double") * LAT_SCALE).alias("from_lat"),
         (F.element_at("embedding", 2).cast("double") * LONG_SCALE).alias("from_long"),
         (F.element_at("embedding", 3).cast("double") * LAT_SCALE).alias("to_lat"),
         (F.element_at("embedding", 4).cast("double") * LONG_SCALE).alias("to_long"))
+    s = _suppliers(spark, sf_dir).join(e, F.col("s_suppkey") == F.col("vec_id"), "left")
     ship = F.col("l_shipdate").cast("timestamp")
     return (li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
             .join(p, F.col("l_partkey") == F.col("p_partkey"))
-            .join(c, F.col("o_custkey") == F.col("c_custkey"))
             .join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-            .join(e, F.col("l_suppkey") == F.col("vec_id"), "left")
             .select(
                 F.col("l_orderkey").alias("order_key"),
                 F.col("l_linenumber").alias("line_number"),
@@ -136,12 +138,12 @@ def booking_history(spark: SparkSession, sf_dir: str, li: DataFrame | None = Non
                 F.col("l_suppkey").alias("supp_key"),
                 (F.col("p_size") % VEHICLE_MODELS).alias("vehicle_model_id"),
                 F.col("l_linenumber").alias("package_id"),
-                F.substring("o_orderpriority", 1, 1).cast("int").alias("travel_type_id"),
+                F.col("priority").cast("int").alias("travel_type_id"),
                 F.col("c_regionkey").alias("from_area_id"),
                 F.col("s_regionkey").alias("to_area_id"),
                 F.col("c_nationkey").alias("from_city_id"),
                 F.col("s_nationkey").alias("to_city_id"),
-                (F.col("o_orderstatus") == "O").cast("int").alias("online_booking"),
+                F.col("online").cast("int").alias("online_booking"),
                 (F.col("l_linestatus") == "O").cast("int").alias("mobile_site_booking"),
                 "from_lat", "from_long", "to_lat", "to_long",
                 ship.alias("from_date"),

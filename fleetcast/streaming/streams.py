@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from fleetcast.operators.asof import asof_join
 from fleetcast.operators.tables import UNKNOWN_ID, payload_map
-from fleetcast.session import forget_at_exit, scratch_path
+from fleetcast.session import forget, forget_at_exit, scratch_path, shuffles_dropped
 from fleetcast.sources.tables import SEGMENT_COLUMNS, read_table
 from fleetcast.streaming.mergelog import EVERY, MergeLog
 
@@ -153,12 +153,21 @@ def corrections(spark: SparkSession, base: str) -> DataFrame:
 
 
 def arriving(rows: DataFrame, folder: str, batches: int = 4) -> DataFrame:
-    """Stand-in for a feed: ``rows`` written by as many tasks as Spark has for
-    them (``batches`` at least), in no useful order, and read as a stream of
-    about ``batches`` micro-batches."""
-    files = max(rows.rdd.getNumPartitions(), batches)
-    rows.repartition(files).write.mode("overwrite").parquet(folder)
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-files // batches)).parquet(folder)
+    """Stand-in for a feed: ``rows`` written once by the tasks that make them,
+    in no useful order, and read as a stream of about ``batches`` micro-batches.
+    Rows of fewer tasks than that are dealt out to as many files."""
+    spark = rows.sparkSession
+
+    def write(some: DataFrame, name: str) -> str:
+        with shuffles_dropped(spark):
+            some.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}")
+        return f"{folder}/{name}"
+    path = write(rows, "rows")
+    files = len(spark.read.schema(rows.schema).parquet(path).inputFiles())
+    if files < batches:
+        few, path, files = path, write(spark.read.schema(rows.schema).parquet(path).repartition(batches), "dealt"), batches
+        forget(spark, few)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-files // batches)).parquet(path)
 
 
 def run_daily_demand(bookings: DataFrame, base: str, checkpoint: str, every: int = EVERY) -> DataFrame:

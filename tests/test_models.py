@@ -126,3 +126,30 @@ def test_bounds_widen_and_cover(spark):
     print("coverage", {h: np.mean(v) for h, v in inside.items()}, {h: np.mean(v) for h, v in width.items()})
     assert np.mean(inside[1]) >= 0.9 and np.mean(inside[30]) >= 0.8        # 0.95 and 0.83 as measured
     assert np.mean(width[30]) > 1.02 * np.mean(width[1])
+
+
+def test_what_a_fit_writes_goes_with_it(spark):
+    """Scratch tables of a training, and the shuffle files of what is written,
+    don't wait for the end of the application or the driver's garbage collector."""
+    import os
+    import time
+    from fleetcast.session import checkpoint_dir, materialize, scratch_tables
+    top = checkpoint_dir(spark).removeprefix("file:")
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}     # noqa: E731
+    rows = spark.range(400).select((F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 2).cast("int").alias("label"))
+    old = set(os.listdir(top))
+    model = ML.fit_cancellation(rows, ["a"], trees=4, max_depth=2)
+    assert set(os.listdir(top)) == old
+    with scratch_tables(spark):
+        files = shuffles()
+        kept = materialize(rows.repartition(3), "kept")
+        materialize(rows.repartition("a").groupBy("label").count(), "few")
+        written = shuffles() - files
+        assert kept.count() == 400 and ML.score(model, kept, ["a"]).count() == 400
+    assert set(os.listdir(top)) == old
+    for _ in range(50):
+        if not written & shuffles():
+            break
+        time.sleep(0.1)
+    assert not written & shuffles()

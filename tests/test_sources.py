@@ -90,3 +90,22 @@ def test_profile_schema_metrics_and_empty_snapshot(spark, tmp_dir):
     assert IO.metrics_json(m).first()[0] == '{"f1":0.5,"rows":10}'
     empty = SN.read_snapshot(spark, os.path.join(tmp_dir, "nope"), "users")
     assert empty.count() == 0 and empty.columns[0] == "id"
+
+
+def test_line_items_move_by_three_keys(spark):
+    """Where no table can be broadcast, bookings are dealt out by order, part
+    and supplier; customers are met by the orders."""
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan, wide = booking_history(spark, SMALL)._jdf.queryExecution().executedPlan(), 0
+        nodes = [plan]
+        while nodes:
+            n = nodes.pop()
+            nodes += [n.children().apply(i) for i in range(n.children().size())]
+            wide += n.nodeName() == "Exchange" and "l_linenumber" in n.output().toString()
+        assert wide == 3
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)

@@ -122,3 +122,35 @@ def test_daily_demand_stream_equals_batch(spark):
     want = daily_segment_counts(rows)
     assert got.select(*keys, "demand").exceptAll(want.select(*keys, "demand")).count() == 0
     assert want.exceptAll(got.select(*keys, "demand")).count() == 0
+
+
+def test_a_feed_is_computed_once(spark, tmp_dir):
+    """Its rows are written by the tasks that make them: not computed for a
+    count of partitions first, nor dealt out again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    rows = spark.range(900).mapInArrow(run, "id long").repartition(9)
+    feed = ST.arriving(rows, f"{tmp_dir}/feed", 3)
+    assert seen.value == 900
+    sizes = []
+    q = (feed.writeStream.foreachBatch(lambda b, i: sizes.append(b.count())).option("checkpointLocation", f"{tmp_dir}/c")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert sum(sizes) == 900 and len(sizes) == 3
+    few = ST.arriving(spark.range(8).coalesce(1), f"{tmp_dir}/few", 4)
+    assert os.listdir(f"{tmp_dir}/few") == ["dealt"] and few.isStreaming
+
+
+def test_scored_feed_goes_when_its_scores_are_written(spark):
+    from fleetcast.plans import queries as Q
+    from fleetcast.session import checkpoint_dir
+    top = checkpoint_dir(spark).removeprefix("file:")
+    old = set(os.listdir(top))
+    scores = Q.QUERIES["stream_score"](spark, SMALL)
+    (run,) = [d for d in set(os.listdir(top)) - old if d.startswith("stream-score")]
+    assert os.listdir(f"{top}/{run}/out") == ["scores"]
+    assert scores.count() == spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
