@@ -20,7 +20,7 @@ from fleetcast.operators import boosting as BT
 from fleetcast.operators import comments as CM
 from fleetcast.operators import demand as D
 from fleetcast.plans.output import presentable
-from fleetcast.session import forget, materialize, scratch_tables
+from fleetcast.session import forget, materialize, scratch_tables, shuffles_dropped
 from fleetcast.sources import layout as LY
 from fleetcast.sources.tables import SEGMENT_COLUMNS, load_history, segment_history
 
@@ -1313,7 +1313,8 @@ def q_csv_booking_features(spark, sf):
     path = scratch_path(spark, f"bookings-csv-{uuid.uuid4().hex}")
     h = booking_history(spark, sf)
     cols = [*IO.BOOKING_CSV_COLUMNS, *BOOKING_KEYS]
-    h.select(*[F.col(c).cast("string").alias(c) for c in cols]).write.option("header", True).csv(path)
+    with shuffles_dropped(spark):
+        h.select(*[F.col(c).cast("string").alias(c) for c in cols]).write.option("header", True).option("compression", "gzip").csv(path)
     forget_at_exit(spark, path)
     raw = IO.read_booking_csv(spark, path, columns=cols[::-1], required=["Car_Cancellation"])
     return presentable(G.prepare_features(raw, keep=[

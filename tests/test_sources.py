@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import SMALL
 from fleetcast.operators.features import FEATURE_COLUMNS, prepare_features
+from fleetcast.plans.output import presentable
 from fleetcast.sources import io as IO
 from fleetcast.sources import snapshots as SN
 from fleetcast.sources.tables import booking_history
@@ -92,6 +93,17 @@ def test_profile_schema_metrics_and_empty_snapshot(spark, tmp_dir):
     assert empty.count() == 0 and empty.columns[0] == "id"
 
 
+def test_booking_csv_is_written_compressed(spark, monkeypatch):
+    """Text takes several times the space of the tables it is made of."""
+    from fleetcast.plans import queries as Q
+    made = booking_history(spark, SMALL).limit(300).localCheckpoint()
+    monkeypatch.setattr(Q, "booking_history", lambda *a: made)
+    out = Q.QUERIES["csv_booking_features"](spark, SMALL)
+    assert all(f.endswith(".csv.gz") for f in out.inputFiles()) and out.inputFiles()
+    want = presentable(prepare_features(made, keep=["order_key", "line_number"]))
+    assert out.select(*want.columns).exceptAll(want).count() == 0 and out.count() == 300
+
+
 def test_line_items_move_by_three_keys(spark):
     """Where no table can be broadcast, bookings are dealt out by order, part
     and supplier; customers are met by the orders."""
